@@ -1,0 +1,378 @@
+"""Each operator against a brute-force version, on odd rows and on a small table."""
+
+import base64
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from dossierflow.llm import bpe, exact_dedup, langid, license_scan, packing, pii, sharding, simhash, topk, warc
+from dossierflow.llm.common import connected_components
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="session", params=["docs", "sample"])
+def table(request):
+    return request.getfixturevalue(request.param)
+
+
+@pytest.fixture(scope="session")
+def held(table):
+    return [(r["doc_id"], r["text"]) for r in table.collect()]
+
+
+# 1 ---------------------------------------------------------------------------------------------
+
+
+def test_packing(spark, table, held):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    want = {}
+    for d, text in held:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        for p, s in enumerate([0, *range(first, len(ids), 2048)]):
+            own = ids[s : s + (2048 if p else first)]
+            want[d, p] = (s, len(own), zlib.crc32(np.array(own, dtype="<u4").tobytes()))
+    got = rows(packing.pack(table))
+    assert {(d, p): (s, n, c) for d, p, s, n, c, _, _ in got} == want and len(got) == len(want)
+    by = defaultdict(list)
+    for *_, n, _, seq, off in got:
+        by[seq].append((off, n))
+    for places in by.values():
+        at = 0
+        for off, n in sorted(places):
+            assert off == at
+            at += n
+        assert at <= 2048
+    least = max(-(-sum(n for _, n, _ in want.values()) // 2048), sum(n > 1024 for _, n, _ in want.values()))
+    assert len(by) <= least * 1.02 + 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_configurations(seed):
+    draw = np.random.default_rng(seed)
+    counts = np.zeros(129, dtype=np.int64)
+    for n in draw.integers(1, 129, size=draw.integers(1, 60)):
+        counts[n] += draw.integers(1, 10_000)
+    held, sequences = np.zeros(129, dtype=np.int64), 0
+    for shape, k in packing.configurations(counts, 128, rounds=60):
+        assert sum(n * a for n, a in shape) <= 128
+        sequences += k
+        for n, a in shape:
+            held[n] += a * k
+    assert (held == counts).all()
+    least = max(-(-int((np.arange(129) * counts).sum()) // 128), int(counts[65:].sum()))
+    assert sequences <= 1.25 * least + 1
+
+
+def test_packing_of_nothing(spark, docs):
+    assert rows(packing.pack(docs.limit(0))) == []
+
+
+# 2 ---------------------------------------------------------------------------------------------
+
+
+def base_spans(text):
+    text, out = text or "", []
+    luhn = lambda d: sum((x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    for k, (kind, pattern, ok) in enumerate([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]):
+        if kind == "email" and "@" not in text or kind == "ip" and "." not in text:
+            continue
+        out += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if ok(m[0])]
+    return [f"{kind}:{s}:{e}" for s, _, kind, e in sorted(out)]
+
+
+def test_pii_base(table, held):
+    want = sorted(((d, *[sum(x.startswith(k) for x in s) for k in pii.BASE_KINDS], hashlib.sha256(",".join(s).encode()).hexdigest()) for d, t in held for s in [base_spans(t)]), key=str)
+    got = rows(pii.pii_report(table))
+    assert sorted((r[:6] for r in got), key=str) == want
+    for r in got:
+        assert [x for x in r[6].split(",") if x and x.split(":")[0] in pii.BASE_KINDS] == base_spans(dict(held)[r[0]])
+
+
+def test_pii_checked_kinds_and_context(docs, texts):
+    got = {r["text"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["pii_spans"]] for r in pii.find_spans(docs).where("text is not null").collect()}
+    assert ("iban", "GB82 WEST 1234 5698 7654 32") in got[texts[14]] and ("ssn", "123-45-6789") in got[texts[14]]
+    assert not any("33" in x[-3:] for k, x in got[texts[14]] if k == "iban")
+
+
+def test_redact(docs, texts):
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert pii.redact(docs).columns == docs.columns or set(pii.redact(docs).columns) == set(docs.columns)
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for d, t in out.items():
+        assert base_spans(t) == []
+        if not base_spans(before[d]) and "IBAN" not in (before[d] or ""):
+            assert t == before[d]
+    assert any("[EMAIL]" in (t or "") and "[PHONE]" in t for t in out.values())
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("which", ["odd", "table"])
+def test_warc(spark, which):
+    if which == "odd":
+        pages = spark.createDataFrame([(i, None if i % 4 == 0 else f"http://x/{i}\r\nX: y", h, "c") for i, h in enumerate([None, "", "a", "a", "é", "\r\n\r\n", "a" * 300000, "a" * 300000, "b"])], "page_id long, url string, html string, payload string")
+    else:
+        pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    held = {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}
+    first = {}
+    for i in sorted(held):
+        first.setdefault(held[i], i)
+    want = sorted((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in held.items())
+    assert sorted(rows(warc.archive_report(pages))) == want
+    assert rows(warc.archive_report(pages.limit(0))) == []
+
+
+def test_warc_round_trip_and_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é\n"), (2, "u", "é\n"), (3, "v", "z")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/a")
+    records = warc.read_archive(spark, f"{tmp_path}/a")
+    assert {r["page_id"]: bytes(r["payload"]) for r in records.collect()} == {1: "é\n".encode(), 2: "é\n".encode(), 3: b"z"}
+    whole = {r["page_id"]: bytes(r["record"]) for r in warc.record_bytes(records).collect()}
+    assert whole[1].startswith(b"WARC/1.1\r\n") and whole[1].endswith(b"\r\n\r\n" + "é\n".encode() + b"\r\n\r\n") and whole[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    from pyspark.sql import functions as F
+
+    spark.read.parquet(f"{tmp_path}/a/payloads").withColumn("payload", F.lit(b"other")).write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_archive(spark, f"{tmp_path}/b").collect()
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+
+def best_scores(vectors, k=5, every=50):
+    ok = {i: np.floor(np.array(x, dtype=float) * 256).astype(int) for i, x in vectors if x is not None and all(v is not None and np.isfinite(v) for v in x)}
+    out = []
+    for q in (i for i in ok if i % every == 0):
+        scored = sorted((-int(ok[q] @ x), i) for i, x in ok.items() if i != q and len(x) == len(ok[q]))[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def test_topk(spark):
+    draw = np.random.default_rng(1)
+    odd = [(0, [1.0, -2.0, 3.0]), (50, [0.0, 0.0, 0.0]), (1, None), (2, [1.0, None, 2.0]), (3, [float("nan"), 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0]), (5, [1.0]), (6, [])]
+    ties = [(i, [1.0, -2.0, 3.0]) for i in range(10, 20)]
+    many = [(i, draw.normal(size=8).tolist()) for i in range(300)]
+    negative = [(i, [-1.0 - i, 1.0]) for i in range(0, 60, 10)] + [(7, [5.0, -3.0])]
+    for case in (odd, odd + ties, many, negative, many[:3], []):
+        df = spark.createDataFrame([(i, x, 0, 1) for i, x in case], "vec_id long, embedding array<double>, id int, list int")
+        assert sorted(rows(topk.top_k(df))) == best_scores(case)
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+
+def test_hilbert_is_a_curve(spark):
+    from pyspark.sql import functions as F
+
+    bits = 3
+    cells = spark.range(8).selectExpr("cast(id as int) a").crossJoin(spark.range(8).selectExpr("cast(id as int) b")).crossJoin(spark.range(8).selectExpr("cast(id as int) c"))
+    at = {r["h"]: (r["a"], r["b"], r["c"]) for r in cells.withColumn("h", sharding.hilbert_index([F.col("a"), F.col("b"), F.col("c")], bits)).collect()}
+    assert sorted(at) == list(range(512))
+    assert all(sum(abs(x - y) for x, y in zip(at[i], at[i + 1], strict=True)) == 1 for i in range(511))
+
+
+def test_sharding(table, held):
+    for shards in (24, 5):
+        got = sharding.hilbert_shards(table, shards).collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in held)
+        by = defaultdict(list)
+        for r in got:
+            by[r["shard"]].append((r["slot"], r["hilbert"]))
+        sizes = [len(by[s]) for s in range(shards)]
+        assert max(sizes) - min(sizes) <= 1 and set(by) <= set(range(shards))
+        last = -1
+        for s in range(shards):
+            order = [h for _, h in sorted(by[s])]
+            assert sorted(x for x, _ in by[s]) == list(range(len(by[s]))) and order == sorted(order) and (not order or order[0] >= last)
+            last = order[-1] if order else last
+    assert rows(sharding.hilbert_shards(table.limit(0))) == []
+
+
+# 6 ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("hot", [0, 20, 250_000])
+def test_bpe(table, held, hot):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    want = Counter()
+    for d, text in held:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(rows(bpe.encode(table, hot_words=hot, digests=True))) == want
+    if hot == 20:
+        plain = Counter((d, n, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for d, n, ids, text in rows(bpe.encode(table, hot_words=hot)))
+        assert plain == want
+        assert rows(bpe.encode(table.limit(0), digests=True)) == []
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def test_exact_dedup(table, held):
+    norm = [(d, SPACE.sub(" ", t or "")) for d, t in held]
+    groups = defaultdict(list)
+    for d, t in norm:
+        groups[t].append(d)
+    want = sorted((d, min(groups[t]), len(groups[t]), min(groups[t]) == d, hashlib.sha256(t.encode()).hexdigest()) for d, t in norm)
+    assert sorted(rows(exact_dedup.exact_duplicates(table, hash_all=True))) == want
+    some = sorted(rows(exact_dedup.exact_duplicates(table, slots=64)))
+    assert [r[:4] for r in some] == [r[:4] for r in want] and all(r[4] or r[2] == 1 for r in some)
+    assert {r["doc_id"] for r in exact_dedup.drop_exact_duplicates(table).collect()} == {r[0] for r in want if r[3]}
+    assert rows(exact_dedup.exact_duplicates(table.limit(0))) == []
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def test_license_scan(table, held):
+    def words(text):
+        w = re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", (text or "").lower())
+        return [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for name, template in license_scan.TEMPLATES.items():
+        own = set(words(template))
+        size = 1 << license_scan.window_class(len(own))
+        for d, t in held:
+            sh = words(t)
+            best = max((len(own & set(sh[i : i + size])) / len(own) for i in range(0, len(sh), size // 4)), default=0) if own & set(sh) else 0
+            if best >= 0.8:
+                want[d, name] = round(best, 9)
+    got = {(r["doc_id"], r["license"]): round(r["containment"], 9) for r in license_scan.scan_licenses(table).collect()}
+    assert got == want and len(got) >= 2
+    assert rows(license_scan.scan_licenses(table.limit(0))) == []
+
+
+def test_license_scan_finds_changed_notices(spark):
+    template = license_scan.TEMPLATES["mit-permission"].split()
+    changed = template[:12] + ["whatsoever"] + template[12:]
+    df = spark.createDataFrame([(i, " ".join(["lorem ipsum dolor"] * i + changed + ["sit amet"] * 40)) for i in range(40)], "doc_id long, text string")
+    assert {r["doc_id"] for r in license_scan.scan_licenses(df).where("license = 'mit-permission'").collect()} == set(range(40))
+
+
+# 9 ---------------------------------------------------------------------------------------------
+
+
+def fingerprint(text, k):
+    import xxhash
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    sh = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+def components(fps, most):
+    parent = {i: i for i in range(len(fps))}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i][1] ^ fps[j][1]).bit_count() <= most:
+            parent[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(fps):
+        low[root(i)] = min(d, low.get(root(i), d))
+    return sorted((d, f"{f:016x}", low[root(i)]) for i, (d, f) in enumerate(fps))
+
+
+@pytest.mark.parametrize("shingle,most", [(3, 2), (5, 5)])
+def test_simhash(table, held, shingle, most):
+    known = {}
+    fps = [(d, known.setdefault(t, None) or known.update({t: fingerprint(t, shingle)}) or known[t]) for d, t in held]
+    assert sorted(rows(simhash.near_duplicates(table, shingle, most))) == components(fps, most)
+    assert rows(simhash.near_duplicates(table.limit(0), shingle, most)) == []
+
+
+def test_golay_keys_meet():
+    draw = np.random.default_rng(5)
+    words = draw.integers(0, 1 << 23, 3000)
+    assert {int((r >= 0).sum()) for r in simhash.golay_keys(words)} == {1, 6}
+    for errors in range(3):
+        flipped = words.copy()
+        for i in range(len(words)):
+            for b in draw.choice(23, errors, replace=False):
+                flipped[i] ^= 1 << int(b)
+        a, b = simhash.golay_keys(words), simhash.golay_keys(flipped)
+        assert all(set(x[x >= 0]) & set(y[y >= 0]) for x, y in zip(a, b, strict=True))
+
+
+def test_simhash_links_in_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    draw = np.random.default_rng(3)
+    centre = int(draw.integers(0, 1 << 62))
+    fps = set()
+    while len(fps) < 700:
+        f = centre
+        for b in draw.choice(64, 5):
+            f ^= 1 << int(b)
+        fps.add(f)
+    fps = [(i, f) for i, f in enumerate(sorted(fps))]
+    signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in fps]
+    for most in (2, 5):
+        found = simhash.links(spark.createDataFrame(signed, "fp long, node long"), most)
+        got = dict(rows(connected_components(found)))
+        assert [got.get(i, i) for i, _ in fps] == [c for _, _, c in components(fps, most)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 1), (500, 400), (400, 500)]
+    got = dict(rows(connected_components(spark.createDataFrame(edges, "src long, dst long"))))
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, **{200 + i: 100 for i in range(50)}, 400: 400, 500: 400}
+
+
+# 10 --------------------------------------------------------------------------------------------
+
+
+def test_language_id_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    said = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs)).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert len(said) == len(truth) and all(0 <= r["score"] <= 1 for r in said.values())
+    assert np.mean([said[d]["lang_pred"] == truth[d] for d in held]) > 0.97
+
+
+def test_language_id_rules(docs, texts):
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model, keep=["lang", "id"]).collect()}
+    for r in docs.collect():
+        assert (got[r["doc_id"]] == ("und", 0.0)) == (not any(c.isalpha() for c in r["text"] or ""))
+    left = {r["doc_id"] for r in langid.drop_unidentified(docs).collect()}
+    assert left == {d for d, (n, _) in got.items() if n != "und"}
+    assert rows(langid.identify(docs.limit(0), model)) == []
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
+
+
+def test_language_model_does_not_see_held_out_rows(spark, sample):
+    from pyspark.sql import functions as F
+
+    spoiled = sample.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    a, b = (sorted(rows(langid.identify(sample, langid.fit(d)))) for d in (sample, spoiled))
+    assert [(r[0], r[-2]) for r in a] == [(r[0], r[-2]) for r in b]
