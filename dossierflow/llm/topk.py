@@ -5,8 +5,8 @@ Phase 1: every list gives each query its best k entries; their whole scores
 give a cutoff that the k-th best score cannot lie below. Phase 2: the cutoff
 goes back with the queries, and each list gives every entry whose local score
 reaches its uniform share of it; a row in no list stays below the cutoff.
-Phase 3: rows seen in every list are summed up, the others' missing local
-scores are computed exactly, and the best k stay.
+Phase 3: rows seen in every list are summed up; what others miss is asked of
+the lists that did not give them, and the best k stay.
 
 Queries and rows are dealt in blocks, so a task holds one block of either;
 entries are merged by partial aggregation, never by a list of all rows.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 LISTS = 2
+DEPTH = 4  # phase 1 gathers DEPTH * k entries of each list: the more, the higher the cutoff
 ROW_BLOCK = 8192
 QUERY_BLOCK = 1024
 EXACT = float(1 << 53)
@@ -42,6 +43,10 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.int64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), dtype=np.int64)
+
+
 def _cells(queries: DataFrame, rows: DataFrame, cutoffs: bool, k: int) -> DataFrame:
     """The entries that each list gives each query, one call for each block of rows and of queries in a list."""
 
@@ -49,12 +54,12 @@ def _cells(queries: DataFrame, rows: DataFrame, cutoffs: bool, k: int) -> DataFr
         out = []
         if len(left) and len(right):
             # vectors of other lengths have no score with each other
-            for dims, part in right.groupby(right["x"].map(len)):
-                own = left[left["x"].map(len) == dims]
-                x, ids = np.array(part["x"].tolist(), dtype=np.int64).reshape(len(part), dims), part["id"].to_numpy()
+            for dims, part in right.groupby("dims"):
+                own = left[left["dims"] == dims]
+                x, ids = _matrix(part["x"]), part["id"].to_numpy()
                 for at in range(0, len(own), 256):
                     some = own.iloc[at : at + 256]
-                    score = _product(np.array(some["x"].tolist(), dtype=np.int64).reshape(len(some), dims), x)
+                    score = _product(_matrix(some["x"]), x)
                     qid = some["id"].to_numpy()
                     other = qid[:, None] != ids[None, :]
                     if cutoffs:
@@ -71,12 +76,36 @@ def _cells(queries: DataFrame, rows: DataFrame, cutoffs: bool, k: int) -> DataFr
     return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(entries, "query_id long, vec_id long, list int, local long")
 
 
+def _missing(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(query_id, vec_id, local)``: the local scores that ``pairs (query_id, vec_id, list, row_block, query_block)`` ask for."""
+
+    def answer(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        local = np.zeros(len(asked), dtype=np.int64)
+        if len(asked):
+            part = vectors.sort_values("id", kind="stable")
+            sides = []
+            for side, column in ((part[~part["is_query"]], "vec_id"), (part[part["is_query"]], "query_id")):
+                sides.append((side["x"].to_numpy(), np.searchsorted(side["id"].to_numpy(), asked[column].to_numpy())))
+            (x, i), (q, j) = sides
+            lengths = np.array([len(v) for v in x])[i]
+            for n in np.unique(lengths):
+                same = np.flatnonzero(lengths == n)
+                for at in range(0, len(same), 65536):
+                    some = same[at : at + 65536]
+                    local[some] = np.einsum("ij,ij->i", np.stack(x[i[some]]), np.stack(q[j[some]]))
+        return pd.DataFrame({"query_id": asked["query_id"], "vec_id": asked["vec_id"], "local": local})
+
+    key = ["list", "row_block", "query_block"]
+    vectors = rows.select(*key, "id", "x", F.lit(False).alias("is_query")).unionByName(queries.select(*key, "id", "x", F.lit(True).alias("is_query")))
+    return pairs.groupBy(*key).cogroup(vectors.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, local long")
+
+
 def _lists(rows: DataFrame) -> DataFrame:
     """A row for each list, with its share of the components."""
     share = F.ceil(F.size("x") / F.lit(LISTS)).cast("int")
     parts = F.array(*[F.struct(F.lit(j).alias("list"), F.slice("x", share * j + 1, share).alias("part")) for j in range(LISTS)])
     keep = [c for c in rows.columns if c != "x"]
-    return rows.select(*keep, F.inline(parts)).withColumnRenamed("part", "x")
+    return rows.select(*keep, F.size("x").alias("dims"), F.inline(parts)).withColumnRenamed("part", "x")
 
 
 def _whole(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -110,22 +139,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     dealt = _lists(rows.select("id", "x", row_block.alias("row_block"))).withColumn("query_block", every_block(query_blocks))
     asked = _lists(queries.select("id", "x", query_block.alias("query_block"))).withColumn("row_block", every_block(row_blocks))
 
-    local = _cells(asked, dealt, False, k)
+    local = _cells(asked, dealt, False, DEPTH * k)
     order = Window.partitionBy("query_id", "list").orderBy(F.desc("local"), F.asc("vec_id"))
-    gathered = local.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "vec_id").distinct()
+    gathered = local.withColumn("r", F.row_number().over(order)).where(F.col("r") <= DEPTH * k).select("query_id", "vec_id").distinct()
     ranked = _best(_whole(gathered, queries, rows), k)
     cutoff = ranked.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     # with fewer than k rows there is no cutoff: every row counts
     cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-(1 << 58))).alias("cutoff"))
     cutoff = materialise(cutoff, "cutoffs")
 
-    asked = asked.join(cutoff, "id")
-    entries = materialise(_cells(asked, dealt, True, k), "entries")
-    seen = entries.groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"), F.count("*").alias("lists"))
-    low = cutoff.select(F.col("id").alias("query_id"), "cutoff")
-    # a list that did not give a row has less than its share of the cutoff for it
-    seen = seen.join(low, "query_id").where((F.col("lists") == LISTS) | (F.col("score") * LISTS + (LISTS - F.col("lists")) * F.col("cutoff") >= F.col("cutoff") * LISTS))
+    wanting = asked.join(cutoff, "id")
+    entries = materialise(_cells(wanting, dealt, True, k), "entries")
+    seen = entries.groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"), F.count("*").alias("lists"), F.expr("cast(bit_or(shiftleft(1, list)) as int)").alias("given"))
+    seen = materialise(seen, "seen")
     known = seen.where(F.col("lists") == LISTS).select("query_id", "vec_id", "score")
-    resolved = _whole(seen.where(F.col("lists") < LISTS).select("query_id", "vec_id"), queries, rows)
+    lacking = F.filter(F.array(*[F.lit(j) for j in range(LISTS)]), lambda j: F.call_function("getbit", F.col("given"), j) == 0)
+    block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
+    open_ = seen.where(F.col("lists") < LISTS)
+    wanted = open_.select("query_id", "vec_id", F.explode(lacking).alias("list"), block("vec_id", row_blocks).alias("row_block"), block("query_id", query_blocks).alias("query_block"))
+    found = _missing(wanted, asked, dealt)
+    parts = open_.select("query_id", "vec_id", F.col("score").alias("local")).unionByName(found)
+    resolved = parts.groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"))
     best = _best(known.unionByName(resolved), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

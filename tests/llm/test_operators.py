@@ -170,7 +170,7 @@ def best_scores(vectors, k=5, every=50):
 
 def test_topk(spark):
     draw = np.random.default_rng(1)
-    odd = [(0, [1.0, -2.0, 3.0]), (50, [0.0, 0.0, 0.0]), (1, None), (2, [1.0, None, 2.0]), (3, [float("nan"), 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0]), (5, [1.0]), (6, [])]
+    odd = [(0, [1.0, -2.0, 3.0]), (50, [0.0, 0.0, 0.0]), (1, None), (2, [1.0, None, 2.0]), (3, [float("nan"), 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0]), (5, [1.0]), (6, []), (7, [4.0, 4.0, 4.0, 4.0]), (8, []), (100, []), (150, [4.0, 4.0, 4.0, 1.0])]
     ties = [(i, [1.0, -2.0, 3.0]) for i in range(10, 20)]
     many = [(i, draw.normal(size=8).tolist()) for i in range(300)]
     negative = [(i, [-1.0 - i, 1.0]) for i in range(0, 60, 10)] + [(7, [5.0, -3.0])]
