@@ -35,8 +35,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = normalised(F.col("text"))
     sized = base.select("id", norm.alias("t")).select("id", F.octet_length("t").cast("long").alias("n"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("p"))
     keys = materialise(sized.select("n", "p"), "dedup-keys")
-    same_size = keys.groupBy("n").count().where("count > 1").select("n")
-    same_prefix = keys.join(same_size, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p")
+    # counted before the shuffle: a frequent length or text is a row for each task
+    pairs = keys.groupBy("n", "p").agg(F.count("*").alias("k"))
+    same_size = pairs.groupBy("n").agg(F.sum("k").alias("k")).where("k > 1").select("n")
+    same_prefix = pairs.where("k > 1").join(same_size, "n", "left_semi").select("n", "p")
     slot = F.pmod(F.xxhash64("n", "p"), F.lit(slots))
     bits = same_prefix.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
     table = F.broadcast(materialise(bits, "dedup-slots"))  # at most slots / 64 rows of 16 bytes
