@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-DIMS = 1 << 13
-PER_LANGUAGE = 400
+DIMS = 1 << 12
+PER_LANGUAGE = 300
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
 #: Language families by ISO 639-1 code; other codes are a family of their own.
@@ -52,7 +52,7 @@ def features(text: str | None) -> np.ndarray | None:
         one, two = b[: 1 << 20], b[:-1][: 1 << 20] * np.uint32(263) + b[1:][: 1 << 20]
         three = b[:-2][: 1 << 20] * np.uint32(65599) + b[1:-1][: 1 << 20] * np.uint32(263) + b[2:][: 1 << 20]
         for n, h in enumerate((one, two, three)):
-            h = ((h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435761)) >> np.uint32(32 - 13)
+            h = ((h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435761)) >> np.uint32(32 - 12)
             counts += np.bincount(h, minlength=DIMS)
     root = np.sqrt(counts)
     return (root / np.linalg.norm(root)).astype(np.float32)
@@ -60,13 +60,13 @@ def features(text: str | None) -> np.ndarray | None:
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 200.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear support vector machine; ``y`` is 1 or -1. Accelerated gradient steps, classes weighed alike."""
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    w, y, weight = np.zeros(x1.shape[1], dtype=x.dtype), y.astype(x.dtype), weight.astype(x.dtype)
+    w, y, weight = np.zeros(x.shape[1] + 1, dtype=x.dtype), y.astype(x.dtype), weight.astype(x.dtype)  # the bias comes last
     look, t, rate = w.copy(), 1.0, x.dtype.type(1.0 / (1.0 + 4.0 * weight.sum()))
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ look))
-        new = look - rate * (look - 2 * x1.T @ (weight * slack * y))
+        slack = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
+        pull = weight * slack * y
+        new = look - rate * (look - 2 * np.append(x.T @ pull, pull.sum()))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, w, t = new + x.dtype.type((t - 1) / t2) * (new - w), new, t2
     return w[:-1].astype(np.float32), float(w[-1])
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample.sort(key=lambda r: (r["lang"], r["h"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in sample])
     lang = np.array([r["lang"] for r in sample], dtype=object)
+    del sample
     family = np.array([FAMILY_OF.get(n.split("-")[0].lower(), n) for n in lang], dtype=object)
     return LanguageModel(Machines.fit(x, family), {f: Machines.fit(x[family == f], lang[family == f]) for f in sorted(set(family.tolist()))})
 
