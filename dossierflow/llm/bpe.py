@@ -1,20 +1,21 @@
 """BPE over a table of distinct words.
 
-Texts are split into words in Spark and the distinct words counted. Each of
-them is encoded once. The most frequent words, at most ``HOT_WORDS`` of at
-most ``HOT_CHARS`` characters, go to every task; the places of all other
-words are joined to the word table by the word, and back to their document by
-position. Ids are decoded through a table of id and piece.
+Texts are split at white space and the distinct words counted. Each of them is
+encoded once. The most frequent words, at most ``HOT_WORDS`` of at most
+``HOT_CHARS`` bytes, go to every task; the places of all other words are
+joined to the word table by the word, and back to their document by position.
+Ids are decoded through a table of id and piece.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import json
+import itertools
+import os
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,6 @@ from .common import materialise, small_batches
 
 HOT_WORDS = 250_000
 HOT_CHARS = 48
-LATIN = 0x300  # below, every character is its own composed form and is lower-cased alone
 
 
 def default_tokenizer() -> str:
@@ -44,71 +44,63 @@ def _tokenizer(path: str):
     return t
 
 
-@functools.lru_cache(maxsize=4)
-def splitter(path: str) -> Callable[[str], list[str]]:
-    """``text -> words`` as the tokenizer's own normaliser and pre-tokeniser split it; special tokens are words.
+def split_words(text: str) -> list[bytes]:
+    """UTF-8 words between ASCII white space.
 
-    Latin texts take a short way with the file's pattern; for all others the
-    library's components are asked, so that its Unicode tables decide.
+    No pre-token spans white space, so the ids of a text are those of its
+    words in order. A-Z may be lower-cased ahead of the normaliser, which does
+    so itself, but for a text that could then spell a special token.
     """
-    import regex
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-    special = [t["content"] for t in spec["added_tokens"]]
-    at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-    other = regex.compile(rf"[^\x00-{chr(LATIN - 1)}]")
-    tokenizer = _tokenizer(path)
-    from tokenizers import Regex, pre_tokenizers
-
-    cut = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), behavior="removed", invert=True)
+    raw = text.encode("utf-8", "replace")
+    return (raw if b"<|" in raw else raw.lower()).split()
 
-    def plain(text: str) -> list[str]:
-        if other.search(text):
-            return [w for w, _ in cut.pre_tokenize_str(tokenizer.normalizer.normalize_str(text)) if w]
-        return pattern.findall(text.lower())
 
-    def split(text: str) -> list[str]:
-        if at_special is None or "<|" not in text:
-            return plain(text)
-        words: list[str] = []
-        for part in at_special.split(text):
-            words += [part] if part in special else plain(part)
-        return words
-
-    return split
+def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``(word binary, count, ids)``: each distinct word of all texts, encoded once.
 
+    Tasks count their own words first and send them on in compressed lists,
+    one for each bucket of words.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    buckets = 2 * max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-def distinct_words(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """``(word, count)`` over all texts; counted within each task first."""
-    small_batches(docs.sparkSession)
+    def lists(counts: Counter) -> pd.DataFrame:
+        dealt = defaultdict(list)
+        for w in sorted(counts):
+            dealt[zlib.crc32(w) % buckets].append(w)
+        rows = [(b, zlib.compress(b"\n".join(ws)), zlib.compress(np.array([counts[w] for w in ws], dtype="<u4").tobytes())) for b, ws in dealt.items()]
+        return pd.DataFrame(rows, columns=["bucket", "words", "counts"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, counts = splitter(tokenizer), Counter()
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counter()
         for batch in batches:
             for text in batch["text"]:
                 if text:
-                    counts.update(split(text))
-                if len(counts) > 300_000:
-                    yield pd.DataFrame({"word": list(counts), "count": list(counts.values())})
-                    counts = Counter()
-        yield pd.DataFrame({"word": list(counts), "count": list(counts.values())}).astype({"word": "object", "count": "int64"})
+                    counts.update(split_words(text))
+            if len(counts) > 1_000_000:
+                yield lists(counts)
+                counts = Counter()
+        yield lists(counts).astype({"bucket": "int32"})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        counts = Counter()
+        for words, n in zip(group["words"], group["counts"], strict=True):
+            for w, k in zip(zlib.decompress(words).split(b"\n"), np.frombuffer(zlib.decompress(n), dtype="<u4").tolist(), strict=True):
+                counts[w] += k
+        words = sorted(counts)
+        return pd.DataFrame({"word": words, "count": [counts[w] for w in words], "ids": encode_words(words, tokenizer)})
 
     base = docs.select(F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
-
-
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``(word, count, ids)``: each distinct word encoded once."""
+    return base.mapInPandas(count, "bucket int, words binary, counts binary").groupBy("bucket").applyInPandas(merge, "word binary, count long, ids array<int>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _tokenizer(tokenizer)
-        for batch in batches:
-            batch["ids"] = [t.encode(w, add_special_tokens=False).ids for w in batch["word"]]
-            yield batch[["word", "count", "ids"]]
 
-    return words.mapInPandas(run, "word string, count long, ids array<int>")
+def encode_words(words: list[bytes], tokenizer: str) -> list[list[int]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+    t, out = _tokenizer(tokenizer), []
+    for at in range(0, len(words), 4096):
+        out += [e.ids for e in t.encode_batch_fast([w.decode("utf-8") for w in words[at : at + 4096]], add_special_tokens=False)]
+    return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -134,42 +126,62 @@ def encode(docs: DataFrame, tokenizer: str | None = None, hot_words: int = HOT_W
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or default_tokenizer()
-    words = materialise(encode_words(distinct_words(docs, path, text_col), path), "words")
-    hot = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("count"), "word").limit(hot_words).select("word", "ids").toPandas()  # at most hot_words words of at most HOT_CHARS characters
-    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(hot["word"], 1)})
-    hot_ids = spark.sparkContext.broadcast([tuple(map(int, x)) for x in hot["ids"]])
+    words = materialise(word_table(docs, path, text_col), "words")
+    # the count from which on words are frequent, by steps of a 16th of a doubling: at most 1024 of them
+    step = F.floor(F.log2(F.col("count")) * 16).cast("int")
+    sizes = words.where(F.length("word") <= HOT_CHARS).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    least, held = 1 << 20, 0
+    for r in sizes:
+        held += r["count"]
+        if held > hot_words:
+            break
+        least = r["step"]
+    hot = words.where((F.length("word") <= HOT_CHARS) & (step >= least)).select("word", "ids").toPandas()  # at most hot_words words of at most HOT_CHARS bytes
+    wide = max((max(x, default=0) for x in hot["ids"]), default=0) >= 1 << 16
+    index = spark.sparkContext.broadcast({bytes(w): i for i, w in enumerate(hot["word"], 1)})
+    hot_ids = spark.sparkContext.broadcast([np.asarray(x, dtype=np.int32 if wide else np.uint16).tobytes() for x in hot["ids"]])
+    del hot
+
+    def places(own: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(index.value.get, own, itertools.repeat(0)), dtype=np.uint32, count=len(own))
+
+    def rare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
+                own = split_words(text) if text else []
+                rows += [(a, b, i, own[i]) for i in np.flatnonzero(places(own) == 0).tolist()]
+            yield pd.DataFrame(rows, columns=["k1", "k2", "pos", "word"])
 
-    def split_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, known = splitter(path), index.value
+    def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            places, rare = [], []
-            for text in batch["text"]:
-                own = split(text) if text else []
-                at = np.fromiter(map(known.get, own, [0] * len(own)), dtype=np.uint32, count=len(own))
-                places.append(zlib.compress(at.tobytes(), 1))
-                rare.append([{"pos": int(i), "word": own[i]} for i in np.flatnonzero(at == 0)])
-            yield pd.DataFrame({"id": batch["id"], "places": places, "rare": rare})
+            # the lower and the upper bytes apart, which compresses better
+            packed = [zlib.compress(places(split_words(t) if t else []).view(np.uint8).reshape(-1, 4).T.tobytes(), 6) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "k1": batch["k1"], "k2": batch["k2"], "places": packed})
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = base.mapInPandas(split_rows, "id long, places binary, rare array<struct<pos:int,word:string>>")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "places")
-    spots = rows.select("row", F.inline("rare"))
-    found = spots.join(words.select(F.col("word").alias("of"), "ids"), F.col("word") == F.col("of")).groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
-    both = rows.select("row", "id", "places").join(found.withColumnRenamed("row", "found_row"), F.col("row") == F.col("found_row"), "left").select("id", "places", "found")
+    # rows with equal keys have equal ids and texts, and so equal places
+    base = base.select("id", F.xxhash64("text", "id").alias("k1"), F.xxhash64(F.lit("second"), "id", "text").alias("k2"), "text")
+    spots = base.mapInPandas(rare_rows, "k1 long, k2 long, pos int, word binary")
+    found = spots.join(words.select(F.col("word").alias("of"), "ids"), F.col("word") == F.col("of")).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
+    found = found.withColumnRenamed("k1", "f1").withColumnRenamed("k2", "f2")
+    placed = base.mapInPandas(place_rows, "id long, k1 long, k2 long, places binary")
+    both = placed.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select("id", "places", "found")
 
     def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pieces(path)
+        known = [(), *(tuple(np.frombuffer(x, dtype=np.int32 if wide else np.uint16).tolist()) for x in hot_ids.value)]  # place 0: a rare word
         if digests:
-            hot_text = ["", *(" ".join(map(str, x)) for x in hot_ids.value)]  # place 0: a rare word
-            hot_piece = ["", *(" ".join([table[i] for i in x]) for x in hot_ids.value)]
-            hot_n = np.array([0, *map(len, hot_ids.value)], dtype=np.int64)
+            hot_text = [" ".join(map(str, x)) for x in known]
+            hot_piece = [" ".join([table[i] for i in x]) for x in known]
+            hot_n = np.array([len(x) for x in known], dtype=np.int64)
         for batch in batches:
             out = []
-            for doc, places, found in zip(batch["id"], batch["places"], batch["found"], strict=True):
-                at = np.frombuffer(zlib.decompress(places), dtype=np.uint32)
+            for doc, packed, found in zip(batch["id"], batch["places"], batch["found"], strict=True):
+                at = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
                 rare = {} if found is None else {int(f["pos"]): [int(i) for i in f["ids"]] for f in found}
                 if not digests:
-                    ids = [i for k, n in enumerate(at.tolist()) for i in (hot_ids.value[n - 1] if n else rare[k])]
+                    ids = [i for k, n in enumerate(at.tolist()) for i in (known[n] if n else rare[k])]
                     out.append((doc, len(ids), ids, " ".join([table[i] for i in ids])))
                     continue
                 order = at.tolist()
