@@ -1,6 +1,536 @@
-"""The queries that apply each operator to the driver's tables, and equivalent SQL."""
+"""The queries that apply each operator to the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, numeric, privacy, text, vectors
+from ..operators import intervals, layout, matching, relational, scoring
+from ..streaming import stateful
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# relational -----------------------------------------------------------------------------------
+
+
+@query("""
+    WITH last AS (SELECT max(CAST(ts AS DATE)) AS d FROM events),
+    spine AS (SELECT CAST(d - INTERVAL (g) DAY AS DATE) AS day FROM last, generate_series(0, 29) t(g)),
+    c AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'signup') AS signups, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
+    SELECT s.day, coalesce(signups, 0) AS signups, coalesce(purchases, 0) AS purchases, coalesce(errors, 0) AS errors FROM spine s LEFT JOIN c USING (day)""")
+def daily_activity_spine(spark, d):
+    events = read(spark, d, "events")
+    kinds = {"signups": "signup", "purchases": "purchase", "errors": "error"}
+    sources = {n: relational.daily_counts(events.where(F.col("event_type") == k), "ts", n) for n, k in kinds.items()}
+    return relational.daily_spine(events.agg(F.max(F.to_date("ts")).alias("day")), sources).orderBy("day")
+
+
+@query("""SELECT c_mktsegment AS segment, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price, round(max(o_totalprice), 2) AS best
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def avg_by_segment(spark, d):
+    both = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return both.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"), F.round(F.max("o_totalprice"), 2).alias("best"))
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events
+    WHERE event_type LIKE '%!_failed' ESCAPE '!' OR event_type LIKE '%error' GROUP BY 1, 2""")
+def failure_counts_by_day(spark, d):
+    failed = read(spark, d, "events").where(F.expr("event_type like '%!_failed' escape '!' or event_type like '%error'"))
+    return failed.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day"), F.desc("n"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events)
+    SELECT count(DISTINCT CASE WHEN ts >= now - INTERVAL 1 DAY THEN user_id END) AS day_1, count(DISTINCT CASE WHEN ts >= now - INTERVAL 7 DAY THEN user_id END) AS day_7,
+           count(DISTINCT CASE WHEN ts >= now - INTERVAL 30 DAY THEN user_id END) AS day_30 FROM events, m""")
+def active_users_trailing(spark, d):
+    events = read(spark, d, "events")
+    return relational.active_within(events, events.agg(F.max("ts").alias("now")), "user_id", "ts", {"day_1": 1, "day_7": 7, "day_30": 30})
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 4) AS error_rate,
+    CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS k_sum, round(avg(value), 4) AS mean_value FROM events GROUP BY 1""")
+def event_error_rate(spark, d):
+    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0))
+    rate = F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4)
+    return read(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(rate.alias("error_rate"), F.sum(k).alias("k_sum"), F.round(F.avg("value"), 4).alias("mean_value"))
+
+
+@query("""WITH g AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT o_orderstatus, round(sum(coalesce(mean, 0) * n) / sum(n), 2) AS weighted FROM g GROUP BY 1""")
+def weighted_mean_of_means(spark, d):
+    groups = read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.count("*").alias("n"))
+    return groups.groupBy("o_orderstatus").agg(relational.weighted_mean(groups, "mean", "n").alias("weighted"))
+
+
+@query("""WITH p AS (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20),
+    o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1)
+    SELECT c_custkey, left(c_name, 2) || '***@example.org' AS email, coalesce(n, 0) AS orders, CAST(last AS DATE) AS last_day FROM p LEFT JOIN o ON c_custkey = o_custkey""")
+def user_summary_page(spark, d):
+    people = relational.page(read(spark, d, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 2, 20)
+    counts = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
+    email = privacy.mask_email(F.concat("c_name", F.lit("@example.org")))
+    return people.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", email.alias("email"), F.coalesce("n", F.lit(0)).alias("orders"), F.to_date("last").alias("last_day"))
+
+
+LATEST = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders"
+
+
+@query(f"SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM ({LATEST}) WHERE rank <= 3")
+def latest_k_per_user(spark, d):
+    return relational.latest(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query(f"""WITH r AS ({LATEST}), t AS (SELECT o_custkey, count(*) AS total FROM orders GROUP BY 1)
+    SELECT o_custkey, round(avg(o_totalprice), 6) AS recent_avg, max(o_totalprice) AS recent_best, any_value(total) AS total FROM r JOIN t USING (o_custkey) WHERE rank <= 20 GROUP BY 1""")
+def recent_stats_vs_total(spark, d):
+    orders = read(spark, d, "orders")
+    recent = relational.latest(orders, "o_custkey", "o_orderdate", "o_orderkey", 20).groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 6).alias("recent_avg"), F.max("o_totalprice").alias("recent_best"))
+    return recent.join(orders.groupBy("o_custkey").agg(F.count("*").alias("total")), "o_custkey")
+
+
+@query(f"""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY rank DESC) AS INTEGER) AS step FROM ({LATEST}) WHERE rank <= 20""")
+def trend_last_20(spark, d):
+    recent = relational.latest(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 20)
+    return recent.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("rank"))).alias("step"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber DESC, l_partkey DESC) AS lines FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, coalesce(lines, '') AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""")
+def nested_children_sorted(spark, d):
+    parents = read(spark, d, "orders").select("o_orderkey")
+    children = read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    both = relational.nested(parents, children, "o_orderkey", ["l_linenumber", "l_partkey"], "lines")
+    return both.select("o_orderkey", F.coalesce(F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ","), F.lit("")).alias("lines"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_orderpriority, c_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45""")
+def two_hop_lookup(spark, d):
+    lines = read(spark, d, "lineitem").where("l_quantity > 45")
+    both = lines.join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return both.select("l_orderkey", "l_linenumber", "o_orderpriority", "c_name")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey = 7)""")
+def owner_scoped_lines(spark, d):
+    parents = read(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    return relational.owned(read(spark, d, "lineitem"), parents, "l_orderkey", F.col("o_custkey") == 7).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')""")
+def cascade_delete_survivors(spark, d):
+    deleted = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return relational.without(read(spark, d, "lineitem"), deleted, "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS user_id FROM events")
+def anonymise_events(spark, d):
+    events = read(spark, d, "events")
+    return relational.anonymised(events, events.where("user_id % 10 = 0").select("user_id"), "user_id").select("event_id", "user_id")
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50""")
+def filtered_audit_page(spark, d):
+    rows = relational.filtered(read(spark, d, "events"), [F.col("event_type") == "click", None, F.col("ts") >= F.lit("2024-01-05").cast("timestamp"), F.col("ts") < F.lit("2024-01-11").cast("timestamp")])
+    return relational.page(rows, [F.desc("ts"), F.asc("event_id")], 2, 50).select("event_id", "event_type")
+
+
+def _two_periods(spark: SparkSession, d: str) -> DataFrame:
+    old = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    total = lambda c: F.round(F.sum(F.when(c, F.col("o_totalprice")).otherwise(0.0)), 2)
+    return read(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(old).alias("old_orders"), F.count_if(~old).alias("new_orders"), total(old).alias("old_spend"), total(~old).alias("new_spend"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderdate < TIMESTAMP '1998-01-01' AS old, o_totalprice FROM orders),
+    s AS (SELECT o_custkey, CAST(count(*) FILTER (old) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT old) AS DOUBLE) AS b, round(coalesce(sum(o_totalprice) FILTER (old), 0), 2) AS c, round(coalesce(sum(o_totalprice) FILTER (NOT old), 0), 2) AS d FROM p GROUP BY 1)
+    SELECT o_custkey, 'orders' AS metric, a AS older, b AS newer, round(b - a, 2) AS delta FROM s UNION ALL SELECT o_custkey, 'spend', c, d, round(d - c, 2) FROM s""")
+def compare_unpivot_deltas(spark, d):
+    both = _two_periods(spark, d).withColumns({c: F.col(c).cast("double") for c in ("old_orders", "new_orders")})
+    return relational.deltas(both, "o_custkey", ["orders", "spend"]).withColumn("delta", F.round("delta", 2))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderpriority, max_by(o_orderstatus, -o_orderkey) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS f, max_by(o_orderstatus, -o_orderkey) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS t FROM orders GROUP BY 1, 2),
+    v AS (SELECT *, CASE f WHEN 'P' THEN 1 WHEN 'O' THEN 3 ELSE 5 END AS a, CASE t WHEN 'P' THEN 1 WHEN 'O' THEN 3 ELSE 5 END AS b FROM r WHERE f IS NOT NULL AND t IS NOT NULL AND f <> t)
+    SELECT o_custkey, o_orderpriority, f AS from_status, t AS to_status, (b - a) / 5.0::DOUBLE AS credit_delta, CASE WHEN b > a THEN 'improved' ELSE 'declined' END AS direction FROM v""")
+def status_change(spark, d):
+    orders, key = read(spark, d, "orders"), ["o_custkey", "o_orderpriority"]
+    first = lambda cond: orders.where(cond).groupBy(*key).agg(F.min_by("o_orderstatus", "o_orderkey").alias("status"))
+    cut = F.lit("1998-01-01").cast("timestamp")
+    rank = F.create_map(*[F.lit(x) for x in ("P", 1, "O", 3, "F", 5)])
+    return relational.status_changes(first(F.col("o_orderdate") < cut), first(F.col("o_orderdate") >= cut), key, rank)
+
+
+@query("""SELECT c_custkey, CAST(floor((row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) / 5) AS BIGINT) AS chunk, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey""")
+def chunked_keys(spark, d):
+    both = read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
+    return relational.chunked(both, "c_custkey", "o_orderkey", 5).select("c_custkey", "chunk", "o_orderkey")
+
+
+@query()
+def export_json(spark, d):
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    people = relational.nested(read(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey", "o_totalprice"], "orders", newest=False)
+    return people.select("c_custkey", F.to_json(F.struct("c_name", "orders")).alias("document"))
+
+
+# intervals and dates --------------------------------------------------------------------------
+
+SPANS = """SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS pos, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS s, year(l_shipdate) * 12 + month(l_shipdate) - 1 + CAST(l_quantity AS INTEGER) % 4 AS e FROM lineitem WHERE l_partkey % 40 = 0"""
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
+    return read(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), month.alias("s"), (month + F.col("l_quantity").cast("int") % 4).alias("e"))
+
+
+@query(f"""WITH x AS ({SPANS}), m AS (SELECT l_suppkey, count(DISTINCT mo) AS total FROM x, LATERAL (SELECT unnest(generate_series(s, e)) AS mo) GROUP BY 1),
+    r AS (SELECT l_suppkey, CAST(sum(e - s + 1) AS BIGINT) AS raw FROM x GROUP BY 1)
+    SELECT l_suppkey, CAST(total AS BIGINT) AS total_months, raw AS raw_months, CAST(raw - total AS BIGINT) AS overlap_months FROM m JOIN r USING (l_suppkey)""")
+def merged_tenure_months(spark, d):
+    return intervals.tenure(_spans(spark, d), "l_suppkey")
+
+
+@query(f"""WITH x AS ({SPANS}) SELECT a.l_suppkey, a.pos AS left_pos, b.pos AS right_pos, CAST(least(a.e, b.e) - greatest(a.s, b.s) + 1 AS INTEGER) AS months
+    FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND a.pos < b.pos AND a.s <= b.e AND b.s <= a.e""")
+def overlap_pairs(spark, d):
+    return intervals.overlaps(_spans(spark, d), "l_suppkey", "pos").withColumn("months", F.col("months").cast("int"))
+
+
+@query(f"""WITH x AS ({SPANS}), g AS (SELECT l_suppkey, s, lag(s) OVER (PARTITION BY l_suppkey ORDER BY pos) AS p FROM x)
+    SELECT l_suppkey, CASE WHEN count(*) >= 2 THEN bool_and(coalesce(s <= p, true)) END AS newest_first FROM g GROUP BY 1""")
+def reverse_chronological(spark, d):
+    return intervals.newest_first(_spans(spark, d), "l_suppkey", "pos")
+
+
+def _styled() -> Column:
+    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    return F.when(kind == 0, F.date_format(day, "yyyy-MM")).when(kind == 1, F.date_format(day, "MM/yyyy")).when(kind == 2, F.date_format(day, "MMM yyyy")).otherwise(F.date_format(day, "yyyy"))
+
+
+STYLES = "CASE o_orderkey % 4 WHEN 0 THEN 'YEAR_MONTH' WHEN 1 THEN 'NUMERIC_MONTH_YEAR' WHEN 2 THEN 'MONTH_NAME_YEAR' ELSE 'YEAR_ONLY' END"
+
+
+@query(f"""WITH c AS (SELECT o_custkey, {STYLES} AS style, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT o_custkey, style, n, max(n) OVER (PARTITION BY o_custkey) / CAST(sum(n) OVER (PARTITION BY o_custkey) AS DOUBLE) >= 0.8 AS uniform FROM c""")
+def date_style_mix(spark, d):
+    counts = read(spark, d, "orders").groupBy("o_custkey", dates.date_style(_styled()).alias("style")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("o_custkey")
+    return counts.withColumn("uniform", F.max("n").over(own) / F.sum("n").over(own) >= 0.8)
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) * 12 + CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE month(o_orderdate) - 1 END AS INTEGER) AS month FROM orders")
+def year_month_parse(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", dates.parse_month(_styled()).alias("month"))
+
+
+# texts ----------------------------------------------------------------------------------------
+
+WORDS = r"len(regexp_extract_all(t, '[A-Za-z][A-Za-z''’\-]*'))"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE lang = 'en'),
+    c AS (SELECT doc_id, {WORDS} AS words, CASE WHEN trim(t) = '' THEN 0 ELSE greatest(1, len(list_filter(string_split_regex(regexp_replace(t, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_matches(p, '[A-Za-z]')))) END AS sentences, len(regexp_extract_all(lower(t), '[aeiouy]+')) AS vowels FROM x)
+    SELECT doc_id, words, sentences, round(CASE WHEN words > 0 THEN 206.835e0 - 1.015e0 * words / sentences - 84.6e0 * vowels / words ELSE 0 END, 4) AS ease,
+           round(CASE WHEN words > 0 THEN 0.39e0 * words / sentences + 11.8e0 * vowels / words - 15.59e0 ELSE 0 END, 4) AS grade FROM c""")
+def readability_docs(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    c = read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.count_words(t).cast("long").alias("words"), text.count_sentences(t).cast("long").alias("sentences"), F.regexp_count(F.lower(t), F.lit("[aeiouy]+")).alias("vowels"))
+    w, s, v = F.col("words"), F.col("sentences"), F.col("vowels")
+    return c.select("doc_id", "words", "sentences", F.round(text.reading_ease(w, s, v), 4).alias("ease"), F.round(text.grade_level(w, s, v), 4).alias("grade"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    c AS (SELECT doc_id, length(t) AS chars, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE round(len(regexp_extract_all(t, '\s')) / CAST(length(t) AS DOUBLE), 6) END AS whitespace, list_max(list_transform(string_split_regex(t, '\s+'), lambda w: length(w))) AS unbroken FROM x)
+    SELECT doc_id, chars, whitespace, unbroken, chars >= 150 AND whitespace <= 0.5 AND unbroken <= 200 AS passed FROM c""")
+def extraction_quality_docs(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    c = read(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.round(text.whitespace_ratio(t), 6).alias("whitespace"), text.longest_unbroken(t).cast("long").alias("unbroken"))
+    return c.withColumn("passed", (F.col("chars") >= 150) & (F.col("whitespace") <= 0.5) & (F.col("unbroken") <= 200))
+
+
+@query(r"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark), x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents)
+    SELECT doc_id, count(*) AS tokens, round(count(v.w) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM x LEFT JOIN v USING (w) GROUP BY 1""")
+def dictionary_ratio(spark, d):
+    words = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w"))
+    known = words(read(spark, d, "benchmark")).distinct().withColumn("known", F.lit(1))
+    counted = words(read(spark, d, "documents"), "doc_id").groupBy("doc_id", "w").agg(F.count("*").alias("n"))  # a word of a document is joined once
+    return counted.join(known, "w", "left").groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.round(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("ratio"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, text AS t FROM documents)
+    SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b')) AS INTEGER) AS emails FROM x WHERE contains(t, '@')""")
+def email_counts(spark, d):
+    docs = read(spark, d, "documents").where(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", F.regexp_count("text", F.lit("(?i)(?<![A-Za-z0-9_])[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}(?![A-Za-z0-9_])")).alias("emails"))
+
+
+@query()
+def pii_mask_docs(spark, d):
+    clean, counts = privacy.masked(F.coalesce("text", F.lit("")), emails=True)
+    return read(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("sha256"), *[c.alias(f"n_{k}") for k, c in counts.items()])
+
+
+@query()
+def injection_scan(spark, d):
+    clean, found = privacy.neutralised(F.coalesce("text", F.lit("")))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.sha2(clean, 256).alias("sha256"), F.array_join(found, ",").alias("families"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)href="(https?://[^"]*)"', 1))), ' ') AS links, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS chars FROM pages""")
+def html_links(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(text.html_links(F.col("html"))), " ").alias("links"), F.length(text.strip_tags(F.col("html"))).cast("long").alias("chars"))
+
+
+@query()
+def html_to_text(spark, d):
+    return read(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g'))) AS h FROM documents)
+    SELECT h AS hash, min(doc_id) AS first_id, count(*) AS n FROM x GROUP BY 1 HAVING count(*) > 1""")
+def content_hash_dedupe(spark, d):
+    hashed = read(spark, d, "documents").select("doc_id", F.sha2(text.normal_for_hash(F.col("text")), 256).alias("hash"))
+    return hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+
+
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(l), '[0-9]', '#', 'g'), '[^a-z#\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM x)
+    SELECT key, count(DISTINCT doc_id) AS docs FROM k WHERE length(key) >= 3 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
+def repeated_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    keyed = lines.select("doc_id", text.normal_for_repeats(F.col("line")).alias("key")).where(F.length("key") >= 3).distinct()
+    return keyed.groupBy("key").agg(F.count("*").alias("docs")).where("docs >= 2")
+
+
+@query()
+def grounded_benchmark(spark, d):
+    """Which items' first hundred characters occur in which documents, by the rarest five words of each item."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    items = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 100).alias("quote"))
+    first = lambda a, i: F.array_join(F.slice(a, i, 5), " ")
+    keyed = items.withColumn("w", words("quote")).where(F.size("w") >= 5).select("item_id", "quote", first(F.col("w"), F.lit(1)).alias("key"))
+    docs = read(spark, d, "documents").select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= 5)
+    spots = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: first(F.col("w"), i)))).alias("key"))
+    return spots.join(keyed, "key").where(privacy.grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+
+
+@query()
+def excerpt_with_section(spark, d):
+    """The first line of each document that holds ``the``, with the nearest heading above it."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    heading = text.looks_like_heading(F.col("text"))
+    above = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line"))
+    hits = lines.withColumn("section", above).where(~heading & text.contains_term(F.col("text"), F.lit("the")))
+    return hits.groupBy("doc_id").agg(F.min("line").alias("line"), F.min_by("section", "line").alias("section"), F.min_by(F.substring("text", 1, 400), "line").alias("excerpt"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
+    SELECT doc_id, count(*) AS lines, round(count(*) FILTER (regexp_matches(l, '[0-9]+(?:\.[0-9]+)?\s?%')) / CAST(count(*) AS DOUBLE), 6) AS percent_share FROM s GROUP BY 1""")
+def quantified_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.round(F.count_if(F.col("line").rlike(text.QUANTIFIED[0])) / F.count("*"), 6).alias("percent_share"))
+
+
+@query()
+def section_headers(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(text.sections(F.coalesce("text", F.lit(""))), ",").alias("sections"))
+
+
+# vectors --------------------------------------------------------------------------------------
+
+UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),
+    p AS (SELECT q.vec_id, r.vec_id AS other, r.label, greatest(0, least(1, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])))) AS c FROM u q JOIN u r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of a stated query set (ids divisible by 100) with all rows; vectors are normalised once."""
+    u = read(spark, d, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
+    q = u.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.dot(F.col("qv"), F.col("v"))))
+    return u.join(q, F.col("q") != F.col("vec_id")).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), "label", score.alias("c"))
+
+
+@query(f"WITH {UNIT} SELECT vec_id, arg_max(other, c) AS best, round(max(c), 5) AS similarity FROM p GROUP BY 1")
+def cosine_best_match(spark, d):
+    return _pairs(spark, d).groupBy("vec_id").agg(F.max_by("other", "c").alias("best"), F.round(F.max("c"), 5).alias("similarity"))
+
+
+@query(f"WITH {UNIT}, b AS (SELECT CASE WHEN c >= 0.82 THEN 1.0 WHEN c >= 0.72 THEN 0.65 WHEN c >= 0.60 THEN 0.25 ELSE 0.0 END::DOUBLE AS credit FROM p) SELECT credit, count(*) AS n FROM b GROUP BY 1")
+def semantic_bands(spark, d):
+    return _pairs(spark, d).groupBy(numeric.credit(F.col("c")).alias("credit")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {UNIT}, b AS (SELECT vec_id, label, max(c) AS m FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC) AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM b WHERE m > 0)
+    SELECT vec_id, round(avg(m), 5) AS relevance FROM r WHERE k <= ceil(n / 2.0) GROUP BY 1""")
+def topk_mean_relevance(spark, d):
+    best = _pairs(spark, d).groupBy("vec_id", "label").agg(F.max("c").alias("m"))
+    return best.groupBy("vec_id").agg(F.round(numeric.top_k_mean(F.collect_list("m")), 5).alias("relevance"))  # one value for each label
+
+
+@query(f"""WITH {UNIT}, b AS (SELECT vec_id, label, max(c) AS m FROM p GROUP BY 1, 2)
+    SELECT vec_id, round(avg(CASE WHEN m >= 0.82 THEN 100 WHEN m >= 0.72 THEN 65 WHEN m >= 0.60 THEN 25 ELSE 0 END), 4) AS alignment FROM b GROUP BY 1""")
+def semantic_alignment_by_label(spark, d):
+    best = _pairs(spark, d).groupBy("vec_id", "label").agg(F.max("c").alias("m"))
+    return best.groupBy("vec_id").agg(F.round(F.avg(numeric.relevance(F.col("m"))), 4).alias("alignment"))
+
+
+# scores and matches ---------------------------------------------------------------------------
+
+PARTS = """SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a, l_discount * 1000 AS b, l_tax * 1250 AS c, (l_partkey % 101) * 1e0 AS d, (l_suppkey % 101) * 1e0 AS e, (l_orderkey % 101) * 1e0 AS f, l_linenumber * 14e0 AS g FROM lineitem"""
+CLEAN = ", ".join(f"floor((least(100e0, greatest(0e0, {c})) * {w}e0 + sign({c}) * 2.220446049250313e-16) * 10000e0 + 0.5e0) / 10000e0 AS {c}" for c, w in zip("abcdefg", scoring.WEIGHTS["software_engineer"], strict=True))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    cols = {"a": F.col("l_quantity") * 2, "b": F.col("l_discount") * 1000, "c": F.col("l_tax") * 1250, "d": (F.col("l_partkey") % 101) * 1.0, "e": (F.col("l_suppkey") % 101) * 1.0, "f": (F.col("l_orderkey") % 101) * 1.0, "g": F.col("l_linenumber") * 14.0}
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in cols.items()])
+
+
+@query(f"""WITH x AS ({PARTS}), y AS (SELECT l_orderkey, l_linenumber, {CLEAN} FROM x), z AS (SELECT l_orderkey, l_linenumber, floor((a + b + c + d + e + f + g + 2.220446049250313e-16) * 100e0 + 0.5e0) / 100e0 AS s FROM y)
+    SELECT l_orderkey, l_linenumber, s AS score, CASE WHEN s >= 85 THEN 'excellent' WHEN s >= 70 THEN 'strong' WHEN s >= 50 THEN 'moderate' ELSE 'developing' END AS band FROM z""")
+def weighted_score_bands(spark, d):
+    score = scoring.weighted_score([F.col(c) for c in "abcdefg"], scoring.WEIGHTS["software_engineer"])
+    return _parts(spark, d).select("l_orderkey", "l_linenumber", score.alias("score")).withColumn("band", numeric.score_band(F.col("score")))
+
+
+@query(f"""WITH x AS ({PARTS}) SELECT l_orderkey, l_linenumber, round((least(100, a) * 0.35 + least(100, b) * 0.10) / 0.45, 1) AS skill FROM x""")
+def renormalised_scores(spark, d):
+    score = scoring.renormalised([F.col("a"), F.col("b")], scoring.WEIGHTS["software_engineer"][:2])
+    return _parts(spark, d).select("l_orderkey", "l_linenumber", F.round(score, 1).alias("skill"))
+
+
+@query(f"""WITH x AS ({PARTS}) SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN least(a, 70.0) ELSE a END AS required FROM x""")
+def capped_required(spark, d):
+    return _parts(spark, d).select("l_orderkey", "l_linenumber", scoring.capped(F.col("a"), F.col("l_orderkey") % 3 == 0).alias("required"))
+
+
+PROFILES = {"metal": ("steel", "copper", "tin"), "jewel": ("ring", "gold"), "small": ("small", "tiny"), "large": ("large", "big")}
+
+
+@query("WITH k(profile, pos, word) AS (VALUES " + ", ".join(f"('{p}', {i}, '{w}')" for i, (p, w) in enumerate((p, w) for p, ws in PROFILES.items() for w in ws)) + """)
+    SELECT p_partkey, arg_max(profile, (CASE WHEN contains(lower(p_name), word) THEN 100 ELSE 0 END + length(word)) * 100 - pos) AS profile FROM part, k WHERE contains(lower(p_name), word) OR contains(lower(p_type), word) GROUP BY 1""")
+def profile_suggestion(spark, d):
+    words = [(p, i, w) for i, (p, w) in enumerate((p, w) for p, ws in PROFILES.items() for w in ws)]
+    hits = F.array(*[F.struct((F.when(F.lower("p_name").contains(w), 100).otherwise(0) + len(w)).alias("score"), F.lit(-i).alias("pos"), F.lit(p).alias("profile"), (F.lower("p_name").contains(w) | F.lower("p_type").contains(w)).alias("hit")) for p, i, w in words])
+    best = F.array_max(F.filter(hits, lambda h: h["hit"]))
+    return read(spark, d, "part").select("p_partkey", best["profile"].alias("profile")).where("profile is not null")
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    entries = part.groupBy("p_brand").agg(F.min("p_partkey").alias("pos"), F.collect_set("p_type").alias("aliases"))
+    return matching.alias_index(entries, "p_brand", "aliases", "pos")
+
+
+NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9+# ]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH e AS (SELECT p_brand, min(p_partkey) AS pos FROM part GROUP BY 1), n AS (SELECT DISTINCT p_brand AS c, {NORM.format('p_type')} AS norm FROM part UNION SELECT p_brand, {NORM.format('p_brand')} FROM part),
+    i AS (SELECT norm, arg_min(c, pos) AS canonical FROM n JOIN e ON c = p_brand WHERE norm <> '' GROUP BY 1)
+    SELECT p_partkey, coalesce(canonical, trim(p_type)) AS canonical FROM part LEFT JOIN i ON norm = {NORM.format('p_type')}""")
+def canonicalise_entities(spark, d):
+    return matching.canonicalise(read(spark, d, "part").select("p_partkey", "p_type"), _index(spark, d), "p_type").select("p_partkey", "canonical")
+
+
+@query("""WITH e AS (SELECT DISTINCT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region)
+    SELECT child AS a, parent AS b FROM e UNION SELECT parent, child FROM e UNION SELECT x.child, y.child FROM e x JOIN e y ON x.parent = y.parent AND x.child <> y.child AND x.parent IN (SELECT child FROM e)""")
+def related_entities(spark, d):
+    return matching.related(_edges(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    return own.unionByName(region.select(F.col("r_name").alias("child"), F.lit("WORLD").alias("parent"))).distinct()
+
+
+STAGED = """h AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS item FROM orders), r AS (SELECT c_custkey AS k, item, source FROM customer, (VALUES ('1-URGENT', 'required'), ('2-HIGH', 'required'), ('5-LOW', 'preferred'), ('9-NONE', 'required')) v(item, source)),
+    p(a, b) AS (VALUES ('1-URGENT', '2-HIGH'), ('2-HIGH', '1-URGENT')), m AS (SELECT k, r.item, source, CASE WHEN h.item IS NOT NULL THEN 'EXACT' WHEN EXISTS (SELECT 1 FROM p JOIN h g ON g.item = p.a WHERE p.b = r.item AND g.k = r.k) THEN 'STRONG_RELATED'
+    WHEN r.item = '9-NONE' AND k % 5 = 0 THEN 'PARTIAL' WHEN source = 'preferred' THEN 'MISSING_PREF' ELSE 'MISSING_REQ' END AS category FROM r LEFT JOIN h USING (k, item)),
+    s AS (SELECT *, CASE category WHEN 'EXACT' THEN 1.0 WHEN 'STRONG_RELATED' THEN 0.85 WHEN 'PARTIAL' THEN 0.25 ELSE 0.0 END::DOUBLE AS credit FROM m)"""
+
+
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    held = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("item"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(s).alias("source")) for i, s in (("1-URGENT", "required"), ("2-HIGH", "required"), ("5-LOW", "preferred"), ("9-NONE", "required"))])
+    required = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.inline(wanted))
+    pairs = spark.createDataFrame([("1-URGENT", "2-HIGH"), ("2-HIGH", "1-URGENT")], "a string, b string")
+    similar = read(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.lit("9-NONE").alias("item"), F.lit(0.65).alias("similarity"))
+    return matching.staged_match(required, held, pairs, similar, "k")
+
+
+@query(f"WITH {STAGED} SELECT k, item, source, category, credit FROM s")
+def staged_match(spark, d):
+    return _staged(spark, d)
+
+
+@query(f"WITH {STAGED} SELECT k, source, round(avg(credit) * 100, 2) AS coverage FROM s GROUP BY 1, 2")
+def match_coverage(spark, d):
+    return _staged(spark, d).groupBy("k", "source").agg(F.round(numeric.coverage(F.avg(numeric.clamp(F.col("credit"), 0, 1)), 0), 2).alias("coverage"))
+
+
+@query(f"""WITH {STAGED} SELECT k, item, category, CASE WHEN source = 'required' AND category = 'MISSING_REQ' THEN 'high' WHEN source = 'required' THEN 'medium' ELSE 'low' END AS priority
+    FROM s WHERE category IN ('MISSING_REQ', 'MISSING_PREF') OR (category = 'PARTIAL' AND credit < 0.5)""")
+def gap_priorities(spark, d):
+    return matching.gaps(_staged(spark, d)).select("k", "item", "category", "priority")
+
+
+def _stamped(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# layout and state -----------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT event_type, CAST(least(255, greatest(0, floor(value))) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1, 2),
+    c AS (SELECT event_type, bin, sum(n) OVER o AS w, sum(n * bin) OVER o AS m, sum(n) OVER (PARTITION BY event_type) AS tw, sum(n * bin) OVER (PARTITION BY event_type) AS tm FROM b WINDOW o AS (PARTITION BY event_type ORDER BY bin)),
+    v AS (SELECT event_type, bin, round(CAST(w AS DOUBLE) * (tw - w) * (m / CAST(w AS DOUBLE) - (tm - m) / CAST(tw - w AS DOUBLE)) ** 2, 4) AS s FROM c WHERE tw > w)
+    SELECT event_type, arg_max(bin, s * 1000 - bin / 1e6) AS threshold FROM v GROUP BY 1""")
+def otsu_threshold(spark, d):
+    bins = F.least(F.lit(255), F.greatest(F.lit(0), F.floor("value"))).cast("int")
+    return layout.otsu(read(spark, d, "events").groupBy("event_type", bins.alias("bin")).agg(F.count("*").alias("n")), "event_type")
+
+
+@query()
+def column_lines(spark, d):
+    items = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 5).alias("page"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_partkey") % 500).cast("double").alias("x"), (700 - (F.col("l_orderkey") % 50) * 12).cast("double").alias("y"), F.lit(20.0).alias("width"))
+    return layout.group_lines(items)
+
+
+@query()
+def rate_limit_admission(spark, d):
+    return stateful.admission_batch(_stamped(read(spark, d, "events")), "user_id", "ts", "event_id", 3600.0, 2)
+
+
+@query()
+def circuit_breaker_states(spark, d):
+    events = _stamped(read(spark, d, "events")).withColumn("ok", F.col("event_type") != "error")
+    return stateful.breaker_states(events, "user_id", "ts", "event_id", "ok", 2, 86400.0)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, d):
+    """A file stream of ``events``, run until it has read what is there; open days are in the result too."""
+    import uuid
+
+    events = spark.read.parquet(f"{d}/events.parquet")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
+    name = f"daily_{uuid.uuid4().hex}"
+    stateful.daily_stream(_stamped(source), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
