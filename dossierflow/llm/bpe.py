@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-HOT_WORDS = 250_000
+HOT_WORDS = 600_000
 HOT_CHARS = 48
 
 
@@ -67,7 +67,7 @@ def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
 
     def lists(counts: Counter) -> pd.DataFrame:
         dealt = defaultdict(list)
-        for w in sorted(counts):
+        for w in counts:
             dealt[zlib.crc32(w) % buckets].append(w)
         rows = [(b, zlib.compress(b"\n".join(ws)), zlib.compress(np.array([counts[w] for w in ws], dtype="<u4").tobytes())) for b, ws in dealt.items()]
         return pd.DataFrame(rows, columns=["bucket", "words", "counts"])
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, hot_words: int = HOT_W
     def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # the lower and the upper bytes apart, which compresses better
-            packed = [zlib.compress(places(split_words(t) if t else []).view(np.uint8).reshape(-1, 4).T.tobytes(), 6) for t in batch["text"]]
+            packed = [zlib.compress(places(split_words(t) if t else []).view(np.uint8).reshape(-1, 4).T.tobytes(), 3) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "k1": batch["k1"], "k2": batch["k2"], "places": packed})
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
