@@ -1,20 +1,19 @@
-"""BPE over a table of distinct words.
-
-Texts are split at white space and the distinct words counted. Each of them is
-encoded once. The most frequent words, at most ``HOT_WORDS`` of at most
-``HOT_CHARS`` bytes, go to every task; the places of all other words are
-joined to the word table by the word, and back to their document by position.
-Ids are decoded through a table of id and piece.
+"""BPE over distinct words.
+
+Texts are split at white space into words. A task deals its texts into blocks
+of bounded size, each with a list of its distinct words. The lists meet by
+bucket of words, where every distinct word is encoded once; its ids go back
+to the blocks that asked, by place in their lists, and from there to each
+document by position. Lists, places and ids travel compressed. Ids are
+decoded through the table of id and piece.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import os
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import small_batches
 
-HOT_WORDS = 600_000
-HOT_CHARS = 48
+BLOCK_WORDS = 400_000  # distinct ones
+BLOCK_PLACES = 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -55,46 +54,6 @@ def split_words(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def word_table(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """``(word binary, count, ids)``: each distinct word of all texts, encoded once.
-
-    Tasks count their own words first and send them on in compressed lists,
-    one for each bucket of words.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 2 * max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def lists(counts: Counter) -> pd.DataFrame:
-        dealt = defaultdict(list)
-        for w in counts:
-            dealt[zlib.crc32(w) % buckets].append(w)
-        rows = [(b, zlib.compress(b"\n".join(ws)), zlib.compress(np.array([counts[w] for w in ws], dtype="<u4").tobytes())) for b, ws in dealt.items()]
-        return pd.DataFrame(rows, columns=["bucket", "words", "counts"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    counts.update(split_words(text))
-            if len(counts) > 1_000_000:
-                yield lists(counts)
-                counts = Counter()
-        yield lists(counts).astype({"bucket": "int32"})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        counts = Counter()
-        for words, n in zip(group["words"], group["counts"], strict=True):
-            for w, k in zip(zlib.decompress(words).split(b"\n"), np.frombuffer(zlib.decompress(n), dtype="<u4").tolist(), strict=True):
-                counts[w] += k
-        words = sorted(counts)
-        return pd.DataFrame({"word": words, "count": [counts[w] for w in words], "ids": encode_words(words, tokenizer)})
-
-    base = docs.select(F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(count, "bucket int, words binary, counts binary").groupBy("bucket").applyInPandas(merge, "word binary, count long, ids array<int>")
-
-
 def encode_words(words: list[bytes], tokenizer: str) -> list[list[int]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     t, out = _tokenizer(tokenizer), []
@@ -116,84 +75,121 @@ def decode_ids(ids: list[int], tokenizer: str) -> str:
     return " ".join(table[i] for i in ids if 0 <= i < len(table))
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, hot_words: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+class _Blocks:
+    """Deals texts into blocks; the same rows in the same order give the same blocks and keys."""
+
+    def __init__(self, block_words: int) -> None:
+        self.most, self.vocab, self.n, self.hash, self.held = block_words, {}, 0, hashlib.blake2b(digest_size=8), []
+
+    def add(self, doc: int | None, text: str | None, with_places: bool) -> bool:
+        """Whether the block is full now."""
+        words = split_words(text) if text else []
+        vocab = self.vocab
+        for w in dict.fromkeys(words):
+            if w not in vocab:
+                vocab[w] = len(vocab)
+        self.n += len(words)
+        self.hash.update(f"{doc}:{len(text or '')}:".encode() + (text or "").encode("utf-8", "replace"))
+        if with_places:
+            at = np.fromiter(map(vocab.__getitem__, words), dtype="<u4", count=len(words))
+            # the lower and the upper bytes apart, which compresses better
+            self.held.append((doc, zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)))
+        return len(vocab) >= self.most or self.n >= BLOCK_PLACES
+
+    def key(self) -> int:
+        return int.from_bytes(self.hash.digest(), "little", signed=True)
+
+
+def _dealt(batches: Iterator[pd.DataFrame], block_words: int, with_places: bool) -> Iterator[_Blocks]:
+    block = None
+    for batch in batches:
+        for doc, text in zip(batch["id"], batch["text"], strict=True):
+            block = block or _Blocks(block_words)
+            if block.add(None if pd.isna(doc) else int(doc), text, with_places):
+                yield block
+                block = None
+    if block:
+        yield block
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """``(id, n_tokens, ids, decoded)``, or with ``digests`` the SHA-256 of either instead; one row per row of ``docs``.
 
     A null text is empty and has no ids. Repeated rows, ids among them, are
     handled each for itself. An empty table gives an empty result; other
-    columns are not read.
+    columns are not read. Blocks hold up to ``block_words`` distinct words,
+    but for a single longer text. The rows are read twice and have to come in
+    the same order within a file split, as Spark's file readers give them;
+    else an error tells that a block's words are missing.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or default_tokenizer()
-    words = materialise(word_table(docs, path, text_col), "words")
-    # the count from which on words are frequent, by steps of a 16th of a doubling: at most 1024 of them
-    step = F.floor(F.log2(F.col("count")) * 16).cast("int")
-    sizes = words.where(F.length("word") <= HOT_CHARS).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    least, held = 1 << 20, 0
-    for r in sizes:
-        held += r["count"]
-        if held > hot_words:
-            break
-        least = r["step"]
-    hot = words.where((F.length("word") <= HOT_CHARS) & (step >= least)).select("word", "ids").toPandas()  # at most hot_words words of at most HOT_CHARS bytes
-    wide = max((max(x, default=0) for x in hot["ids"]), default=0) >= 1 << 16
-    index = spark.sparkContext.broadcast({bytes(w): i for i, w in enumerate(hot["word"], 1)})
-    hot_ids = spark.sparkContext.broadcast([np.asarray(x, dtype=np.int32 if wide else np.uint16).tobytes() for x in hot["ids"]])
-    del hot
-
-    def places(own: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(index.value.get, own, itertools.repeat(0)), dtype=np.uint32, count=len(own))
-
-    def rare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for a, b, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
-                own = split_words(text) if text else []
-                rows += [(a, b, i, own[i]) for i in np.flatnonzero(places(own) == 0).tolist()]
-            yield pd.DataFrame(rows, columns=["k1", "k2", "pos", "word"])
-
-    def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # the lower and the upper bytes apart, which compresses better
-            packed = [zlib.compress(places(split_words(t) if t else []).view(np.uint8).reshape(-1, 4).T.tobytes(), 3) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "k1": batch["k1"], "k2": batch["k2"], "places": packed})
-
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # rows with equal keys have equal ids and texts, and so equal places
-    base = base.select("id", F.xxhash64("text", "id").alias("k1"), F.xxhash64(F.lit("second"), "id", "text").alias("k2"), "text")
-    spots = base.mapInPandas(rare_rows, "k1 long, k2 long, pos int, word binary")
-    found = spots.join(words.select(F.col("word").alias("of"), "ids"), F.col("word") == F.col("of")).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
-    found = found.withColumnRenamed("k1", "f1").withColumnRenamed("k2", "f2")
-    placed = base.mapInPandas(place_rows, "id long, k1 long, k2 long, places binary")
-    both = placed.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select("id", "places", "found")
-
-    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def bucket_of(vocab: dict[bytes, int]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(w) % buckets for w in vocab), dtype="<u2" if buckets < 1 << 16 else "<u4", count=len(vocab))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _dealt(batches, block_words, False):
+            words, of = list(block.vocab), bucket_of(block.vocab)
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+            rows = [(block.key(), b, zlib.compress(b"\n".join([words[i] for i in order[cuts[b] : cuts[b + 1]]]), 3)) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            yield pd.DataFrame(rows, columns=["block", "bucket", "words"]).astype({"block": "int64", "bucket": "int32"})
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        lists = [zlib.decompress(w).split(b"\n") for w in group["words"]]
+        words = list(dict.fromkeys(w for ws in lists for w in ws))
+        ids = dict(zip(words, encode_words(words, path), strict=True))
+        out = []
+        for ws in lists:
+            own = [ids[w] for w in ws]
+            lengths, flat = np.array([len(x) for x in own], dtype="<u4"), np.array([i for x in own for i in x], dtype="<u4")
+            out.append(tuple(zlib.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), 3) for a in (lengths, flat)))
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "lengths": [a for a, _ in out], "ids": [b for _, b in out]})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _dealt(batches, block_words, True):
+            key = block.key()
+            rows = [(key, 0, None, zlib.compress(bucket_of(block.vocab).tobytes(), 3)), *((key, 1, doc, at) for doc, at in block.held)]
+            yield pd.DataFrame(rows, columns=["block", "kind", "id", "data"]).astype({"id": "Int64"})
+
+    def numbers(packed: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+    def join_up(placed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         table = pieces(path)
-        known = [(), *(tuple(np.frombuffer(x, dtype=np.int32 if wide else np.uint16).tolist()) for x in hot_ids.value)]  # place 0: a rare word
+        of = np.frombuffer(zlib.decompress(placed["data"][placed["kind"] == 0].iloc[0]), dtype="<u2" if buckets < 1 << 16 else "<u4")
+        known: list = [None] * len(of)
+        for b, lengths, flat in zip(answers["bucket"], answers["lengths"], answers["ids"], strict=True):
+            flat, ends = numbers(flat).tolist(), np.cumsum(numbers(lengths)).tolist()
+            for at, start, end in zip(np.flatnonzero(of == b).tolist(), [0, *ends], ends, strict=False):
+                known[at] = flat[start:end]
+        if None in known:
+            raise RuntimeError("a block's words are missing: its rows came in another order")
         if digests:
-            hot_text = [" ".join(map(str, x)) for x in known]
-            hot_piece = [" ".join([table[i] for i in x]) for x in known]
-            hot_n = np.array([len(x) for x in known], dtype=np.int64)
-        for batch in batches:
-            out = []
-            for doc, packed, found in zip(batch["id"], batch["places"], batch["found"], strict=True):
-                at = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-                rare = {} if found is None else {int(f["pos"]): [int(i) for i in f["ids"]] for f in found}
-                if not digests:
-                    ids = [i for k, n in enumerate(at.tolist()) for i in (known[n] if n else rare[k])]
-                    out.append((doc, len(ids), ids, " ".join([table[i] for i in ids])))
-                    continue
-                order = at.tolist()
-                text, piece, n = [hot_text[k] for k in order], [hot_piece[k] for k in order], int(hot_n[at].sum())
-                for k, ids in rare.items():
-                    text[k], piece[k], n = " ".join(map(str, ids)), " ".join([table[i] for i in ids]), n + len(ids)
-                if "" in text:  # a word without ids leaves no gap
-                    text, piece = [x for x in text if x], [x for x in piece if x]
-                out.append((doc, n, hashlib.sha256(" ".join(text).encode()).hexdigest(), hashlib.sha256(" ".join(piece).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["id", "n_tokens", "a", "b"])
+            counts = np.array([len(x) for x in known], dtype=np.int64)
+            text, piece = [" ".join(map(str, x)) for x in known], [" ".join([table[i] for i in x]) for x in known]
+        out = []
+        docs_ = placed[placed["kind"] == 1]
+        for doc, packed in zip(docs_["id"], docs_["data"], strict=True):
+            at = numbers(packed)
+            order = at.tolist()
+            if not digests:
+                ids = [i for k in order for i in known[k]]
+                out.append((doc, len(ids), ids, " ".join([table[i] for i in ids])))
+                continue
+            parts = [text[k] for k in order], [piece[k] for k in order]
+            if "" in parts[0]:  # a word without ids leaves no gap
+                parts = tuple([x for x in p if x] for p in parts)
+            out.append((doc, int(counts[at].sum()), *(hashlib.sha256(" ".join(p).encode()).hexdigest() for p in parts)))
+        return pd.DataFrame(out, columns=["id", "n_tokens", "a", "b"]).astype({"id": "Int64"})
 
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    answers = base.mapInPandas(ask, "block long, bucket int, words binary").groupBy("bucket").applyInPandas(answer, "block long, bucket int, lengths binary, ids binary")
+    placed = base.mapInPandas(place, "block long, kind int, id long, data binary")
     kind = "string" if digests else "array<int>"
-    done = both.mapInPandas(join_up, f"id long, n_tokens long, a {kind}, b string")
+    done = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join_up, f"id long, n_tokens long, a {kind}, b string")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return done.select(F.col("id").alias(id_col), "n_tokens", F.col("a").alias(names[0]), F.col("b").alias(names[1]))
