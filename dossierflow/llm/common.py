@@ -41,6 +41,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def marked(df: DataFrame, ids: DataFrame, id_col: str, slots: int = 1 << 22) -> DataFrame:
+    """``df`` with ``__hit``: false only for rows whose id is surely not in ``ids``.
+
+    The ids are hashed into a bit table of fixed size, which is broadcast. With
+    far more ids than ``slots`` most rows are hit, which costs work, not rows.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots))
+    bits = ids.select(slot(ids.columns[0]).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("__b"))
+    bits = F.broadcast(materialise(bits, "slots"))  # at most slots / 64 rows of 16 bytes
+    rows = df.withColumn("__s", slot(id_col)).withColumn("__w", (F.col("__s") / 64).cast("long")).join(bits, "__w", "left")
+    hit = F.expr("__b is not null and (shiftright(__b, cast(__s % 64 as int)) & 1L) = 1L")
+    return rows.withColumn("__hit", hit).select(*[F.col(f"`{c}`") for c in df.columns], "__hit")
+
+
+def without_ids(df: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """``df`` without the rows whose id is in ``lost`` (one column); only rows that may be lost are shuffled."""
+    lost = materialise(lost.select(F.col(lost.columns[0]).alias(id_col)).distinct(), "lost")
+    rows = marked(df, lost, id_col)
+    sure, unsure = rows.where("not __hit").drop("__hit"), rows.where("__hit").drop("__hit")
+    return sure.unionByName(unsure.join(lost, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; component: the smallest node reachable.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without_ids
 
 PREFIX_CHARS = 256
 SLOTS = 1 << 22
@@ -66,4 +66,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the later copies; ids are taken to be unique, all columns stay."""
     lost = exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col)
-    return docs.join(lost, id_col, "left_anti")
+    return without_ids(docs, lost, id_col)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, without_ids
 
 DIMS = 1 << 12
 PER_LANGUAGE = 300
@@ -185,4 +185,4 @@ def drop_unidentified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` without the rows in no language: ``und``, or a score below ``least``; all columns stay."""
     said = identify(docs, fit(docs))
     lost = said.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti")
+    return without_ids(docs, lost, "doc_id")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small_batches
+from .common import connected_components, marked, materialise, small_batches, without_ids
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_BITS = 5
@@ -63,8 +63,8 @@ def _words(text: str) -> tuple[bytes, list[int], list[int]]:
     return line, [0, *ends[:-1]], [e - 1 for e in ends]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit b is set if it is set in over half of the shingles' XXH64 (seed 42), repeats counted."""
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Bit b is set if it is set in over half of the shingles' XXH64, repeats counted."""
     from xxhash import xxh64_intdigest
 
     line, starts, ends = _words(text or "")
@@ -72,19 +72,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return 0
     last = ends[shingle - 1 :] or ends[-1:]
     total, sums = len(last), np.zeros(64, dtype=np.int64)
-    hashes = (xxh64_intdigest(line[s:e], 42) for s, e in zip(starts, last, strict=False))
+    hashes = (xxh64_intdigest(line[s:e], seed) for s, e in zip(starts, last, strict=False))
     while len(part := np.fromiter(itertools.islice(hashes, 65536), dtype=np.uint64)):
         sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(sums * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """``(id, fp)``: the fingerprint as a signed long; 0 for null texts and texts without words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": batch["id"], "fp": fps})
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -163,11 +163,14 @@ def _compare(most: int):
     return run
 
 
-def links(distinct: DataFrame, most: int) -> DataFrame:
-    """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect."""
-    if not 0 <= most <= MOST_BITS:
+def links(distinct: DataFrame, most: int, guaranteed: bool = True) -> DataFrame:
+    """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect.
+
+    Without the guarantee, ``most`` may exceed ``MOST_BITS``; then only those meet that share two segments' keys.
+    """
+    if not 0 <= most <= MOST_BITS and guaranteed:
         raise ValueError(f"the keys guarantee up to {MOST_BITS} differing bits")
-    keyed = _keyed(distinct)
+    keyed = _keyed(distinct.repartition("fp"))
     # a key that over BLOCK fingerprints share is compared block by block, each pair of blocks in its own cell
     hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
@@ -195,8 +198,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: st
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay."""
-    found = near_duplicates(docs, shingle, most, id_col, text_col)
-    lost = found.where(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(lost, id_col, "left_anti")
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words are one shingle, no words none."""
+    from xxhash import xxh64_intdigest
+
+    line, starts, ends = _words(text or "")
+    last = ends[shingle - 1 :] or ends[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(line[s:e]) for s, e in zip(starts, last, strict=False)), dtype=np.uint64))
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs (src, dst)`` whose shingle sets have a Jaccard similarity of ``least`` or more; two texts without words do."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "items": [shingle_set(t, shingle).tobytes() for t in batch["text"]]})
+
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = marked(base, ends, "id").where("__hit").select("id", "text").mapInPandas(sets, "id long, items binary")
+    held = materialise(held, "shingle-sets")
+    a, b = (held.select(F.col("id").alias(e), F.col("items").alias(f"{e}_items")) for e in ("src", "dst"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["src_items"], batch["dst_items"], strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.loc[keep, ["src", "dst"]]
+
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInPandas(judge, "src long, dst long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 16, seeds: tuple[int, ...] = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay.
+
+    Fingerprints with each of the ``seeds`` retrieve pairs that share two
+    segments' keys and differ in ``most`` bits or fewer; the exact Jaccard
+    similarity of their shingle sets decides. Pairs that differ in five bits
+    or fewer under some seed are always retrieved, others with a probability
+    that falls with their similarity. Rows with a null id stay.
+    """
+    small_batches(docs.sparkSession)
+    found = []
+    for seed in seeds:
+        fps = materialise(fingerprints(docs, shingle, id_col, text_col, seed), "fingerprints")
+        distinct = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+        same = fps.join(distinct.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
+        found.append(same.unionByName(links(distinct, most, guaranteed=False)))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = materialise(pairs.distinct(), "pairs")
+    groups = connected_components(similar_pairs(docs, pairs, shingle, least, id_col, text_col))
+    return without_ids(docs, groups.where("component <> node").select("node"), id_col)

@@ -376,3 +376,42 @@ def test_language_model_does_not_see_held_out_rows(spark, sample):
     spoiled = sample.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
     a, b = (sorted(rows(langid.identify(sample, langid.fit(d)))) for d in (sample, spoiled))
     assert [(r[0], r[-2]) for r in a] == [(r[0], r[-2]) for r in b]
+
+
+def test_near_copies_are_dropped_by_exact_similarity(spark):
+    draw = np.random.default_rng(11)
+    text = lambda n: ["".join(chr(97 + c) for c in draw.integers(0, 26, 6)) for _ in range(n)]
+    rows, close = [], 0
+    for g in range(60):
+        words = text(int(draw.integers(80, 400)))
+        copy = list(words)
+        for at in draw.choice(len(words), max(1, len(words) // 100), replace=False):
+            copy[at] = "changed"
+        other = words[: len(words) // 2] + text(len(words))
+        a, b = set(zip(*[words[i:] for i in range(5)], strict=False)), set(zip(*[copy[i:] for i in range(5)], strict=False))
+        close += len(a & b) / len(a | b) >= 0.8
+        rows += [(3 * g, " ".join(words), 1), (3 * g + 1, " ".join(copy), 2), (3 * g + 2, " ".join(other), 3)]
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()}
+    assert {i for i, *_ in rows if i % 3 != 1} <= left and len(left) <= 120 + (60 - close) + 3
+
+
+def test_pipeline(spark, tmp_path, sample):
+    import corpus_pipeline
+
+    docs, before = sample, sample.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == sample.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() <= before
+        before = docs.count()
+        if name == "exact dedup":
+            texts_ = [SPACE.sub(" ", r["text"] or "") for r in docs.collect()]
+            assert len(set(texts_)) == len(texts_)
+        if name == "PII":
+            assert all(base_spans(r["text"]) == [] for r in docs.collect())
+    kept = {r["doc_id"] for r in docs.collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert {r["doc_id"] for r in packed.collect()} == kept
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()} == kept
