@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, marked, materialise, small_batches, without_ids
+from .common import batch_rows, connected_components, marked, materialise, small_batches, without_ids
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_BITS = 5
@@ -191,7 +191,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: st
     """
     fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    groups = connected_components(links(distinct.where("node is not null"), most))
+    with batch_rows(docs.sparkSession, 10_000):
+        close = materialise(links(distinct.where("node is not null"), most), "links")
+    groups = connected_components(close)
     labelled = distinct.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
     labelled = materialise(labelled, "labels")
     out = fps.join(labelled, fps["fp"] == labelled["of"])
@@ -217,7 +219,8 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = marked(base, ends, "id").where("__hit").select("id", "text").mapInPandas(sets, "id long, items binary")
-    held = materialise(held, "shingle-sets")
+    with batch_rows(docs.sparkSession, 256):
+        held = materialise(held, "shingle-sets")
     a, b = (held.select(F.col("id").alias(e), F.col("items").alias(f"{e}_items")) for e in ("src", "dst"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +232,9 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield batch.loc[keep, ["src", "dst"]]
 
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInPandas(judge, "src long, dst long")
+    judged = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInPandas(judge, "src long, dst long")
+    with batch_rows(docs.sparkSession, 64):  # sets of long texts are large
+        return materialise(judged, "similar")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 16, seeds: tuple[int, ...] = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,6 +256,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = materialise(pairs.distinct(), "pairs")
+    with batch_rows(docs.sparkSession, 10_000):
+        pairs = materialise(pairs.distinct(), "pairs")
     groups = connected_components(similar_pairs(docs, pairs, shingle, least, id_col, text_col))
     return without_ids(docs, groups.where("component <> node").select("node"), id_col)
