@@ -237,7 +237,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
         return materialise(judged, "similar")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 16, seeds: tuple[int, ...] = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 12, seeds: tuple[int, ...] = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay.
 
     Fingerprints with each of the ``seeds`` retrieve pairs that share two
