@@ -125,7 +125,7 @@ def _close(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]
     return links
 
 
-def _compare(most: int):
+def _compare(most: int, small: int = SMALL_RUN):
     """Compares within runs of equal cells; input sorted by cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,11 +144,11 @@ def _compare(most: int):
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, len(cell)])
             links = []
-            for s, n in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
+            for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
                 links += _close(fp[s : s + n], node[s : s + n], most)
             size_of = np.repeat(sizes, sizes)
-            at = np.flatnonzero((size_of > 1) & (size_of <= SMALL_RUN))
-            for step in range(1, SMALL_RUN):
+            at = np.flatnonzero((size_of > 1) & (size_of <= small))
+            for step in range(1, small):
                 at = at[at + step < len(cell)]
                 at = at[cell[at] == cell[at + step]]
                 if not len(at):
@@ -163,7 +163,7 @@ def _compare(most: int):
     return run
 
 
-def links(distinct: DataFrame, most: int, guaranteed: bool = True) -> DataFrame:
+def links(distinct: DataFrame, most: int, guaranteed: bool = True, small: int = SMALL_RUN) -> DataFrame:
     """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect.
 
     Without the guarantee, ``most`` may exceed ``MOST_BITS``; then only those meet that share two segments' keys.
@@ -177,7 +177,7 @@ def links(distinct: DataFrame, most: int, guaranteed: bool = True) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
     cells = dealt.select(F.explode(others).alias("blocks"), "key", "fp", "node").select((F.col("key") * F.lit(1 << 32) + F.col("blocks")).alias("cell"), "fp", "node")
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_compare(most), "src long, dst long").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_compare(most, small), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
         fps = materialise(fingerprints(docs, shingle, id_col, text_col, seed), "fingerprints")
         distinct = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
         same = fps.join(distinct.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
-        found.append(same.unionByName(links(distinct, most, guaranteed=False)))
+        found.append(same.unionByName(links(distinct, most, guaranteed=False, small=6)))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
