@@ -26,7 +26,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_BITS = 5
 GENERATOR = 0b101011100011  # fixed value: a generator polynomial of the binary Golay code
 SMALL_RUN = 24
+SMALL_TREE = 6
 BLOCK = 16384
+BLOCK_ROWS = 256
+BLOCK_ITEMS = 1 << 19
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -91,20 +94,54 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return base.mapInPandas(run, "id long, fp long")
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same values (the splitmix64 finaliser)."""
+    x = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes."""
+    sums = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        sums += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(sums * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, size, fp0, fp1, ...)``: of the set of a text's shingles its size and ``views`` fingerprints; repeats do not count, so that similar sets have close fingerprints."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes, fps = [], [[] for _ in range(views)]
+            for text in batch["text"]:
+                hashes = shingle_set(text, shingle)
+                sizes.append(len(hashes))
+                for fp in fps:
+                    fp.append(_majority(hashes))
+                    hashes = _mixed(hashes)
+            yield pd.DataFrame({"id": batch["id"], "size": np.array(sizes, dtype=np.int64)} | {f"fp{k}": np.array(fp, dtype=np.uint64).view(np.int64) for k, fp in enumerate(fps)})
+
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInPandas(run, ", ".join(["id long, size long", *(f"fp{k} long" for k in range(views))]))
+
+
 def _keyed(distinct: DataFrame) -> DataFrame:
-    """``(key, fp, node)`` for every pair of segments and every pair of their Golay keys."""
+    """The rows of ``distinct (fp, ...)`` with a ``key`` for every pair of segments and every pair of their Golay keys."""
+    schema = ", ".join(["key long", *(f"{c} long" for c in distinct.columns)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp, node = batch["fp"].to_numpy(), batch["node"].to_numpy()
+            fp = batch["fp"].to_numpy()
             keys = [golay_keys((fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)) for at, bits in SEGMENTS]
             for pair, (a, b) in enumerate(itertools.combinations(range(3), 2)):
                 both = (keys[a][:, :, None] << 12 | keys[b][:, None, :]).reshape(len(fp), 36)
                 held = ((keys[a] >= 0)[:, :, None] & (keys[b] >= 0)[:, None, :]).reshape(len(fp), 36)
                 i, j = np.nonzero(held)
-                yield pd.DataFrame({"key": both[i, j] | pair << 24, "fp": fp[i], "node": node[i]})
+                yield pd.DataFrame({"key": both[i, j] | pair << 24} | {c: batch[c].to_numpy()[i] for c in batch.columns})
 
-    return distinct.mapInPandas(run, "key long, fp long, node long")
+    return distinct.mapInPandas(run, schema)
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,35 +162,46 @@ def _close(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]
     return links
 
 
-def _compare(most: int, small: int = SMALL_RUN):
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Whole runs of equal cells with the runs' starts and sizes; input sorted by cell."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            whole, held = held, None
+        else:
+            whole = batch if held is None else pd.concat([held, batch])
+            cell = whole["cell"].to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last run may go on; a run has 2 * BLOCK rows at most
+            whole, held = whole.iloc[:cut], whole.iloc[cut:]
+        if whole is not None and len(whole):
+            cell = whole["cell"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            yield whole, starts, np.diff(np.r_[starts, len(cell)])
+
+
+def _neighbours(cell: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most: int, small: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Places of rows, and the step from each to a later row close to it, for all pairs in runs of ``small`` rows or fewer."""
+    size_of = np.repeat(sizes, sizes)
+    at = np.flatnonzero((size_of > 1) & (size_of <= small))
+    for step in range(1, small):
+        at = at[at + step < len(cell)]
+        at = at[cell[at] == cell[at + step]]
+        if not len(at):
+            return
+        yield at[_bits(fp[at], fp[at + step]) <= most], step
+
+
+def _compare(most: int):
     """Compares within runs of equal cells; input sorted by cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen = None, set()
-        for batch in itertools.chain(batches, [None]):
-            if batch is None:
-                whole, held = held, None
-            else:
-                whole = batch if held is None else pd.concat([held, batch])
-                cell = whole["cell"].to_numpy()
-                cut = int(np.searchsorted(cell, cell[-1]))  # the last run may go on; a run has 2 * BLOCK rows at most
-                whole, held = whole.iloc[:cut], whole.iloc[cut:]
-            if whole is None or not len(whole):
-                continue
+        seen = set()
+        for whole, starts, sizes in _runs(batches):
             cell, fp, node = (whole[c].to_numpy() for c in ("cell", "fp", "node"))
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            sizes = np.diff(np.r_[starts, len(cell)])
             links = []
-            for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+            for s, n in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
                 links += _close(fp[s : s + n], node[s : s + n], most)
-            size_of = np.repeat(sizes, sizes)
-            at = np.flatnonzero((size_of > 1) & (size_of <= small))
-            for step in range(1, small):
-                at = at[at + step < len(cell)]
-                at = at[cell[at] == cell[at + step]]
-                if not len(at):
-                    break
-                near = at[_bits(fp[at], fp[at + step]) <= most]
+            for near, step in _neighbours(cell, sizes, fp, most, SMALL_RUN):
                 links += zip(node[near].tolist(), node[near + step].tolist(), strict=True)
             links = {(min(x), max(x)) for x in links} - seen
             seen = (seen | links) if len(seen) < 200_000 else links  # repeats are dropped later in any case
@@ -163,21 +211,73 @@ def _compare(most: int, small: int = SMALL_RUN):
     return run
 
 
-def links(distinct: DataFrame, most: int, guaranteed: bool = True, small: int = SMALL_RUN) -> DataFrame:
-    """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect.
-
-    Without the guarantee, ``most`` may exceed ``MOST_BITS``; then only those meet that share two segments' keys.
-    """
-    if not 0 <= most <= MOST_BITS and guaranteed:
-        raise ValueError(f"the keys guarantee up to {MOST_BITS} differing bits")
-    keyed = _keyed(distinct.repartition("fp"))
-    # a key that over BLOCK fingerprints share is compared block by block, each pair of blocks in its own cell
+def _cells(keyed: DataFrame) -> DataFrame:
+    """Rows by ``cell``: a key, or of a key that over BLOCK rows share a pair of its blocks; each pair of rows meets in some cell."""
+    rest = [c for c in keyed.columns if c != "key"]
     hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("fp", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
-    cells = dealt.select(F.explode(others).alias("blocks"), "key", "fp", "node").select((F.col("key") * F.lit(1 << 32) + F.col("blocks")).alias("cell"), "fp", "node")
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(_compare(most, small), "src long, dst long").distinct()
+    cells = dealt.select(F.explode(others).alias("blocks"), "key", *rest).select((F.col("key") * F.lit(1 << 32) + F.col("blocks")).alias("cell"), *rest)
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp")
+
+
+def links(distinct: DataFrame, most: int) -> DataFrame:
+    """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect."""
+    if not 0 <= most <= MOST_BITS:
+        raise ValueError(f"the keys guarantee up to {MOST_BITS} differing bits")
+    return _cells(_keyed(distinct.repartition("fp"))).mapInPandas(_compare(most), "src long, dst long").distinct()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can have a Jaccard similarity of ``least``."""
+    return np.minimum(a, b) >= least * np.maximum(a, b)
+
+
+def _tree(fp: np.ndarray, node: np.ndarray, size: np.ndarray, most: int, least: float) -> Iterator[tuple[int, int]]:
+    """The shortest pairs that connect what is close in a run."""
+    best, near, rest = np.full(len(fp), most + 1), np.zeros(len(fp), dtype=np.int64), np.arange(len(fp))
+    while len(rest):
+        i = int(np.argmin(best[rest]))
+        x = rest[i]
+        if best[x] <= most:
+            yield node[near[x]], node[x]
+        rest = np.delete(rest, i)
+        bits = np.where(_alike(size[rest], size[x], least), _bits(fp[rest], fp[x]).astype(np.int64), most + 1)
+        closer = bits < best[rest]
+        best[rest[closer]], near[rest[closer]] = bits[closer], x
+
+
+def _retrieve(most: int, least: float, whole_runs: bool):
+    """Close pairs of different groups: all those in small runs, and in larger ones all or just a tree of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(batches):
+            cell, fp, node, group, size = (rows[c].to_numpy() for c in ("cell", "fp", "node", "grp", "size"))
+            pairs, trees = set(), set()
+            for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
+                near = near[(group[near] != group[near + step]) & _alike(size[near], size[near + step], least)]
+                pairs |= set(zip(node[near].tolist(), node[near + step].tolist(), strict=True))
+            for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
+                f, v, g, z = fp[s : s + n], node[s : s + n], group[s : s + n], size[s : s + n]
+                if not whole_runs:
+                    trees |= {(int(x), int(y)) for x, y in _tree(f, v, z, most, least)}
+                elif (g != g[0]).any():
+                    for i in range(n - 1):
+                        near = i + 1 + np.flatnonzero((_bits(f[i + 1 :], f[i]) <= most) & (g[i + 1 :] != g[i]) & _alike(z[i + 1 :], z[i], least))
+                        pairs |= {(int(v[i]), y) for y in v[near].tolist()}
+            for found, tree in ((pairs, False), (trees, True)):
+                found = sorted({(min(x), max(x)) for x in found})
+                if found:
+                    yield pd.DataFrame(found, columns=["src", "dst"]).assign(tree=tree)
+
+    return run
+
+
+def retrieve(rows: DataFrame, most: int, least: float, whole_runs: bool) -> DataFrame:
+    """``(src, dst, tree)``: pairs of ``rows (fp, node, grp, size)`` of different groups that share the keys of two segments, differ in ``most`` bits or fewer and whose sizes allow a similarity of ``least``."""
+    found = _cells(_keyed(rows.repartition("fp"))).mapInPandas(_retrieve(most, least, whole_runs), "src long, dst long, tree boolean")
+    return found.groupBy("src", "dst").agg(F.max("tree").alias("tree"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,8 +309,8 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(line[s:e]) for s, e in zip(starts, last, strict=False)), dtype=np.uint64))
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs (src, dst)`` whose shingle sets have a Jaccard similarity of ``least`` or more; two texts without words do."""
+def _held_sets(docs: DataFrame, pairs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, items)``: the shingle sets of the rows in ``pairs``, written once."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,16 +320,22 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = marked(base, ends, "id").where("__hit").select("id", "text").mapInPandas(sets, "id long, items binary")
     with batch_rows(docs.sparkSession, 256):
-        held = materialise(held, "shingle-sets")
+        return materialise(held.join(ends, "id", "left_semi"), "shingle-sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs (src, dst)`` whose shingle sets have a Jaccard similarity of ``least`` or more; two texts without words do."""
+    held = _held_sets(docs, pairs, shingle, id_col, text_col)
     a, b = (held.select(F.col("id").alias(e), F.col("items").alias(f"{e}_items")) for e in ("src", "dst"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["src_items"], batch["dst_items"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), least) for x, y in zip(batch["src_items"], batch["dst_items"], strict=True)]
             yield batch.loc[keep, ["src", "dst"]]
 
     judged = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInPandas(judge, "src long, dst long")
@@ -237,26 +343,62 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
         return materialise(judged, "similar")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 12, seeds: tuple[int, ...] = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """As ``similar_pairs``, for dense pairs: rows that pairs connect are dealt into blocks, and two blocks' sets travel once for all their pairs."""
+    held = _held_sets(docs, pairs, shingle, id_col, text_col)
+    placed = connected_components(pairs).join(held.select(F.col("id").alias("node"), (F.length("items") / 8).alias("size")), "node")
+    blocks = placed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ITEMS)).alias("blocks"))
+    placed = placed.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).alias("block"))
+    src, dst = (placed.select(F.col("node").alias(e), F.col("component").alias(f"{e}_component"), F.col("block").alias(f"{e}_block")) for e in ("src", "dst"))
+    cell = F.xxhash64("src_component", F.least("src_block", "dst_block"), F.greatest("src_block", "dst_block"))
+    dealt = materialise(pairs.join(src, "src").join(dst, "dst").select(cell.alias("cell"), "src", "dst"), "dealt-pairs")
+    near = dealt.select(F.col("cell").alias("of"), F.explode(F.array("src", "dst")).alias("id")).distinct().join(held, "id")
+
+    def judge(few: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = {i: np.frombuffer(x, dtype=np.uint64) for i, x in zip(rows["id"], rows["items"], strict=True)}
+        keep = [_similar(sets[x], sets[y], least) for x, y in zip(few["src"], few["dst"], strict=True)]
+        return few.loc[keep, ["src", "dst"]]
+
+    return materialise(dealt.groupBy("cell").cogroup(near.groupBy("of")).applyInPandas(judge, "src long, dst long"), "similar")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 12, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay.
 
-    Fingerprints with each of the ``seeds`` retrieve pairs that share two
-    segments' keys and differ in ``most`` bits or fewer; the exact Jaccard
-    similarity of their shingle sets decides. Pairs that differ in five bits
-    or fewer under some seed are always retrieved, others with a probability
-    that falls with their similarity. Rows with a null id stay.
+    ``views`` fingerprints of a text's set of shingles retrieve pairs that
+    share two segments' keys and differ in ``most`` bits or fewer; the exact
+    Jaccard similarity of the sets decides. Pairs that differ in five bits or
+    fewer in some view are always retrieved, others with a probability that
+    falls with their similarity. Texts without words are one group. Rows with
+    a null id stay.
+
+    A large run of close rows is not judged pair by pair: a first turn judges
+    the shortest pairs that connect it, a second one those retrieved pairs
+    whose ends are still in different groups, so that no similar pair is lost.
     """
     small_batches(docs.sparkSession)
-    found = []
-    for seed in seeds:
-        fps = materialise(fingerprints(docs, shingle, id_col, text_col, seed), "fingerprints")
-        distinct = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-        same = fps.join(distinct.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
-        found.append(same.unionByName(links(distinct, most, guaranteed=False, small=6)))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    with batch_rows(docs.sparkSession, 10_000):
-        pairs = materialise(pairs.distinct(), "pairs")
-    groups = connected_components(similar_pairs(docs, pairs, shingle, least, id_col, text_col))
+    sets = materialise(set_fingerprints(docs, shingle, views, id_col, text_col).where("id is not null"), "fingerprints")
+    seen = [sets.select("id", "size", F.col(f"fp{k}").alias("fp")) for k in range(views)]
+    nodes = [materialise(s.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("size", "id").alias("size"), F.count("*").alias("n")), "nodes") for s in seen]
+    members = [s.join(n.select(F.col("fp").alias("of"), "node", "n"), F.col("fp") == F.col("of")) for s, n in zip(seen, nodes, strict=True)]
+
+    def judge(parts: list[DataFrame], asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        found = functools.reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.max("tree").alias("tree"))
+        with batch_rows(docs.sparkSession, 10_000):
+            found = materialise(found if asked is None else found.join(asked, ["src", "dst"], "left_anti"), "pairs")
+        return found, (similar_pairs if asked is None else similar_pairs_in_blocks)(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
+
+    same = [m.where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("tree")) for m in members]
+    found, similar = judge([retrieve(n.select("fp", "node", F.col("node").alias("grp"), "size"), most, least, whole_runs=False) for n in nodes] + same)
+    groups = connected_components(similar)
+    # still open: rows of runs known by a tree only, and rows of equal fingerprints some pair of which failed
+    several = functools.reduce(DataFrame.unionByName, [n.where("n > 1").select("node") for n in nodes]).distinct()
+    failed = found.join(similar, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst").join(several, "node", "left_semi")
+    ends = failed.select("src", "dst").unionByName(found.where("tree").select("src", "dst"))
+    still = materialise(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "open")
+    if not still.isEmpty():
+        named = groups.withColumnRenamed("node", "member")
+        rows = [m.join(still, "node", "left_semi").join(named, F.col("id") == F.col("member"), "left").select("fp", F.col("id").alias("node"), F.coalesce("component", "id").alias("grp"), "size") for m in members]
+        _, more = judge([retrieve(r, most, least, whole_runs=True) for r in rows], found)
+        groups = connected_components(similar.unionByName(more))
     return without_ids(docs, groups.where("component <> node").select("node"), id_col)

@@ -395,6 +395,39 @@ def test_near_copies_are_dropped_by_exact_similarity(spark):
     assert {i for i, *_ in rows if i % 3 != 1} <= left and len(left) <= 120 + (60 - close) + 3
 
 
+def test_large_group_of_near_copies_loses_no_retrieved_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    draw = np.random.default_rng(5)
+    base, texts = [f"word{i}" for i in range(120)], []
+    for _ in range(60):
+        copy = list(base)
+        for at in draw.choice(120, int(draw.integers(1, 5)), replace=False):
+            copy[at] = f"new{draw.integers(1 << 30)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    pairs = [(i, j) for j in range(60) for i in range(j)]
+    truth = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    asked = spark.createDataFrame(pairs, "src long, dst long")
+    for judge in (simhash.similar_pairs, simhash.similar_pairs_in_blocks):
+        assert {tuple(r) for r in judge(docs, asked, 5, 0.8, "doc_id", "text").collect()} == truth
+    # all pairs that the keys retrieve, judged one by one, give the same groups
+    nodes = simhash.set_fingerprints(docs, 5, 2, "doc_id", "text").collect()
+    near = set()
+    for view in ("fp0", "fp1"):
+        keys = [[set(k[k >= 0]) for k in simhash.golay_keys(np.array([(r[view] % (1 << 64)) >> at & ((1 << bits) - 1) for r in nodes]))] for at, bits in simhash.SEGMENTS]
+        for i, j in pairs:
+            shared = sum(bool(k[i] & k[j]) for k in keys)
+            if shared >= 2 and ((nodes[i][view] ^ nodes[j][view]) % (1 << 64)).bit_count() <= 12:
+                near.add((nodes[i]["id"], nodes[j]["id"]))
+    least = list(range(60))
+    for _ in range(60):
+        for i, j in near & truth:
+            least[i] = least[j] = min(least[i], least[j])
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert left == {i for i in range(60) if least[i] == i}
+
+
 def test_pipeline(spark, tmp_path, sample):
     import corpus_pipeline
 
