@@ -30,6 +30,10 @@ SMALL_TREE = 6
 BLOCK = 16384
 BLOCK_ROWS = 256
 BLOCK_ITEMS = 1 << 19
+WIDE = 16  # words of a wide fingerprint; the first ones are the views
+WIDE_BITS = 205  # sets of 16 shingles or more with a similarity of 0.8 differ in 160 of 1024 bits at most on average, the standard deviation is 11.6
+WIDE_BITS_SMALL = 245  # smaller sets: 192, 12.5
+PAIRS_AT_ONCE = 1 << 16
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -109,22 +113,39 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(sums * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _fingerprint_rows(ids: pd.Series, sets: Iterator[np.ndarray], views: int) -> pd.DataFrame:
+    sizes, fps = [], [[] for _ in range(views)]
+    for hashes in sets:
+        sizes.append(len(hashes))
+        for fp in fps:
+            fp.append(_majority(hashes))
+            hashes = _mixed(hashes)
+    return pd.DataFrame({"id": ids, "size": np.array(sizes, dtype=np.int64)} | {f"fp{k}": np.array(fp, dtype=np.uint64).view(np.int64) for k, fp in enumerate(fps)})
+
+
+def _fingerprint_schema(views: int) -> str:
+    return ", ".join(["id long, size long", *(f"fp{k} long" for k in range(views))])
+
+
 def set_fingerprints(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, size, fp0, fp1, ...)``: of the set of a text's shingles its size and ``views`` fingerprints; repeats do not count, so that similar sets have close fingerprints."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, fps = [], [[] for _ in range(views)]
-            for text in batch["text"]:
-                hashes = shingle_set(text, shingle)
-                sizes.append(len(hashes))
-                for fp in fps:
-                    fp.append(_majority(hashes))
-                    hashes = _mixed(hashes)
-            yield pd.DataFrame({"id": batch["id"], "size": np.array(sizes, dtype=np.int64)} | {f"fp{k}": np.array(fp, dtype=np.uint64).view(np.int64) for k, fp in enumerate(fps)})
+            yield _fingerprint_rows(batch["id"], (shingle_set(t, shingle) for t in batch["text"]), views)
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(run, ", ".join(["id long, size long", *(f"fp{k} long" for k in range(views))]))
+    return base.mapInPandas(run, _fingerprint_schema(views))
+
+
+def wide_fingerprints(held: DataFrame) -> DataFrame:
+    """``(id, size, fp0, ...)`` with all ``WIDE`` fingerprints of ``held (id, items)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _fingerprint_rows(batch["id"], (np.frombuffer(x, dtype=np.uint64) for x in batch["items"]), WIDE)
+
+    return held.mapInPandas(run, _fingerprint_schema(WIDE))
 
 
 def _keyed(distinct: DataFrame) -> DataFrame:
@@ -248,24 +269,18 @@ def _tree(fp: np.ndarray, node: np.ndarray, size: np.ndarray, most: int, least:
         best[rest[closer]], near[rest[closer]] = bits[closer], x
 
 
-def _retrieve(most: int, least: float, whole_runs: bool):
-    """Close pairs of different groups: all those in small runs, and in larger ones all or just a tree of them."""
+def _retrieve(most: int, least: float):
+    """Close pairs: all those in small runs, a tree of them in larger ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(batches):
-            cell, fp, node, group, size = (rows[c].to_numpy() for c in ("cell", "fp", "node", "grp", "size"))
+            cell, fp, node, size = (rows[c].to_numpy() for c in ("cell", "fp", "node", "size"))
             pairs, trees = set(), set()
             for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
-                near = near[(group[near] != group[near + step]) & _alike(size[near], size[near + step], least)]
+                near = near[_alike(size[near], size[near + step], least)]
                 pairs |= set(zip(node[near].tolist(), node[near + step].tolist(), strict=True))
             for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
-                f, v, g, z = fp[s : s + n], node[s : s + n], group[s : s + n], size[s : s + n]
-                if not whole_runs:
-                    trees |= {(int(x), int(y)) for x, y in _tree(f, v, z, most, least)}
-                elif (g != g[0]).any():
-                    for i in range(n - 1):
-                        near = i + 1 + np.flatnonzero((_bits(f[i + 1 :], f[i]) <= most) & (g[i + 1 :] != g[i]) & _alike(z[i + 1 :], z[i], least))
-                        pairs |= {(int(v[i]), y) for y in v[near].tolist()}
+                trees |= {(int(x), int(y)) for x, y in _tree(fp[s : s + n], node[s : s + n], size[s : s + n], most, least)}
             for found, tree in ((pairs, False), (trees, True)):
                 found = sorted({(min(x), max(x)) for x in found})
                 if found:
@@ -274,12 +289,71 @@ def _retrieve(most: int, least: float, whole_runs: bool):
     return run
 
 
-def retrieve(rows: DataFrame, most: int, least: float, whole_runs: bool) -> DataFrame:
-    """``(src, dst, tree)``: pairs of ``rows (fp, node, grp, size)`` of different groups that share the keys of two segments, differ in ``most`` bits or fewer and whose sizes allow a similarity of ``least``."""
-    found = _cells(_keyed(rows.repartition("fp"))).mapInPandas(_retrieve(most, least, whole_runs), "src long, dst long, tree boolean")
+def retrieve(rows: DataFrame, most: int, least: float) -> DataFrame:
+    """``(src, dst, tree)``: pairs of ``rows (fp, node, size)`` that share the keys of two segments, differ in ``most`` bits or fewer and whose sizes allow a similarity of ``least``; of large runs just a tree of them."""
+    found = _cells(_keyed(rows.repartition("fp"))).mapInPandas(_retrieve(most, least), "src long, dst long, tree boolean")
     return found.groupBy("src", "dst").agg(F.max("tree").alias("tree"))
 
 
+def _least_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that two rows of fingerprints share; -1 where they share none."""
+    shared = []
+    for at, bits in SEGMENTS:
+        x, y = (golay_keys((f.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)) for f in (a, b))
+        same = (x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]
+        shared.append(np.where(same, x[:, :, None], 1 << 12).min(axis=(1, 2)))
+    key = np.full(len(a), -1, dtype=np.int64)
+    for pair, (i, j) in reversed(list(enumerate(itertools.combinations(shared, 2)))):
+        key = np.where((i < 1 << 12) & (j < 1 << 12), i << 12 | j | pair << 24, key)
+    return key
+
+
+def _still_open(view: int, most: int, least: float):
+    """All close pairs of different groups whose wide fingerprints are close, each in the first view and under the smallest key that retrieves it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(batches):
+            cell, node, group, size = (rows[c].to_numpy() for c in ("cell", "node", "grp", "size"))
+            wide = rows[[f"fp{k}" for k in range(WIDE)]].to_numpy()
+            fp = np.ascontiguousarray(wide[:, view])
+
+            def pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+                near = np.flatnonzero((group[a] != group[b]) & _alike(size[a], size[b], least))  # noqa: B023
+                a, b = a[near], b[near]
+                allowed = np.where(np.minimum(size[a], size[b]) < 16, WIDE_BITS_SMALL, WIDE_BITS)  # noqa: B023
+                near = np.flatnonzero(_bits(wide[a], wide[b]).sum(axis=1) <= allowed)  # noqa: B023
+                a, b = a[near], b[near]
+                first = _least_key(fp[a], fp[b]) == cell[a] >> 32  # noqa: B023
+                for k in range(view):
+                    x, y = np.ascontiguousarray(wide[a, k]), np.ascontiguousarray(wide[b, k])  # noqa: B023
+                    first &= (_bits(x, y) > most) | (_least_key(x, y) < 0)
+                x, y = node[a[first]], node[b[first]]  # noqa: B023
+                return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
+
+            for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
+                yield pairs(near, near + step)
+            held, count = [], 0
+            for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
+                if (group[s : s + n] == group[s]).all():
+                    continue
+                for i in range(s, s + n - 1):
+                    near = i + 1 + np.flatnonzero(_bits(fp[i + 1 : s + n], fp[i]) <= most)
+                    held.append((np.full(len(near), i), near))
+                    count += len(near)
+                    if count >= PAIRS_AT_ONCE:
+                        yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held, count = [], 0
+            if held:
+                yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def retrieve_open(rows: DataFrame, view: int, most: int, least: float) -> DataFrame:
+    """``(src, dst)``: all pairs of ``rows (node, grp, size, fp0, ...)`` of different groups that ``view`` is the first to retrieve and whose wide fingerprints allow a similarity of 0.8."""
+    return _cells(_keyed(rows.withColumn("fp", F.col(f"fp{view}")).repartition("fp"))).mapInPandas(_still_open(view, most, least), "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component_id)``, one row per row of ``docs``.
 
@@ -309,9 +383,12 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(line[s:e]) for s, e in zip(starts, last, strict=False)), dtype=np.uint64))
 
 
-def _held_sets(docs: DataFrame, pairs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, items)``: the shingle sets of the rows in ``pairs``, written once."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def _held_sets(docs: DataFrame, ends: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, items)``: the shingle sets of the rows in ``ends (id)``, written once."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -330,7 +407,7 @@ def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs (src, dst)`` whose shingle sets have a Jaccard similarity of ``least`` or more; two texts without words do."""
-    held = _held_sets(docs, pairs, shingle, id_col, text_col)
+    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col)
     a, b = (held.select(F.col("id").alias(e), F.col("items").alias(f"{e}_items")) for e in ("src", "dst"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,9 +420,9 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
         return materialise(judged, "similar")
 
 
-def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """As ``similar_pairs``, for dense pairs: rows that pairs connect are dealt into blocks, and two blocks' sets travel once for all their pairs."""
-    held = _held_sets(docs, pairs, shingle, id_col, text_col)
+def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, held: DataFrame | None = None) -> DataFrame:
+    """As ``similar_pairs``, for dense pairs: rows that pairs connect are dealt into blocks, and two blocks' sets travel once for all their pairs. ``held``: the rows' sets, if there are such already."""
+    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col) if held is None else held
     placed = connected_components(pairs).join(held.select(F.col("id").alias("node"), (F.length("items") / 8).alias("size")), "node")
     blocks = placed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ITEMS)).alias("blocks"))
     placed = placed.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).alias("block"))
@@ -368,28 +445,30 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     ``views`` fingerprints of a text's set of shingles retrieve pairs that
     share two segments' keys and differ in ``most`` bits or fewer; the exact
     Jaccard similarity of the sets decides. Pairs that differ in five bits or
-    fewer in some view are always retrieved, others with a probability that
-    falls with their similarity. Texts without words are one group. Rows with
-    a null id stay.
+    fewer in some view are retrieved, others with a probability that falls
+    with their similarity. Texts without words are one group. Rows with a null
+    id stay.
 
     A large run of close rows is not judged pair by pair: a first turn judges
     the shortest pairs that connect it, a second one those retrieved pairs
-    whose ends are still in different groups, so that no similar pair is lost.
+    whose ends are still in different groups. In the second turn fingerprints
+    of ``WIDE`` words are compared before sets are: a pair with a similarity
+    of 0.8 lies some four standard deviations within the limit, so about one
+    in 10,000 such pairs goes unseen, and fewer the more alike they are.
     """
+    if least < 0.8 or views > WIDE:
+        raise ValueError(f"the wide fingerprints' limit holds from a similarity of 0.8 and for {WIDE} views at most")
     small_batches(docs.sparkSession)
     sets = materialise(set_fingerprints(docs, shingle, views, id_col, text_col).where("id is not null"), "fingerprints")
     seen = [sets.select("id", "size", F.col(f"fp{k}").alias("fp")) for k in range(views)]
     nodes = [materialise(s.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("size", "id").alias("size"), F.count("*").alias("n")), "nodes") for s in seen]
     members = [s.join(n.select(F.col("fp").alias("of"), "node", "n"), F.col("fp") == F.col("of")) for s, n in zip(seen, nodes, strict=True)]
 
-    def judge(parts: list[DataFrame], asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        found = functools.reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.max("tree").alias("tree"))
-        with batch_rows(docs.sparkSession, 10_000):
-            found = materialise(found if asked is None else found.join(asked, ["src", "dst"], "left_anti"), "pairs")
-        return found, (similar_pairs if asked is None else similar_pairs_in_blocks)(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
-
     same = [m.where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("tree")) for m in members]
-    found, similar = judge([retrieve(n.select("fp", "node", F.col("node").alias("grp"), "size"), most, least, whole_runs=False) for n in nodes] + same)
+    found = functools.reduce(DataFrame.unionByName, [retrieve(n.select("fp", "node", "size"), most, least) for n in nodes] + same)
+    with batch_rows(docs.sparkSession, 10_000):
+        found = materialise(found.groupBy("src", "dst").agg(F.max("tree").alias("tree")), "pairs")
+    similar = similar_pairs(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
     groups = connected_components(similar)
     # still open: rows of runs known by a tree only, and rows of equal fingerprints some pair of which failed
     several = functools.reduce(DataFrame.unionByName, [n.where("n > 1").select("node") for n in nodes]).distinct()
@@ -397,8 +476,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     ends = failed.select("src", "dst").unionByName(found.where("tree").select("src", "dst"))
     still = materialise(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "open")
     if not still.isEmpty():
+        still = materialise(functools.reduce(DataFrame.unionByName, [m.join(still, "node", "left_semi").select("id") for m in members]).distinct(), "open")
+        held = _held_sets(docs, still, shingle, id_col, text_col)
         named = groups.withColumnRenamed("node", "member")
-        rows = [m.join(still, "node", "left_semi").join(named, F.col("id") == F.col("member"), "left").select("fp", F.col("id").alias("node"), F.coalesce("component", "id").alias("grp"), "size") for m in members]
-        _, more = judge([retrieve(r, most, least, whole_runs=True) for r in rows], found)
+        wide = wide_fingerprints(held).join(named, F.col("id") == F.col("member"), "left").withColumn("grp", F.coalesce("component", "id"))
+        wide = materialise(wide.select(F.col("id").alias("node"), "grp", "size", *(f"fp{k}" for k in range(WIDE))), "wide")
+        with batch_rows(docs.sparkSession, 10_000):
+            more = functools.reduce(DataFrame.unionByName, [retrieve_open(wide, k, most, least) for k in range(views)])
+            more = materialise(more.join(found, ["src", "dst"], "left_anti"), "pairs")
+        more = similar_pairs_in_blocks(docs, more, shingle, least, id_col, text_col, held)
         groups = connected_components(similar.unionByName(more))
     return without_ids(docs, groups.where("component <> node").select("node"), id_col)
