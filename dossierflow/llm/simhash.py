@@ -235,7 +235,8 @@ def _compare(most: int):
 def _cells(keyed: DataFrame) -> DataFrame:
     """Rows by ``cell``: a key, or of a key that over BLOCK rows share a pair of its blocks; each pair of rows meets in some cell."""
     rest = [c for c in keyed.columns if c != "key"]
-    hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # written first: while such keys are few, their size lets Spark join them without shuffling all rows by key
+    hot = materialise(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys")
     dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
     own = F.pmod(F.xxhash64("fp", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
@@ -465,8 +466,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     members = [s.join(n.select(F.col("fp").alias("of"), "node", "n"), F.col("fp") == F.col("of")) for s, n in zip(seen, nodes, strict=True)]
 
     same = [m.where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("tree")) for m in members]
-    found = functools.reduce(DataFrame.unionByName, [retrieve(n.select("fp", "node", "size"), most, least) for n in nodes] + same)
     with batch_rows(docs.sparkSession, 10_000):
+        found = functools.reduce(DataFrame.unionByName, [retrieve(n.select("fp", "node", "size"), most, least) for n in nodes] + same)
         found = materialise(found.groupBy("src", "dst").agg(F.max("tree").alias("tree")), "pairs")
     similar = similar_pairs(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
     groups = connected_components(similar)
