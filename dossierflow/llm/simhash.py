@@ -314,7 +314,7 @@ def _still_open(view: int, most: int, least: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(batches):
-            cell, node, group, size = (rows[c].to_numpy() for c in ("cell", "node", "grp", "size"))
+            cell, node, group, size, place = (rows[c].to_numpy() for c in ("cell", "node", "grp", "size", "place"))
             wide = rows[[f"fp{k}" for k in range(WIDE)]].to_numpy()
             fp = np.ascontiguousarray(wide[:, view])
 
@@ -328,8 +328,8 @@ def _still_open(view: int, most: int, least: float):
                 for k in range(view):
                     x, y = np.ascontiguousarray(wide[a, k]), np.ascontiguousarray(wide[b, k])  # noqa: B023
                     first &= (_bits(x, y) > most) | (_least_key(x, y) < 0)
-                x, y = node[a[first]], node[b[first]]  # noqa: B023
-                return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
+                a, b = a[first], b[first]
+                return pd.DataFrame({"src": node[a], "dst": node[b], "src_place": place[a], "dst_place": place[b]})  # noqa: B023
 
             for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
                 yield pairs(near, near + step)
@@ -351,8 +351,9 @@ def _still_open(view: int, most: int, least: float):
 
 
 def retrieve_open(rows: DataFrame, view: int, most: int, least: float) -> DataFrame:
-    """``(src, dst)``: all pairs of ``rows (node, grp, size, fp0, ...)`` of different groups that ``view`` is the first to retrieve and whose wide fingerprints allow a similarity of 0.8."""
-    return _cells(_keyed(rows.withColumn("fp", F.col(f"fp{view}")).repartition("fp"))).mapInPandas(_still_open(view, most, least), "src long, dst long").distinct()
+    """``(src, dst, src_place, dst_place)``: all pairs of ``rows (node, place, grp, size, fp0, ...)`` of different groups that ``view`` is the first to retrieve and whose wide fingerprints allow a similarity of 0.8. Pairs under hot keys may come repeatedly."""
+    schema = "src long, dst long, src_place long, dst_place long"
+    return _cells(_keyed(rows.withColumn("fp", F.col(f"fp{view}")).repartition("fp"))).mapInPandas(_still_open(view, most, least), schema)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,23 +422,36 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float,
         return materialise(judged, "similar")
 
 
-def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str, held: DataFrame | None = None) -> DataFrame:
-    """As ``similar_pairs``, for dense pairs: rows that pairs connect are dealt into blocks, and two blocks' sets travel once for all their pairs. ``held``: the rows' sets, if there are such already."""
-    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col) if held is None else held
-    placed = connected_components(pairs).join(held.select(F.col("id").alias("node"), (F.length("items") / 8).alias("size")), "node")
-    blocks = placed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ITEMS)).alias("blocks"))
-    placed = placed.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).alias("block"))
-    src, dst = (placed.select(F.col("node").alias(e), F.col("component").alias(f"{e}_component"), F.col("block").alias(f"{e}_block")) for e in ("src", "dst"))
-    cell = F.xxhash64("src_component", F.least("src_block", "dst_block"), F.greatest("src_block", "dst_block"))
-    dealt = materialise(pairs.join(src, "src").join(dst, "dst").select(cell.alias("cell"), "src", "dst"), "dealt-pairs")
-    near = dealt.select(F.col("cell").alias("of"), F.explode(F.array("src", "dst")).alias("id")).distinct().join(held, "id")
+def _places(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``(node, place)`` for ``held (id, items)``: places hold some BLOCK_ROWS rows at most, and rows that ``pairs`` connect tend to share few of them."""
+    near = pairs.groupBy(F.greatest("src", "dst").alias("dst")).agg(F.min(F.least("src", "dst")).alias("src"))  # a forest: one edge a row
+    rows = held.select(F.col("id").alias("node"), (F.length("items") / 8).alias("size")).join(connected_components(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ITEMS)).alias("blocks"))
+    return rows.join(blocks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)))).alias("place"))
+
+
+def _similar_by_place(dealt: DataFrame, places: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The similar ones of ``dealt (src, dst, src_place, dst_place)``: the sets of two places travel once for all their pairs."""
+    dealt = dealt.withColumn("cell", F.xxhash64(F.least("src_place", "dst_place"), F.greatest("src_place", "dst_place")))
+    cells = dealt.select("cell", "src_place", "dst_place").distinct()
+    cells = cells.select(F.col("cell").alias("of"), F.explode(F.array("src_place", "dst_place")).alias("place")).distinct()
+    near = cells.join(places.withColumnRenamed("node", "id").join(held, "id"), "place").select("of", "id", "items")
 
     def judge(few: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         sets = {i: np.frombuffer(x, dtype=np.uint64) for i, x in zip(rows["id"], rows["items"], strict=True)}
+        few = few.drop_duplicates(["src", "dst"])
         keep = [_similar(sets[x], sets[y], least) for x, y in zip(few["src"], few["dst"], strict=True)]
         return few.loc[keep, ["src", "dst"]]
 
-    return materialise(dealt.groupBy("cell").cogroup(near.groupBy("of")).applyInPandas(judge, "src long, dst long"), "similar")
+    return materialise(dealt.select("cell", "src", "dst").groupBy("cell").cogroup(near.groupBy("of")).applyInPandas(judge, "src long, dst long"), "similar")
+
+
+def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """As ``similar_pairs``, for dense pairs."""
+    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col)
+    places = materialise(_places(pairs, held), "places")
+    src, dst = (places.select(F.col("node").alias(e), F.col("place").alias(f"{e}_place")) for e in ("src", "dst"))
+    return _similar_by_place(pairs.join(src, "src").join(dst, "dst"), places, held, least)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 12, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,12 +493,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     if not still.isEmpty():
         still = materialise(functools.reduce(DataFrame.unionByName, [m.join(still, "node", "left_semi").select("id") for m in members]).distinct(), "open")
         held = _held_sets(docs, still, shingle, id_col, text_col)
+        places = materialise(_places(found.where("tree"), held), "places")
         named = groups.withColumnRenamed("node", "member")
-        wide = wide_fingerprints(held).join(named, F.col("id") == F.col("member"), "left").withColumn("grp", F.coalesce("component", "id"))
-        wide = materialise(wide.select(F.col("id").alias("node"), "grp", "size", *(f"fp{k}" for k in range(WIDE))), "wide")
+        wide = wide_fingerprints(held).withColumnRenamed("id", "node").join(places, "node").join(named, F.col("node") == F.col("member"), "left")
+        wide = materialise(wide.select("node", "place", F.coalesce("component", "node").alias("grp"), "size", *(f"fp{k}" for k in range(WIDE))), "wide")
         with batch_rows(docs.sparkSession, 10_000):
-            more = functools.reduce(DataFrame.unionByName, [retrieve_open(wide, k, most, least) for k in range(views)])
-            more = materialise(more.join(found, ["src", "dst"], "left_anti"), "pairs")
-        more = similar_pairs_in_blocks(docs, more, shingle, least, id_col, text_col, held)
+            more = materialise(functools.reduce(DataFrame.unionByName, [retrieve_open(wide, k, most, least) for k in range(views)]), "pairs")
+        more = _similar_by_place(more, places, held, least)
         groups = connected_components(similar.unionByName(more))
     return without_ids(docs, groups.where("component <> node").select("node"), id_col)
