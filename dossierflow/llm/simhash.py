@@ -30,7 +30,9 @@ SMALL_TREE = 6
 BLOCK = 16384
 BLOCK_ROWS = 256
 BLOCK_ITEMS = 1 << 19
-WIDE = 16  # words of a wide fingerprint; the first ones are the views
+BANDS, BAND_ROWS = 30, 5  # sets with a similarity of 0.8 share no band with a probability of (1 - 0.8**5)**30 < 0.00001
+VIEW_BITS, VIEW_BITS_SMALL = 24, 28  # of 64: sets of 16 shingles or more with a similarity of 0.8 differ in 10 on average, smaller ones in 12, the standard deviation is 3
+WIDE = 16  # words of a wide fingerprint
 WIDE_BITS = 205  # sets of 16 shingles or more with a similarity of 0.8 differ in 160 of 1024 bits at most on average, the standard deviation is 11.6
 WIDE_BITS_SMALL = 245  # smaller sets: 192, 12.5
 PAIRS_AT_ONCE = 1 << 16
@@ -138,6 +140,39 @@ def set_fingerprints(docs: DataFrame, shingle: int, views: int, id_col: str, tex
     return base.mapInPandas(run, _fingerprint_schema(views))
 
 
+@functools.lru_cache(maxsize=1)
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240917)
+    n = BANDS * BAND_ROWS
+    return draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def band_tags(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of the hash of each band's MinHashes."""
+    a, b = _factors()
+    least = np.full(len(a), ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * a[None, :] + b[None, :]).min(axis=0))
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for row in _mixed(least).reshape(BANDS, BAND_ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, size, fp, same, tags)``: of the set of a text's shingles its size, a fingerprint, a hash of the whole set and the bands' tags."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            fps, same = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([_majority(x) for x in sets], [xxh64_intdigest(x.tobytes()) for x in sets]))
+            yield pd.DataFrame({"id": batch["id"], "size": np.array([len(x) for x in sets], dtype=np.int64), "fp": fps, "same": same, "tags": [band_tags(x).tobytes() for x in sets]})
+
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInPandas(run, "id long, size long, fp long, same long, tags binary")
+
+
 def wide_fingerprints(held: DataFrame) -> DataFrame:
     """``(id, size, fp0, ...)`` with all ``WIDE`` fingerprints of ``held (id, items)``."""
 
@@ -270,18 +305,24 @@ def _tree(fp: np.ndarray, node: np.ndarray, size: np.ndarray, most: int, least:
         best[rest[closer]], near[rest[closer]] = bits[closer], x
 
 
-def _retrieve(most: int, least: float):
+def _allowed(a: np.ndarray, b: np.ndarray, large: int, small: int) -> np.ndarray:
+    """The bits in which fingerprints of similar sets of these sizes may differ."""
+    return np.where(np.minimum(a, b) < 16, small, large)
+
+
+def _retrieve(least: float):
     """Close pairs: all those in small runs, a tree of them in larger ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(batches):
             cell, fp, node, size = (rows[c].to_numpy() for c in ("cell", "fp", "node", "size"))
             pairs, trees = set(), set()
-            for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
-                near = near[_alike(size[near], size[near + step], least)]
-                pairs |= set(zip(node[near].tolist(), node[near + step].tolist(), strict=True))
+            for near, step in _neighbours(cell, sizes, fp, VIEW_BITS_SMALL, SMALL_TREE):
+                x, y = near, near + step
+                close = _alike(size[x], size[y], least) & (_bits(fp[x], fp[y]) <= _allowed(size[x], size[y], VIEW_BITS, VIEW_BITS_SMALL))
+                pairs |= set(zip(node[x[close]].tolist(), node[y[close]].tolist(), strict=True))
             for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
-                trees |= {(int(x), int(y)) for x, y in _tree(fp[s : s + n], node[s : s + n], size[s : s + n], most, least)}
+                trees |= {(int(x), int(y)) for x, y in _tree(fp[s : s + n], node[s : s + n], size[s : s + n], VIEW_BITS_SMALL, least)}
             for found, tree in ((pairs, False), (trees, True)):
                 found = sorted({(min(x), max(x)) for x in found})
                 if found:
@@ -290,55 +331,65 @@ def _retrieve(most: int, least: float):
     return run
 
 
-def retrieve(rows: DataFrame, most: int, least: float) -> DataFrame:
-    """``(src, dst, tree)``: pairs of ``rows (fp, node, size)`` that share the keys of two segments, differ in ``most`` bits or fewer and whose sizes allow a similarity of ``least``; of large runs just a tree of them."""
-    found = _cells(_keyed(rows.repartition("fp"))).mapInPandas(_retrieve(most, least), "src long, dst long, tree boolean")
-    return found.groupBy("src", "dst").agg(F.max("tree").alias("tree"))
+def _bands(rows: DataFrame) -> DataFrame:
+    """``rows (tags, ...)`` once for each band, with the band's ``key``."""
+    schema = ", ".join(["key long", "band int", *(f"{c} {t}" for c, t in rows.dtypes if c != "tags")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tags = np.frombuffer(b"".join(batch["tags"]), dtype=np.uint32).reshape(len(batch), BANDS).astype(np.int64)
+            band = np.tile(np.arange(BANDS), len(batch))
+            rest = batch.drop(columns="tags").loc[batch.index.repeat(BANDS)].reset_index(drop=True)
+            yield pd.concat([pd.DataFrame({"key": tags.ravel() << 8 | band, "band": band.astype(np.int32)}), rest], axis=1)
 
+    return rows.mapInPandas(run, schema)
 
-def _least_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest key that two rows of fingerprints share; -1 where they share none."""
-    shared = []
-    for at, bits in SEGMENTS:
-        x, y = (golay_keys((f.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)) for f in (a, b))
-        same = (x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]
-        shared.append(np.where(same, x[:, :, None], 1 << 12).min(axis=(1, 2)))
-    key = np.full(len(a), -1, dtype=np.int64)
-    for pair, (i, j) in reversed(list(enumerate(itertools.combinations(shared, 2)))):
-        key = np.where((i < 1 << 12) & (j < 1 << 12), i << 12 | j | pair << 24, key)
-    return key
+
+def _band_cells(keyed: DataFrame) -> DataFrame:
+    """As ``_cells``, for keys of 40 bits: cells are hashes, so rows of two keys may meet in one, which costs comparisons only."""
+    rest = [c for c in keyed.columns if c != "key"]
+    hot = materialise(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys")
+    dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
+    own = F.pmod(F.xxhash64("fp", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
+    cells = dealt.select(F.explode(others).alias("blocks"), "key", *rest).select(F.xxhash64("key", "blocks").alias("cell"), *rest)
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp")
+
+
+def retrieve(rows: DataFrame, least: float) -> DataFrame:
+    """``(src, dst, tree)``: pairs of ``rows (fp, node, size, tags)`` that share a band and whose fingerprints and sizes allow a similarity of ``least``; of large runs just a tree of them."""
+    found = _band_cells(_bands(rows).drop("band")).mapInPandas(_retrieve(least), "src long, dst long, tree boolean")
+    return found.groupBy("src", "dst").agg(F.max("tree").alias("tree"))
 
 
-def _still_open(view: int, most: int, least: float):
-    """All close pairs of different groups whose wide fingerprints are close, each in the first view and under the smallest key that retrieves it."""
+def _still_open(least: float):
+    """All pairs of different groups whose sizes and wide fingerprints are close, each under the first band that retrieves it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(batches):
-            cell, node, group, size, place = (rows[c].to_numpy() for c in ("cell", "node", "grp", "size", "place"))
+            cell, band, node, group, size, place = (rows[c].to_numpy() for c in ("cell", "band", "node", "grp", "size", "place"))
             wide = rows[[f"fp{k}" for k in range(WIDE)]].to_numpy()
-            fp = np.ascontiguousarray(wide[:, view])
+            tags = np.frombuffer(b"".join(rows["tags"]), dtype=np.uint32).reshape(len(rows), BANDS)
+            fp = np.ascontiguousarray(wide[:, 0])
 
             def pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
                 near = np.flatnonzero((group[a] != group[b]) & _alike(size[a], size[b], least))  # noqa: B023
                 a, b = a[near], b[near]
-                allowed = np.where(np.minimum(size[a], size[b]) < 16, WIDE_BITS_SMALL, WIDE_BITS)  # noqa: B023
-                near = np.flatnonzero(_bits(wide[a], wide[b]).sum(axis=1) <= allowed)  # noqa: B023
+                near = np.flatnonzero(_bits(wide[a], wide[b]).sum(axis=1) <= _allowed(size[a], size[b], WIDE_BITS, WIDE_BITS_SMALL))  # noqa: B023
                 a, b = a[near], b[near]
-                first = _least_key(fp[a], fp[b]) == cell[a] >> 32  # noqa: B023
-                for k in range(view):
-                    x, y = np.ascontiguousarray(wide[a, k]), np.ascontiguousarray(wide[b, k])  # noqa: B023
-                    first &= (_bits(x, y) > most) | (_least_key(x, y) < 0)
+                shared = tags[a] == tags[b]  # noqa: B023
+                first = shared.any(axis=1) & (shared.argmax(axis=1) == band[a]) & (band[a] == band[b])  # noqa: B023
                 a, b = a[first], b[first]
                 return pd.DataFrame({"src": node[a], "dst": node[b], "src_place": place[a], "dst_place": place[b]})  # noqa: B023
 
-            for near, step in _neighbours(cell, sizes, fp, most, SMALL_TREE):
+            for near, step in _neighbours(cell, sizes, fp, VIEW_BITS_SMALL, SMALL_TREE):
                 yield pairs(near, near + step)
             held, count = [], 0
             for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
                 if (group[s : s + n] == group[s]).all():
                     continue
                 for i in range(s, s + n - 1):
-                    near = i + 1 + np.flatnonzero(_bits(fp[i + 1 : s + n], fp[i]) <= most)
+                    near = i + 1 + np.flatnonzero((group[i + 1 : s + n] != group[i]) & (_bits(fp[i + 1 : s + n], fp[i]) <= VIEW_BITS_SMALL))
                     held.append((np.full(len(near), i), near))
                     count += len(near)
                     if count >= PAIRS_AT_ONCE:
@@ -350,10 +401,14 @@ def _still_open(view: int, most: int, least: float):
     return run
 
 
-def retrieve_open(rows: DataFrame, view: int, most: int, least: float) -> DataFrame:
-    """``(src, dst, src_place, dst_place)``: all pairs of ``rows (node, place, grp, size, fp0, ...)`` of different groups that ``view`` is the first to retrieve and whose wide fingerprints allow a similarity of 0.8. Pairs under hot keys may come repeatedly."""
+def retrieve_open(rows: DataFrame, least: float) -> DataFrame:
+    """``(src, dst, src_place, dst_place)``: all pairs of ``rows (node, place, grp, size, tags, fp0, ...)`` of different groups that share a band and whose wide fingerprints allow a similarity of 0.8. Pairs under hot keys may come repeatedly."""
     schema = "src long, dst long, src_place long, dst_place long"
-    return _cells(_keyed(rows.withColumn("fp", F.col(f"fp{view}")).repartition("fp"))).mapInPandas(_still_open(view, most, least), schema)
+    keyed = materialise(_bands(rows.select("node", "grp", "tags")), "bands")
+    # bands all of whose rows are in one group have no open pairs: only the others' rows travel
+    mixed = keyed.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("key")
+    keyed = materialise(keyed.join(mixed, "key", "left_semi").drop("grp"), "bands")
+    return _band_cells(keyed.join(rows.withColumn("fp", F.col("fp0")), "node")).mapInPandas(_still_open(least), schema)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,15 +509,14 @@ def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, lea
     return _similar_by_place(pairs.join(src, "src").join(dst, "dst"), places, held, least)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 12, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay.
 
-    ``views`` fingerprints of a text's set of shingles retrieve pairs that
-    share two segments' keys and differ in ``most`` bits or fewer; the exact
-    Jaccard similarity of the sets decides. Pairs that differ in five bits or
-    fewer in some view are retrieved, others with a probability that falls
-    with their similarity. Texts without words are one group. Rows with a null
-    id stay.
+    Pairs whose sets of shingles share one of ``BANDS`` bands of ``BAND_ROWS``
+    MinHashes are retrieved, if fingerprints and sizes allow ``least``; the
+    exact Jaccard similarity of the sets decides. Of the pairs at 0.8 fewer
+    than one in 100,000 shares no band, whatever the sets' sizes. Equal sets
+    are one node; texts without words are one group. Rows with a null id stay.
 
     A large run of close rows is not judged pair by pair: a first turn judges
     the shortest pairs that connect it, a second one those retrieved pairs
@@ -471,34 +525,28 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8,
     of 0.8 lies some four standard deviations within the limit, so about one
     in 10,000 such pairs goes unseen, and fewer the more alike they are.
     """
-    if least < 0.8 or views > WIDE:
-        raise ValueError(f"the wide fingerprints' limit holds from a similarity of 0.8 and for {WIDE} views at most")
+    if least < 0.8:
+        raise ValueError("the bands and the fingerprints' limits hold from a similarity of 0.8")
     small_batches(docs.sparkSession)
-    sets = materialise(set_fingerprints(docs, shingle, views, id_col, text_col).where("id is not null"), "fingerprints")
-    seen = [sets.select("id", "size", F.col(f"fp{k}").alias("fp")) for k in range(views)]
-    nodes = [materialise(s.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("size", "id").alias("size"), F.count("*").alias("n")), "nodes") for s in seen]
-    members = [s.join(n.select(F.col("fp").alias("of"), "node", "n"), F.col("fp") == F.col("of")) for s, n in zip(seen, nodes, strict=True)]
-
-    same = [m.where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"), F.lit(False).alias("tree")) for m in members]
+    sets = materialise(banded(docs, shingle, id_col, text_col).where("id is not null"), "fingerprints")
+    of = ("same", "size", "fp")
+    nodes = materialise(sets.groupBy(*of).agg(F.min("id").alias("node"), F.first("tags").alias("tags"), F.count("*").alias("n")), "nodes")
+    several = nodes.where("n > 1").select(*(F.col(c).alias(f"of_{c}") for c in of), "node")
+    same = sets.drop("tags").join(several, [F.col(c) == F.col(f"of_{c}") for c in of]).where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
     with batch_rows(docs.sparkSession, 10_000):
-        found = functools.reduce(DataFrame.unionByName, [retrieve(n.select("fp", "node", "size"), most, least) for n in nodes] + same)
-        found = materialise(found.groupBy("src", "dst").agg(F.max("tree").alias("tree")), "pairs")
+        found = materialise(retrieve(nodes.select("fp", "node", "size", "tags"), least), "pairs")
     similar = similar_pairs(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
+    similar = materialise(similar.unionByName(same), "similar")
     groups = connected_components(similar)
-    # still open: rows of runs known by a tree only, and rows of equal fingerprints some pair of which failed
-    several = functools.reduce(DataFrame.unionByName, [n.where("n > 1").select("node") for n in nodes]).distinct()
-    failed = found.join(similar, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst").join(several, "node", "left_semi")
-    ends = failed.select("src", "dst").unionByName(found.where("tree").select("src", "dst"))
-    still = materialise(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "open")
+    still = materialise(_ends(found.where("tree")), "open")  # rows of runs known by a tree only
     if not still.isEmpty():
-        still = materialise(functools.reduce(DataFrame.unionByName, [m.join(still, "node", "left_semi").select("id") for m in members]).distinct(), "open")
         held = _held_sets(docs, still, shingle, id_col, text_col)
         places = materialise(_places(found.where("tree"), held), "places")
         named = groups.withColumnRenamed("node", "member")
-        wide = wide_fingerprints(held).withColumnRenamed("id", "node").join(places, "node").join(named, F.col("node") == F.col("member"), "left")
-        wide = materialise(wide.select("node", "place", F.coalesce("component", "node").alias("grp"), "size", *(f"fp{k}" for k in range(WIDE))), "wide")
+        wide = wide_fingerprints(held).withColumnRenamed("id", "node").join(places, "node").join(nodes.select("node", "tags"), "node").join(named, F.col("node") == F.col("member"), "left")
+        wide = materialise(wide.select("node", "place", F.coalesce("component", "node").alias("grp"), "size", "tags", *(f"fp{k}" for k in range(WIDE))), "wide")
         with batch_rows(docs.sparkSession, 10_000):
-            more = materialise(functools.reduce(DataFrame.unionByName, [retrieve_open(wide, k, most, least) for k in range(views)]), "pairs")
+            more = materialise(retrieve_open(wide, least), "pairs")
         more = _similar_by_place(more, places, held, least)
         groups = connected_components(similar.unionByName(more))
     return without_ids(docs, groups.where("component <> node").select("node"), id_col)

@@ -428,6 +428,33 @@ def test_large_group_of_near_copies_loses_no_retrieved_link(spark, monkeypatch):
     assert left == {i for i in range(60) if least[i] == i}
 
 
+def test_near_copies_at_the_limit_are_all_dropped(spark):
+    """Against brute force over all pairs: similarities of 0.80 to 0.85, short and long texts."""
+    draw = np.random.default_rng(11)
+    texts = []
+    for n, times in ((13, 250), (20, 250), (45, 250), (120, 250), (400, 80)):
+        for _ in range(times):
+            base = [f"w{draw.integers(1 << 40)}" for _ in range(n + 4)]
+            most = n // 9  # a new tail of k words changes k shingles: (n - k) / (n + k) >= 0.8
+            k = max(1, most - int(draw.integers(0, 1 + most // 4)))
+            copy = base[:-k] + [f"w{draw.integers(1 << 40)}" for _ in range(k)]
+            texts += [" ".join(base), " ".join(copy)]
+        texts += [" ".join(base + base[:2])]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    by_shingle, least = defaultdict(list), list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for sh in x:
+            by_shingle[sh].append(i)
+    pairs = {p for ids in by_shingle.values() for p in itertools.combinations(ids, 2)}
+    truth = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(10):
+        for i, j in truth:
+            least[i] = least[j] = min(least[i], least[j])
+    assert sum(least[i] != i for i in range(len(texts))) >= 1080
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)).collect()}
+    assert left == {i for i in range(len(texts)) if least[i] == i}
+
+
 def test_pipeline(spark, tmp_path, sample):
     import corpus_pipeline
 
