@@ -321,14 +321,29 @@ def repeated_lines(spark, d):
 
 @query()
 def grounded_benchmark(spark, d):
-    """Which items' first hundred characters occur in which documents, by the rarest five words of each item."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    items = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 100).alias("quote"))
-    first = lambda a, i: F.array_join(F.slice(a, i, 5), " ")
-    keyed = items.withColumn("w", words("quote")).where(F.size("w") >= 5).select("item_id", "quote", first(F.col("w"), F.lit(1)).alias("key"))
-    docs = read(spark, d, "documents").select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= 5)
-    spots = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: first(F.col("w"), i)))).alias("key"))
-    return spots.join(keyed, "key").where(privacy.grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+    """Which whole items are grounded in which documents.
+
+    A document that holds 92 % of an item's words holds one of its rarest
+    words that make up over 8 %; one that quotes an item whole holds all its
+    words but the first and the last, which may go on. These words are the
+    keys; only items that have none (two words or fewer) meet all documents.
+    """
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.split(privacy.normal_for_grounding(F.col("text")), " ").alias("w"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.split(privacy.normal_for_grounding(F.col("text")), " "))).alias("key"))
+    places = items.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("at", "key"))
+    rare = seen.join(places.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("docs"))
+    places = places.join(rare, "key", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    inner = places.where("at > 0 and at < n - 1").groupBy("item_id").agg(F.min_by("key", F.struct("docs", "key")).alias("key"))
+    counted = places.where(F.length("key") > 1).groupBy("item_id", "key", "docs").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("item_id").orderBy("docs", "key")
+    before = F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rarest = counted.withColumn("before", before).withColumn("all", F.sum("times").over(Window.partitionBy("item_id"))).where("all >= 6 and before * 100 <= all * 8").select("item_id", "key")
+    pairs = seen.join(inner.unionByName(rarest).distinct(), "key").select("doc_id", "item_id").distinct()
+    near = docs.join(pairs, "doc_id").join(items.select("item_id", "quote"), "item_id")
+    short = docs.crossJoin(items.where(F.size("w") < 3).select("item_id", "quote"))
+    every = near.select("doc_id", "item_id", "quote", "text").unionByName(short.select("doc_id", "item_id", "quote", "text"))
+    return every.where(privacy.grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
 
 
 @query()
