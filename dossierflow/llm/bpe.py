@@ -21,8 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 BLOCK_WORDS = 400_000  # distinct ones
 BLOCK_PLACES = 8_000_000
 
@@ -81,7 +79,7 @@ class _Blocks:
     def __init__(self, block_words: int) -> None:
         self.most, self.vocab, self.n, self.hash, self.held = block_words, {}, 0, hashlib.blake2b(digest_size=8), []
 
-    def add(self, doc: int | None, text: str | None, with_places: bool) -> bool:
+    def add(self, doc: str | None, text: str | None, with_places: bool) -> bool:
         """Whether the block is full now."""
         words = split_words(text) if text else []
         vocab = self.vocab
@@ -105,7 +103,7 @@ def _dealt(batches: Iterator[pd.DataFrame], block_words: int, with_places: bool)
     for batch in batches:
         for doc, text in zip(batch["id"], batch["text"], strict=True):
             block = block or _Blocks(block_words)
-            if block.add(None if pd.isna(doc) else int(doc), text, with_places):
+            if block.add(doc, text, with_places):
                 yield block
                 block = None
     if block:
@@ -123,7 +121,6 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
     else an error tells that a block's words are missing.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     path = tokenizer or default_tokenizer()
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -153,7 +150,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
         for block in _dealt(batches, block_words, True):
             key = block.key()
             rows = [(key, 0, None, zlib.compress(bucket_of(block.vocab).tobytes(), 3)), *((key, 1, doc, at) for doc, at in block.held)]
-            yield pd.DataFrame(rows, columns=["block", "kind", "id", "data"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["block", "kind", "id", "data"])
 
     def numbers(packed: bytes) -> np.ndarray:
         return np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
@@ -184,12 +181,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
             if "" in parts[0]:  # a word without ids leaves no gap
                 parts = tuple([x for x in p if x] for p in parts)
             out.append((doc, int(counts[at].sum()), *(hashlib.sha256(" ".join(p).encode()).hexdigest() for p in parts)))
-        return pd.DataFrame(out, columns=["id", "n_tokens", "a", "b"]).astype({"id": "Int64"})
+        return pd.DataFrame(out, columns=["id", "n_tokens", "a", "b"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas has no nullable longs
     answers = base.mapInPandas(ask, "block long, bucket int, words binary").groupBy("bucket").applyInPandas(answer, "block long, bucket int, lengths binary, ids binary")
-    placed = base.mapInPandas(place, "block long, kind int, id long, data binary")
+    placed = base.mapInPandas(place, "block long, kind int, id string, data binary")
     kind = "string" if digests else "array<int>"
-    done = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join_up, f"id long, n_tokens long, a {kind}, b string")
+    done = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join_up, f"id string, n_tokens long, a {kind}, b string")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    return done.select(F.col("id").alias(id_col), "n_tokens", F.col("a").alias(names[0]), F.col("b").alias(names[1]))
+    return done.select(F.col("id").cast("long").alias(id_col), "n_tokens", F.col("a").alias(names[0]), F.col("b").alias(names[1]))

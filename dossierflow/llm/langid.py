@@ -2,15 +2,14 @@
 
 Texts become hashed counts of one- to three-byte sequences over letters. A
 linear support vector machine for each pair of families chooses the family;
-within it, one for each pair of languages votes. All machines are fitted on
-the driver on a bounded sample, at most ``PER_LANGUAGE`` rows of each language
-and ``MOST_LANGUAGES`` languages, whose features have a fixed size.
+within it, one for each pair of languages votes. All machines are fitted on the
+driver on a bounded sample of labelled rows: at most ``PER_LANGUAGE`` of each
+language and ``SAMPLE_ROWS`` in all, which the languages share evenly.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, without_ids
+from .common import col, fresh
 
 DIMS = 1 << 12
 PER_LANGUAGE = 300
-MOST_LANGUAGES = 64
+SAMPLE_ROWS = 19_200
 UNKNOWN = "und"
 #: Language families by ISO 639-1 code; other codes are a family of their own.
 FAMILIES = {
@@ -37,13 +36,12 @@ FAMILIES = {
     "indic": "hi bn mr ur pa gu ne",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of hashed counts, of length one; None for a null text or one without letters."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split()) + b" "
     counts = np.zeros(DIMS)
@@ -122,18 +120,23 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
-    """Fit on rows with a language that are not held out, at most ``per_language`` of each of the ``most_languages`` most frequent.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fit on rows with a language that are not held out, at most ``per_language`` of each and ``sample_rows`` in all.
 
-    The sample is drawn by a hash of the id. Texts without letters teach
-    nothing; without any labelled rows every text is ``und``.
+    The sample is drawn by a hash of the id. Every language has the same
+    share of it, at least a row, so none is left out; more than
+    ``sample_rows`` languages are an error. Texts without letters teach
+    nothing; without any labelled rows every text is ``und``. Rows with a null
+    id are not learnt from, as they cannot be told from held-out ones.
     """
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held"))
+    base = docs.select(col(id_col).cast("string").alias("id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held"))
     known = base.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~F.col("held"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = known.groupBy("lang").count().limit(sample_rows + 1).collect()  # a row for each language
     if not sizes:
         return LanguageModel(None, {})
+    if len(sizes) > sample_rows:
+        raise ValueError(f"more than {sample_rows} languages")
+    per_language = min(per_language, sample_rows // len(sizes))
     # a hash below the language's share keeps about per_language rows, so the exact cut sorts few of them
     span = 1 << 30
     shares = {r["lang"]: min(span, int(span * (per_language * 1.5 + 20) / r["count"])) for r in sizes}
@@ -142,47 +145,58 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(lang, h, i, x.tobytes()) for lang, h, i, t in zip(batch["lang"], batch["h"], batch["id"], batch["text"], strict=True) if (x := features(t)) is not None]
-            yield pd.DataFrame(rows, columns=["lang", "h", "id", "x"])
+            rows = [(lang, h, i, *_packed(x)) for lang, h, i, t in zip(batch["lang"], batch["h"], batch["id"], batch["text"], strict=True) if (x := features(t)) is not None]
+            yield pd.DataFrame(rows, columns=["lang", "h", "id", "at", "x"])
 
-    found = drawn.select("lang", "h", "id", "text").mapInPandas(vectors, "lang string, h long, id string, x binary")
-    order = Window.partitionBy("lang").orderBy("h", "id", "x")
-    sample = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "h", "x").collect()  # at most per_language * most_languages vectors of fixed size
+    found = drawn.select("lang", "h", "id", "text").mapInPandas(vectors, "lang string, h long, id string, at binary, x binary")
+    order = Window.partitionBy("lang").orderBy("h", "id", "at", "x")
+    sample = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "h", "at", "x").collect()  # at most sample_rows vectors, without their zeros
     if not sample:
         return LanguageModel(None, {})
-    sample.sort(key=lambda r: (r["lang"], r["h"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in sample])
+    sample.sort(key=lambda r: (r["lang"], r["h"], bytes(r["at"]), bytes(r["x"])))
+    x = np.zeros((len(sample), DIMS), dtype=np.float32)
+    for row, r in zip(x, sample, strict=True):
+        row[np.frombuffer(r["at"], dtype=np.uint16)] = np.frombuffer(r["x"], dtype=np.float32)
     lang = np.array([r["lang"] for r in sample], dtype=object)
     del sample
     family = np.array([FAMILY_OF.get(n.split("-")[0].lower(), n) for n in lang], dtype=object)
     return LanguageModel(Machines.fit(x, family), {f: Machines.fit(x[family == f], lang[family == f]) for f in sorted(set(family.tolist()))})
 
 
+def _packed(x: np.ndarray) -> tuple[bytes, bytes]:
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes(), x[at].tobytes()
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``' id (and columns in ``keep``) with ``lang_pred`` and ``score``, over whole texts.
 
-    ``und`` with score 0 for null texts and texts without letters; empty
-    tables give empty results; columns with these names are not carried over.
+    ``und`` with score 0 for null texts and texts without letters. Repeated
+    rows and ids have a row each; an empty table gives an empty result. Kept
+    columns of these names would clash and are an error.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size for given limits
-    keep = [c for c in (keep or []) if c not in (id_col, "lang_pred", "score", text_col)]
-    base = docs.select(id_col, text_col, *keep)
+    keep = [c for c in (keep or []) if c not in (id_col, text_col)]
+    if clash := {"lang_pred", "score"} & {c.lower() for c in (id_col, *keep)}:
+        raise ValueError(f"columns clash: {sorted(clash)}")
+    said = _said(docs.select(id_col, text_col, *keep), model, text_col, "lang_pred", "score")
+    return said.select(id_col, text_col, *keep, "lang_pred", "score")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _said(docs: DataFrame, model: LanguageModel, text_col: str, name: str, score: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for given languages
+
+    @F.pandas_udf("struct<lang string, score double>")
+    def predict(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        for batch in batches:
-            said = [own.predict(t) for t in batch[text_col]]
-            batch["lang_pred"], batch["score"] = [n for n, _ in said], np.array([s for _, s in said], dtype=float)
-            yield batch
+        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    said = fresh("said", docs)
+    out = docs.withColumn(said, predict(col(text_col).cast("string")))
+    return out.withColumns({name: F.col(f"{said}.lang"), score: F.col(f"{said}.score")}).drop(said)
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows in no language: ``und``, or a score below ``least``; all columns stay."""
-    said = identify(docs, fit(docs))
-    lost = said.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id")
-    return without_ids(docs, lost, "doc_id")
+def drop_unidentified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows in no language: ``und``, or a score below ``least``; all columns stay, repeated rows each for itself."""
+    lang, score = fresh("lang_pred", docs), fresh("score", docs)
+    said = _said(docs, fit(docs, id_col, text_col, lang_col), text_col, lang, score)
+    return said.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*[col(c) for c in docs.columns])

@@ -21,8 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 WORDS = 5
 LEAST = 0.8
 BANDS = 64
@@ -125,7 +123,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     match nothing. Repeated rows give repeated results; other columns are not
     read. The templates are a parameter and go to every task.
     """
-    small_batches(docs.sparkSession)
     chosen = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise
 
 CAPACITY = 2048
 END_ID = 0
@@ -73,7 +73,6 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     The first piece takes the remainder. A null or empty text is its end id
     alone; repeated rows are packed each; an empty table has no pieces.
     """
-    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,8 +87,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     rows.append((doc, piece, start, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int64)] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(cut, "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas has no nullable longs
+    pieces = base.mapInPandas(cut, "id string, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    return pieces.withColumn("id", F.col("id").cast("long"))
 
 
 def _price(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

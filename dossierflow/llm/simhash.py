@@ -4,38 +4,38 @@ A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each
 padded to 23. The perfect Golay code (23, 12) puts every segment within three
 bits of one codeword; the keys of a segment are all codewords within four
 bits, one or six of them, so two segments that differ in two bits or fewer
-share a key. If two fingerprints differ in five bits or fewer, at most one
-segment holds more than two of them: they share the keys of some two
-segments. Fingerprints meet under such pairs of keys and are compared.
+share a key. If two fingerprints differ in two bits or fewer, some segment is
+equal and the next one shares a key: they meet under the two together. If
+they differ in five bits or fewer, at most one segment holds more than two of
+them: they share the keys of some two segments. What meets is compared.
+
+Whole texts with a Jaccard similarity of 0.8 differ in some ten bits, beyond
+what such keys guarantee, so ``drop_near_duplicates`` retrieves by bands of
+MinHashes instead; fingerprints only order its comparisons.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, connected_components, marked, materialise, small_batches, without_ids
+from .common import connected_components, drop_rows, materialise, rows_with, scratch, text_hash
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-MOST_BITS = 5
+EQUAL_BITS, MOST_BITS = 2, 5
 GENERATOR = 0b101011100011  # fixed value: a generator polynomial of the binary Golay code
 SMALL_RUN = 24
-SMALL_TREE = 6
-BLOCK = 16384
-BLOCK_ROWS = 256
-BLOCK_ITEMS = 1 << 19
+BLOCK = 16384  # rows of a key that are compared in one task
+SET_ROWS, SET_ITEMS = 2048, 1 << 21  # the same for rows with their shingle sets, by rows and by shingles
+HUB = 4096  # pairs of one row that are judged in one task
+TILE = 256
 BANDS, BAND_ROWS = 30, 5  # sets with a similarity of 0.8 share no band with a probability of (1 - 0.8**5)**30 < 0.00001
-VIEW_BITS, VIEW_BITS_SMALL = 24, 28  # of 64: sets of 16 shingles or more with a similarity of 0.8 differ in 10 on average, smaller ones in 12, the standard deviation is 3
-WIDE = 16  # words of a wide fingerprint
-WIDE_BITS = 205  # sets of 16 shingles or more with a similarity of 0.8 differ in 160 of 1024 bits at most on average, the standard deviation is 11.6
-WIDE_BITS_SMALL = 245  # smaller sets: 192, 12.5
-PAIRS_AT_ONCE = 1 << 16
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -87,121 +87,46 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(sums * 2 > total, bitorder="little").tobytes(), "little")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, h, text)``: ids as strings, since pandas has no nullable longs."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").cast("string").alias("id"), text_hash(text).alias("h"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """``(id, fp)``: the fingerprint as a signed long; 0 for null texts and texts without words."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": batch["id"], "fp": fps})
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(run, "id long, fp long")
-
-
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same values (the splitmix64 finaliser)."""
-    x = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    return _texts(docs, id_col, text_col).select("id", "text").mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """Bit b is set if it is set in over half of the hashes."""
-    sums = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        sums += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(sums * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def _fingerprint_rows(ids: pd.Series, sets: Iterator[np.ndarray], views: int) -> pd.DataFrame:
-    sizes, fps = [], [[] for _ in range(views)]
-    for hashes in sets:
-        sizes.append(len(hashes))
-        for fp in fps:
-            fp.append(_majority(hashes))
-            hashes = _mixed(hashes)
-    return pd.DataFrame({"id": ids, "size": np.array(sizes, dtype=np.int64)} | {f"fp{k}": np.array(fp, dtype=np.uint64).view(np.int64) for k, fp in enumerate(fps)})
-
-
-def _fingerprint_schema(views: int) -> str:
-    return ", ".join(["id long, size long", *(f"fp{k} long" for k in range(views))])
-
-
-def set_fingerprints(docs: DataFrame, shingle: int, views: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, size, fp0, fp1, ...)``: of the set of a text's shingles its size and ``views`` fingerprints; repeats do not count, so that similar sets have close fingerprints."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _fingerprint_rows(batch["id"], (shingle_set(t, shingle) for t in batch["text"]), views)
-
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(run, _fingerprint_schema(views))
-
-
-@functools.lru_cache(maxsize=1)
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240917)
-    n = BANDS * BAND_ROWS
-    return draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
-
-
-def band_tags(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of the hash of each band's MinHashes."""
-    a, b = _factors()
-    least = np.full(len(a), ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, (hashes[at : at + 1024, None] * a[None, :] + b[None, :]).min(axis=0))
-    key = np.zeros(BANDS, dtype=np.uint64)
-    for row in _mixed(least).reshape(BANDS, BAND_ROWS).T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return (key >> np.uint64(32)).astype(np.uint32)
-
-
-def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, size, fp, same, tags)``: of the set of a text's shingles its size, a fingerprint, a hash of the whole set and the bands' tags."""
-    from xxhash import xxh64_intdigest
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch["text"]]
-            fps, same = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([_majority(x) for x in sets], [xxh64_intdigest(x.tobytes()) for x in sets]))
-            yield pd.DataFrame({"id": batch["id"], "size": np.array([len(x) for x in sets], dtype=np.int64), "fp": fps, "same": same, "tags": [band_tags(x).tobytes() for x in sets]})
-
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(run, "id long, size long, fp long, same long, tags binary")
-
-
-def wide_fingerprints(held: DataFrame) -> DataFrame:
-    """``(id, size, fp0, ...)`` with all ``WIDE`` fingerprints of ``held (id, items)``."""
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _fingerprint_rows(batch["id"], (np.frombuffer(x, dtype=np.uint64) for x in batch["items"]), WIDE)
 
-    return held.mapInPandas(run, _fingerprint_schema(WIDE))
+# what links by fingerprints ---------------------------------------------------------------------
 
 
-def _keyed(distinct: DataFrame) -> DataFrame:
-    """The rows of ``distinct (fp, ...)`` with a ``key`` for every pair of segments and every pair of their Golay keys."""
-    schema = ", ".join(["key long", *(f"{c} long" for c in distinct.columns)])
+def _keyed(distinct: DataFrame, most: int) -> DataFrame:
+    """The rows of ``distinct (fp, node)`` with every ``key`` under which fingerprints that differ in ``most`` bits or fewer meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = batch["fp"].to_numpy()
-            keys = [golay_keys((fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)) for at, bits in SEGMENTS]
-            for pair, (a, b) in enumerate(itertools.combinations(range(3), 2)):
-                both = (keys[a][:, :, None] << 12 | keys[b][:, None, :]).reshape(len(fp), 36)
-                held = ((keys[a] >= 0)[:, :, None] & (keys[b] >= 0)[:, None, :]).reshape(len(fp), 36)
+            fp, node = batch["fp"].to_numpy(), batch["node"].to_numpy()
+            cut = [(fp.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1) for at, bits in SEGMENTS]
+            keys = [golay_keys(c) for c in cut]
+            for n, (a, b) in enumerate(((0, 1), (1, 2), (2, 0))):
+                left = cut[a][:, None] if most <= EQUAL_BITS else keys[a]  # a segment as it is, or its keys
+                both = (left[:, :, None] << 12 | keys[b][:, None, :]).reshape(len(fp), -1)
+                held = ((left >= 0)[:, :, None] & (keys[b] >= 0)[:, None, :]).reshape(len(fp), -1)
                 i, j = np.nonzero(held)
-                yield pd.DataFrame({"key": both[i, j] | pair << 24} | {c: batch[c].to_numpy()[i] for c in batch.columns})
-
-    return distinct.mapInPandas(run, schema)
+                yield pd.DataFrame({"key": both[i, j] * 3 + n, "fp": fp[i], "node": node[i]})
 
-
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    return distinct.select("fp", "node").mapInPandas(run, "key long, fp long, node long")
 
 
 def _close(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -220,33 +145,23 @@ def _close(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Whole runs of equal cells with the runs' starts and sizes; input sorted by cell."""
-    held = None
+    held: list[pd.DataFrame] = []
     for batch in itertools.chain(batches, [None]):
+        whole = None
         if batch is None:
-            whole, held = held, None
-        else:
-            whole = batch if held is None else pd.concat([held, batch])
-            cell = whole["cell"].to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))  # the last run may go on; a run has 2 * BLOCK rows at most
-            whole, held = whole.iloc[:cut], whole.iloc[cut:]
+            whole = pd.concat(held) if held else None
+        elif len(batch):
+            cell = batch["cell"].to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last run may go on; its rows are bounded
+            if cut or (held and held[-1]["cell"].iloc[-1] != cell[-1]):
+                whole, held = pd.concat([*held, batch.iloc[:cut]]), []
+            held.append(batch.iloc[cut:])
         if whole is not None and len(whole):
             cell = whole["cell"].to_numpy()
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             yield whole, starts, np.diff(np.r_[starts, len(cell)])
 
 
-def _neighbours(cell: np.ndarray, sizes: np.ndarray, fp: np.ndarray, most: int, small: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Places of rows, and the step from each to a later row close to it, for all pairs in runs of ``small`` rows or fewer."""
-    size_of = np.repeat(sizes, sizes)
-    at = np.flatnonzero((size_of > 1) & (size_of <= small))
-    for step in range(1, small):
-        at = at[at + step < len(cell)]
-        at = at[cell[at] == cell[at + step]]
-        if not len(at):
-            return
-        yield at[_bits(fp[at], fp[at + step]) <= most], step
-
-
 def _compare(most: int):
     """Compares within runs of equal cells; input sorted by cell."""
 
@@ -257,7 +172,12 @@ def _compare(most: int):
             links = []
             for s, n in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN], strict=True):
                 links += _close(fp[s : s + n], node[s : s + n], most)
-            for near, step in _neighbours(cell, sizes, fp, most, SMALL_RUN):
+            size_of = np.repeat(sizes, sizes)
+            at = np.flatnonzero((size_of > 1) & (size_of <= SMALL_RUN))
+            for step in range(1, SMALL_RUN):  # all pairs of the small runs
+                at = at[at + step < len(cell)]
+                at = at[cell[at] == cell[at + step]]
+                near = at[_bits(fp[at], fp[at + step]) <= most]
                 links += zip(node[near].tolist(), node[near + step].tolist(), strict=True)
             links = {(min(x), max(x)) for x in links} - seen
             seen = (seen | links) if len(seen) < 200_000 else links  # repeats are dropped later in any case
@@ -267,194 +187,262 @@ def _compare(most: int):
     return run
 
 
-def _cells(keyed: DataFrame) -> DataFrame:
-    """Rows by ``cell``: a key, or of a key that over BLOCK rows share a pair of its blocks; each pair of rows meets in some cell."""
-    rest = [c for c in keyed.columns if c != "key"]
-    # written first: while such keys are few, their size lets Spark join them without shuffling all rows by key
-    hot = materialise(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys")
-    dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
-    own = F.pmod(F.xxhash64("fp", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
-    cells = dealt.select(F.explode(others).alias("blocks"), "key", *rest).select((F.col("key") * F.lit(1 << 32) + F.col("blocks")).alias("cell"), *rest)
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp")
+def _dealt(rows: DataFrame, blocks: DataFrame, on: str) -> DataFrame:
+    """``rows`` by ``cell``: one for each value of ``on``, or where ``blocks (on, blocks)`` gives several, one for each pair of its blocks.
+
+    ``own`` is a row's block. Two rows meet in one cell, but for those of one
+    block, which meet in a cell of their own (``cross`` false) and beside
+    others. Cells are hashes: rows of two values may meet, which costs
+    comparisons only.
+    """
+    rest = [c for c in rows.columns if c != on]
+    dealt = rows.join(blocks.withColumnRenamed(on, "__of").where("blocks > 1"), F.col(on) == F.col("__of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("low"), F.greatest(own, o).alias("high")))
+    cells = dealt.select(on, *rest, own.alias("own"), F.explode(others).alias("pair"))
+    return cells.select(F.xxhash64(on, "pair.low", "pair.high").alias("cell"), (F.col("pair.low") != F.col("pair.high")).alias("cross"), "own", on, *rest)
 
 
 def links(distinct: DataFrame, most: int) -> DataFrame:
     """``(src, dst)`` that connect exactly the rows of ``distinct (fp, node)`` that chains of close fingerprints connect."""
     if not 0 <= most <= MOST_BITS:
         raise ValueError(f"the keys guarantee up to {MOST_BITS} differing bits")
-    return _cells(_keyed(distinct.repartition("fp"))).mapInPandas(_compare(most), "src long, dst long").distinct()
+    spark = distinct.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(spark) as write:
+        keyed = write(_keyed(distinct.repartition(parts, "fp"), most), "keys")  # a given number is not coalesced: each row becomes many
+        counts = write(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys")
+        cells = _dealt(keyed, counts, "key").select("cell", "fp", "node").repartition(parts, "cell").sortWithinPartitions("cell", "fp")
+        return materialise(cells.mapInPandas(_compare(most), "src long, dst long").distinct(), "links")
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of these sizes can have a Jaccard similarity of ``least``."""
-    return np.minimum(a, b) >= least * np.maximum(a, b)
+def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fingerprint, component_id)``, one row per row of ``docs``.
+
+    Fingerprints link at ``most`` or fewer differing bits; ``component_id`` is
+    the smallest id that chains of links reach. Texts that are null or have no
+    words share fingerprint zero. Equal fingerprints are one node, whatever
+    their number, so repeated rows and ids are fine. Rows with a null id keep
+    their fingerprint and their group's id, null if all the group's ids are.
+    An empty table gives an empty result; other columns are not read.
+    """
+    fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    # nodes are numbered when written, so each is unique, whatever the ids
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    groups = connected_components(links(distinct, most)).withColumnRenamed("node", "member")
+    labelled = distinct.join(groups, F.col("node") == F.col("member"), "left").withColumn("component", F.coalesce("component", "node"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = materialise(labelled.select(F.col("fp").alias("of"), "component").join(least, "component"), "labels")
+    out = fps.join(labelled, fps["fp"] == labelled["of"])
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _tree(fp: np.ndarray, node: np.ndarray, size: np.ndarray, most: int, least: float) -> Iterator[tuple[int, int]]:
-    """The shortest pairs that connect what is close in a run."""
-    best, near, rest = np.full(len(fp), most + 1), np.zeros(len(fp), dtype=np.int64), np.arange(len(fp))
-    while len(rest):
-        i = int(np.argmin(best[rest]))
-        x = rest[i]
-        if best[x] <= most:
-            yield node[near[x]], node[x]
-        rest = np.delete(rest, i)
-        bits = np.where(_alike(size[rest], size[x], least), _bits(fp[rest], fp[x]).astype(np.int64), most + 1)
-        closer = bits < best[rest]
-        best[rest[closer]], near[rest[closer]] = bits[closer], x
+# what links by the similarity of whole texts ------------------------------------------------------
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same values (the splitmix64 finaliser)."""
+    x = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def _allowed(a: np.ndarray, b: np.ndarray, large: int, small: int) -> np.ndarray:
-    """The bits in which fingerprints of similar sets of these sizes may differ."""
-    return np.where(np.minimum(a, b) < 16, small, large)
+def _majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes."""
+    sums = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        sums += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(sums * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _retrieve(least: float):
-    """Close pairs: all those in small runs, a tree of them in larger ones."""
+@functools.lru_cache(maxsize=1)
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240917)
+    n = BANDS * BAND_ROWS
+    return draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts, sizes in _runs(batches):
-            cell, fp, node, size = (rows[c].to_numpy() for c in ("cell", "fp", "node", "size"))
-            pairs, trees = set(), set()
-            for near, step in _neighbours(cell, sizes, fp, VIEW_BITS_SMALL, SMALL_TREE):
-                x, y = near, near + step
-                close = _alike(size[x], size[y], least) & (_bits(fp[x], fp[y]) <= _allowed(size[x], size[y], VIEW_BITS, VIEW_BITS_SMALL))
-                pairs |= set(zip(node[x[close]].tolist(), node[y[close]].tolist(), strict=True))
-            for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
-                trees |= {(int(x), int(y)) for x, y in _tree(fp[s : s + n], node[s : s + n], size[s : s + n], VIEW_BITS_SMALL, least)}
-            for found, tree in ((pairs, False), (trees, True)):
-                found = sorted({(min(x), max(x)) for x in found})
-                if found:
-                    yield pd.DataFrame(found, columns=["src", "dst"]).assign(tree=tree)
 
-    return run
+def band_tags(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each band's MinHashes."""
+    a, b = _factors()
+    least = np.full(len(a), ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * a[None, :] + b[None, :]).min(axis=0))
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for row in _mixed(least).reshape(BANDS, BAND_ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words are one shingle, no words none."""
+    from xxhash import xxh64_intdigest
+
+    line, starts, ends = _words(text or "")
+    last = ends[shingle - 1 :] or ends[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(line[s:e]) for s, e in zip(starts, last, strict=False)), dtype=np.uint64))
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """``rows (tags, ...)`` once for each band, with the band's ``key``."""
-    schema = ", ".join(["key long", "band int", *(f"{c} {t}" for c, t in rows.dtypes if c != "tags")])
+def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, h, size, fp, same, tags)``: of the set of a text's shingles its size, a fingerprint, a hash of the whole set and the bands' tags."""
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tags = np.frombuffer(b"".join(batch["tags"]), dtype=np.uint32).reshape(len(batch), BANDS).astype(np.int64)
-            band = np.tile(np.arange(BANDS), len(batch))
-            rest = batch.drop(columns="tags").loc[batch.index.repeat(BANDS)].reset_index(drop=True)
-            yield pd.concat([pd.DataFrame({"key": tags.ravel() << 8 | band, "band": band.astype(np.int32)}), rest], axis=1)
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            fps, same = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([_majority(x) for x in sets], [xxh64_intdigest(x.tobytes()) for x in sets]))
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "size": np.array([len(x) for x in sets], dtype=np.int64), "fp": fps, "same": same, "tags": [band_tags(x).view(np.int64) for x in sets]})
 
-    return rows.mapInPandas(run, schema)
+    out = _texts(docs, id_col, text_col).mapInPandas(run, "id string, h long, size long, fp long, same long, tags array<long>")
+    return out.withColumn("id", F.col("id").cast("long"))
 
 
-def _band_cells(keyed: DataFrame) -> DataFrame:
-    """As ``_cells``, for keys of 40 bits: cells are hashes, so rows of two keys may meet in one, which costs comparisons only."""
-    rest = [c for c in keyed.columns if c != "key"]
-    hot = materialise(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys")
-    dealt = keyed.join(hot, keyed["key"] == hot["hot_key"], "left")
-    own = F.pmod(F.xxhash64("fp", "node"), F.coalesce("blocks", F.lit(1))).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(own, o) * (1 << 16) + F.greatest(own, o))
-    cells = dealt.select(F.explode(others).alias("blocks"), "key", *rest).select(F.xxhash64("key", "blocks").alias("cell"), *rest)
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp")
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can have a Jaccard similarity of ``least``."""
+    return np.minimum(a, b) >= least * np.maximum(a, b)
 
 
-def retrieve(rows: DataFrame, least: float) -> DataFrame:
-    """``(src, dst, tree)``: pairs of ``rows (fp, node, size, tags)`` that share a band and whose fingerprints and sizes allow a similarity of ``least``; of large runs just a tree of them."""
-    found = _band_cells(_bands(rows).drop("band")).mapInPandas(_retrieve(least), "src long, dst long, tree boolean")
-    return found.groupBy("src", "dst").agg(F.max("tree").alias("tree"))
+def _forest(fp: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """The pairs, shortest by fingerprint, that connect what sizes allow to be similar in a run."""
+    far = 65
+    best, near, rest = np.full(len(fp), far), np.zeros(len(fp), dtype=np.int64), np.arange(len(fp))
+    while len(rest):
+        i = int(np.argmin(best[rest]))
+        x = rest[i]
+        if best[x] < far:
+            yield int(near[x]), int(x)
+        rest = np.delete(rest, i)
+        bits = np.where(_alike(size[rest], size[x], least), _bits(fp[rest], fp[x]).astype(np.int64), far)
+        closer = bits < best[rest]
+        best[rest[closer]], near[rest[closer]] = bits[closer], x
 
 
-def _still_open(least: float):
-    """All pairs of different groups whose sizes and wide fingerprints are close, each under the first band that retrieves it."""
+def _first_turn(least: float):
+    """Pairs that connect each run: one fewer than its rows at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, sizes in _runs(batches):
-            cell, band, node, group, size, place = (rows[c].to_numpy() for c in ("cell", "band", "node", "grp", "size", "place"))
-            wide = rows[[f"fp{k}" for k in range(WIDE)]].to_numpy()
-            tags = np.frombuffer(b"".join(rows["tags"]), dtype=np.uint32).reshape(len(rows), BANDS)
-            fp = np.ascontiguousarray(wide[:, 0])
-
-            def pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-                near = np.flatnonzero((group[a] != group[b]) & _alike(size[a], size[b], least))  # noqa: B023
-                a, b = a[near], b[near]
-                near = np.flatnonzero(_bits(wide[a], wide[b]).sum(axis=1) <= _allowed(size[a], size[b], WIDE_BITS, WIDE_BITS_SMALL))  # noqa: B023
-                a, b = a[near], b[near]
-                shared = tags[a] == tags[b]  # noqa: B023
-                first = shared.any(axis=1) & (shared.argmax(axis=1) == band[a]) & (band[a] == band[b])  # noqa: B023
-                a, b = a[first], b[first]
-                return pd.DataFrame({"src": node[a], "dst": node[b], "src_place": place[a], "dst_place": place[b]})  # noqa: B023
-
-            for near, step in _neighbours(cell, sizes, fp, VIEW_BITS_SMALL, SMALL_TREE):
-                yield pairs(near, near + step)
-            held, count = [], 0
-            for s, n in zip(starts[sizes > SMALL_TREE].tolist(), sizes[sizes > SMALL_TREE].tolist(), strict=True):
+            fp, node, size = (rows[c].to_numpy() for c in ("fp", "node", "size"))
+            two = starts[sizes == 2]
+            two = two[_alike(size[two], size[two + 1], least)]
+            found = set(zip(node[two].tolist(), node[two + 1].tolist(), strict=True))
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                found |= {(int(node[s + x]), int(node[s + y])) for x, y in _forest(fp[s : s + n], size[s : s + n], least)}
+            if found:
+                yield pd.DataFrame(sorted({(min(x), max(x)) for x in found}), columns=["src", "dst"])
+
+    return run
+
+
+def _pending(least: float):
+    """Of each run, the rows with a pair that is still to be judged there: of different groups, of sizes that allow it, not judged in the first turn, and in no earlier band together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(batches):
+            fp, size, group, band, own, cross = (rows[c].to_numpy() for c in ("fp", "size", "grp", "band", "own", "cross"))
+            tags = np.array(rows["tags"].tolist(), dtype=np.int64).reshape(len(rows), BANDS)
+            wanted = np.zeros(len(rows), dtype=bool)
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 if (group[s : s + n] == group[s]).all():
                     continue
+                judged = [set() for _ in range(n)]
+                for x, y in _forest(fp[s : s + n], size[s : s + n], least):
+                    judged[min(x, y)].add(max(x, y))
                 for i in range(s, s + n - 1):
-                    near = i + 1 + np.flatnonzero((group[i + 1 : s + n] != group[i]) & (_bits(fp[i + 1 : s + n], fp[i]) <= VIEW_BITS_SMALL))
-                    held.append((np.full(len(near), i), near))
-                    count += len(near)
-                    if count >= PAIRS_AT_ONCE:
-                        yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                        held, count = [], 0
-            if held:
-                yield pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    j = np.arange(i + 1, s + n)
+                    j = j[_open(i, j, group, size, own, cross, least) & _first_shared(tags[i], tags[j], band[i])]
+                    j = j[[int(x) - s not in judged[i - s] for x in j]] if judged[i - s] and len(j) else j
+                    wanted[i] |= bool(len(j))
+                    wanted[j] = True
+            yield rows.loc[wanted, ["cell", "cross", "own", "band", "node", "grp", "size", "tags"]]
 
     return run
 
 
-def retrieve_open(rows: DataFrame, least: float) -> DataFrame:
-    """``(src, dst, src_place, dst_place)``: all pairs of ``rows (node, place, grp, size, tags, fp0, ...)`` of different groups that share a band and whose wide fingerprints allow a similarity of 0.8. Pairs under hot keys may come repeatedly."""
-    schema = "src long, dst long, src_place long, dst_place long"
-    keyed = materialise(_bands(rows.select("node", "grp", "tags")), "bands")
-    # bands all of whose rows are in one group have no open pairs: only the others' rows travel
-    mixed = keyed.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("key")
-    keyed = materialise(keyed.join(mixed, "key", "left_semi").drop("grp"), "bands")
-    return _band_cells(keyed.join(rows.withColumn("fp", F.col("fp0")), "node")).mapInPandas(_still_open(least), schema)
+def _open(i: int | np.ndarray, j: np.ndarray, group: np.ndarray, size: np.ndarray, own: np.ndarray, cross: np.ndarray, least: float) -> np.ndarray:
+    return (group[i] != group[j]) & _alike(size[i], size[j], least) & (~cross[j] | (own[i] != own[j]))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fingerprint, component_id)``, one row per row of ``docs``.
+def _first_shared(a: np.ndarray, b: np.ndarray, band: int | np.ndarray) -> np.ndarray:
+    same = a == b
+    return same.any(axis=-1) & (same.argmax(axis=-1) == band)
 
-    Fingerprints link at ``most`` or fewer differing bits; ``component_id`` is
-    the smallest id that chains of links reach. Texts that are null or have no
-    words share fingerprint zero. Equal fingerprints are one node, whatever
-    their number. Rows with a null id keep their fingerprint and their
-    group's id. An empty table gives an empty result; other columns are not read.
-    """
-    fps = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    with batch_rows(docs.sparkSession, 10_000):
-        close = materialise(links(distinct.where("node is not null"), most), "links")
-    groups = connected_components(close)
-    labelled = distinct.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    labelled = materialise(labelled, "labels")
-    out = fps.join(labelled, fps["fp"] == labelled["of"])
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+class _Groups:
+    """Which rows of a run are known to be in one group."""
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words are one shingle, no words none."""
-    from xxhash import xxh64_intdigest
+    def __init__(self, names: np.ndarray) -> None:
+        _, self.of = np.unique(names, return_inverse=True)
 
-    line, starts, ends = _words(text or "")
-    last = ends[shingle - 1 :] or ends[-1:]
-    return np.unique(np.fromiter((xxh64_intdigest(line[s:e]) for s, e in zip(starts, last, strict=False)), dtype=np.uint64))
+    def join(self, x: int, y: int) -> bool:
+        """Whether that was news."""
+        a, b = self.of[x], self.of[y]
+        if a != b:
+            self.of[self.of == b] = a
+        return bool(a != b)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``."""
+    items, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    lengths = [len(x) for x in (*left, *right)]
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    often = np.bincount(at, minlength=len(items)) > 1
+    place = np.cumsum(often) - 1
+    keep = often[at]
+    row, at = row[keep], place[at[keep]]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, int(often.sum()), 8192):
+        some = (at >= low) & (at < low + 8192)
+        held = np.zeros((len(lengths), 8192), dtype=np.float32)
+        held[row[some], at[some] - low] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64)
 
 
-def _held_sets(docs: DataFrame, ends: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, items)``: the shingle sets of the rows in ``ends (id)``, written once."""
+def _second_turn(least: float):
+    """Judges all pending pairs of each run by their sets; gives the pairs that connect its groups, one fewer than its rows at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, sizes in _runs(batches):
+            found = []
+            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                part = rows.iloc[s : s + n]
+                node, size, band, own, cross, own2, cross2 = (part[c].to_numpy() for c in ("node", "size", "band", "own1", "cross1", "own", "cross"))
+                tags = np.array(part["tags"].tolist(), dtype=np.int64).reshape(n, BANDS)
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in part["items"]]
+                groups = _Groups(part["grp"].to_numpy())
+                for a, b in itertools.combinations_with_replacement(range(0, n, TILE), 2):
+                    i, j = np.arange(a, min(a + TILE, n))[:, None], np.arange(b, min(b + TILE, n))[None, :]
+                    ask = (i < j) & _open(i, j, groups.of, size, own, cross, least) & (~cross2[j] | (own2[i] != own2[j])) & _first_shared(tags[i], tags[j], band[i])
+                    if not ask.any():
+                        continue
+                    left, right = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
+                    both = _common([sets[a + x] for x in left], [sets[b + y] for y in right])
+                    total = size[a + left][:, None] + size[b + right][None, :] - both
+                    hit = ask[np.ix_(left, right)] & (both >= least * total)
+                    for x, y in zip(*np.nonzero(hit), strict=True):
+                        x, y = a + left[x], b + right[y]
+                        if groups.join(x, y):
+                            found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+            if found:
+                yield pd.DataFrame(found, columns=["src", "dst"])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(node, items)``: the shingle sets of the rows that ``nodes (node, id, h)`` names."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "items": [shingle_set(t, shingle).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "items": [shingle_set(t, shingle).tobytes() for t in batch["text"]]})
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = marked(base, ends, "id").where("__hit").select("id", "text").mapInPandas(sets, "id long, items binary")
-    with batch_rows(docs.sparkSession, 256):
-        return materialise(held.join(ends, "id", "left_semi"), "shingle-sets")
+    asked = nodes.select("node", F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("none"), "h")
+    rows = _texts(rows_with(docs, nodes.select("id"), id_col), id_col, text_col)
+    rows = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("i"), F.col("id").isNull().alias("none"), "h", "text")
+    one = rows.groupBy("i", "none", "h").agg(F.first("text").alias("text"))  # repeated rows have one set
+    return asked.join(one, ["i", "none", "h"]).select("node", "text").mapInPandas(sets, "node long, items binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
@@ -462,91 +450,98 @@ def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs (src, dst)`` whose shingle sets have a Jaccard similarity of ``least`` or more; two texts without words do."""
-    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col)
-    a, b = (held.select(F.col("id").alias(e), F.col("items").alias(f"{e}_items")) for e in ("src", "dst"))
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs (src, dst)`` whose ``sets (node, items)`` have a Jaccard similarity of ``least`` or more.
+
+    Pairs are dealt by ``src``, whose set comes first and is held while those
+    of its partners pass; what has over ``HUB`` partners is dealt to several tasks.
+    """
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub = None
         for batch in batches:
-            keep = [_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), least) for x, y in zip(batch["src_items"], batch["dst_items"], strict=True)]
-            yield batch.loc[keep, ["src", "dst"]]
-
-    judged = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInPandas(judge, "src long, dst long")
-    with batch_rows(docs.sparkSession, 64):  # sets of long texts are large
-        return materialise(judged, "similar")
-
-
-def _places(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """``(node, place)`` for ``held (id, items)``: places hold some BLOCK_ROWS rows at most, and rows that ``pairs`` connect tend to share few of them."""
-    near = pairs.groupBy(F.greatest("src", "dst").alias("dst")).agg(F.min(F.least("src", "dst")).alias("src"))  # a forest: one edge a row
-    rows = held.select(F.col("id").alias("node"), (F.length("items") / 8).alias("size")).join(connected_components(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocks = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_ITEMS)).alias("blocks"))
-    return rows.join(blocks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)))).alias("place"))
-
-
-def _similar_by_place(dealt: DataFrame, places: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The similar ones of ``dealt (src, dst, src_place, dst_place)``: the sets of two places travel once for all their pairs."""
-    dealt = dealt.withColumn("cell", F.xxhash64(F.least("src_place", "dst_place"), F.greatest("src_place", "dst_place")))
-    cells = dealt.select("cell", "src_place", "dst_place").distinct()
-    cells = cells.select(F.col("cell").alias("of"), F.explode(F.array("src_place", "dst_place")).alias("place")).distinct()
-    near = cells.join(places.withColumnRenamed("node", "id").join(held, "id"), "place").select("of", "id", "items")
-
-    def judge(few: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {i: np.frombuffer(x, dtype=np.uint64) for i, x in zip(rows["id"], rows["items"], strict=True)}
-        few = few.drop_duplicates(["src", "dst"])
-        keep = [_similar(sets[x], sets[y], least) for x, y in zip(few["src"], few["dst"], strict=True)]
-        return few.loc[keep, ["src", "dst"]]
-
-    return materialise(dealt.select("cell", "src", "dst").groupBy("cell").cogroup(near.groupBy("of")).applyInPandas(judge, "src long, dst long"), "similar")
-
-
-def similar_pairs_in_blocks(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """As ``similar_pairs``, for dense pairs."""
-    held = _held_sets(docs, _ends(pairs), shingle, id_col, text_col)
-    places = materialise(_places(pairs, held), "places")
-    src, dst = (places.select(F.col("node").alias(e), F.col("place").alias(f"{e}_place")) for e in ("src", "dst"))
-    return _similar_by_place(pairs.join(src, "src").join(dst, "dst"), places, held, least)
+            found = []
+            for src, dst, items in zip(batch["src"], batch["dst"], batch["items"], strict=True):
+                own = np.frombuffer(items, dtype=np.uint64)
+                if dst < 0:
+                    hub = own
+                elif _similar(hub, own, least):
+                    found.append((src, dst))
+            yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    hubs = pairs.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts"))
+    dealt = pairs.join(hubs.where("salts > 1"), "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    first = hubs.select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    first = first.join(sets.withColumnRenamed("node", "src"), "src").select("src", F.lit(-1).cast("long").alias("dst"), "salt", "items")
+    later = dealt.join(sets.withColumnRenamed("node", "dst"), "dst").select("src", "dst", "salt", "items")
+    met = first.unionByName(later).repartition("src", "salt").sortWithinPartitions("src", "salt", "dst")
+    return met.mapInPandas(judge, "src long, dst long")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float, id_col: str, text_col: str, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``(src, dst)`` that connect exactly the rows of ``nodes (node, id, h, size, fp, tags)`` that chains of similar pairs connect, of those pairs that share a band.
+
+    A first turn judges the pairs that connect each band's rows, a second one
+    all those whose ends are still in different groups. Rows travel by band;
+    their sets only to bands in which they have a pair left to judge.
+    """
+    keyed = nodes.select("node", F.posexplode("tags").alias("band", "tag"))
+    shared = write(keyed.groupBy("band", "tag").count().where(F.col("count") > 1), "shared")
+    cells = keyed.join(shared, ["band", "tag"]).join(nodes.select("node", "fp", "size"), "node")
+    cells = write(cells.select(F.xxhash64("band", "tag").alias("key"), "band", "node", "fp", "size"), "cells")
+    hot = write(shared.where(F.col("count") > BLOCK).groupBy(F.xxhash64("band", "tag").alias("key")).agg(F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    sets = write(shingle_sets(docs, cells.select("node").distinct().join(nodes.select("node", "id", "h"), "node"), shingle, id_col, text_col), "sets")
+
+    dealt = lambda rows: _dealt(rows, hot, "key").drop("key").repartition("cell").sortWithinPartitions("cell", "fp", "node")
+    pairs = write(dealt(cells).select("cell", "fp", "node", "size").mapInPandas(_first_turn(least), "src long, dst long").distinct(), "pairs")
+    similar = write(similar_pairs(pairs, sets, least), "similar")
+
+    groups = connected_components(similar).withColumnRenamed("node", "member")
+    named = cells.join(groups, F.col("node") == F.col("member"), "left").drop("member").withColumn("grp", F.coalesce("component", "node")).drop("component")
+    named = write(named, "named")
+    mixed = named.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")  # the one pair of two rows is judged
+    still = named.join(mixed, "key", "left_semi").join(nodes.select("node", "tags"), "node")
+    kinds = "cell long, cross boolean, own int, band int, node long, grp long, size long, tags array<long>"
+    pending = write(dealt(still).mapInPandas(_pending(least), kinds), "pending")
+    # sets are larger than rows: cells are cut again by what fits in a task
+    blocks = pending.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / SET_ROWS, F.sum("size") / SET_ITEMS)).cast("int").alias("blocks"))
+    with_sets = pending.withColumnsRenamed({"cell": "key", "own": "own1", "cross": "cross1"}).join(sets, "node")
+    met = _dealt(with_sets, blocks.withColumnRenamed("cell", "key"), "key").drop("key").repartition("cell").sortWithinPartitions("cell", "node")
+    more = write(met.mapInPandas(_second_turn(least), "src long, dst long").distinct(), "more")
+    return similar.unionByName(more)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that with the smallest id; ids are taken to be unique, all columns stay.
+    """``docs`` with one row of each group, that with the smallest id; all columns stay.
 
     Pairs whose sets of shingles share one of ``BANDS`` bands of ``BAND_ROWS``
-    MinHashes are retrieved, if fingerprints and sizes allow ``least``; the
-    exact Jaccard similarity of the sets decides. Of the pairs at 0.8 fewer
-    than one in 100,000 shares no band, whatever the sets' sizes. Equal sets
-    are one node; texts without words are one group. Rows with a null id stay.
-
-    A large run of close rows is not judged pair by pair: a first turn judges
-    the shortest pairs that connect it, a second one those retrieved pairs
-    whose ends are still in different groups. In the second turn fingerprints
-    of ``WIDE`` words are compared before sets are: a pair with a similarity
-    of 0.8 lies some four standard deviations within the limit, so about one
-    in 10,000 such pairs goes unseen, and fewer the more alike they are.
+    MinHashes are retrieved; the exact Jaccard similarity of the sets decides,
+    and chains of similar pairs are a group. Of the pairs at 0.8 fewer than
+    one in 100,000 shares no band, whatever the sets' sizes and whatever the
+    size of a band; every other pair of different groups is judged. Equal sets
+    are one node; texts without words, null ones among them, are one group.
+    Of rows that repeat an id and a text one stays; rows with a null id stay
+    only where all of their group have none, and then one. Rows that repeat
+    an id with other texts are rows of their own. An empty table gives an empty result.
     """
-    if least < 0.8:
-        raise ValueError("the bands and the fingerprints' limits hold from a similarity of 0.8")
-    small_batches(docs.sparkSession)
-    sets = materialise(banded(docs, shingle, id_col, text_col).where("id is not null"), "fingerprints")
-    of = ("same", "size", "fp")
-    nodes = materialise(sets.groupBy(*of).agg(F.min("id").alias("node"), F.first("tags").alias("tags"), F.count("*").alias("n")), "nodes")
-    several = nodes.where("n > 1").select(*(F.col(c).alias(f"of_{c}") for c in of), "node")
-    same = sets.drop("tags").join(several, [F.col(c) == F.col(f"of_{c}") for c in of]).where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
-    with batch_rows(docs.sparkSession, 10_000):
-        found = materialise(retrieve(nodes.select("fp", "node", "size", "tags"), least), "pairs")
-    similar = similar_pairs(docs, found.select("src", "dst"), shingle, least, id_col, text_col)
-    similar = materialise(similar.unionByName(same), "similar")
-    groups = connected_components(similar)
-    still = materialise(_ends(found.where("tree")), "open")  # rows of runs known by a tree only
-    if not still.isEmpty():
-        held = _held_sets(docs, still, shingle, id_col, text_col)
-        places = materialise(_places(found.where("tree"), held), "places")
-        named = groups.withColumnRenamed("node", "member")
-        wide = wide_fingerprints(held).withColumnRenamed("id", "node").join(places, "node").join(nodes.select("node", "tags"), "node").join(named, F.col("node") == F.col("member"), "left")
-        wide = materialise(wide.select("node", "place", F.coalesce("component", "node").alias("grp"), "size", "tags", *(f"fp{k}" for k in range(WIDE))), "wide")
-        with batch_rows(docs.sparkSession, 10_000):
-            more = materialise(retrieve_open(wide, least), "pairs")
-        more = _similar_by_place(more, places, held, least)
-        groups = connected_components(similar.unionByName(more))
-    return without_ids(docs, groups.where("component <> node").select("node"), id_col)
+    if not 0.8 <= least <= 1:
+        raise ValueError("the bands hold from a similarity of 0.8")
+    spark = docs.sparkSession
+    of = ["same", "size", "fp"]
+    with scratch(spark) as write:
+        sets = write(banded(docs, shingle, id_col, text_col), "banded")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+        nodes = sets.groupBy(*of).agg(first, F.first("tags").alias("tags"), F.count("*").alias("n"))
+        nodes = write(nodes.select(F.monotonically_increasing_id().alias("node"), *of, F.col("first.id").alias("id"), F.col("first.h").alias("h"), "first", "tags", "n"), "nodes")
+        linked = similar_links(docs, nodes.where("size > 0"), shingle, least, id_col, text_col, write)
+        groups = connected_components(linked)
+        heads = groups.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("head"))
+        heads = groups.join(heads, "component").select(F.col("node").alias("member"), "head")
+        # alone and unique rows are not looked at again
+        known = nodes.join(heads, F.col("node") == F.col("member"), "left").where("n > 1 or member is not null")
+        known = known.select(*[F.col(c).alias(f"of_{c}") for c in of], F.coalesce("head", "first").alias("head"))
+        rows = sets.select("id", "h", *of).join(known, [F.col(c) == F.col(f"of_{c}") for c in of])
+        stays = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("h") == F.col("head.h"))
+        decided = rows.groupBy("id", "h").agg(F.bool_or(stays).alias("keep"), F.count("*").alias("n")).where("not keep or n > 1")
+        decided = materialise(decided.select("id", "h", "keep"), "decided")
+    return drop_rows(docs, decided, id_col, text_col)
