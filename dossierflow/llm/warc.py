@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import col, delete, shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -33,51 +33,66 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     """Write ``path/headers`` and ``path/payloads``, one WARC record per row of ``pages``.
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` bytes that
-    with the smallest id is a response, the others revisit it; ids are taken
-    to be unique. A null html is an empty payload, a null url an empty target.
-    An empty table writes an empty archive; other columns are not stored.
+    with the smallest id is a response, the others revisit it. Where several
+    rows have that id, any one of them is the response. Null ids come last and have empty record ids; what revisits such
+    a response has a null ``refers_to``. A null html is an empty payload, a
+    null url an empty target. An empty table writes an empty archive; other
+    columns are not stored.
     """
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
+    payload = F.encode(F.coalesce(col(html_col), F.lit("")), "UTF-8")
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), F.coalesce(col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     keys = rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    keys = keys.withColumn("row", F.monotonically_increasing_id())  # tells repeated ids apart, and is fixed once written
     keys.write.parquet(f"{path}/index")
-    keys = pages.sparkSession.read.schema(keys.schema).parquet(f"{path}/index")
-    first = keys.groupBy("sha256", "bytes").agg(F.min("page_id").alias("first_id")).select(F.col("sha256").alias("of"), "first_id")
-    typed = keys.join(first, keys["sha256"] == first["of"])
-    revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("page_id") != F.col("first_id"))
-    typed = typed.select("page_id", "url", "sha256", "sha1", "bytes", F.when(revisit, F.col("first_id")).alias("refers_to"))
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
+    spark = pages.sparkSession
+    keys = spark.read.schema(keys.schema).parquet(f"{path}/index")
+    row = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    first = keys.groupBy("sha256").agg(F.min(row).alias("first")).withColumnRenamed("sha256", "of")
+    typed = keys.withColumn("own", row).join(first, F.col("sha256") == F.col("of"))
+    revisit = (F.col("bytes") >= min_revisit_bytes) & ~F.col("own").eqNullSafe(F.col("first"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kind = F.when(revisit, "revisit").otherwise("response")
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind,
-        F.lit(f"{CRLF}WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"),
+        F.lit(f"{CRLF}WARC-Record-ID: <urn:page:"), number("page_id"),
         F.lit(f">{CRLF}WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("sha1"),
-        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit(f"{CRLF}WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
-        F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(F.lit(0)).cast("string"),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Refers-To: <urn:page:"), number("first.page_id"), F.lit(">"))).otherwise(F.lit("")),
+        F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string"),
         F.lit(f"{CRLF}{CRLF}"),
     )
     typed.select("page_id", "sha256", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    stored = rows.select("page_id", "payload").join(first.select(F.col("first_id").alias("page_id"), "of"), "page_id")
-    stored.select(F.col("of").alias("sha256"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # equal digests are merged ahead of the shuffle, so a frequent payload crosses it once from each task
+    stored = rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    delete(spark, f"{path}/index")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, record_type, refers_to, payload_sha1, payload, header)``: every record, put together again.
+    """``(page_id, record_type, refers_to, payload_sha1, payload, payload_bytes, payload_digest, header)``: every record, put together again.
 
-    Fields come from the header block. A payload whose bytes no longer have
-    the digest they are stored under is an error, as is a record without one.
+    Ids, type and ``payload_sha1`` come from the header block. Bytes and
+    digest (base32 SHA-1) are measured where a payload is stored, once for
+    each, so who does not select ``payload`` moves no payload. A payload whose
+    bytes no longer have the digest they are stored under is an error, as is
+    a record without one or one whose header names another SHA-1.
     """
     headers = spark.read.schema("page_id bigint, sha256 string, header binary").parquet(f"{path}/headers")
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    verified = stored.select(F.col("sha256").alias("of"), F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256")))).alias("payload"))
+    intact = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))))
+    verified = stored.select(F.col("sha256").alias("of"), intact.alias("payload"))
+    verified = verified.select("of", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     field = lambda name, body: F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?dm)^{name}: {body}\r$", 1), F.lit(""))
     records = headers.join(verified, headers["sha256"] == verified["of"], "left")
+    checked = lambda c: F.when(F.col("payload_digest") == field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)"), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("no payload with the header's digest for "), F.col("sha256"))))
     return records.select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
         field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_sha1"),
-        F.when(F.col("of").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("sha256")))).alias("payload"),
+        checked("payload").alias("payload"),
+        checked("payload_bytes").alias("payload_bytes"),
+        checked("payload_digest").alias("payload_digest"),
         "header",
     )
 
@@ -89,15 +104,8 @@ def record_bytes(records: DataFrame) -> DataFrame:
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to a fresh archive, read it back, and describe each record from what was read.
-
-    The payload is measured where it is stored, once for each digest, and
-    joined to the records that have it.
-    """
+    """Write ``pages`` to a fresh archive, read it back, and describe each record from what was read; see the two functions for odd rows."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
-    records = read_archive(spark, path)
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("payload_sha1").alias("header_sha1"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to").where(
-        F.when(F.col("header_sha1") == F.col("payload_digest"), True).otherwise(F.raise_error(F.lit("the header's digest is not the payload's")))
-    ).drop("header_sha1")
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
