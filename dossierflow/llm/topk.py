@@ -1,15 +1,16 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 A score is the sum of ``LISTS`` local scores, one for each run of components.
-Phase 1: every list gives each query its best k entries; their whole scores
-give a cutoff that the k-th best score cannot lie below. Phase 2: the cutoff
-goes back with the queries, and each list gives every entry whose local score
-reaches its uniform share of it; a row in no list stays below the cutoff.
-Phase 3: rows seen in every list are summed up; what others miss is asked of
-the lists that did not give them, and the best k stay.
-
-Queries and rows are dealt in blocks, so a task holds one block of either;
-entries are merged by partial aggregation, never by a list of all rows.
+Phase 1: every list gives each query its best entries by local score; their
+whole scores give a cutoff that the k-th best score cannot lie below. Phase 2:
+the cutoff goes back with the queries, and each list gives every entry whose
+local score reaches its uniform share of it; a row in no list stays below the
+cutoff. Phase 3: what the lists gave is summed up over all lists, and the best
+k of those that reach the cutoff stay.
+
+Queries and rows are dealt in blocks. All lists of a block of rows lie in one
+task, so what a list lacks is resolved there, and at most k rows leave it for
+each query: no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -19,102 +20,77 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import col, materialise
 
-LISTS = 2
+LISTS = 4
 DEPTH = 4  # phase 1 gathers DEPTH * k entries of each list: the more, the higher the cutoff
 ROW_BLOCK = 8192
 QUERY_BLOCK = 1024
-EXACT = float(1 << 53)
+AT_ONCE = 256  # queries
+EXACT, LONG = float(1 << 53), float(1 << 63)
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(id, x array<bigint>)``: floor(scale * component); rows that hold null, NaN or infinite components, or no vector, go."""
-    whole = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(whole, F.lit(False)))
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
+    """``(id, x array<bigint>)``: floor(scale * component); rows that hold null, NaN or infinite components, or no vector or id, go.
+
+    A component that no long holds is an error.
+    """
+    whole = col(vector_col).isNotNull() & F.forall(col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    rows = vectors.where(col(id_col).isNotNull() & F.coalesce(whole, F.lit(False)))
+    return rows.select(col(id_col).cast("long").alias("id"), F.transform(col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
 
 
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _local(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer products; through floating point where that is exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(q.shape[1], 1)
     if most < EXACT:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most * LISTS < LONG:
+        return q @ x.T
+    raise OverflowError("scores may exceed a long")
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.int64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), dtype=np.int64)
+    return np.array(vectors.tolist(), dtype=np.int64).reshape(len(vectors), -1)
 
 
-def _cells(queries: DataFrame, rows: DataFrame, cutoffs: bool, k: int) -> DataFrame:
-    """The entries that each list gives each query, one call for each block of rows and of queries in a list."""
+def _cells(queries: DataFrame, rows: DataFrame, k: int, with_cutoff: bool) -> DataFrame:
+    """``(query_id, vec_id, score)``: at most k for each query of each pair of blocks."""
 
     def entries(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})]
         if len(left) and len(right):
             # vectors of other lengths have no score with each other
-            for dims, part in right.groupby("dims"):
-                own = left[left["dims"] == dims]
-                x, ids = _matrix(part["x"]), part["id"].to_numpy()
-                for at in range(0, len(own), 256):
-                    some = own.iloc[at : at + 256]
-                    score = _product(_matrix(some["x"]), x)
-                    qid = some["id"].to_numpy()
-                    other = qid[:, None] != ids[None, :]
-                    if cutoffs:
-                        i, j = np.nonzero(other & (LISTS * score >= some["cutoff"].to_numpy()[:, None]))
+            lengths = left["x"].map(len)
+            for dims, part in right.groupby(right["x"].map(len)):
+                own, x, ids = left[lengths == dims], _matrix(part["x"]), part["id"].to_numpy()
+                lists = np.array_split(np.arange(dims), LISTS)
+                for at in range(0, len(own), AT_ONCE):
+                    some = own.iloc[at : at + AT_ONCE]
+                    q, qid = _matrix(some["x"]), some["id"].to_numpy()
+                    local = [_local(q[:, cut], x[:, cut]) for cut in lists]
+                    score, other = sum(local), qid[:, None] != ids[None, :]
+                    given = np.zeros(score.shape, dtype=bool)
+                    if with_cutoff:
+                        low = some["cutoff"].to_numpy()[:, None]
+                        for part_score in local:
+                            given |= LISTS * part_score >= low
+                        given &= score >= low
                     else:
-                        low = np.where(other, score, np.iinfo(np.int64).min)
-                        best = np.argpartition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
-                        i, j = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
-                        i, j = i[other[i, j]], j[other[i, j]]
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[j], "list": right["list"].iloc[0], "local": score[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "list", "local")})
-
-    key = ["list", "row_block", "query_block"]
-    return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(entries, "query_id long, vec_id long, list int, local long")
-
-
-def _missing(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(query_id, vec_id, local)``: the local scores that ``pairs (query_id, vec_id, list, row_block, query_block)`` ask for."""
-
-    def answer(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        local = np.zeros(len(asked), dtype=np.int64)
-        if len(asked):
-            part = vectors.sort_values("id", kind="stable")
-            sides = []
-            for side, column in ((part[~part["is_query"]], "vec_id"), (part[part["is_query"]], "query_id")):
-                sides.append((side["x"].to_numpy(), np.searchsorted(side["id"].to_numpy(), asked[column].to_numpy())))
-            (x, i), (q, j) = sides
-            lengths = np.array([len(v) for v in x])[i]
-            for n in np.unique(lengths):
-                same = np.flatnonzero(lengths == n)
-                for at in range(0, len(same), 65536):
-                    some = same[at : at + 65536]
-                    local[some] = np.einsum("ij,ij->i", np.stack(x[i[some]]), np.stack(q[j[some]]))
-        return pd.DataFrame({"query_id": asked["query_id"], "vec_id": asked["vec_id"], "local": local})
-
-    key = ["list", "row_block", "query_block"]
-    vectors = rows.select(*key, "id", "x", F.lit(False).alias("is_query")).unionByName(queries.select(*key, "id", "x", F.lit(True).alias("is_query")))
-    return pairs.groupBy(*key).cogroup(vectors.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, local long")
-
-
-def _lists(rows: DataFrame) -> DataFrame:
-    """A row for each list, with its share of the components."""
-    share = F.ceil(F.size("x") / F.lit(LISTS)).cast("int")
-    parts = F.array(*[F.struct(F.lit(j).alias("list"), F.slice("x", share * j + 1, share).alias("part")) for j in range(LISTS)])
-    keep = [c for c in rows.columns if c != "x"]
-    return rows.select(*keep, F.size("x").alias("dims"), F.inline(parts)).withColumnRenamed("part", "x")
-
-
-def _whole(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """``pairs`` with their exact scores."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("x").alias("qx"))
-    x = rows.select(F.col("id").alias("vec_id"), F.col("x").alias("vx"))
-    both = pairs.join(q, "query_id").join(x, "vec_id").where(F.size("qx") == F.size("vx"))
-    score = F.aggregate(F.zip_with("qx", "vx", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
-    return both.select("query_id", "vec_id", score.alias("score"))
+                        deep = min(DEPTH * k, len(ids))
+                        for part_score in local:
+                            ranked = np.where(other, part_score, np.iinfo(np.int64).min)
+                            np.put_along_axis(given, np.argpartition(ranked, len(ids) - deep, axis=1)[:, len(ids) - deep :], True, axis=1)
+                    i, j = np.nonzero(given & other)
+                    order = np.lexsort((ids[j], -score[i, j], i))
+                    i, j = i[order], j[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[best], j[best]
+                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[j], "score": score[i, j]}))
+        return pd.concat(out)
+
+    key = ["row_block", "query_block"]
+    return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(entries, "query_id long, vec_id long, score long")
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -126,39 +102,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     """``(query_id, rank, vec_id, score)``: the k best rows of every query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``; candidates are
-    all rows but the query's own id. Rows without a usable vector or id take no
-    part; vectors of different lengths have no score. Ids are taken to be
-    unique. Queries without candidates give no rows; other columns are not read.
+    all rows but those with the query's own id. Rows without a usable vector
+    or id take no part; vectors of different lengths have no score. Rows that
+    repeat an id are candidates each for itself; a query id that repeats ranks
+    the scores of all its rows together. Scores or components that a long
+    cannot be sure to hold are an error. Queries without candidates give no
+    rows, an empty table gives none; other columns are not read.
     """
     rows = materialise(scaled(vectors, id_col, vector_col, scale), "vectors")
     queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("id"), F.col("x").alias("x"))  # columns of its own, to join with rows
     n, nq = rows.count(), queries.count()
     row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    row_block, query_block = (F.pmod(F.xxhash64("id"), F.lit(b)).cast("int") for b in (row_blocks, query_blocks))
+    block = lambda b: F.pmod(F.xxhash64("id", "x"), F.lit(b)).cast("int")
     every_block = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    dealt = _lists(rows.select("id", "x", row_block.alias("row_block"))).withColumn("query_block", every_block(query_blocks))
-    asked = _lists(queries.select("id", "x", query_block.alias("query_block"))).withColumn("row_block", every_block(row_blocks))
+    dealt = rows.select("id", "x", block(row_blocks).alias("row_block"), every_block(query_blocks).alias("query_block"))
+    asked = queries.select("id", "x", block(query_blocks).alias("query_block"), every_block(row_blocks).alias("row_block"))
 
-    local = _cells(asked, dealt, False, DEPTH * k)
-    order = Window.partitionBy("query_id", "list").orderBy(F.desc("local"), F.asc("vec_id"))
-    gathered = local.withColumn("r", F.row_number().over(order)).where(F.col("r") <= DEPTH * k).select("query_id", "vec_id").distinct()
-    ranked = _best(_whole(gathered, queries, rows), k)
+    ranked = _best(_cells(asked, dealt, k, False), k)
     cutoff = ranked.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
     # with fewer than k rows there is no cutoff: every row counts
-    cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-(1 << 58))).alias("cutoff"))
-    cutoff = materialise(cutoff, "cutoffs")
-
-    wanting = asked.join(cutoff, "id")
-    entries = materialise(_cells(wanting, dealt, True, k), "entries")
-    seen = entries.groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"), F.count("*").alias("lists"), F.expr("cast(bit_or(shiftleft(1, list)) as int)").alias("given"))
-    seen = materialise(seen, "seen")
-    known = seen.where(F.col("lists") == LISTS).select("query_id", "vec_id", "score")
-    lacking = F.filter(F.array(*[F.lit(j) for j in range(LISTS)]), lambda j: F.call_function("getbit", F.col("given"), j) == 0)
-    block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
-    open_ = seen.where(F.col("lists") < LISTS)
-    wanted = open_.select("query_id", "vec_id", F.explode(lacking).alias("list"), block("vec_id", row_blocks).alias("row_block"), block("query_id", query_blocks).alias("query_block"))
-    found = _missing(wanted, asked, dealt)
-    parts = open_.select("query_id", "vec_id", F.col("score").alias("local")).unionByName(found)
-    resolved = parts.groupBy("query_id", "vec_id").agg(F.sum("local").alias("score"))
-    best = _best(known.unionByName(resolved), k)
+    cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-(1 << 60))).alias("cutoff"))
+    wanting = asked.join(materialise(cutoff, "cutoffs"), "id")
+    best = _best(_cells(wanting, dealt, k, True), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
