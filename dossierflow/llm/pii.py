@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, fresh
+
 #: Kinds in the order that breaks ties between spans with equal starts.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "aws_key", "secret")
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -24,9 +26,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+",
 }
-#: A cheap test that a text must pass before a pattern is tried.
-GATES = {"email": "@", "phone": "+"}
 #: Words that, near a span, speak for its kind.
 CONTEXT = {
     "email": "e-?mail|mail|contact|write",
@@ -35,11 +37,14 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer|swift",
     "ssn": "ssn|social security|social-security",
+    "aws_key": "aws|amazon|access|key|secret",
+    "secret": "password|passwd|secret|token|api.?key|access.?key|private.?key|bearer|credential",
 }
 #: Score of a confirmed span without and with context, and the least score of a span that counts.
-SCORES = {"email": (0.95, 1.0), "ip": (0.8, 0.95), "card": (0.9, 1.0), "phone": (0.8, 0.95), "iban": (0.9, 1.0), "ssn": (0.4, 0.9)}
+SCORES = {"email": (0.95, 1.0), "ip": (0.8, 0.95), "card": (0.9, 1.0), "phone": (0.8, 0.95), "iban": (0.9, 1.0), "ssn": (0.4, 0.9), "aws_key": (0.9, 1.0), "secret": (0.3, 0.9)}
 LEAST_SCORE = 0.5
 CONTEXT_CHARS = 40
+PART = 256
 
 
 def digits(value: Column) -> Column:
@@ -75,62 +80,72 @@ def _confirmed(kind: str, found: Column) -> Column:
         return F.length(digits(found)).between(9, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(found, " ", ""))
+    if kind == "secret":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
     return F.lit(True)
 
 
-def _located(kind: str, text: Column, gate: Column) -> Column:
-    """Every match of the kind's pattern with its place: ``array<struct<start, end, found>>``."""
-    pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+def _gate(kind: str, text: Column) -> Column:
+    """A cheap test that every text with such a span passes."""
+    if kind in ("email", "phone"):
+        return text.contains("@" if kind == "email" else "+")
+    if kind == "aws_key":
+        return text.contains("AKIA") | text.contains("ASIA")
+    if kind == "secret":  # without such a word its score is too low
+        return text.rlike("(?i)" + CONTEXT["secret"])
+    numbers = text.rlike("[0-9]")
+    return numbers & text.rlike({"ssn": "[0-9]-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}[kind]) if kind in ("ssn", "iban") else numbers
+
+
+def _located(kind: str, text: Column) -> Column:
+    """Every match of the kind's pattern: ``array<struct<start, end, found, near>>``, ``near`` being what lies around it.
+
+    The text around reaches ``CONTEXT_CHARS`` to either side, but not past the next match.
+    """
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
-    nothing = "cast(array() as array<struct<start:bigint,end:bigint,found:string>>)"
+    after = F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0)))
+    nothing = "cast(array() as array<struct<start:bigint,end:bigint,found:string,near:string>>)"
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["b"])
         end = start + F.length(pair["m"])
-        return F.struct(end.cast("long").alias("at"), F.concat(state["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["m"].alias("found")))).alias("out"))
+        near = F.lower(F.concat(F.right(pair["b"], F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(pair["a"], F.lit(CONTEXT_CHARS))))
+        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["m"].alias("found"), near.alias("near"))
+        return F.struct(end.cast("long").alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    def some(low: Column) -> Column:
+        # a long list is summed up in parts, as it is copied with every match that is added
+        begin = F.aggregate(F.slice(pairs, F.lit(1), low), F.lit(0).cast("long"), lambda n, p: n + F.length(p["b"]) + F.length(p["m"]))
+        return F.aggregate(F.slice(pairs, low + 1, F.lit(PART)), F.struct(begin.alias("at"), F.expr(nothing).alias("out")), step, lambda s: s["out"])
 
-    pairs = F.filter(F.arrays_zip(between.alias("b"), matches.alias("m")), lambda p: p["m"].isNotNull())
-    located = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.expr(nothing).alias("out")), step, lambda s: s["out"])
-    return F.when(gate, located).otherwise(F.expr(nothing))
+    pairs = F.filter(F.arrays_zip(between.alias("b"), matches.alias("m"), after.alias("a")), lambda p: p["m"].isNotNull())
+    located = F.flatten(F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(PART)), some))
+    return F.when(_gate(kind, text) & (F.size(matches) > 0), located).otherwise(F.expr(nothing))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
     """``docs`` with ``out_col array<struct<start, rank, kind, end, score>>``, ordered by start, then kind.
 
     Starts and ends are code points, ends exclusive. Base kinds count
-    whenever their check passes; further kinds need ``LEAST_SCORE``. Texts
-    that are null or empty, and tables without rows, have no spans. A column
-    of ``docs`` named ``out_col`` is replaced; others are untouched.
+    whenever their check passes; further kinds need ``LEAST_SCORE``, which
+    some reach by the words around them only. Texts that are null or empty,
+    and tables without rows, have no spans; repeated rows have theirs each. A
+    column of ``docs`` named ``out_col`` is replaced; others are untouched.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    numbers = text.rlike("[0-9]")
-    found = {}
-    for kind in KINDS:
-        gate = text.contains(GATES[kind]) if kind in GATES else numbers
-        if kind == "ssn":
-            gate = numbers & text.rlike("[0-9]-[0-9]{2}-[0-9]")
-        if kind == "iban":
-            gate = numbers & text.rlike("[A-Z]{2}[0-9]{2}")
-        found[kind] = _located(kind, text, gate)
-    out = docs.withColumns({f"__{kind}": c for kind, c in found.items()})
+    text = F.coalesce(col(text_col), F.lit(""))
+    names = {kind: fresh(f"found_{kind}", docs) for kind in KINDS}
+    out = docs.withColumns({names[kind]: _located(kind, text) for kind in KINDS})
 
     def judged(kind: str) -> Column:
         plain, near = SCORES[kind]
-
-        def score(s: Column) -> Column:
-            begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            left = F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-            right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS))
-            context = F.lower(F.concat_ws(" ", left, right))
-            return F.when(context.rlike(CONTEXT[kind]), near).otherwise(plain)
-
-        spans = F.filter(F.col(f"__{kind}"), lambda s: _confirmed(kind, s["found"]))
+        score = lambda s: F.when(s["near"].rlike(CONTEXT[kind]), near).otherwise(plain)
+        spans = F.filter(F.col(names[kind]), lambda s: _confirmed(kind, s["found"]))
         spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(s).alias("score")))
         return spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
 
     spans = F.array_sort(F.concat(*[judged(kind) for kind in KINDS]))
-    return out.withColumn(out_col, spans).drop(*[f"__{kind}" for kind in KINDS])
+    return out.withColumn(out_col, spans).drop(*names.values())
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -139,8 +154,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans become one, named after the first. Texts without spans,
     null and empty ones among them, stay as they are; all columns stay.
     """
-    spanned = find_spans(docs, text_col, "__spans")
-    text = F.col(text_col)
+    name = fresh("spans", docs)
+    spanned, spans = find_spans(docs, text_col, name), F.col(name)
+    text = col(text_col)
 
     def step(state: Column, s: Column) -> Column:
         inside = s["start"] < state["at"]
@@ -148,8 +164,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.array(piece))).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate(F.col("__spans"), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return spanned.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    return spanned.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(name)
 
 
 def joined(spans: Column) -> Column:
@@ -157,10 +173,11 @@ def joined(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans as text; one row per row of ``docs``."""
+    """Counts of the base kinds, the digest of their spans, and all spans as text with their scores and number; one row per row of ``docs``."""
     rows = find_spans(docs.select(id_col, text_col), text_col)
     spans = F.col("pii_spans")
     of_rank = lambda rank: F.filter(spans, lambda s: s["rank"] == rank)
     counts = [F.size(of_rank(rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(BASE_KINDS)]
     base = F.filter(spans, lambda s: s["rank"] < len(BASE_KINDS))
-    return rows.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    scores = F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",")
+    return rows.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), scores.alias("scores"), F.size(spans).cast("long").alias("n_spans"))

@@ -10,42 +10,52 @@ from .common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of 2048 tokens as the plan finds."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts, digest, spans and scores."""
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages, written and read back."""
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards along the curve."""
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's ids and of what they decode to."""
     return bpe.encode(table(spark, sf_dir, "documents"), digests=True)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence wordings in every whole text."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that two bits link."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from what is not held out."""
     docs = table(spark, sf_dir, "documents")
     said = langid.identify(docs, langid.fit(docs))
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
