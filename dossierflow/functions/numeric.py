@@ -9,9 +9,8 @@ SIMILARITY_BANDS = ((0.82, 1.0), (0.72, 0.65), (0.60, 0.25))  # fixed values: le
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    """NaN counts as ``low``; null stays null."""
-    x = x.cast("double")
-    return F.when(F.isnan(x), F.lit(float(low))).otherwise(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x)))
+    """NaN and null count as ``low``."""
+    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.nanvl(x.cast("double"), F.lit(float(low)))))
 
 
 def round_half_up(x: Column, places: int = 0) -> Column:

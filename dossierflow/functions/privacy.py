@@ -51,14 +51,23 @@ def masked(text: Column, emails: bool = False) -> tuple[Column, dict[str, Column
     return text, counts
 
 
-def neutralised(text: Column) -> tuple[Column, Column]:
-    """The text with instruction-like wording replaced, and the names of the families found in order."""
-    text = chain(text, ("[​-‍⁠﻿]", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
+def neutralised(text: Column, most: int = 30_000) -> tuple[Column, Column]:
+    """The text with instruction-like wording replaced, and the names of the families found in order.
+
+    Runs of blanks and line ends are shortened. A longer text is cut at
+    ``most`` characters, at a blank if one is near, marked, and named ``truncated``.
+    """
+    text = chain(text, ("[\u200b-\u200d\u2060\ufeff]", ""), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
     found = []
     for name, pattern in INJECTIONS.items():
         found.append(F.when(text.rlike(pattern), F.lit(name)))
         text = F.regexp_replace(text, pattern, MARK)
-    return F.trim(F.regexp_replace(text, r"[ \t]{2,}", " ")), F.array_compact(F.array(*found))
+    text = chain(text, (r"[ \t]{3,}", "  "), (r"\n{4,}", "\n\n\n"), (r"^\s+|\s+$", ""))
+    cut = F.substring(text, 1, most)
+    whole = F.regexp_extract(cut, r"(?s)^(.*)[\n ]", 1)
+    cut = F.concat(F.when(F.length(whole) > most * 0.9, whole).otherwise(cut), F.lit("\n[content truncated]"))
+    long = F.length(text) > most
+    return F.when(long, cut).otherwise(text), F.array_compact(F.array(*found, F.when(long, F.lit("truncated"))))
 
 
 def grounded(quote: Column, source: Column) -> Column:
@@ -71,7 +80,8 @@ def grounded(quote: Column, source: Column) -> Column:
 
 
 def mask_email(email: Column) -> Column:
-    local, domain = F.regexp_extract(email, "^(.+)@([^@]+)$", 1), F.regexp_extract(email, "^(.+)@([^@]+)$", 2)
+    t = F.trim(email)
+    local, domain = F.regexp_extract(t, "(?s)^(.+)@([^@]+)$", 1), F.regexp_extract(t, "(?s)^(.+)@([^@]+)$", 2)
     shown = F.least(F.lit(2), F.greatest(F.lit(1), F.length(local) - 1)).cast("int")
     full = F.concat(F.substring(local, F.lit(1), shown), F.lit("***@"), domain)
     return F.when(email.isNull() | (email == ""), "—").when(local == "", "***").otherwise(full)
@@ -82,20 +92,53 @@ def mask_phone(phone: Column) -> Column:
     return F.when(F.length(digits) < 4, "•••").otherwise(F.concat(F.lit("•••-••"), F.substring(digits, -2, 2)))
 
 
+def mask_secret(secret: Column, visible: int = 4) -> Column:
+    """All but the last characters as up to eight dots."""
+    dots = F.repeat(F.lit("•"), F.least(F.lit(8), F.length(secret) - visible))
+    short = F.repeat(F.lit("•"), F.length(secret))
+    return F.when(secret.isNull() | (secret == ""), "—").when(F.length(secret) <= visible, short).otherwise(F.concat(dots, F.right(secret, F.lit(visible))))
+
+
 def mask_id(value: Column) -> Column:
-    return F.when(F.length(value) <= 12, value).otherwise(F.concat(F.substring(value, 1, 8), F.lit("…"), F.substring(value, -4, 4)))
+    return F.when(value.isNull() | (value == ""), "—").when(F.length(value) < 12, "•••").otherwise(F.concat(F.substring(value, 1, 8), F.lit("…"), F.substring(value, -4, 4)))
 
 
 def mask_ip(ip: Column) -> Column:
-    v4 = r"^(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}$"
-    v6 = F.array_join(F.slice(F.split(ip, ":"), 1, 3), ":")
-    return F.when(ip.rlike(v4), F.concat(F.regexp_extract(ip, v4, 1), F.lit(".••"))).when(ip.contains(":"), F.concat(v6, F.lit(":••••"))).otherwise("•••")
+    v6, v4 = F.array_join(F.slice(F.split(ip, ":"), 1, 3), ":"), F.array_join(F.slice(F.split(ip, r"\."), 1, 3), ".")
+    return F.when(ip.isNull() | (ip == ""), "—").when(ip.contains(":"), F.concat(v6, F.lit(":••••"))).when(F.size(F.split(ip, r"\.")) != 4, "•••").otherwise(F.concat(v4, F.lit(".••")))
 
 
-SENSITIVE = ("name", "email", "phone", "address", "token", "secret", "password", "text")
+#: Parts of keys that hint at personal data, and of keys that are never logged.
+SENSITIVE = ("email", "phone", "address", "name", "linkedin", "github", "resume_text", "jd_text")
 
 
 def safe_metadata(metadata: Column, most: int = 500) -> Column:
     """A string map without keys that hint at personal data, long values cut."""
     keep = F.map_filter(metadata, lambda k, v: ~F.lower(k).rlike("|".join(SENSITIVE)))
     return F.transform_values(keep, lambda k, v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
+
+
+# Contact data that a machine can read.
+READABLE_EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+READABLE_PHONES = (r"\+?\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{2,4}", r"\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}")
+
+
+def readable_contacts(text: Column) -> tuple[Column, Column]:
+    """Whether an e-mail address and whether a telephone number can be read."""
+    return text.rlike(READABLE_EMAIL), text.rlike(READABLE_PHONES[0]) | text.rlike(READABLE_PHONES[1])
+
+
+def excerpt_line(excerpt: Column, source: Column) -> Column:
+    """Number of the first line, from 1, that holds the excerpt's first 120 characters, else its first six words; else null."""
+    needle = F.substring(normal_for_grounding(excerpt), 1, 120)
+    lines = F.transform(F.split(source, r"\r?\n"), normal_for_grounding)
+    at = lambda what: F.array_position(F.transform(lines, lambda x: F.contains(x, what)), True)
+    six = F.array_join(F.slice(F.split(needle, " "), 1, 6), " ")
+    return F.when(needle != "", F.coalesce(F.nullif(at(needle), F.lit(0)), F.nullif(at(six), F.lit(0))))
+
+
+def appears(value: Column, source: Column) -> Column:
+    """Whether a name stands in a source: as it is, or with blanks and hyphens dropped if it has six letters or more."""
+    q, s = normal_for_grounding(value), normal_for_grounding(source)
+    tight, loose = F.regexp_replace(q, r"[\s-]+", ""), F.regexp_replace(s, r"[\s-]+", "")
+    return F.when(value.isNull() | (value == ""), False).otherwise((F.length(q) < 2) | F.contains(s, q) | ((F.length(tight) >= 6) & F.contains(loose, tight)))

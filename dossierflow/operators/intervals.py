@@ -22,11 +22,15 @@ def tenure(df: DataFrame, key: str, start: str = "s", end: str = "e") -> DataFra
 
 
 def overlaps(df: DataFrame, key: str, pos: str, start: str = "s", end: str = "e") -> DataFrame:
-    """Pairs of a key's intervals that share months: an equi-join on the key with a residual condition."""
-    a = df.select(key, F.col(pos).alias("left_pos"), F.col(start).alias("ls"), F.col(end).alias("le"))
-    b = df.select(key, F.col(pos).alias("right_pos"), F.col(start).alias("rs"), F.col(end).alias("re"))
-    both = a.join(b, key).where("left_pos < right_pos and ls <= re and rs <= le")
-    return both.select(key, "left_pos", "right_pos", (F.least("le", "re") - F.greatest("ls", "rs") + 1).alias("months"))
+    """Pairs of a key's intervals that share months, each met in the month in which the later one starts.
+
+    An equi-join on key and month, so only pairs that overlap are made.
+    """
+    months = F.explode(F.sequence(F.col(start), F.col(end))).alias("__month")
+    a = df.where(F.col(start) <= F.col(end)).select(key, F.col(pos).alias("ap"), F.col(start).alias("as"), F.col(end).alias("ae"), months)
+    b = df.where(F.col(start) <= F.col(end)).select(key, F.col(pos).alias("bp"), F.col(start).alias("__month"), F.col(end).alias("be"))
+    both = a.join(b, [key, "__month"]).where("as < __month or (as = __month and ap < bp)")
+    return both.select(key, F.least("ap", "bp").alias("left_pos"), F.greatest("ap", "bp").alias("right_pos"), (F.least("ae", "be") - F.col("__month") + 1).alias("months"))
 
 
 def newest_first(df: DataFrame, key: str, pos: str, start: str = "s") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,32 +15,51 @@ from ..functions.text import normal_for_repeats
 def group_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """``(doc, page, line, y, text)``: items whose baseline lies within the tolerance of the line's first.
 
-    What joins a line depends on its first item, so a page is one group in
-    pandas; pages are small and many.
+    What joins a line depends on its first item, so items are sorted within
+    partitions of whole pages; a task holds a batch and the line that is open.
     """
-
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for item in page.sort_values(["y", "x"], ascending=[False, True], kind="stable").itertuples():
-            if not out or abs(out[-1][0].y - item.y) > tolerance:
-                out.append([])
-            out[-1].append(item)
-        rows = []
-        for n, line in enumerate(out):
-            line.sort(key=lambda i: i.x)
-            text, at = "", None
-            for i in line:
-                gap = 0 if at is None else i.x - at
-                text += (" " if at is not None and gap > max(1.2, 0.4 * i.width / max(len(i.text), 1)) else "") + i.text
-                at = i.x + i.width
-            rows.append((line[0].doc, line[0].page, n, line[0].y, " ".join(text.split())))
-        return pd.DataFrame(rows, columns=["doc", "page", "line", "y", "text"])
-
-    return items.groupBy("doc", "page").applyInPandas(lines, "doc long, page long, line int, y double, text string")
-
-
-def column_side(x: Column, width: Column, split: Column) -> Column:
-    return F.when(x + width <= split, "left").when(x >= split, "right").otherwise("spanning")
+    schema = "doc long, page long, line int, y double, text string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line: list = []
+        number = 0
+        for batch in itertools.chain(batches, [None]):
+            rows = []
+            for item in batch.itertuples(index=False) if batch is not None else [None]:
+                here = bool(line) and item is not None and (item.doc, item.page) == (line[0].doc, line[0].page)
+                if line and (not here or abs(line[0].y - item.y) > tolerance):
+                    rows.append((line[0].doc, line[0].page, number, line[0].y, joined(line)))
+                    number = number + 1 if here else 0
+                    line = []
+                if item is not None:
+                    line.append(item)
+            yield pd.DataFrame(rows, columns=["doc", "page", "line", "y", "text"])
+
+    ordered = items.select("doc", "page", "text", "x", "y", "width").repartition("doc", "page").sortWithinPartitions("doc", "page", F.desc("y"), "x", "text", "width")
+    return ordered.mapInPandas(run, schema)
+
+
+def joined(line: list) -> str:
+    """A line's items from left to right, with a blank where the gap is wide."""
+    text, at = "", None
+    for i in sorted(line, key=lambda i: i.x):
+        gap = 0 if at is None else i.x - at
+        text += (" " if at is not None and gap > max(1.2, 0.4 * i.width / max(len(i.text), 1)) else "") + i.text
+        at = i.x + i.width
+    return " ".join(text.split())
+
+
+def column_side(x: Column, width: Column, split: Column, slack: float = 2.0) -> Column:
+    """``spanning`` where an item crosses the split, else the side it lies on."""
+    return F.when((x < split - slack) & (x + width > split + slack), "spanning").when(x >= split - slack, "right").otherwise("left")
+
+
+def in_reading_order(items: DataFrame, split: Column) -> DataFrame:
+    """``items`` with ``side`` and ``place``: what spans the columns first, then the left, then the right one, each from the top; without a split all is one column."""
+    side = F.coalesce(column_side(F.col("x"), F.col("width"), split), F.lit("spanning"))
+    rank = F.when(F.col("side") == "spanning", 0).when(F.col("side") == "left", 1).otherwise(2)
+    order = Window.partitionBy("doc", "page").orderBy(rank, F.desc("y"), "x", "text")
+    return items.withColumn("side", side).withColumn("place", F.row_number().over(order))
 
 
 def repeated_lines(lines: DataFrame, least_pages: int = 2, least_chars: int = 3) -> DataFrame:
@@ -61,3 +83,8 @@ def otsu(histogram: DataFrame, key: str) -> DataFrame:
     below, above = F.col("m") / F.col("w"), (F.col("moment") - F.col("m")) / (F.col("total") - F.col("w"))
     h = h.where("total > w").withColumn("between", F.round(F.col("w") * (F.col("total") - F.col("w")) * (below - above) * (below - above), 4))
     return h.groupBy(key).agg(F.max_by("bin", F.struct(F.col("between"), -F.col("bin"))).alias("threshold"))
+
+
+def luma(red: Column, green: Column, blue: Column) -> Column:
+    """Grey value of a pixel, rounded."""
+    return F.round(0.299 * red + 0.587 * green + 0.114 * blue).cast("int")

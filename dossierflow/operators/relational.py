@@ -8,24 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def daily_counts(df: DataFrame, ts: str, name: str) -> DataFrame:
-    return df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias(name))
+def daily_counts(df: DataFrame, ts: str, kinds: dict[str, Column]) -> DataFrame:
+    """``(day, ...)``: how many rows of each kind a day has, in one pass."""
+    return df.groupBy(F.to_date(ts).alias("day")).agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
 
 
-def daily_spine(last_day: DataFrame, sources: dict[str, DataFrame], days: int = 30) -> DataFrame:
-    """A row for each of the ``days`` days up to the single value in ``last_day(day)``; counts are 0 on days without rows.
+def daily_spine(counts: DataFrame, days: int = 30) -> DataFrame:
+    """A row for each of the ``days`` days up to the last in ``counts (day, ...)``; counts are 0 on days without rows."""
+    spine = counts.agg(F.max("day").alias("day")).select(F.explode(F.sequence(F.date_sub("day", days - 1), F.col("day"))).alias("day"))
+    names = [c for c in counts.columns if c != "day"]
+    return spine.join(counts, "day", "left").select("day", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
-    Each source has columns ``day`` and its own name, aggregated beforehand, so joins are on a few rows a day.
-    """
-    spine = last_day.select(F.explode(F.sequence(F.date_sub("day", days - 1), F.col("day"))).alias("day"))
-    out = reduce(lambda a, name: a.join(sources[name], "day", "left"), sources, spine)
-    return out.select("day", *[F.coalesce(n, F.lit(0)).alias(n) for n in sources])
 
-
-def active_within(events: DataFrame, as_of: DataFrame, user: str, ts: str, windows: dict[str, int]) -> DataFrame:
-    """Distinct users in each trailing window of days before the single value in ``as_of(now)``; null users do not count."""
-    both = events.crossJoin(F.broadcast(as_of))  # one row
-    return both.agg(*[F.count_distinct(F.when(F.col(ts) >= F.col("now") - F.expr(f"INTERVAL {d} DAYS"), F.col(user))).alias(n) for n, d in windows.items()])
+def active_within(events: DataFrame, user: str, ts: str, windows: dict[str, int]) -> DataFrame:
+    """Distinct users in each trailing window of days before the latest event; null users do not count."""
+    seen = events.groupBy(user).agg(F.max(ts).alias("seen"))  # a row for each user
+    both = seen.crossJoin(F.broadcast(seen.agg(F.max("seen").alias("now"))))  # one row
+    return both.where(F.col(user).isNotNull()).agg(*[F.count_if(F.col("seen") >= F.col("now") - F.expr(f"INTERVAL {d} DAYS")).alias(n) for n, d in windows.items()])
 
 
 def weighted_mean(groups: DataFrame, mean: str, count: str, places: int = 2) -> Column:
@@ -45,6 +44,31 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, least: int
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_with_total(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page of rows with ``total`` and ``total_pages`` (one at least), counted over all rows."""
+    total = df.agg(F.count("*").alias("total"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).alias("total_pages")
+    return page(df, order, number, size).crossJoin(F.broadcast(total.select("total", pages)))  # one row
+
+
+def upserted(df: DataFrame, new: DataFrame, key: list[str], update: bool = True) -> DataFrame:
+    """``df`` with the rows of ``new``: on equal keys the new row wins, or with ``update`` false the old one. Keys are unique in either."""
+    old, add = (df.join(new.select(*key), key, "left_anti"), new) if update else (df, new.join(df.select(*key), key, "left_anti"))
+    return old.unionByName(add)
+
+
+def updated(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """``df`` with columns set where the predicate is true, which ``was_updated`` tells."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()} | {"was_updated": hit})
+
+
+def median_by_index(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The value at place floor(n / 2) of each key's sorted values."""
+    order = Window.partitionBy(key).orderBy(value)
+    return df.select(key, value, (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n")).where("i = n div 2").select(key, F.col(value).alias("median"))
+
+
 def filtered(df: DataFrame, predicates: list[Column | None]) -> DataFrame:
     """Only the predicates that are given."""
     return reduce(lambda a, p: a.where(p), [p for p in predicates if p is not None], df)

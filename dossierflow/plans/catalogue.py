@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, privacy, text, vectors
-from ..operators import intervals, layout, matching, relational, scoring
+from ..operators import intervals, layout, matching, relational, scoring, similarity
 from ..streaming import stateful
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from .registry import ORACLE_SQL, QUERIES, query, read
 
 # relational -----------------------------------------------------------------------------------
 
@@ -40,8 +21,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 def daily_activity_spine(spark, d):
     events = read(spark, d, "events")
     kinds = {"signups": "signup", "purchases": "purchase", "errors": "error"}
-    sources = {n: relational.daily_counts(events.where(F.col("event_type") == k), "ts", n) for n, k in kinds.items()}
-    return relational.daily_spine(events.agg(F.max(F.to_date("ts")).alias("day")), sources).orderBy("day")
+    return relational.daily_spine(relational.daily_counts(events, "ts", {n: F.col("event_type") == k for n, k in kinds.items()})).orderBy("day")
 
 
 @query("""SELECT c_mktsegment AS segment, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price, round(max(o_totalprice), 2) AS best
@@ -63,7 +43,7 @@ def failure_counts_by_day(spark, d):
            count(DISTINCT CASE WHEN ts >= now - INTERVAL 30 DAY THEN user_id END) AS day_30 FROM events, m""")
 def active_users_trailing(spark, d):
     events = read(spark, d, "events")
-    return relational.active_within(events, events.agg(F.max("ts").alias("now")), "user_id", "ts", {"day_1": 1, "day_7": 7, "day_30": 30})
+    return relational.active_within(events, "user_id", "ts", {"day_1": 1, "day_7": 7, "day_30": 30})
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 4) AS error_rate,
@@ -184,40 +164,43 @@ def chunked_keys(spark, d):
     return relational.chunked(both, "c_custkey", "o_orderkey", 5).select("c_custkey", "chunk", "o_orderkey")
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey, string_agg('{"o_orderkey":' || o_orderkey || ',"total":"' || printf('%.2f', o_totalprice) || '"}', ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1)
+    SELECT c_custkey, '{"c_name":"' || c_name || '","orders":[' || coalesce(orders, '') || ']}' AS document FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def export_json(spark, d):
-    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    people = relational.nested(read(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey", "o_totalprice"], "orders", newest=False)
-    return people.select("c_custkey", F.to_json(F.struct("c_name", "orders")).alias("document"))
+    """A nested document for each customer; amounts are texts, so that they stay as they are."""
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.format_string("%.2f", "o_totalprice").alias("total"))
+    people = relational.nested(read(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderkey", "total"], "orders", newest=False)
+    lists = F.coalesce("orders", F.array().cast("array<struct<o_orderkey:bigint,total:string>>")).alias("orders")
+    return people.select("c_custkey", F.to_json(F.struct("c_name", lists)).alias("document"))
 
 
 # intervals and dates --------------------------------------------------------------------------
 
-SPANS = """SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS pos, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS s, year(l_shipdate) * 12 + month(l_shipdate) - 1 + CAST(l_quantity AS INTEGER) % 4 AS e FROM lineitem WHERE l_partkey % 40 = 0"""
+SPANS = """SELECT o_custkey, o_orderkey AS pos, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS s, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 4 AS INTEGER) AS e FROM orders"""
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    return read(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), month.alias("s"), (month + F.col("l_quantity").cast("int") % 4).alias("e"))
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
+    return read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), month.alias("s"), (month + F.col("o_orderkey") % 4).cast("int").alias("e"))
 
 
-@query(f"""WITH x AS ({SPANS}), m AS (SELECT l_suppkey, count(DISTINCT mo) AS total FROM x, LATERAL (SELECT unnest(generate_series(s, e)) AS mo) GROUP BY 1),
-    r AS (SELECT l_suppkey, CAST(sum(e - s + 1) AS BIGINT) AS raw FROM x GROUP BY 1)
-    SELECT l_suppkey, CAST(total AS BIGINT) AS total_months, raw AS raw_months, CAST(raw - total AS BIGINT) AS overlap_months FROM m JOIN r USING (l_suppkey)""")
+@query(f"""WITH x AS ({SPANS}), m AS (SELECT o_custkey, count(DISTINCT mo) AS total FROM x, LATERAL (SELECT unnest(generate_series(s, e)) AS mo) GROUP BY 1),
+    r AS (SELECT o_custkey, CAST(sum(e - s + 1) AS BIGINT) AS raw FROM x GROUP BY 1)
+    SELECT o_custkey, CAST(total AS BIGINT) AS total_months, raw AS raw_months, CAST(raw - total AS BIGINT) AS overlap_months FROM m JOIN r USING (o_custkey)""")
 def merged_tenure_months(spark, d):
-    return intervals.tenure(_spans(spark, d), "l_suppkey")
+    return intervals.tenure(_spans(spark, d), "o_custkey")
 
 
-@query(f"""WITH x AS ({SPANS}) SELECT a.l_suppkey, a.pos AS left_pos, b.pos AS right_pos, CAST(least(a.e, b.e) - greatest(a.s, b.s) + 1 AS INTEGER) AS months
-    FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND a.pos < b.pos AND a.s <= b.e AND b.s <= a.e""")
+@query(f"""WITH x AS ({SPANS}) SELECT a.o_custkey, a.pos AS left_pos, b.pos AS right_pos, CAST(least(a.e, b.e) - greatest(a.s, b.s) + 1 AS INTEGER) AS months
+    FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.pos < b.pos AND a.s <= b.e AND b.s <= a.e""")
 def overlap_pairs(spark, d):
-    return intervals.overlaps(_spans(spark, d), "l_suppkey", "pos").withColumn("months", F.col("months").cast("int"))
+    return intervals.overlaps(_spans(spark, d), "o_custkey", "pos").withColumn("months", F.col("months").cast("int"))
 
 
-@query(f"""WITH x AS ({SPANS}), g AS (SELECT l_suppkey, s, lag(s) OVER (PARTITION BY l_suppkey ORDER BY pos) AS p FROM x)
-    SELECT l_suppkey, CASE WHEN count(*) >= 2 THEN bool_and(coalesce(s <= p, true)) END AS newest_first FROM g GROUP BY 1""")
+@query(f"""WITH x AS ({SPANS}), g AS (SELECT o_custkey, s, lag(s) OVER (PARTITION BY o_custkey ORDER BY pos) AS p FROM x)
+    SELECT o_custkey, CASE WHEN count(*) >= 2 THEN bool_and(coalesce(s <= p, true)) END AS newest_first FROM g GROUP BY 1""")
 def reverse_chronological(spark, d):
-    return intervals.newest_first(_spans(spark, d), "l_suppkey", "pos")
+    return intervals.newest_first(_spans(spark, d), "o_custkey", "pos")
 
 
 def _styled() -> Column:
@@ -246,24 +229,57 @@ def year_month_parse(spark, d):
 WORDS = r"len(regexp_extract_all(t, '[A-Za-z][A-Za-z''’\-]*'))"
 
 
+SYLLABLES = """CASE WHEN length(l) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(
+    CASE WHEN l LIKE '%es' OR l LIKE '%ed' THEN left(l, length(l) - 2) WHEN l LIKE '%e' AND l NOT LIKE '%le' THEN left(l, length(l) - 1) ELSE l END, '[aeiouy]+'))) END"""
+
+
 @query(rf"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE lang = 'en'),
-    c AS (SELECT doc_id, {WORDS} AS words, CASE WHEN trim(t) = '' THEN 0 ELSE greatest(1, len(list_filter(string_split_regex(regexp_replace(t, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_matches(p, '[A-Za-z]')))) END AS sentences, len(regexp_extract_all(lower(t), '[aeiouy]+')) AS vowels FROM x)
-    SELECT doc_id, words, sentences, round(CASE WHEN words > 0 THEN 206.835e0 - 1.015e0 * words / sentences - 84.6e0 * vowels / words ELSE 0 END, 4) AS ease,
+    w AS (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, regexp_replace(lower(unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z''’\-]*'))), '[^a-z]', '', 'g') AS l FROM x) GROUP BY 1, 2),
+    y AS (SELECT doc_id, sum(n) AS words, sum(n * ({SYLLABLES})) AS vowels FROM w GROUP BY 1),
+    c AS (SELECT doc_id, CAST(coalesce(words, 0) AS BIGINT) AS words, coalesce(vowels, 0) AS vowels, CASE WHEN trim(t) = '' THEN 0 ELSE greatest(1, len(list_filter(string_split_regex(regexp_replace(t, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_matches(p, '[A-Za-z]')))) END AS sentences FROM x LEFT JOIN y USING (doc_id))
+    SELECT doc_id, words, sentences, CAST(vowels AS BIGINT) AS syllables, round(CASE WHEN words > 0 THEN 206.835e0 - 1.015e0 * words / sentences - 84.6e0 * vowels / words ELSE 0 END, 4) AS ease,
            round(CASE WHEN words > 0 THEN 0.39e0 * words / sentences + 11.8e0 * vowels / words - 15.59e0 ELSE 0 END, 4) AS grade FROM c""")
 def readability_docs(spark, d):
+    """Each distinct word of a document is split into syllables once."""
     t = F.coalesce("text", F.lit(""))
-    c = read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.count_words(t).cast("long").alias("words"), text.count_sentences(t).cast("long").alias("sentences"), F.regexp_count(F.lower(t), F.lit("[aeiouy]+")).alias("vowels"))
-    w, s, v = F.col("words"), F.col("sentences"), F.col("vowels")
-    return c.select("doc_id", "words", "sentences", F.round(text.reading_ease(w, s, v), 4).alias("ease"), F.round(text.grade_level(w, s, v), 4).alias("grade"))
-
-
-@query(r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    c AS (SELECT doc_id, length(t) AS chars, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE round(len(regexp_extract_all(t, '\s')) / CAST(length(t) AS DOUBLE), 6) END AS whitespace, list_max(list_transform(string_split_regex(t, '\s+'), lambda w: length(w))) AS unbroken FROM x)
-    SELECT doc_id, chars, whitespace, unbroken, chars >= 150 AND whitespace <= 0.5 AND unbroken <= 200 AS passed FROM c""")
+    docs = read(spark, d, "documents").where("lang = 'en'")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(t, F.lit(text.WORD), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    counted = words.groupBy("doc_id").agg(F.sum("n").alias("words"), F.sum(F.col("n") * text.count_syllables(F.col("w"))).alias("syllables"))
+    c = docs.select("doc_id", text.count_sentences(t).cast("long").alias("sentences")).join(counted, "doc_id", "left").fillna(0, ["words", "syllables"])
+    w, s, v = F.col("words"), F.col("sentences"), F.col("syllables")
+    return c.select("doc_id", "words", "sentences", "syllables", F.round(text.reading_ease(w, s, v), 4).alias("ease"), F.round(text.grade_level(w, s, v), 4).alias("grade"))
+
+
+def known_words(docs: DataFrame, dictionary: DataFrame, key: str, body: str) -> DataFrame:
+    """``(key, known)``: the share of alphabetic tokens that ``dictionary (w)`` has, also without common endings. Each distinct token is looked up once."""
+    tokens = docs.select(key, F.explode(text.alphabetic_tokens(F.col(body))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    stems = tokens.select("token").distinct().select("token", F.explode(text.word_stems(F.col("token"))).alias("w"))
+    found = stems.join(dictionary.select("w").distinct(), "w", "left_semi").select("token").distinct().withColumn("hit", F.lit(1))
+    return tokens.join(found, "token", "left").groupBy(key).agg((F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("known"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark),
+    tk AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[a-z][a-z''’\-]+')) AS k FROM x) GROUP BY 1, 2),
+    nt AS (SELECT k, regexp_replace(regexp_replace(regexp_replace(k, '^[^a-z]+', ''), '[^a-z''’]+$', ''), '[''’]s$', '') AS w FROM (SELECT DISTINCT k FROM tk)),
+    f AS (SELECT k, unnest([w, CASE WHEN w LIKE '%s' THEN left(w, length(w) - 1) END, CASE WHEN w LIKE '%es' OR w LIKE '%ed' OR w LIKE '%ly' THEN left(w, length(w) - 2) END, CASE WHEN w LIKE '%ing' THEN left(w, length(w) - 3) END]) AS w FROM nt WHERE length(w) >= 2),
+    h AS (SELECT DISTINCT k FROM f SEMI JOIN v USING (w)), r AS (SELECT doc_id, sum(CASE WHEN h.k IS NULL THEN 0 ELSE n END) / CAST(sum(n) AS DOUBLE) AS known FROM tk LEFT JOIN h USING (k) GROUP BY 1),
+    m AS (SELECT doc_id, length(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS chars, list_max(list_transform(string_split_regex(t, '\s+'), lambda w: length(w))) AS unbroken, CASE WHEN t = '' THEN 1e0 ELSE len(regexp_extract_all(t, '\s')) / CAST(length(t) AS DOUBLE) END AS whitespace,
+        CASE WHEN t = '' THEN 1e0 ELSE len(regexp_extract_all(t, '[\x{FFFD}\x{E000}-\x{F8FF}\x{25A0}-\x{25FF}]')) / CAST(length(t) AS DOUBLE) END AS garbage, regexp_extract_all(t, '[A-Za-z]{3,}') AS ws FROM x),
+    c AS (SELECT m.doc_id, chars, unbroken, whitespace, garbage, coalesce(known, 0) AS known, CASE WHEN len(ws) = 0 THEN 1e0 ELSE len(list_filter(ws, lambda w: len(regexp_extract_all(w, '[aeiouAEIOU]')) / CAST(length(w) AS DOUBLE) < 0.15 OR regexp_matches(w, '(?i)[bcdfghjklmnpqrstvwxz]{6,}'))) / CAST(len(ws) AS DOUBLE) END AS nonsense FROM m LEFT JOIN r ON m.doc_id = r.doc_id),
+    z AS (SELECT *, concat_ws(',', CASE WHEN chars <= 150 THEN 'too_short' END, CASE WHEN known < 0.6 THEN 'unknown_words' END, CASE WHEN whitespace > 0.5 THEN 'whitespace' END, CASE WHEN unbroken > 200 THEN 'unbroken_run' END, CASE WHEN garbage > 0.02 THEN 'garbage' END, CASE WHEN nonsense > 0.35 THEN 'nonsense' END) AS reasons FROM c)
+    SELECT doc_id, chars, unbroken, round(known, 6) AS known, round(whitespace, 6) AS whitespace, round(garbage, 6) AS garbage, round(nonsense, 6) AS nonsense, reasons, reasons = '' AS passed FROM z""")
 def extraction_quality_docs(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    c = read(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.round(text.whitespace_ratio(t), 6).alias("whitespace"), text.longest_unbroken(t).cast("long").alias("unbroken"))
-    return c.withColumn("passed", (F.col("chars") >= 150) & (F.col("whitespace") <= 0.5) & (F.col("unbroken") <= 200))
+    """All six limits over every text; the dictionary is a parameter, here the words of ``benchmark``."""
+    docs, t = read(spark, d, "documents"), F.coalesce("text", F.lit(""))
+    dictionary = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w"))
+    measured = docs.select(
+        "doc_id", F.length(F.regexp_replace(t, r"^\s+|\s+$", "")).cast("long").alias("chars"), text.whitespace_ratio(t).alias("whitespace"), text.longest_unbroken(t).cast("long").alias("unbroken"),
+        text.garbage_ratio(t).alias("garbage"), text.nonsense_ratio(t).alias("nonsense"),
+    )
+    c = measured.join(known_words(docs, dictionary, "doc_id", "text"), "doc_id", "left").fillna(0.0, ["known"])
+    reasons = text.quality_reasons(*[F.col(n) for n in ("chars", "known", "whitespace", "unbroken", "garbage", "nonsense")])
+    rounded = [F.round(n, 6).alias(n) for n in ("known", "whitespace", "garbage", "nonsense")]
+    return c.select("doc_id", "chars", "unbroken", *rounded, F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
 
 
 @query(r"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark), x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents)
@@ -282,13 +298,40 @@ def email_counts(spark, d):
     return docs.select("doc_id", F.regexp_count("text", F.lit("(?i)(?<![A-Za-z0-9_])[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}(?![A-Za-z0-9_])")).alias("emails"))
 
 
-@query()
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _masking() -> str:
+    """SQL that replaces one kind after the other and counts each ahead of its own replacement."""
+    steps = [("n_social_url", (privacy.SOCIAL_URL,), "[REDACTED_PROFILE_URL]"), ("n_address", (privacy.ADDRESS,), "[REDACTED_ADDRESS]"), ("n_phone", privacy.PHONES, privacy.REDACTED), ("n_email", (privacy.EMAIL,), privacy.REDACTED)]
+    sql, names = "SELECT doc_id, coalesce(text, '') AS t FROM documents", ""
+    for name, patterns, put in steps:
+        count, text_ = " + ".join(f"len(regexp_extract_all(t, {_sql(p)}))" for p in patterns), "t"
+        for p in patterns:
+            text_ = f"regexp_replace({text_}, {_sql(p)}, '{put}', 'g')"
+        sql = f"SELECT doc_id, {text_} AS t{names}, {count} AS {name} FROM ({sql})"
+        names += f", {name}"
+    return f"SELECT doc_id, sha256(t) AS sha256{names} FROM ({sql})"
+
+
+def _neutralising() -> str:
+    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+    sql, names = f"SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '[\u200b-\u200d\u2060\ufeff]', '', 'g'), '{control}', ' ', 'g') AS t FROM conversations", ""
+    for name, p in privacy.INJECTIONS.items():
+        sql = f"SELECT conv_id, turn, regexp_replace(t, {_sql(p)}, '{privacy.MARK}', 'g') AS t{names}, CASE WHEN regexp_matches(t, {_sql(p)}) THEN '{name}' END AS {name} FROM ({sql})"
+        names += f", {name}"
+    shorter = r"regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{3,}', '  ', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    return f"SELECT conv_id, turn, sha256({shorter}) AS sha256, concat_ws(','{names}) AS families FROM ({sql})"
+
+
+@query(_masking())
 def pii_mask_docs(spark, d):
     clean, counts = privacy.masked(F.coalesce("text", F.lit("")), emails=True)
     return read(spark, d, "documents").select("doc_id", F.sha2(clean, 256).alias("sha256"), *[c.alias(f"n_{k}") for k, c in counts.items()])
 
 
-@query()
+@query(_neutralising())
 def injection_scan(spark, d):
     clean, found = privacy.neutralised(F.coalesce("text", F.lit("")))
     return read(spark, d, "conversations").select("conv_id", "turn", F.sha2(clean, 256).alias("sha256"), F.array_join(found, ",").alias("families"))
@@ -299,7 +342,19 @@ def html_links(spark, d):
     return read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(text.html_links(F.col("html"))), " ").alias("links"), F.length(text.strip_tags(F.col("html"))).cast("long").alias("chars"))
 
 
-@query()
+def _html_sql() -> str:
+    rules = [
+        (text.ANCHOR, r"\2 (\1)"), (r"(?i)<tr\b[^>]*>", "\n| "), (r"(?i)</tr>", " |"), (r"(?i)</t[dh]>\s*<t[dh]\b[^>]*>", " | "), (r"(?i)</?t(?:able|head|body|foot)\b[^>]*>", "\n"),
+        (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|li|section|article)>", "\n"), (r"(?i)<li\b[^>]*>", "\n- "), ("<[^>]*>", ""),
+        *[(f"(?i)&{n};", c) for n, c in text.ENTITIES.items() if n != "amp"], ("(?i)&amp;", "&"), ("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
+    ]
+    out = "html"
+    for p, put in rules:
+        out = f"regexp_replace({out}, {_sql(p)}, {_sql(put)}, 'g')"
+    return f"SELECT page_id, {out} AS text FROM pages"
+
+
+@query(_html_sql())  # the tables' anchors hold no tags, and their entities have names
 def html_to_text(spark, d):
     return read(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
@@ -346,24 +401,36 @@ def grounded_benchmark(spark, d):
     return every.where(privacy.grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
 
 
-@query()
+HEADING = r"""(len(string_split_regex(u, '\s+')) <= 8 AND NOT regexp_matches(u, '[.!?]$') AND length(regexp_replace(u, '[^A-Za-z]', '', 'g')) >= 3 AND
+    (length(regexp_replace(u, '[^A-Z]', '', 'g')) / CAST(greatest(1, length(regexp_replace(u, '[^A-Za-z]', '', 'g'))) AS DOUBLE) > 0.6 OR regexp_matches(u, '^[A-Z][\w\s&/,''-]{2,60}:?$')))"""
+
+
+@query(rf"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM s), h AS (SELECT *, trim(t) AS u FROM l), k AS (SELECT *, {HEADING} AS heading FROM h),
+    a AS (SELECT *, last_value(CASE WHEN heading THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM k)
+    SELECT doc_id, CAST(min(line) AS INTEGER) AS line, arg_min(coalesce(section, ''), line) AS section, arg_min(left(t, 400), line) AS excerpt FROM a WHERE NOT heading AND regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}])the([^\p{{L}}\p{{N}}]|$)') GROUP BY 1""")
 def excerpt_with_section(spark, d):
     """The first line of each document that holds ``the``, with the nearest heading above it."""
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     heading = text.looks_like_heading(F.col("text"))
     above = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line"))
     hits = lines.withColumn("section", above).where(~heading & text.contains_term(F.col("text"), F.lit("the")))
-    return hits.groupBy("doc_id").agg(F.min("line").alias("line"), F.min_by("section", "line").alias("section"), F.min_by(F.substring("text", 1, 400), "line").alias("excerpt"))
+    return hits.groupBy("doc_id").agg(F.min("line").alias("line"), F.min_by(F.coalesce("section", F.lit("")), "line").alias("section"), F.min_by(F.substring("text", 1, 400), "line").alias("excerpt"))
+
 
+def either(patterns: tuple[str, ...]) -> str:
+    """Patterns as one SQL condition on ``l``."""
+    return "(" + " OR ".join("regexp_matches(l, '" + p.replace("'", "''") + "')" for p in patterns) + ")"
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
-    SELECT doc_id, count(*) AS lines, round(count(*) FILTER (regexp_matches(l, '[0-9]+(?:\.[0-9]+)?\s?%')) / CAST(count(*) AS DOUBLE), 6) AS percent_share FROM s GROUP BY 1""")
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER ({either(text.QUANTIFIED)}) AS quantified FROM s GROUP BY 1""")
 def quantified_lines(spark, d):
     lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.round(F.count_if(F.col("line").rlike(text.QUANTIFIED[0])) / F.count("*"), 6).alias("percent_share"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(text.is_quantified(F.col("line"))).alias("quantified"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda l: trim(l)), lambda l: length(l) BETWEEN 1 AND 60) AS ls FROM documents)
+    SELECT doc_id, concat_ws(',', """ + ", ".join("CASE WHEN len(list_filter(ls, lambda l: " + " OR ".join(f"regexp_matches(l, '(?i){p}')" for p in ps) + f")) > 0 THEN '{n}' END" for n, ps in text.SECTIONS.items()) + ") AS sections FROM s")
 def section_headers(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(text.sections(F.coalesce("text", F.lit(""))), ",").alias("sections"))
 
@@ -374,36 +441,33 @@ UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x / sq
     p AS (SELECT q.vec_id, r.vec_id AS other, r.label, greatest(0, least(1, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])))) AS c FROM u q JOIN u r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of a stated query set (ids divisible by 100) with all rows; vectors are normalised once."""
-    u = read(spark, d, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
-    q = u.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.dot(F.col("qv"), F.col("v"))))
-    return u.join(q, F.col("q") != F.col("vec_id")).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), "label", score.alias("c"))
+def _by_label(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.label_similarity(read(spark, d, "embeddings").select("vec_id", "label", "embedding"), every=100)
 
 
 @query(f"WITH {UNIT} SELECT vec_id, arg_max(other, c) AS best, round(max(c), 5) AS similarity FROM p GROUP BY 1")
 def cosine_best_match(spark, d):
-    return _pairs(spark, d).groupBy("vec_id").agg(F.max_by("other", "c").alias("best"), F.round(F.max("c"), 5).alias("similarity"))
+    return _by_label(spark, d).groupBy("vec_id").agg(F.max_by("best", F.struct(F.col("similarity"), -F.col("best"))).alias("best"), F.round(F.max("similarity"), 5).alias("similarity"))
 
 
 @query(f"WITH {UNIT}, b AS (SELECT CASE WHEN c >= 0.82 THEN 1.0 WHEN c >= 0.72 THEN 0.65 WHEN c >= 0.60 THEN 0.25 ELSE 0.0 END::DOUBLE AS credit FROM p) SELECT credit, count(*) AS n FROM b GROUP BY 1")
 def semantic_bands(spark, d):
-    return _pairs(spark, d).groupBy(numeric.credit(F.col("c")).alias("credit")).agg(F.count("*").alias("n"))
+    credits = [c for _, c in numeric.SIMILARITY_BANDS] + [0.0]
+    rows = F.array(*[F.struct(F.lit(c).alias("credit"), F.col(f"n_{k}").alias("n")) for k, c in enumerate(credits)])
+    return _by_label(spark, d).select(F.inline(rows)).groupBy("credit").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query(f"""WITH {UNIT}, b AS (SELECT vec_id, label, max(c) AS m FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC) AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM b WHERE m > 0)
     SELECT vec_id, round(avg(m), 5) AS relevance FROM r WHERE k <= ceil(n / 2.0) GROUP BY 1""")
 def topk_mean_relevance(spark, d):
-    best = _pairs(spark, d).groupBy("vec_id", "label").agg(F.max("c").alias("m"))
-    return best.groupBy("vec_id").agg(F.round(numeric.top_k_mean(F.collect_list("m")), 5).alias("relevance"))  # one value for each label
+    best = _by_label(spark, d)
+    return best.groupBy("vec_id").agg(F.round(numeric.top_k_mean(F.collect_list("similarity")), 5).alias("relevance"))  # one value for each label
 
 
 @query(f"""WITH {UNIT}, b AS (SELECT vec_id, label, max(c) AS m FROM p GROUP BY 1, 2)
     SELECT vec_id, round(avg(CASE WHEN m >= 0.82 THEN 100 WHEN m >= 0.72 THEN 65 WHEN m >= 0.60 THEN 25 ELSE 0 END), 4) AS alignment FROM b GROUP BY 1""")
 def semantic_alignment_by_label(spark, d):
-    best = _pairs(spark, d).groupBy("vec_id", "label").agg(F.max("c").alias("m"))
-    return best.groupBy("vec_id").agg(F.round(F.avg(numeric.relevance(F.col("m"))), 4).alias("alignment"))
+    return _by_label(spark, d).groupBy("vec_id").agg(F.round(F.avg(numeric.relevance(F.col("similarity"))), 4).alias("alignment"))
 
 
 # scores and matches ---------------------------------------------------------------------------
@@ -420,14 +484,17 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH x AS ({PARTS}), y AS (SELECT l_orderkey, l_linenumber, {CLEAN} FROM x), z AS (SELECT l_orderkey, l_linenumber, floor((a + b + c + d + e + f + g + 2.220446049250313e-16) * 100e0 + 0.5e0) / 100e0 AS s FROM y)
     SELECT l_orderkey, l_linenumber, s AS score, CASE WHEN s >= 85 THEN 'excellent' WHEN s >= 70 THEN 'strong' WHEN s >= 50 THEN 'moderate' ELSE 'developing' END AS band FROM z""")
 def weighted_score_bands(spark, d):
-    score = scoring.weighted_score([F.col(c) for c in "abcdefg"], scoring.WEIGHTS["software_engineer"])
-    return _parts(spark, d).select("l_orderkey", "l_linenumber", score.alias("score")).withColumn("band", numeric.score_band(F.col("score")))
+    scored = scoring.weighted_score(_parts(spark, d), list("abcdefg"), scoring.WEIGHTS["software_engineer"])
+    return scored.select("l_orderkey", "l_linenumber", "score").withColumn("band", numeric.score_band(F.col("score")))
+
 
+HALF_UP = "floor(({0} + sign({0}) * 2.220446049250313e-16) * {1}e0 + 0.5e0) / {1}e0"
 
-@query(f"""WITH x AS ({PARTS}) SELECT l_orderkey, l_linenumber, round((least(100, a) * 0.35 + least(100, b) * 0.10) / 0.45, 1) AS skill FROM x""")
+
+@query(f"""WITH x AS ({PARTS}), y AS (SELECT *, least(100e0, a) * (0.35e0 / 0.45e0) AS u, least(100e0, b) * (0.10e0 / 0.45e0) AS v FROM x),
+    z AS (SELECT l_orderkey, l_linenumber, least(100e0, {HALF_UP.format("u", 10000)} + {HALF_UP.format("v", 10000)}) AS s FROM y) SELECT l_orderkey, l_linenumber, {HALF_UP.format("s", 100)} AS skill FROM z""")
 def renormalised_scores(spark, d):
-    score = scoring.renormalised([F.col("a"), F.col("b")], scoring.WEIGHTS["software_engineer"][:2])
-    return _parts(spark, d).select("l_orderkey", "l_linenumber", F.round(score, 1).alias("skill"))
+    return scoring.renormalised(_parts(spark, d), ["a", "b"], scoring.WEIGHTS["software_engineer"][:2], "skill").select("l_orderkey", "l_linenumber", "skill")
 
 
 @query(f"""WITH x AS ({PARTS}) SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN least(a, 70.0) ELSE a END AS required FROM x""")
@@ -453,12 +520,17 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return matching.alias_index(entries, "p_brand", "aliases", "pos")
 
 
-NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9+# ]', ' ', 'g'), '\s+', ' ', 'g'))"
+def _norm_sql(column: str) -> str:
+    out = f"lower(trim({column}))"
+    for pattern, put in text.SKILL_RULES:
+        put = put.replace("$", chr(92))
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''").replace(text.ZERO_WIDTH, "\u200b"), put)
+    return f"trim({out})"
 
 
-@query(f"""WITH e AS (SELECT p_brand, min(p_partkey) AS pos FROM part GROUP BY 1), n AS (SELECT DISTINCT p_brand AS c, {NORM.format('p_type')} AS norm FROM part UNION SELECT p_brand, {NORM.format('p_brand')} FROM part),
+@query(f"""WITH e AS (SELECT p_brand, min(p_partkey) AS pos FROM part GROUP BY 1), n AS (SELECT DISTINCT p_brand AS c, {_norm_sql('p_type')} AS norm FROM part UNION SELECT p_brand, {_norm_sql('p_brand')} FROM part),
     i AS (SELECT norm, arg_min(c, pos) AS canonical FROM n JOIN e ON c = p_brand WHERE norm <> '' GROUP BY 1)
-    SELECT p_partkey, coalesce(canonical, trim(p_type)) AS canonical FROM part LEFT JOIN i ON norm = {NORM.format('p_type')}""")
+    SELECT p_partkey, coalesce(canonical, trim(p_type)) AS canonical FROM part LEFT JOIN i ON norm = {_norm_sql('p_type')}""")
 def canonicalise_entities(spark, d):
     return matching.canonicalise(read(spark, d, "part").select("p_partkey", "p_type"), _index(spark, d), "p_type").select("p_partkey", "canonical")
 
@@ -541,11 +613,28 @@ def circuit_breaker_states(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, d):
-    """A file stream of ``events``, run until it has read what is there; open days are in the result too."""
+    """A file stream of ``events``, appended to Parquet as the watermark closes days; days still open are counted from the table."""
     import uuid
 
     events = spark.read.parquet(f"{d}/events.parquet")
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
-    name = f"daily_{uuid.uuid4().hex}"
-    stateful.daily_stream(_stamped(source), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{_shared(spark)}/daily-{uuid.uuid4().hex}"
+    counts = stateful.daily_stream(_stamped(source), "ts", "event_type")
+    # the watermark closes days as later events come; the last ones are closed by counting what is left
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/counts").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
+    open_days = _stamped(events).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).join(closed.select("day", "event_type"), ["day", "event_type"], "left_anti")
+    return closed.unionByName(open_days.select(*closed.columns))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder for state: that of ``spark.checkpoint.dir``, or in local mode a temporary one."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="dossierflow-")
+
+
+from . import reports  # noqa: E402, F401  registers its queries
