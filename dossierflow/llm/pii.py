@@ -97,14 +97,20 @@ def _gate(kind: str, text: Column) -> Column:
     return numbers & text.rlike({"ssn": "[0-9]-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}[kind]) if kind in ("ssn", "iban") else numbers
 
 
-def _located(kind: str, text: Column) -> Column:
-    """Every match of the kind's pattern: ``array<struct<start, end, found, near>>``, ``near`` being what lies around it.
-
-    The text around reaches ``CONTEXT_CHARS`` to either side, but not past the next match.
-    """
+def _pairs(kind: str, text: Column) -> Column:
+    """Every match of the kind's pattern between what lies before and after it: ``array<struct<b, m, a>>``."""
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     between = F.split(text, PATTERNS[kind], -1)
     after = F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0)))
+    pairs = F.filter(F.arrays_zip(between.alias("b"), matches.alias("m"), after.alias("a")), lambda p: p["m"].isNotNull())
+    return F.when(_gate(kind, text), pairs)
+
+
+def _located(pairs: Column) -> Column:
+    """Matches with their places: ``array<struct<start, end, found, near>>``, ``near`` being what lies around.
+
+    The text around reaches ``CONTEXT_CHARS`` to either side, but not past the next match.
+    """
     nothing = "cast(array() as array<struct<start:bigint,end:bigint,found:string,near:string>>)"
 
     def step(state: Column, pair: Column) -> Column:
@@ -119,9 +125,8 @@ def _located(kind: str, text: Column) -> Column:
         begin = F.aggregate(F.slice(pairs, F.lit(1), low), F.lit(0).cast("long"), lambda n, p: n + F.length(p["b"]) + F.length(p["m"]))
         return F.aggregate(F.slice(pairs, low + 1, F.lit(PART)), F.struct(begin.alias("at"), F.expr(nothing).alias("out")), step, lambda s: s["out"])
 
-    pairs = F.filter(F.arrays_zip(between.alias("b"), matches.alias("m"), after.alias("a")), lambda p: p["m"].isNotNull())
     located = F.flatten(F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, F.lit(PART)), some))
-    return F.when(_gate(kind, text) & (F.size(matches) > 0), located).otherwise(F.expr(nothing))
+    return F.when(F.coalesce(F.size(pairs), F.lit(0)) > 0, located).otherwise(F.expr(nothing))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
@@ -135,7 +140,9 @@ def find_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii_span
     """
     text = F.coalesce(col(text_col), F.lit(""))
     names = {kind: fresh(f"found_{kind}", docs) for kind in KINDS}
-    out = docs.withColumns({names[kind]: _located(kind, text) for kind in KINDS})
+    # columns of their own, so that no pattern is run twice
+    out = docs.withColumns({names[kind]: _pairs(kind, text) for kind in KINDS})
+    out = out.withColumns({names[kind]: _located(F.col(names[kind])) for kind in KINDS})
 
     def judged(kind: str) -> Column:
         plain, near = SCORES[kind]
