@@ -44,6 +44,11 @@ QUANTIFIED = (
 )
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def chain(text: Column, *rules: tuple[str, str]) -> Column:
     for pattern, put in rules:
         text = F.regexp_replace(text, pattern, put)
@@ -114,9 +119,9 @@ def density(text: Column) -> Column:
 
 def nonsense_ratio(text: Column) -> Column:
     """Share of words of three or more letters with under 15 % vowels or six consonants in a row; 1 without words."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0))
-    odd = F.filter(words, lambda w: (F.regexp_count(w, F.lit("[aeiouAEIOU]")) / F.length(w) < 0.15) | w.rlike("(?i)[bcdfghjklmnpqrstvwxz]{6,}"))
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(odd) / F.size(words))
+    odd = lambda w: (F.regexp_count(w, F.lit("[aeiouAEIOU]")) / F.length(w) < 0.15) | w.rlike("(?i)[bcdfghjklmnpqrstvwxz]{6,}")
+    share = lambda ws: F.when(F.size(ws) == 0, 1.0).otherwise(F.size(F.filter(ws, odd)) / F.size(ws))
+    return bound(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0)), share)
 
 
 def alphabetic_tokens(text: Column) -> Column:
@@ -130,10 +135,13 @@ def normal_token(token: Column) -> Column:
 
 def word_stems(token: Column) -> Column:
     """The forms of a token that a dictionary is asked for: itself, and without s, es, ing, ed, ly."""
-    t = normal_token(token)
-    ends = (("s", 1), ("es", 2), ("ing", 3), ("ed", 2), ("ly", 2))
-    bare = [F.when(t.endswith(e), F.substring(t, F.lit(1), F.length(t) - n)) for e, n in ends]
-    return F.when(F.length(t) >= 2, F.array_compact(F.array(t, *bare))).otherwise(F.array().cast("array<string>"))
+
+    def forms(t: Column) -> Column:
+        ends = (("s", 1), ("es", 2), ("ing", 3), ("ed", 2), ("ly", 2))
+        bare = [F.when(t.endswith(e), F.substring(t, F.lit(1), F.length(t) - n)) for e, n in ends]
+        return F.when(F.length(t) >= 2, F.array_compact(F.array(t, *bare))).otherwise(F.array().cast("array<string>"))
+
+    return bound(normal_token(token), forms)
 
 
 def quality_reasons(chars: Column, known: Column, space: Column, unbroken: Column, garbage: Column, nonsense: Column) -> Column:
@@ -147,15 +155,19 @@ def quality_reasons(chars: Column, known: Column, space: Column, unbroken: Colum
 
 def opener(line: Column, verbs: tuple[str, ...]) -> Column:
     """How a bullet opens: ``passive``, ``strong`` (one of ``verbs``, also with s or es) or ``other``."""
-    t = F.trim(chain(F.lower(line), (r"^[\s•\-–—*·◦▪‣⁃]+", ""), (r"\s+", " ")))
-    first = F.regexp_replace(F.get(F.split(t, " "), F.lit(0)), "[^a-z'-]", "")
-    known = F.lit(False)
-    for n, end in ((0, ""), (1, "s"), (2, "es")):
-        known = known | (first.endswith(end) & F.substring(first, F.lit(1), F.length(first) - n).isin(*verbs))
-    passive = F.lit(False)
-    for p in PASSIVE_OPENERS:
-        passive = passive | t.startswith(p)
-    return F.when(t == "", "other").when(passive, "passive").when(known, "strong").otherwise("other")
+
+    def is_strong(first: Column) -> Column:
+        known = F.lit(False)
+        for n, end in ((0, ""), (1, "s"), (2, "es")):
+            known = known | (first.endswith(end) & F.substring(first, F.lit(1), F.length(first) - n).isin(*verbs))
+        return known
+
+    def kind(t: Column) -> Column:
+        passive = reduce(lambda a, p: a | t.startswith(p), PASSIVE_OPENERS, F.lit(False))
+        strong = bound(F.regexp_replace(F.get(F.split(t, " "), F.lit(0)), "[^a-z'-]", ""), is_strong)
+        return F.when(t == "", "other").when(passive, "passive").when(strong, "strong").otherwise("other")
+
+    return bound(F.trim(chain(F.lower(line), (r"^[\s•\-–—*·◦▪‣⁃]+", ""), (r"\s+", " "))), kind)
 
 
 def sentences(text: Column) -> Column:
@@ -181,8 +193,12 @@ def quoted_passages(text: Column) -> Column:
 
 def replaced(text: Column, pattern: str, put) -> Column:
     """``text`` with each match of the pattern replaced by ``put(match)``."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.array_join(F.transform(parts, lambda p: F.concat(p["part"], F.when(p["found"].isNull(), "").otherwise(put(p["found"])))), "")
+
+    def joined(t: Column) -> Column:
+        parts = F.arrays_zip(F.split(t, pattern, -1).alias("part"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"))
+        return F.array_join(F.transform(parts, lambda p: F.concat(p["part"], F.when(p["found"].isNull(), "").otherwise(put(p["found"])))), "")
+
+    return bound(text, joined)
 
 
 def strip_tags(html: Column) -> Column:
@@ -193,10 +209,20 @@ def decode_entities(text: Column) -> Column:
     """Hexadecimal, then decimal, then named entities, each once; unknown names stay, impossible code points stay too."""
     point = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
     number = lambda m, base: F.conv(F.regexp_extract(m, "([0-9a-fA-F]+);", 1), base, 10).try_cast("long")
-    text = replaced(text, "&#x[0-9a-fA-F]+;", lambda m: F.coalesce(point(number(m, 16)), m))
-    text = replaced(text, "&#[0-9]+;", lambda m: F.coalesce(point(number(m, 10)), m))
     known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    return replaced(text, "&[a-zA-Z]+;", lambda m: F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(m, "&([a-zA-Z]+);", 1))), m))
+    steps = (
+        ("&#x", "&#x[0-9a-fA-F]+;", lambda m: F.coalesce(point(number(m, 16)), m)),
+        ("&#", "&#[0-9]+;", lambda m: F.coalesce(point(number(m, 10)), m)),
+        ("&", "&[a-zA-Z]+;", lambda m: F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(m, "&([a-zA-Z]+);", 1))), m)),
+    )
+    for sign, pattern, put in steps:
+        text = bound(text, _where(sign, pattern, put))
+    return text
+
+
+def _where(sign: str, pattern: str, put):
+    """Texts without the sign stay as they are."""
+    return lambda t: F.when(F.contains(t, F.lit(sign)), replaced(t, pattern, put)).otherwise(t)
 
 
 ANCHOR = r'(?i)<a\b[^>]*href="([^"]*)"[^>]*>([\s\S]*?)</a>'
@@ -207,7 +233,8 @@ def html_to_text(html: Column) -> Column:
 
     def link(anchor: Column) -> Column:
         label, url = F.trim(strip_tags(F.regexp_extract(anchor, ANCHOR, 2))), F.trim(decode_entities(F.regexp_extract(anchor, ANCHOR, 1)))
-        return F.when(url == "", label).when(label == "", url).otherwise(F.concat(label, F.lit(" ("), url, F.lit(")")))
+        shown = lambda s: F.when(s["url"] == "", s["label"]).when(s["label"] == "", s["url"]).otherwise(F.concat(s["label"], F.lit(" ("), s["url"], F.lit(")")))
+        return bound(F.struct(label.alias("label"), url.alias("url")), shown)
 
     text = chain(
         replaced(html, ANCHOR, link),
@@ -261,7 +288,8 @@ def contains_term(text: Column, term: Column) -> Column:
     """Whole-term containment, case aside; blanks in the term match blanks or hyphens; terms of one character never match."""
     escaped = F.regexp_replace(F.regexp_replace(F.trim(term), r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"\s+", r"[\\s\\-]+")
     pattern = F.concat(F.lit(r"(?iu)(^|[^\p{L}\p{N}])"), escaped, F.lit(r"([^\p{L}\p{N}]|$)"))
-    return (F.length(F.trim(term)) >= 2) & F.call_function("regexp_like", text, pattern)
+    first = F.contains(F.lower(text), F.lower(F.regexp_extract(F.trim(term), r"^\S+", 0)))  # far cheaper than the pattern, and true of every hit
+    return (F.length(F.trim(term)) >= 2) & first & F.call_function("regexp_like", text, pattern)
 
 
 def is_quantified(text: Column) -> Column:

@@ -56,10 +56,11 @@ def checked(df: DataFrame, requirement: str, text: str, months: str, degrees: st
     degree = F.coalesce(*[F.when((level == n) & (F.lower(held).rlike(p) | contains_term(body, F.lit(n))), F.lit(n)) for n, p in DEGREES])
     words = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(F.col(requirement), F.lit(r"\b[A-Za-z][A-Za-z+#.-]{3,}\b"), F.lit(0)), F.lower)), lambda w: ~w.isin(*COMMON))
     rules = df.withColumns({"__years": years, "__licence": licence, "__level": level, "__words": F.slice(words, 1, 6)})
-    found = F.filter(F.col("__words"), lambda w: contains_term(body, w))
-    rules = rules.withColumns({"__found": found, "__degree": degree})
     is_licence = F.col("__licence").isNotNull() | asked.rlike(LICENCE_ASKED)
     method = F.when(asked.rlike(AUTHORISATION_ASKED) | asked.rlike(CLEARANCE_ASKED), "keyword").when(F.col("__years") != "", "experience_months").when(is_licence, "keyword").when(F.col("__level").isNotNull(), "education").otherwise("pattern")
+    rules = rules.withColumn("method", method)
+    found = F.when(F.col("method") == "pattern", F.filter(F.col("__words"), lambda w: contains_term(body, w)))
+    rules = rules.withColumns({"__found": found, "__degree": degree})
     actual = F.floor(F.coalesce(F.col(months), F.lit(0)) / 12 * 10 + 0.5) / 10
     matched = (
         F.when(asked.rlike(AUTHORISATION_ASKED), first_term(body, AUTHORISATION))
@@ -69,7 +70,7 @@ def checked(df: DataFrame, requirement: str, text: str, months: str, degrees: st
         .when(F.col("__level").isNotNull(), F.col("__degree"))
         .otherwise(F.get("__found", F.lit(0)))
     )
-    rules = rules.withColumns({"method": method, "matched": matched})
+    rules = rules.withColumn("matched", matched)
     verified = (
         F.when(F.col("method") == "experience_months", actual >= F.col("__years").try_cast("double"))
         .when(F.col("method") == "pattern", (F.size("__words") > 0) & (F.size("__found") >= LEAST_SHARE * F.size("__words")))
