@@ -198,9 +198,10 @@ def overlap_pairs(spark, d):
 
 
 @query(f"""WITH x AS ({SPANS}), g AS (SELECT o_custkey, s, lag(s) OVER (PARTITION BY o_custkey ORDER BY pos) AS p FROM x)
-    SELECT o_custkey, CASE WHEN count(*) >= 2 THEN bool_and(coalesce(s <= p, true)) END AS newest_first FROM g GROUP BY 1""")
+    SELECT o_custkey, coalesce(CAST(CASE WHEN count(*) >= 2 THEN bool_and(coalesce(s <= p, true)) END AS VARCHAR), 'too few') AS newest_first FROM g GROUP BY 1""")
 def reverse_chronological(spark, d):
-    return intervals.newest_first(_spans(spark, d), "o_custkey", "pos")
+    told = intervals.newest_first(_spans(spark, d), "o_custkey", "pos")
+    return told.withColumn("newest_first", F.coalesce(F.col("newest_first").cast("string"), F.lit("too few")))
 
 
 def _styled() -> Column:
