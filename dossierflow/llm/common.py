@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"  # to Python workers at once: some 10,000 rows without texts, fewer with them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +38,28 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    with _setting(df.sparkSession, BATCH_SETTING, BATCH_BYTES):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what goes to a Python worker at once, in bytes, where the session has no bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session has the setting while a table is written, then its own again."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A :func:`materialise` whose tables are deleted at the end; nothing that is read later may rest on them."""

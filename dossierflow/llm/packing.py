@@ -43,7 +43,6 @@ def _encoder(path: str):
     faster; where it refuses a text, the tokenizers library itself encodes it.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -52,9 +51,6 @@ def _encoder(path: str):
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
-    slow.no_truncation()
-    slow.no_padding()
 
     def encode(text: str) -> np.ndarray:
         try:
@@ -62,11 +58,21 @@ def _encoder(path: str):
         except BaseException as e:  # the library's panics are no Exceptions
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 
 
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(path)
+    slow.no_truncation()
+    slow.no_padding()
+    return slow
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(id, piece, start, length, ids_crc32[, ids])``: each text's ids and an end id, cut only where longer than ``capacity``.
 
