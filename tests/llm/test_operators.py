@@ -574,3 +574,21 @@ def test_pipeline(spark, tmp_path, sample):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r["doc_id"] for r in packed.collect()} == kept
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()} == kept
+
+
+def test_batch_bound_leaves_the_session_as_it_was(spark):
+    from dossierflow.llm.common import BATCH_BYTES, BATCH_SETTING, bounded_batches, materialise
+
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        materialise(spark.range(3), "bound")
+        assert spark.conf.get(BATCH_SETTING, None) is None
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_SETTING) == BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "9m")
+        bounded_batches(spark)
+        materialise(spark.range(3), "bound")
+        assert spark.conf.get(BATCH_SETTING) == "9m"
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
