@@ -264,7 +264,7 @@ def normal_for_hash(text: Column) -> Column:
 
 
 def normal_for_repeats(line: Column) -> Column:
-    return F.trim(chain(F.lower(line), ("[0-9]", "#"), (r"[^a-z#\s]", ""), (r"\s+", " ")))
+    return F.trim(chain(F.lower(line), ("[0-9]+", "#"), (r"[^a-z#\s]", ""), (r"\s+", " ")))
 
 
 def normal_for_grounding(text: Column) -> Column:

@@ -367,7 +367,7 @@ def content_hash_dedupe(spark, d):
     return hashed.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(l), '[0-9]', '#', 'g'), '[^a-z#\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM x)
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(l), '[0-9]+', '#', 'g'), '[^a-z#\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM x)
     SELECT key, count(DISTINCT doc_id) AS docs FROM k WHERE length(key) >= 3 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def repeated_lines(spark, d):
     lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))

@@ -294,3 +294,65 @@ def reading_order(spark, d):
     width = F.when(F.col("l_linenumber") == 1, 400.0).otherwise(20.0)
     items = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_partkey") % 500).cast("double").alias("x"), (700 - F.col("l_linenumber") * 12).cast("double").alias("y"), width.alias("width"))
     return layout.in_reading_order(items, F.lit(250.0)).select("doc", "page", "side", "place", "text")
+
+
+def _items(spark, d):
+    """Items on pages of 600 by 800: two columns on even pages, a line of four items in each row on the others."""
+    two = F.when(F.col("l_linenumber") % 2 == 0, 330).otherwise(50) + F.col("l_partkey") % 5
+    x = F.when(F.col("l_orderkey") % 2 == 0, two).otherwise(F.col("l_partkey") % 500).cast("double")
+    y = (F.floor(F.col("l_orderkey") / 20) % 60 * 12).cast("double")
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 20).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat("l_returnflag", F.lit(" page "), "l_linenumber").alias("text"), x.alias("x"), y.alias("y"), F.lit(100.0).alias("width"), F.lit(10.0).alias("height"))
+
+
+def _sizes(items):
+    return items.select("doc", "page").distinct().select("doc", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+
+
+ITEMS = """SELECT l_suppkey AS doc, l_orderkey % 20 AS page, l_orderkey * 10 + l_linenumber AS pos, l_returnflag || ' page ' || CAST(l_linenumber AS VARCHAR) AS text,
+    CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN 330 ELSE 50 END + l_partkey % 5 ELSE l_partkey % 500 END * 1e0 AS x, (l_orderkey // 20) % 60 * 12e0 AS y FROM lineitem"""
+
+
+@query()
+def page_columns(spark, d):
+    """The split of every page of two columns."""
+    items = _items(spark, d)
+    return layout.column_split(items, _sizes(items))
+
+
+@query(rf"""WITH i AS ({ITEMS}), k AS (SELECT *, CASE WHEN y >= 800 * 0.92e0 OR y <= 800 * 0.08e0 THEN trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z#\s]', '', 'g')) END AS key FROM i),
+    r AS (SELECT doc, key FROM k WHERE length(key) >= 3 GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2)
+    SELECT doc, page, pos FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc = k.doc AND r.key = k.key)""")
+def lines_without_headers(spark, d):
+    """What is left of every page without its repeating headers and footers."""
+    lines = _items(spark, d)
+    return layout.strip_repeated(lines, _sizes(lines)).select("doc", "page", "pos")
+
+
+@query(f"""WITH i AS ({ITEMS}), l AS (SELECT doc, page, pos AS nr, 'https://example.org/' || CAST(pos AS VARCHAR) AS url, x + 40 AS x1, y + 5 AS y1, x - 5 AS x2, y - 3 AS y2 FROM i WHERE pos % 10 = 1),
+    m AS (SELECT l.doc, l.page, nr, url, max(i.pos) AS pos FROM i, l WHERE i.doc = l.doc AND i.page = l.page AND x <= greatest(x1, x2) AND x + 100 >= least(x1, x2) AND y <= greatest(y1, y2) AND y + 10 >= least(y1, y2) GROUP BY 1, 2, 3, 4),
+    a AS (SELECT doc, page, pos, string_agg(' (' || url || ')', '' ORDER BY nr) AS more FROM m GROUP BY 1, 2, 3)
+    SELECT doc, page, pos, text || coalesce(more, '') AS text FROM i LEFT JOIN a USING (doc, page, pos)""")
+def link_targets(spark, d):
+    """Every item with the addresses of the links that lie on it; the first line of each order has a link."""
+    items = _items(spark, d)
+    first = items.where("pos % 10 = 1")  # what a link is here
+    links = first.select("doc", "page", F.col("pos").alias("nr"), F.concat(F.lit("https://example.org/"), "pos").alias("url"), (F.col("x") + 40).alias("x1"), (F.col("y") + 5).alias("y1"), (F.col("x") - 5).alias("x2"), (F.col("y") - 3).alias("y2"))
+    return layout.with_link_targets(items, links).select("doc", "page", "pos", "text")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), g AS (SELECT doc_id, l, len(regexp_extract_all(l, '\s{3,}')) AS gaps FROM l)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (gaps >= 2 OR (gaps >= 1 AND regexp_matches(l, '[|•·]'))) AS table_rows FROM g GROUP BY 1""")
+def table_like_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(layout.like_table_row(F.col("line"))).alias("table_rows"))
+
+
+FONTS = ("ABCDEF+Garland", "Arial Narrow", "Wingdings 2", "Garland", "serif", " ", "abcdef+Garland", "CMMI10")
+
+
+@query(rf"""WITH f AS (SELECT p_partkey, trim(list_extract([{", ".join(f"'{f}'" for f in FONTS)}], CAST(p_partkey % {len(FONTS)} AS INTEGER) + 1)) AS f FROM part)
+    SELECT CASE WHEN f = '' OR f IN ('sans-serif', 'serif', 'monospace') THEN NULL WHEN regexp_matches(lower(f), '{"|".join(layout.SYMBOL_FONTS)}') THEN 'symbol'
+        WHEN regexp_matches(f, '^[A-Z]{{6}}\+') OR regexp_matches(lower(f), '{"|".join(layout.STANDARD_FONTS)}') THEN 'safe' ELSE 'unembedded' END AS kind, count(*) AS n FROM f GROUP BY 1""")
+def font_kinds(spark, d):
+    name = F.element_at(F.array(*[F.lit(f) for f in FONTS]), (F.col("p_partkey") % len(FONTS) + 1).cast("int"))
+    return read(spark, d, "part").groupBy(layout.font_kind(name).alias("kind")).agg(F.count("*").alias("n"))
