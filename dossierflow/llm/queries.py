@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, license_scan, packing, pii, sharding, simhash, topk, warc
+from . import alignment, bpe, exact_dedup, langid, license_scan, packing, pii, ranked, sharding, simhash, topk, warc
 from .common import table
 
 
@@ -61,7 +61,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_warc, op4_exact_topk, op5_hilbert_sharding, op6_bpe, op7_exact_dedup, op8_license_scan, op9_simhash_dedup, op10_language_id)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every text, with corpus-wide counts of the linked ids."""
+    return alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every item of the benchmark."""
+    return ranked.search(ranked.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_warc, op4_exact_topk, op5_hilbert_sharding, op6_bpe, op7_exact_dedup, op8_license_scan, op9_simhash_dedup, op10_language_id, op12_token_alignment, op13_ranked_search)}
 
 ORACLE_SQL = {
     "op4_exact_topk": """
@@ -75,4 +85,15 @@ ORACLE_SQL = {
         WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM rows JOIN groups USING (t)""",
+    "op13_ranked_search": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        sizes AS (SELECT doc_id, len(t) AS n, t FROM words WHERE len(t) > 0),
+        total AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM sizes),
+        postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sizes) GROUP BY ALL),
+        freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        scored AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * total.N + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * total.N) // L)))) AS BIGINT) AS score
+                   FROM asked JOIN postings p USING (term) JOIN freq USING (term), total GROUP BY ALL),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
