@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, exact_dedup, langid, license_scan, packing, pii, ranked, sharding, simhash, topk, warc
+from . import alignment, bpe, exact_dedup, langid, language_model, license_scan, packing, pii, ranked, sharding, simhash, topk, warc
 from .common import table
 
 
@@ -61,6 +61,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every whole text, learnt from what is not held out."""
+    return language_model.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over every text, with corpus-wide counts of the linked ids."""
     return alignment.align(table(spark, sf_dir, "documents"))[0]
@@ -71,7 +76,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_warc, op4_exact_topk, op5_hilbert_sharding, op6_bpe, op7_exact_dedup, op8_license_scan, op9_simhash_dedup, op10_language_id, op12_token_alignment, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_warc, op4_exact_topk, op5_hilbert_sharding, op6_bpe, op7_exact_dedup, op8_license_scan, op9_simhash_dedup, op10_language_id, op11_lm_scoring, op12_token_alignment, op13_ranked_search)}
 
 ORACLE_SQL = {
     "op4_exact_topk": """
