@@ -76,8 +76,9 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for doc, text, out in zip(batch["id"], batch["text"], batch["held"], strict=True):
             words = split_words(text)
-            for w in set(words) - places.keys():
-                places[w] = len(places)
+            for w in dict.fromkeys(words):
+                if w not in places:
+                    places[w] = len(places)
             at = np.fromiter(map(places.__getitem__, words), dtype="<u4", count=len(words))
             if len(places) > len(seen):
                 seen = np.append(seen, np.zeros(len(places), dtype=np.int64))
