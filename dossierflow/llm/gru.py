@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 WORDS, CLASS = 2048, 64
-TAILS, BUCKETS = 32, 64
+TAILS, BUCKETS = 24, 64
 HEADS = WORDS // CLASS
 CODES = WORDS + TAILS * BUCKETS
 START = CODES  # what comes ahead of a text's first token
@@ -76,15 +76,24 @@ def forward(w: Weights, x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> t
     return states, steps, state
 
 
+def _exponents(s: np.ndarray, bias: np.ndarray, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scores, the exponents, the scores asked for, and the sums of exponents; each row by its own maximum where the common shift does not do."""
+    s += bias - bias.max()
+    own = s[rows, of]
+    e = np.exp(s)
+    total = e @ np.ones(s.shape[1], dtype=s.dtype)
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
+        most = s.max(1)
+        own, e = own - most, np.exp(s - most[:, None])
+        total = e.sum(1)
+    return e, own, total
+
+
 def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.ndarray, tuple | None]:
     """Natural log-probabilities of codes ``y`` after states ``h``, of tail codes those of their class; with ``learn`` also the slopes of their negative sum."""
     rows, head = np.arange(len(y)), y < WORDS
     of = np.where(head, y // CLASS, HEADS + (y - WORDS) // BUCKETS)
-    s = h @ w.by_class + w.class_bias
-    s -= s.max(1, keepdims=True)
-    own = s[rows, of]
-    e = np.exp(s, out=s)
-    total = e.sum(1)
+    e, own, total = _exponents(h @ w.by_class, w.class_bias, rows, of)
     found = (own - np.log(total)).astype(np.float64)
     if learn:
         e /= total[:, None]
@@ -96,11 +105,7 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.n
     for c in np.flatnonzero(np.diff(cuts)):
         i = at[cuts[c] : cuts[c + 1]]
         hi, k = h[i], y[i] % CLASS
-        s = hi @ w.by_word[c] + w.word_bias[c]
-        s -= s.max(1, keepdims=True)
-        own = s[np.arange(len(i)), k]
-        q = np.exp(s, out=s)
-        total = q.sum(1)
+        q, own, total = _exponents(hi @ w.by_word[c], w.word_bias[c], np.arange(len(i)), k)
         found[i] += own - np.log(total)
         if learn:
             q /= total[:, None]
@@ -188,10 +193,11 @@ def scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
         y[at : at + len(text), lane], x[at + 1 : at + len(text), lane] = text, text[:-1]
         of[at : at + len(text), lane], keep[at, lane] = i, 0
     state, out = np.zeros((lanes, w.between.shape[0]), dtype=np.float32), np.zeros(len(texts))
-    for at in range(0, long, STEPS):
-        states, _, state = forward(w, x[at : at + STEPS], keep[at : at + STEPS, :, None], state)
-        ys = y[at : at + STEPS].ravel()
+    steps = max(STEPS, STEPS * LANES // lanes)
+    for at in range(0, long, steps):
+        states, _, state = forward(w, x[at : at + steps], keep[at : at + steps, :, None], state)
+        ys = y[at : at + steps].ravel()
         some = np.flatnonzero(ys >= 0)
         found, _ = outputs(w, states.reshape(-1, states.shape[2])[some], ys[some], False)
-        out += np.bincount(of[at : at + STEPS].ravel()[some], weights=found, minlength=len(texts))
+        out += np.bincount(of[at : at + steps].ravel()[some], weights=found, minlength=len(texts))
     return out

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -65,30 +66,30 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def frames() -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=["id", "held", "places"]).assign(block=number, place=-1, word=None, seen=0)[order]
-        words = list(places)
+        words, seen = list(places), np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *learnt]), minlength=len(places))
         for at in range(0, len(words), 1 << 16):
             some = words[at : at + (1 << 16)]
             yield pd.DataFrame({"block": number, "place": np.arange(at, at + len(some), dtype=np.int32), "word": [w.decode() for w in some], "seen": seen[at : at + len(some)], "id": None, "held": False, "places": None})[order]
 
     order = [c.split()[0] for c in _LISTS.split(", ")]
-    places: dict[bytes, int] = {}
-    held, seen, tokens = [], np.zeros(1024, dtype=np.int64), 0
+    def fresh() -> tuple[dict[bytes, int], list, list, int]:
+        numbers: dict = defaultdict()
+        numbers.default_factory = numbers.__len__
+        return numbers, [], [], 0
+
+    places, held, learnt, tokens = fresh()
     for batch in batches:
         for doc, text, out in zip(batch["id"], batch["text"], batch["held"], strict=True):
             words = split_words(text)
-            for w in dict.fromkeys(words):
-                if w not in places:
-                    places[w] = len(places)
             at = np.fromiter(map(places.__getitem__, words), dtype="<u4", count=len(words))
-            if len(places) > len(seen):
-                seen = np.append(seen, np.zeros(len(places), dtype=np.int64))
             if not out:
-                np.add.at(seen, at, 1)
+                learnt.append(at)
             held.append((doc, bool(out), _pack(at)))
             tokens += len(words)
             if len(places) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
                 yield from frames()
-                places, held, seen, tokens, number = {}, [], np.zeros(1024, dtype=np.int64), 0, number + 1
+                places, held, learnt, tokens = fresh()
+                number += 1
     if held:
         yield from frames()
 
