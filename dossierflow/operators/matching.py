@@ -54,10 +54,9 @@ GAPS = ("MISSING_REQ", "MISSING_PREF", "MENTIONED_WITHOUT_EVIDENCE")
 
 
 def gaps(matches: DataFrame) -> DataFrame:
-    """The matches that are gaps, with a priority and its rank."""
+    """The matches that are gaps, with a priority: high where something required is missing or not shown, else medium."""
     is_gap = F.col("category").isin(*GAPS) | ((F.col("category") == "PARTIAL") & (F.col("credit") < 0.5))
-    high = (F.col("source") == "required") & (F.col("category") == "MISSING_REQ")
-    priority = F.when(high, "high").when(F.col("source") == "required", "medium").otherwise("low")
+    priority = F.when((F.col("category") == "MISSING_REQ") | (F.col("source") == "required"), "high").otherwise("medium")
     return matches.where(is_gap).withColumn("priority", priority)
 
 

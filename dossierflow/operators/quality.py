@@ -41,10 +41,17 @@ def entry_level(seniority: Column, least_years: Column, education: Column) -> Co
     return by_name | F.coalesce(least_years <= 1, F.lit(False)) | F.lower(F.coalesce(education, F.lit(""))).rlike("student|intern")
 
 
-def experience_score(months: Column, least_years: Column, similarities: Column) -> Column:
-    """0.35 of the years' score and 0.65 of the relevance of the better half of the similarities; 70 where none is positive."""
+def experience_score(months: Column, least_years: Column, similarities: Column, projects: Column | None = None, beginners: Column | None = None) -> Column:
+    """0.35 of the years' score and 0.65 of the relevance of the better half of the similarities, in 0 to 100; 70 where none is positive.
+
+    For beginners' postings the similarities of projects count as well; without
+    any given, those of roles count twice.
+    """
+    if beginners is not None:
+        similarities = F.when(beginners, F.concat(similarities, similarities if projects is None else projects)).otherwise(similarities)
     relevance = F.coalesce(numeric.relevance(numeric.top_k_mean(similarities)), F.lit(70.0))
-    return F.round(0.35 * numeric.years_score(months, least_years) + 0.65 * F.when(F.size(F.filter(similarities, lambda s: s > 0)) == 0, 70.0).otherwise(relevance), 2)
+    score = 0.35 * numeric.years_score(months, least_years) + 0.65 * F.when(F.size(F.filter(similarities, lambda s: s > 0)) == 0, 70.0).otherwise(relevance)
+    return F.round(numeric.clamp(score, 0, 100), 2)
 
 
 def parse_checks(body: Column, columns: Column, boxes: Column, tables: Column, pages: Column, images: Column, fonts: Column, odd_fonts: Column) -> list[tuple[Column, float]]:

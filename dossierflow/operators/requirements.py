@@ -41,19 +41,70 @@ def _each(text: Column, terms: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(contains_term(text, F.lit(t)), F.lit(t)) for t in terms])
 
 
-def checked(df: DataFrame, requirement: str, text: str, months: str, degrees: str | None = None) -> DataFrame:
+def _first_held(names: Column | None, test) -> Column:
+    """The first of an array of names that passes, else null."""
+    return F.lit(None).cast("string") if names is None else F.get(F.filter(names, lambda n: F.coalesce(test(n), F.lit(False))), F.lit(0))
+
+
+def verdicts(df: DataFrame, asked: list[str], text: str, months: str, degrees: str | None = None, certifications: str | None = None) -> DataFrame:
+    """``df`` with each requirement of a stated list: ``requirement``, ``method``, ``verified``, ``matched``, by the rules of :func:`checked`.
+
+    Which rule a requirement falls under is decided while the plan is built,
+    so a text meets only constant patterns, and is not copied.
+    """
+    body, held, certs = F.col(text), F.col(degrees) if degrees else None, F.col(certifications) if certifications else None
+    actual = F.floor(F.coalesce(F.col(months), F.lit(0)) / 12 * 10 + 0.5) / 10
+
+    def verdict(requirement: str) -> Column:
+        low, matched = requirement.strip().lower(), F.lit(None).cast("string")
+        years = re.search(YEARS, low)
+        licence = next((t for t in LICENCES if re.search(rf"(^|[\W_]){re.escape(t)}([\W_]|$)", low)), None)
+        level = next(((n, p) for n, p in DEGREES if re.search(p, low)), None)
+        method = "keyword"
+        if re.search(AUTHORISATION_ASKED, low):
+            matched = first_term(body, AUTHORISATION)
+        elif re.search(CLEARANCE_ASKED, low):
+            matched = first_term(body, CLEARANCE)
+        elif years:
+            method = "experience_months"
+        elif licence or re.search(LICENCE_ASKED, low):
+            own = F.when(contains_term(body, F.lit(licence)), licence) if licence else matched
+            matched = F.coalesce(own, _first_held(certs, lambda n: contains_term(body, n)))
+        elif level:
+            method, (name, pattern) = "education", level
+            matched = F.coalesce(_first_held(held, lambda d: F.lower(d).rlike(pattern)), F.when(contains_term(body, F.lit(name)), name))
+        else:
+            method = "pattern"
+            words = [w for w in dict.fromkeys(w.lower() for w in re.findall(r"\b[A-Za-z][A-Za-z+#.-]{3,}\b", requirement)) if w not in COMMON][:6]
+            hits = [contains_term(body, F.lit(w)) for w in words]
+            matched = F.coalesce(matched, *[F.when(h, w) for w, h in zip(words, hits, strict=True)])
+        if method == "experience_months":
+            verified = actual >= float(years[1])
+        elif method == "pattern":
+            verified = sum((F.coalesce(h, F.lit(False)).cast("int") for h in hits), F.lit(0)) >= LEAST_SHARE * len(words) if words else F.lit(False)
+        else:
+            verified = matched.isNotNull()
+        return F.struct(F.lit(requirement).alias("requirement"), F.lit(method).alias("method"), verified.alias("verified"), matched.alias("matched"))
+
+    return df.select("*", F.inline(F.array(*[verdict(r) for r in asked])))
+
+
+def checked(df: DataFrame, requirement: str, text: str, months: str, degrees: str | None = None, certifications: str | None = None) -> DataFrame:
     """``df`` with ``method``, ``verified`` and ``matched``: the first rule whose wording the requirement has decides.
 
     Rules in order: work authorisation, clearance, years of experience,
-    licences, degrees (also looked for in the array ``degrees``), and at last
-    the requirement's own distinctive words, 60 % of which must occur.
+    licences (the one asked for, else the first of the array
+    ``certifications`` that the text names), degrees (the first of the array
+    ``degrees`` of that level, else the level's name in the text), and at last
+    the requirement's own distinctive words, 60 % of which must occur. For a
+    stated list of requirements :func:`verdicts` is far cheaper.
     """
     asked, body = F.lower(F.trim(F.col(requirement))), F.col(text)
     years = F.regexp_extract(asked, YEARS, 1)
     licence = first_term(asked, LICENCES)
     level = F.coalesce(*[F.when(asked.rlike(p), F.lit(n)) for n, p in DEGREES])
-    held = F.coalesce(F.array_join(F.col(degrees), "\n"), F.lit("")) if degrees else F.lit("")
-    degree = F.coalesce(*[F.when((level == n) & (F.lower(held).rlike(p) | contains_term(body, F.lit(n))), F.lit(n)) for n, p in DEGREES])
+    held, certs = F.col(degrees) if degrees else None, F.col(certifications) if certifications else None
+    degree = F.coalesce(*[F.when(level == n, F.coalesce(_first_held(held, lambda d, p=p: F.lower(d).rlike(p)), F.when(contains_term(body, F.lit(n)), F.lit(n)))) for n, p in DEGREES])
     words = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(F.col(requirement), F.lit(r"\b[A-Za-z][A-Za-z+#.-]{3,}\b"), F.lit(0)), F.lower)), lambda w: ~w.isin(*COMMON))
     rules = df.withColumns({"__years": years, "__licence": licence, "__level": level, "__words": F.slice(words, 1, 6)})
     is_licence = F.col("__licence").isNotNull() | asked.rlike(LICENCE_ASKED)
@@ -66,7 +117,7 @@ def checked(df: DataFrame, requirement: str, text: str, months: str, degrees: st
         F.when(asked.rlike(AUTHORISATION_ASKED), first_term(body, AUTHORISATION))
         .when(asked.rlike(CLEARANCE_ASKED), first_term(body, CLEARANCE))
         .when(F.col("__years") != "", F.lit(None).cast("string"))
-        .when(is_licence, F.when(F.coalesce(contains_term(body, F.col("__licence")), F.lit(False)), F.col("__licence")))
+        .when(is_licence, F.coalesce(F.when(F.coalesce(contains_term(body, F.col("__licence")), F.lit(False)), F.col("__licence")), _first_held(certs, lambda n: contains_term(body, n))))
         .when(F.col("__level").isNotNull(), F.col("__degree"))
         .otherwise(F.get("__found", F.lit(0)))
     )

@@ -573,7 +573,7 @@ def match_coverage(spark, d):
     return _staged(spark, d).groupBy("k", "source").agg(F.round(numeric.coverage(F.avg(numeric.clamp(F.col("credit"), 0, 1)), 0), 2).alias("coverage"))
 
 
-@query(f"""WITH {STAGED} SELECT k, item, category, CASE WHEN source = 'required' AND category = 'MISSING_REQ' THEN 'high' WHEN source = 'required' THEN 'medium' ELSE 'low' END AS priority
+@query(f"""WITH {STAGED} SELECT k, item, category, CASE WHEN category = 'MISSING_REQ' OR source = 'required' THEN 'high' ELSE 'medium' END AS priority
     FROM s WHERE category IN ('MISSING_REQ', 'MISSING_PREF') OR (category = 'PARTIAL' AND credit < 0.5)""")
 def gap_priorities(spark, d):
     return matching.gaps(_staged(spark, d)).select("k", "item", "category", "priority")
@@ -638,4 +638,4 @@ def _shared(spark: SparkSession) -> str:
     return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="dossierflow-")
 
 
-from . import reports  # noqa: E402, F401  registers its queries
+from . import dossiers, reports  # noqa: E402, F401  registers their queries

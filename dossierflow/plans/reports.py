@@ -125,11 +125,11 @@ def _holds(terms: tuple[str, ...]) -> str:
 
 
 REQUIRED = f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, (doc_id * 7) % 150 AS months FROM documents),
-    c AS (SELECT doc_id, months, {_holds(requirements.AUTHORISATION)} AS a, {_holds(requirements.CLEARANCE)} AS b, {_holds(('aws certified',))} AS l, {_holds(('bachelor',))} AS g,
+    c AS (SELECT doc_id, months, {_holds(requirements.AUTHORISATION)} AS a, {_holds(requirements.CLEARANCE)} AS b, {_holds(('aws certified',))} AS l, {_holds(('bachelor',))} OR doc_id % 4 = 0 AS g, CASE doc_id % 3 WHEN 0 THEN {_holds(('license',))} WHEN 1 THEN {_holds(('best',))} ELSE {_holds(('experience',))} END AS h,
         (CAST({_holds(('experience',))} AS INTEGER) + CAST({_holds(('apache',))} AS INTEGER) + CAST({_holds(('spark',))} AS INTEGER) + CAST({_holds(('software',))} AS INTEGER)) >= 2.4 AS p, {_holds(('best',))} AS q FROM x),
-    y AS (SELECT doc_id, floor(months / 12.0 * 10 + 0.5) / 10 AS years, a, b, l, g, p, q FROM c),
+    y AS (SELECT doc_id, floor(months / 12.0 * 10 + 0.5) / 10 AS years, a, b, l, g, h, p, q FROM c),
     r AS (SELECT unnest([{{'requirement': '{ASKED[0]}', 'method': 'keyword', 'verified': a}}, {{'requirement': '{ASKED[1]}', 'method': 'keyword', 'verified': b}}, {{'requirement': '{ASKED[2]}', 'method': 'experience_months', 'verified': years >= 5}},
-        {{'requirement': '{ASKED[3]}', 'method': 'experience_months', 'verified': years >= 10}}, {{'requirement': '{ASKED[4]}', 'method': 'keyword', 'verified': l}}, {{'requirement': '{ASKED[5]}', 'method': 'keyword', 'verified': false}},
+        {{'requirement': '{ASKED[3]}', 'method': 'experience_months', 'verified': years >= 10}}, {{'requirement': '{ASKED[4]}', 'method': 'keyword', 'verified': l OR h}}, {{'requirement': '{ASKED[5]}', 'method': 'keyword', 'verified': h}},
         {{'requirement': '{ASKED[6].replace("'", "''")}', 'method': 'education', 'verified': g}}, {{'requirement': '{ASKED[7]}', 'method': 'pattern', 'verified': p}}, {{'requirement': '{ASKED[8]}', 'method': 'pattern', 'verified': q}}]) AS u FROM y)
     SELECT u.requirement AS requirement, u.method AS method, u.verified AS verified, count(*) AS n FROM r GROUP BY 1, 2, 3"""
 
@@ -137,9 +137,9 @@ REQUIRED = f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, (doc_id
 @query(REQUIRED)
 def hard_requirements(spark, d):
     """A stated list of requirements against every document, summed up by requirement and verdict."""
-    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), ((F.col("doc_id") * 7) % 150).alias("months"))
-    asked = docs.select("doc_id", "body", "months", F.explode(F.array(*[F.lit(r) for r in ASKED])).alias("requirement"))
-    return requirements.checked(asked, "requirement", "body", "months").groupBy("requirement", "method", "verified").agg(F.count("*").alias("n"))
+    names = F.array(F.lit("license"), F.lit("best"), F.lit("experience"))  # held certifications and degrees, by id
+    docs = read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("body"), ((F.col("doc_id") * 7) % 150).alias("months"), F.array(F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int"))).alias("certs"), F.array_compact(F.array(F.when(F.col("doc_id") % 4 == 0, "BSc in physics"))).alias("degrees"))
+    return requirements.verdicts(docs, list(ASKED), "body", "months", "degrees", "certs").groupBy("requirement", "method", "verified").agg(F.count("*").alias("n"))
 
 
 TERMS = ["license", "the", "contact"]
@@ -198,16 +198,17 @@ def parse_scores(spark, d):
     return read(spark, d, "documents").select("doc_id", quality.parse_score(quality.parse_checks(body, i % 3, i % 2, i % 5, F.lit(2), F.lit(0), i % 4, i % 2)).alias("score"))
 
 
-@query("""WITH o AS (SELECT o_custkey, count(*) AS months, list_sort(list(round(o_totalprice / 600000, 6)), 'DESC') AS sims FROM orders GROUP BY 1),
-    k AS (SELECT o_custkey, months, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 5 - 1 END AS least, list_filter(sims, lambda x: x > 0) AS pos FROM o),
+@query("""WITH o AS (SELECT o_custkey, count(*) AS months, list(round(o_totalprice / 600000, 6)) AS sims, coalesce(list(round(o_totalprice / 450000, 6)) FILTER (o_orderstatus = 'O'), []) AS projects FROM orders GROUP BY 1),
+    l AS (SELECT o_custkey, months, sims, projects, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 5 - 1 END AS least FROM o),
+    k AS (SELECT o_custkey, months, least, list_sort(list_filter(CASE WHEN coalesce(least <= 1, false) THEN list_concat(sims, projects) ELSE sims END, lambda x: x > 0), 'DESC') AS pos FROM l),
     r AS (SELECT *, CASE WHEN least IS NULL THEN CASE WHEN months > 0 THEN 70 ELSE 50 END WHEN least <= 0 OR months / 12e0 / least >= 1 THEN 100 ELSE greatest(30, months / 12e0 / least * 100) END AS years, list_avg(pos[1:CAST(greatest(1, ceil(len(pos) / 2e0)) AS BIGINT)]) AS m FROM k)
     SELECT o_custkey, round(years, 6) AS years_score, coalesce(least <= 1, false) AS entry_level, round(0.35 * years + 0.65 * CASE WHEN m IS NULL THEN 70 WHEN m >= 0.82 THEN 100 WHEN m >= 0.72 THEN 65 WHEN m >= 0.6 THEN 25 ELSE 0 END, 2) AS score FROM r""")
 def experience_report(spark, d):
     """Years against what is asked for, relevance of the better half, and whether a posting is for beginners."""
-    orders = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("months"), F.collect_list(F.round(F.col("o_totalprice") / 600000, 6)).alias("sims"))
+    orders = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("months"), F.collect_list(F.round(F.col("o_totalprice") / 600000, 6)).alias("sims"), F.collect_list(F.when(F.col("o_orderstatus") == "O", F.round(F.col("o_totalprice") / 450000, 6))).alias("projects"))
     least = F.when(F.col("o_custkey") % 5 != 0, (F.col("o_custkey") % 5 - 1).cast("double"))
     level = quality.entry_level(F.lit(None).cast("string"), least, F.lit(None).cast("string"))
-    return orders.select("o_custkey", F.round(numeric.years_score(F.col("months"), least), 6).alias("years_score"), level.alias("entry_level"), quality.experience_score(F.col("months"), least, F.col("sims")).alias("score"))
+    return orders.select("o_custkey", F.round(numeric.years_score(F.col("months"), least), 6).alias("years_score"), level.alias("entry_level"), quality.experience_score(F.col("months"), least, F.col("sims"), F.col("projects"), level).alias("score"))
 
 
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a, l_discount * 1000 AS b FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, unnest([{'component': 'a', 'score': least(100e0, a), 'weight': 0.2e0}, {'component': 'b', 'score': least(100e0, b), 'weight': 0.15e0}]) AS u FROM x) "
