@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evidence
+from ..operators import resumes as nested
 from .registry import query, read
 
 
@@ -179,3 +180,108 @@ def skill_evidence(spark, d):
     docs = resumes(spark, d)
     asked = docs.select("conv_id", F.explode(F.array_distinct(F.array_compact(F.array(*[F.get("words", F.lit(i)) for i in (0, 2, 3, 6)])))).alias("item"))
     return evidence.skill_evidence(evidence.provenance(docs, "conv_id"), asked, entities(spark, d), "conv_id")
+
+
+# nested documents against their sources ---------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, sha256('{"k":"' || o_orderpriority || '","z":{"a":{"x":[' || o_custkey || ',{"m":true,"n":null}],"y":"' || o_orderstatus || '"},"b":' || o_orderkey || '}}') AS hash, true AS same FROM orders""")
+def canonical_documents(spark, d):
+    """Documents of three levels, their keys in two orders, have one canonical text and hash."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    one = F.concat(F.lit('{"z": {"b":'), key, F.lit(', "a":{"y":"'), F.col("o_orderstatus"), F.lit('","x":['), cust, F.lit(', {"n":null,"m":true}]}},"k":"'), F.col("o_orderpriority"), F.lit('"}'))
+    two = F.concat(F.lit('{"k":"'), F.col("o_orderpriority"), F.lit('","z":{"a":{"x":['), cust, F.lit(',{"m":true,"n":null}],"y":"'), F.col("o_orderstatus"), F.lit('"},"b":'), key, F.lit("}}"))
+    hashes = read(spark, d, "orders").select("o_orderkey", nested.content_hash(one).alias("hash"), nested.content_hash(two).alias("other"))
+    return hashes.select("o_orderkey", "hash", (F.col("hash") == F.col("other")).alias("same"))
+
+
+def stands_sql(v: str, h: str) -> str:
+    """``h`` is in normal form already."""
+    n = ground_sql(v)
+    tight, loose = rf"regexp_replace({n}, '[\s-]+', '', 'g')", rf"regexp_replace({h}, '[\s-]+', '', 'g')"
+    words = f"list_filter(string_split({n}, ' '), lambda x: length(x) > 1)"
+    last = f"coalesce({words}[-1], '')"
+    return rf"(CASE WHEN coalesce({v}, '') = '' THEN false ELSE length({n}) < 2 OR contains({h}, {n}) OR (length({tight}) >= 6 AND contains({loose}, {tight})) OR (len({words}) >= 2 AND length({last}) > 3 AND contains({h}, {last}) AND regexp_matches({h}, '\b' || regexp_escape(left({words}[1], 1)) || '\w*\s+' || regexp_escape({last}))) END)"
+
+
+CLAIMS = f"""c AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM conversations), f AS (SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS body, arg_min(w, turn) AS w FROM c GROUP BY 1),
+    k AS (SELECT conv_id, {ground_sql('body')} AS h, CASE WHEN conv_id % 3 = 0 THEN w[1] ELSE 'nobody@example.org' END AS email, [w[1] || ' ' || w[2], w[3] || '-' || w[4], left(w[2], 1) || 'x ' || w[3], 'No Such School'] AS schools, [w[5], 'Doctor of ' || w[6], NULL, 'None'] AS degrees, [w[2], 'Acme ' || conv_id] AS firms, [w[4], 'Certified ' || w[1]] AS certs FROM f)"""
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """What nested documents claim, partly in the words of a conversation, with its text."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.withColumn("w", F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0)))
+    turns = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n").alias("body"), F.min_by("w", "turn").alias("w"))  # a conversation
+    w = lambda i: F.get("w", F.lit(i - 1))
+    school = lambda name, degree: F.struct(name.alias("institution"), degree.cast("string").alias("degree"), F.lit("2020").alias("end_date"))
+    schools = F.array(school(F.concat(w(1), F.lit(" "), w(2)), w(5)), school(F.concat(w(3), F.lit("-"), w(4)), F.concat(F.lit("Doctor of "), w(6))), school(F.concat(F.substring(w(2), 1, 1), F.lit("x "), w(3)), F.lit(None)), school(F.lit("No Such School"), F.lit("None")))
+    jobs = F.transform(F.array(w(2), F.concat(F.lit("Acme "), F.col("conv_id").cast("string"))), lambda n: F.struct(n.alias("company"), F.lit("dev").alias("title")))
+    certs = F.transform(F.array(w(4), F.concat(F.lit("Certified "), w(1))), lambda n: F.struct(n.alias("name"), F.lit("org").alias("issuer")))
+    email = F.when(F.col("conv_id") % 3 == 0, w(1)).otherwise("nobody@example.org")
+    return turns.select("conv_id", "body", F.struct(email.alias("email"), F.lit("1").alias("phone")).alias("contact"), schools.alias("education"), jobs.alias("experience"), certs.alias("certifications"))
+
+
+@query(f"""WITH {CLAIMS}, x AS (SELECT conv_id, h, 'contact.email' AS field, email AS value, 0 AS pos FROM k WHERE email <> '' UNION ALL SELECT conv_id, h, 'education.institution', unnest(schools), unnest([1, 2, 3, 4]) FROM k
+        UNION ALL SELECT conv_id, h, 'education.degree', degree, pos FROM (SELECT conv_id, h, unnest(schools) AS school, unnest(degrees) AS degree, unnest([1, 2, 3, 4]) AS pos FROM k) WHERE coalesce(degree, '') <> '' AND {stands_sql('school', 'h')}
+        UNION ALL SELECT conv_id, h, 'experience.company', unnest(firms), unnest([1, 2]) FROM k UNION ALL SELECT conv_id, h, 'certifications.name', unnest(certs), unnest([1, 2]) FROM k)
+    SELECT conv_id, field, value FROM x WHERE NOT {stands_sql('value', 'h')}""")
+def extraction_warnings(spark, d):
+    """Claims of nested documents that their texts do not hold."""
+    return nested.validated(claims(spark, d), "body").select("conv_id", F.inline("warnings")).select("conv_id", "field", "value")
+
+
+@query(f"""WITH {CLAIMS}, s AS (SELECT conv_id, h, email, firms, certs, list_filter(list_transform(list_zip(schools, degrees), lambda z: CASE WHEN {stands_sql('z[1]', 'h')} THEN z[1] || '/' || CASE WHEN {stands_sql('z[2]', 'h')} THEN z[2] ELSE '-' END END), lambda z: z IS NOT NULL) AS kept FROM k)
+    SELECT conv_id, CASE WHEN {stands_sql('email', 'h')} THEN email END AS email, array_to_string(kept, ';') AS education, array_to_string(list_transform(firms, lambda x: CASE WHEN {stands_sql('x', 'h')} THEN x ELSE '' END), ';') AS companies, array_to_string(list_filter(certs, lambda x: {stands_sql('x', 'h')}), ';') AS certifications FROM s""")
+def validated_documents(spark, d):
+    """Nested documents without what their texts do not hold."""
+    rows = nested.validated(claims(spark, d), "body")
+    schools = F.transform("education", lambda e: F.concat(e["institution"], F.lit("/"), F.coalesce(e["degree"], F.lit("-"))))
+    return rows.select("conv_id", F.col("contact.email").alias("email"), F.array_join(schools, ";").alias("education"), F.array_join("experience.company", ";").alias("companies"), F.array_join("certifications.name", ";").alias("certifications"))
+
+
+ADVICE = (
+    "Consider describing a project where you used it, with the outcome it had.", "Add Kafka to your skills section as soon as you can manage it.", "Include Kafka in your resume and describe the outcome it had.", "Say that you have deep knowledge of the subject in the letter.", "This will boost your overall score with the readers of it.",
+    "It is worth 12 points in the eyes of those who read it later.", "Cram more keywords into the text so that readers find them.", "Do not exaggerate; describe what was done and what came of it.", "This guarantees you an interview with the people who read it.", "Too short.",
+)
+
+
+def _advice_sql() -> str:
+    families = " ".join(f"WHEN regexp_matches(said, '{p.replace(chr(39), chr(39) * 2)}') THEN 'forbidden_pattern:{n}'" for n, p in nested.FORBIDDEN)
+    listed = ", ".join("'" + a.replace("'", "''") + "'" for a in ADVICE)
+    return f"""WITH c AS (SELECT conv_id, arg_min(coalesce(text, ''), turn) AS posting, arg_max(coalesce(text, ''), turn) AS resume FROM conversations GROUP BY 1),
+    a AS (SELECT *, [{listed}][CAST(conv_id % 10 AS INTEGER) + 1] AS action, regexp_extract_all(resume, '[A-Za-z]+')[1] AS word, CASE WHEN conv_id % 7 = 3 THEN 'nowhere to be found' ELSE left(posting, 30) END AS excerpt, CASE conv_id % 3 WHEN 0 THEN '"' || left(replace(resume, '"', ' '), 25) || '"' WHEN 1 THEN '"a passage of nobody"' ELSE '' END AS quote FROM c),
+    s AS (SELECT *, 'Found. ' || quote || chr(10) || action || chr(10) || CASE WHEN conv_id % 5 = 2 THEN 'qqzzx' ELSE coalesce(word, '') END AS said, {ground_sql('posting')} AS p, {ground_sql('resume')} AS r FROM a)
+    SELECT conv_id, CASE {families} WHEN NOT (length({ground_sql('excerpt')}) >= 4 AND contains(p, {ground_sql('excerpt')})) THEN 'requirement_excerpt_not_grounded'
+        WHEN conv_id % 3 = 1 OR conv_id % 3 = 0 AND length(trim(left(replace(resume, '"', ' '), 25))) < 4 THEN 'quoted_text_not_grounded' WHEN conv_id % 5 = 2 THEN 'unverified_related_asset' WHEN length(trim(action)) < 40 THEN 'action_too_short' END AS reason FROM s"""
+
+
+@query(_advice_sql())
+def advice_checks(spark, d):
+    """Why advice on each conversation is refused."""
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.min_by(F.coalesce("text", F.lit("")), "turn").alias("posting"), F.max_by(F.coalesce("text", F.lit("")), "turn").alias("resume"))
+    i = F.col("conv_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ADVICE]), (i % 10 + 1).cast("int"))
+    excerpt = F.when(i % 7 == 3, "nowhere to be found").otherwise(F.substring("posting", 1, 30))
+    quote = F.when(i % 3 == 0, F.concat(F.lit('"'), F.substring(F.replace("resume", F.lit('"'), F.lit(" ")), 1, 25), F.lit('"'))).when(i % 3 == 1, '"a passage of nobody"').otherwise("")
+    word = F.coalesce(F.get(F.regexp_extract_all("resume", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(0)), F.lit(""))
+    assets = F.array(F.when(i % 5 == 2, "qqzzx").otherwise(word))
+    reason = nested.rejection(F.concat(F.lit("Found. "), quote), action, assets, excerpt, F.col("posting"), F.col("resume"), F.lit(""), F.array().cast("array<string>"))
+    return rows.select("conv_id", reason.alias("reason"))
+
+
+@query("""WITH RECURSIVE links AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS node FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+    own(node, depth) AS (SELECT 'r' || r_regionkey, 0 FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT l.node, depth + 1 FROM links l JOIN own ON l.parent = own.node),
+    keys AS (SELECT 'o' || o_orderkey AS node, 'price-' || CAST(floor(o_totalprice) AS BIGINT) AS key FROM orders UNION ALL SELECT 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 'o' || l_orderkey, 'part-' || l_partkey FROM lineitem),
+    k AS (SELECT DISTINCT key FROM keys JOIN (SELECT DISTINCT node FROM own) USING (node) WHERE key <> ''), p AS (SELECT key, left(sha256(key), 2) AS part FROM k)
+    SELECT key, part || '-' || CAST((row_number() OVER (PARTITION BY part ORDER BY key) - 1) // 100 AS VARCHAR) AS chunk FROM p""")
+def deletion_keys(spark, d):
+    """All keys of three tables that hang from some regions, as one set in chunks."""
+    tagged = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
+    links = read(spark, d, "nation").select(tagged("r", "n_regionkey").alias("parent"), tagged("n", "n_nationkey").alias("node"))
+    links = links.unionByName(read(spark, d, "customer").select(tagged("n", "c_nationkey").alias("parent"), tagged("c", "c_custkey").alias("node")))
+    links = links.unionByName(read(spark, d, "orders").select(tagged("c", "o_custkey").alias("parent"), tagged("o", "o_orderkey").alias("node")))
+    own = nested.descendants(links, read(spark, d, "region").where("r_regionkey % 2 = 1").select(tagged("r", "r_regionkey").alias("node")), 3)
+    sources = [read(spark, d, "orders").select(tagged("o", "o_orderkey").alias("node"), F.concat(F.lit("price-"), F.floor("o_totalprice").cast("string")).alias("key")), read(spark, d, "customer").select(tagged("c", "c_custkey").alias("node"), F.col("c_name").alias("key"))]
+    sources.append(read(spark, d, "lineitem").select(tagged("o", "l_orderkey").alias("node"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("key")))
+    return nested.deletion_keys(own, sources).select("key", "chunk")
