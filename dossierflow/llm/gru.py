@@ -60,7 +60,7 @@ def begin(words: np.ndarray, tails: np.ndarray, hidden: int = HIDDEN, seed: int
     )
 
 
-def forward(w: Weights, x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+def forward(w: Weights, x: np.ndarray, keep: np.ndarray, state: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list, np.ndarray]:
     """``(states, what the way back needs, last state)`` for a window of codes; ``keep`` is 0 where a text begins, which clears the state."""
     n = state.shape[1]
     gates, steps, states = w.into[x], [], np.empty((*x.shape, n), dtype=np.float32)
@@ -72,7 +72,8 @@ def forward(w: Weights, x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> t
         c = np.tanh(gates[t, :, 2 * n :] + r * u)
         state = c + z * (before - c)
         states[t] = state
-        steps.append((before, z, r, u, c))
+        if learn:
+            steps.append((before, z, r, u, c))
     return states, steps, state
 
 
@@ -96,11 +97,12 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.n
     e, own, total = _exponents(h @ w.by_class, w.class_bias, rows, of)
     found = (own - np.log(total)).astype(np.float64)
     if learn:
-        e /= total[:, None]
-        e[rows, of] -= 1
-        dh, d_word, d_bias = e @ w.by_class.T, np.zeros_like(w.by_word), np.zeros_like(w.word_bias)
+        e[rows, of] -= total  # slopes times the sum of a row, which narrower arrays are divided by
+        share = 1 / total[:, None]
+        dh, d_class, d_classes = (e @ w.by_class.T) * share, (h * share).T @ e, share[:, 0] @ e
+        d_word, d_bias = np.zeros_like(w.by_word), np.zeros_like(w.word_bias)
     at = np.flatnonzero(head)
-    at = at[np.argsort(of[at], kind="stable")]
+    at = at[np.argsort(of[at].astype(np.uint8), kind="stable")]  # small numbers are sorted by their digits
     cuts = np.searchsorted(of[at], np.arange(HEADS + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         i = at[cuts[c] : cuts[c + 1]]
@@ -108,11 +110,11 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.n
         q, own, total = _exponents(hi @ w.by_word[c], w.word_bias[c], np.arange(len(i)), k)
         found[i] += own - np.log(total)
         if learn:
-            q /= total[:, None]
-            q[np.arange(len(i)), k] -= 1
-            d_word[c], d_bias[c] = hi.T @ q, q.sum(0)
-            dh[i] += q @ w.by_word[c].T
-    return found, (dh, h.T @ e, e.sum(0), d_word, d_bias) if learn else None
+            q[np.arange(len(i)), k] -= total
+            share = 1 / total[:, None]
+            d_word[c], d_bias[c] = (hi * share).T @ q, share[:, 0] @ q
+            dh[i] += (q @ w.by_word[c].T) * share
+    return found, (dh, d_class, d_classes, d_word, d_bias) if learn else None
 
 
 def backward(w: Weights, x: np.ndarray, keep: np.ndarray, steps: list, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def backward(w: Weights, x: np.ndarray, keep: np.ndarray, steps: list, dh: np.nd
         d_gates[t, :, : 2 * n], d_gates[t, :, 2 * n :] = d_state[:, : 2 * n], d_c
         d_between += before.T @ d_state
         carried = (d * z + d_state @ w.between.T) * keep[t]
-    flat, order = x.ravel(), np.argsort(x.ravel(), kind="stable")
+    flat, order = x.ravel(), np.argsort(x.ravel().astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
     d_into = np.zeros_like(w.into)
     d_into[flat[order][first]] = np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], first, axis=0)
@@ -195,7 +197,7 @@ def scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     state, out = np.zeros((lanes, w.between.shape[0]), dtype=np.float32), np.zeros(len(texts))
     steps = max(STEPS, STEPS * LANES // lanes)
     for at in range(0, long, steps):
-        states, _, state = forward(w, x[at : at + steps], keep[at : at + steps, :, None], state)
+        states, _, state = forward(w, x[at : at + steps], keep[at : at + steps, :, None], state, False)
         ys = y[at : at + steps].ravel()
         some = np.flatnonzero(ys >= 0)
         found, _ = outputs(w, states.reshape(-1, states.shape[2])[some], ys[some], False)
