@@ -20,6 +20,7 @@ FORBIDDEN = (
     ("guarantee", r"(?i)\bguarantee\w*\b[^.\n]{0,40}\b(?:interview|job|offer|hire|screen\w*)\b"),
 )
 LEAST_ACTION = 40
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"  # of words of ASCII letters and digits; Java's own looks at all letters
 #: What a warning says of a field whose value the source does not hold.
 REASONS = {
     "contact.email": "Email address was not found verbatim in the document text.",
@@ -49,7 +50,7 @@ def stands_in(value: Column, source: Column) -> Column:
     words = F.filter(F.split(normal_for_grounding(value), " "), lambda w: F.length(w) > 1)
     surname, initial, s = F.element_at(words, -1), F.substring(F.get(words, F.lit(0)), 1, 1), normal_for_grounding(source)
     quoted = F.regexp_replace(surname, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    pattern = F.concat(F.lit(r"\b"), F.regexp_replace(initial, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\w*\s+"), quoted)
+    pattern = F.concat(F.lit(EDGE), F.regexp_replace(initial, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\w*\s+"), quoted)
     by_initial = F.when((F.size(words) >= 2) & (F.try_element_at(words, F.lit(-1)).isNotNull()), (F.length(surname) > 3) & F.contains(s, surname) & F.call_function("regexp_like", s, pattern)).otherwise(False)
     return appears(value, source) | F.coalesce(F.when(F.coalesce(value, F.lit("")) != "", by_initial), F.lit(False))
 
