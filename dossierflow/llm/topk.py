@@ -76,6 +76,7 @@ def _cells(queries: DataFrame, rows: DataFrame, k: int, with_cutoff: bool) -> Da
                         for part_score in local:
                             given |= LISTS * part_score >= low
                         given &= score >= low
+                        given |= some["without"].to_numpy()[:, None]
                     else:
                         deep = min(DEPTH * k, len(ids))
                         for part_score in local:
@@ -120,8 +121,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     ranked = _best(_cells(asked, dealt, k, False), k)
     cutoff = ranked.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    # with fewer than k rows there is no cutoff: every row counts
-    cutoff = cutoff.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-(1 << 60))).alias("cutoff"))
+    # with fewer than k rows a query goes without a cutoff: every row counts
+    cutoff = cutoff.select(F.col("query_id").alias("id"), F.col("low").alias("cutoff"), (F.col("n") < k).alias("without"))
     wanting = asked.join(materialise(cutoff, "cutoffs"), "id")
     best = _best(_cells(wanting, dealt, k, True), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

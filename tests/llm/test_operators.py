@@ -200,6 +200,8 @@ def test_topk_of_repeated_ids_and_large_numbers(spark):
     assert sorted(rows(topk.top_k(frame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.25, 0.0])])))) == [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 2, 16384)]
     assert [r[1:] for r in sorted(rows(topk.top_k(frame([(50, [1.0]), (50, [2.0]), (1, [1.0]), (2, [-1.0])]), k=3)))] == [(1, 1, 131072), (2, 1, 65536), (3, 2, -65536)]
     assert rows(topk.top_k(frame([(None, [1.0]), (50, [1.0]), (None, [2.0])]))) == []
+    far = 1_340_000_000 / 256  # a score of -1.8e18, which no stand-in for a missing cutoff may drop
+    assert sorted(rows(topk.top_k(frame([(50, [far]), (1, [-far]), (2, [1.0])])))) == [(50, 1, 2, 1_340_000_000 * 256), (50, 2, 1, -(1_340_000_000**2))]
     with pytest.raises(Exception, match="exceed a long"):
         topk.top_k(frame([(0, [1e9]), (1, [1e9])])).collect()
 
