@@ -612,30 +612,4 @@ def circuit_breaker_states(spark, d):
     return stateful.breaker_states(events, "user_id", "ts", "event_id", "ok", 2, 86400.0)
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_daily_counts(spark, d):
-    """A file stream of ``events``, appended to Parquet as the watermark closes days; days still open are counted from the table."""
-    import uuid
-
-    events = spark.read.parquet(f"{d}/events.parquet")
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
-    folder = f"{_shared(spark)}/daily-{uuid.uuid4().hex}"
-    counts = stateful.daily_stream(_stamped(source), "ts", "event_type")
-    # the watermark closes days as later events come; the last ones are closed by counting what is left
-    counts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/counts").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
-    open_days = _stamped(events).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).join(closed.select("day", "event_type"), ["day", "event_type"], "left_anti")
-    return closed.unionByName(open_days.select(*closed.columns))
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder for state: that of ``spark.checkpoint.dir``, or in local mode a temporary one."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="dossierflow-")
-
-
-from . import dossiers, reports  # noqa: E402, F401  registers their queries
+from . import dossiers, reports, stores  # noqa: E402, F401  registers their queries
