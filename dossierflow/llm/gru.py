@@ -77,15 +77,19 @@ def forward(w: Weights, x: np.ndarray, keep: np.ndarray, state: np.ndarray, lear
     return states, steps, state
 
 
-def _exponents(s: np.ndarray, bias: np.ndarray, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of scores, the exponents, the scores asked for, and the sums of exponents; each row by its own maximum where the common shift does not do."""
-    s += bias - bias.max()
-    own = s[rows, of]
-    e = np.exp(s)
-    total = e @ np.ones(s.shape[1], dtype=s.dtype)
+def _exponents(h: np.ndarray, scores: np.ndarray, bias: np.ndarray, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scores after states ``h``, the exponents, the scores asked for, and the sums of exponents; each row by its own maximum where the common shift does not do."""
+    shift = bias - bias.max()
+    e = h @ scores
+    e += shift
+    own = e[rows, of]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], dtype=e.dtype)
     if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
-        most = s.max(1)
-        own, e = own - most, np.exp(s - most[:, None])
+        e = h @ scores + shift
+        most = e.max(1)
+        own -= most
+        np.exp(e - most[:, None], out=e)
         total = e.sum(1)
     return e, own, total
 
@@ -94,7 +98,7 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.n
     """Natural log-probabilities of codes ``y`` after states ``h``, of tail codes those of their class; with ``learn`` also the slopes of their negative sum."""
     rows, head = np.arange(len(y)), y < WORDS
     of = np.where(head, y // CLASS, HEADS + (y - WORDS) // BUCKETS)
-    e, own, total = _exponents(h @ w.by_class, w.class_bias, rows, of)
+    e, own, total = _exponents(h, w.by_class, w.class_bias, rows, of)
     found = (own - np.log(total)).astype(np.float64)
     if learn:
         e[rows, of] -= total  # slopes times the sum of a row, which narrower arrays are divided by
@@ -107,7 +111,7 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.n
     for c in np.flatnonzero(np.diff(cuts)):
         i = at[cuts[c] : cuts[c + 1]]
         hi, k = h[i], y[i] % CLASS
-        q, own, total = _exponents(hi @ w.by_word[c], w.word_bias[c], np.arange(len(i)), k)
+        q, own, total = _exponents(hi, w.by_word[c], w.word_bias[c], np.arange(len(i)), k)
         found[i] += own - np.log(total)
         if learn:
             q[np.arange(len(i)), k] -= total
@@ -149,6 +153,24 @@ def _inputs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return x, y, begins
 
 
+def _adam(a: np.ndarray, d: np.ndarray, m: np.ndarray, v: np.ndarray, t: np.ndarray, n: np.float32, rate: float, step: int) -> None:
+    """A step of Adam on ``a`` by slopes ``d`` of ``n`` tokens; ``t`` and ``d`` are written over, so that no array is made."""
+    d /= n
+    np.subtract(d, m, out=t)
+    t *= np.float32(0.1)
+    m += t
+    np.multiply(d, d, out=t)
+    t -= v
+    t *= np.float32(0.01)
+    v += t
+    np.divide(v, np.float32(1 - 0.99**step), out=t)
+    np.sqrt(t, out=t)
+    t += np.float32(1e-6)
+    np.multiply(m, np.float32(rate / (1 - 0.9**step)), out=d)
+    d /= t
+    a -= d
+
+
 def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weights, int]:
     """One pass over the texts, none of them empty; the state is carried from window to window, and cleared where a text begins."""
     x, y, begins = _inputs(texts)
@@ -158,7 +180,7 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
     deal = lambda a, fill: np.append(a, np.full(short, fill, dtype=a.dtype)).reshape(lanes, long).T
     x, y, begins = deal(x, START), deal(y, -1), deal(begins, True)
     state, w = np.zeros((lanes, w.between.shape[0]), dtype=np.float32), Weights(*(a.copy() for a in w.arrays()))
-    moments = [(np.zeros_like(a), np.zeros_like(a)) for a in w.arrays()]
+    moments = [(np.zeros_like(a), np.zeros_like(a), np.empty_like(a)) for a in w.arrays()]
     for step, at in enumerate(range(0, long, STEPS), 1):
         xs, ys, keep = x[at : at + STEPS], y[at : at + STEPS].ravel(), (~begins[at : at + STEPS])[:, :, None].astype(np.float32)
         states, steps, state = forward(w, xs, keep, state)
@@ -167,11 +189,8 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
         whole = np.zeros((len(ys), states.shape[2]), dtype=np.float32)
         whole[some] = dh
         slopes = [*backward(w, xs, keep, steps, whole.reshape(states.shape)), *d_out]
-        for a, d, (m, v) in zip(w.arrays(), slopes, moments, strict=True):  # Adam
-            d /= np.float32(max(1, len(some)))
-            m += np.float32(0.1) * (d - m)
-            v += np.float32(0.01) * (d * d - v)
-            a -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+        for a, d, (m, v, some_of) in zip(w.arrays(), slopes, moments, strict=True):
+            _adam(a, d, m, v, some_of, np.float32(max(1, len(some))), rate, step)
     return w, int((y >= 0).sum())
 
 
