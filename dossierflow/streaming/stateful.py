@@ -1,4 +1,4 @@
-"""Keyed state over events: admission by a sliding window, a circuit breaker, daily counts. Each has a batch twin."""
+"""Keyed state over events: admission by a sliding window, a circuit breaker. Each has a batch twin."""
 
 from __future__ import annotations
 
@@ -104,8 +104,3 @@ def breaker_stream(events: DataFrame, key: str, ts: str, tie: str, ok: str, fail
 
     rows = events.select(key, tie, ok, F.unix_micros(ts).alias(ts))
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, state string", "failures int, opened double", "append", GroupStateTimeout.NoTimeout)
-
-
-def daily_stream(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
-    """Counts by day and kind; a day is final once the watermark has passed it."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), kind).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), kind, "n")
