@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Words for an end that has not come.
 PRESENT = ("present", "current", "now", "today", "ongoing", "date")
@@ -39,19 +41,28 @@ def parse_month(text: Column) -> Column:
 
 
 def parse_range(text: Column, now_month: Column) -> Column:
-    """``struct<start, end>`` in months; ends like ``present`` are ``now_month``; a lone year is the whole year."""
-    parts = F.split(F.trim(text), SEPARATOR)
-    first, rest = F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 2, 99), " ")
-    lone = F.when(F.trim(text).rlike(r"^(?:19|20)\d{2}$"), parse_month(text))
-    end = F.when(F.lower(text).rlike("|".join(PRESENT)), now_month).otherwise(parse_month(rest))
-    return F.struct(F.when(F.size(parts) >= 2, parse_month(first)).otherwise(lone).alias("start"), F.when(F.size(parts) >= 2, end).otherwise(lone + 11).alias("end"))
+    """``struct<start, end>`` in months; ends like ``present`` are ``now_month``; one date alone is its whole year; null parts where nothing can be read."""
+
+    def read(parts: Column) -> Column:
+        rest = F.array_join(F.slice(parts, 2, 999), " ")
+        end = F.when(F.lower(rest).rlike("|".join(PRESENT)), now_month).otherwise(parse_month(rest))
+        year = F.floor(parse_month(F.trim(text)) / 12).cast("int") * 12
+        several = F.size(parts) >= 2
+        return F.struct(F.when(several, parse_month(F.get(parts, F.lit(0)))).otherwise(year).alias("start"), F.when(several, end).otherwise(year + 11).alias("end"))
+
+    return bound(F.filter(F.split(F.trim(text), SEPARATOR), lambda p: F.trim(p) != ""), read)
 
 
 def range_status(start: Column, end: Column, now_month: Column) -> Column:
-    bad = (end < start) | (end - start + 1 > 600) | (start < 1950 * 12) | (end > now_month + 12)
+    """``unparsed``, ``invalid`` (ends before it starts, over 50 years, from before 1950 or past next year's end) or ``ok``."""
+    bad = (end < start) | (end - start + 1 > 600) | (start < 1950 * 12) | (F.floor(end / 12) > F.floor(now_month / 12) + 1)
     return F.when(start.isNull() | end.isNull(), "unparsed").when(bad, "invalid").otherwise("ok")
 
 
+#: The styles of dates that are told apart.
+STYLES = ("YEAR_MONTH", "NUMERIC_MONTH_YEAR", "MONTH_NAME_YEAR", "YEAR_ONLY")
+
+
 def date_style(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return (
@@ -61,3 +72,25 @@ def date_style(text: Column) -> Column:
         .when(t.rlike(r"\b(19|20)\d{2}\b"), "YEAR_ONLY")
         .otherwise("UNKNOWN")
     )
+
+
+def years(months: Column) -> Column:
+    """Months as years of one place."""
+    return F.floor(months / 12 * 10 + 0.5) / 10
+
+
+def month_label(month: Column) -> Column:
+    """``Mar 2020`` from a month index."""
+    names = F.array(*[F.lit(m.capitalize()) for m in MONTHS])
+    return F.concat_ws(" ", F.get(names, F.pmod(month, F.lit(12)).cast("int")), F.floor(month / 12).cast("string"))
+
+
+def is_current(end: Column) -> Column:
+    """Whether an end is open: null, or told by a word like ``present``."""
+    return end.isNull() | F.lower(end).rlike("|".join(PRESENT))
+
+
+def duration(ms: Column) -> Column:
+    """``412ms`` below a second, ``3.2s`` below a minute, else whole minutes as ``4m``."""
+    seconds = F.format_string("%.1f", F.floor(ms / 100 + 0.5) / 10)
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(seconds, F.lit("s"))).otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m")))

@@ -61,8 +61,17 @@ def count_words(text: Column) -> Column:
 
 def count_sentences(text: Column) -> Column:
     """Parts between sentence ends that hold a word; one at least, but none in an empty text."""
-    parts = F.size(F.filter(F.split(text, r"[.!?]+(?=\s|$)"), lambda s: s.rlike("[A-Za-z]")))
-    return F.when(F.trim(text) == "", 0).otherwise(F.greatest(F.lit(1), parts))
+    return F.when(F.trim(text) == "", 0).otherwise(F.greatest(F.lit(1), worded_parts(text)))
+
+
+def worded_parts(text: Column) -> Column:
+    """Parts between sentence ends that hold a word. Of texts joined by a full stop and a blank, the sum of theirs."""
+    return F.size(F.filter(F.split(text, r"[.!?]+(?=\s|$)"), lambda s: s.rlike("[A-Za-z]")))
+
+
+def syllables(text: Column) -> Column:
+    """Syllables of all words."""
+    return F.aggregate(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(0), lambda n, w: n + count_syllables(w))
 
 
 def count_syllables(word: Column) -> Column:

@@ -33,7 +33,33 @@ def overlaps(df: DataFrame, key: str, pos: str, start: str = "s", end: str = "e"
     return both.select(key, F.least("ap", "bp").alias("left_pos"), F.greatest("ap", "bp").alias("right_pos"), (F.least("ae", "be") - F.col("__month") + 1).alias("months"))
 
 
-def newest_first(df: DataFrame, key: str, pos: str, start: str = "s") -> DataFrame:
-    """Whether starts never rise along ``pos``; null for fewer than two."""
-    lagged = df.withColumn("__prev", F.lag(start).over(Window.partitionBy(key).orderBy(pos)))
-    return lagged.groupBy(key).agg(F.when(F.count("*") >= 2, F.every(F.coalesce(F.col(start) <= F.col("__prev"), F.lit(True)))).alias("newest_first"))
+def overlap_count(df: DataFrame, key: str, least: int = 2, start: str = "s", end: str = "e") -> DataFrame:
+    """``(key, overlaps)``: pairs of a key's intervals that share at least ``least`` months, without making them.
+
+    Shortened by ``least - 1`` months, such pairs are those that meet at all:
+    each interval meets those open in the month in which it starts. Starts and
+    ends are counted by month first, so a key of any size is as many rows as
+    there are months. Keys without such a pair have no row.
+    """
+    own = df.where(F.col(end) - F.col(start) >= least - 1)
+    steps = F.array(F.struct(F.col(start).alias("month"), F.lit(1).alias("opened"), F.lit(0).alias("closed")), F.struct((F.col(end) - least + 2).alias("month"), F.lit(0).alias("opened"), F.lit(1).alias("closed")))
+    months = own.select(key, F.inline(steps)).groupBy(key, "month").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    before = Window.partitionBy(key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    open_now = F.coalesce(F.sum(F.col("opened") - F.col("closed")).over(before), F.lit(0)) - F.col("closed")
+    met = months.withColumn("__met", F.col("opened") * open_now + F.expr("opened * (opened - 1) div 2"))
+    return met.groupBy(key).agg(F.sum("__met").alias("overlaps")).where("overlaps > 0")
+
+
+def newest_first(df: DataFrame, key: str, pos: str, start: str = "s", block: int = 4096) -> DataFrame:
+    """Whether starts never rise along ``pos``, an integer; null for fewer than two.
+
+    Starts are compared within blocks of positions, then where blocks meet, so
+    a key of any size is shared among tasks.
+    """
+    own = df.withColumn("__block", F.expr(f"{pos} div {block}"))
+    lagged = own.withColumn("__prev", F.lag(start).over(Window.partitionBy(key, "__block").orderBy(pos)))
+    falls = lambda: F.every(F.coalesce(F.col(start) <= F.col("__prev"), F.lit(True)))
+    blocks = lagged.groupBy(key, "__block").agg(falls().alias("__falls"), F.min_by(start, pos).alias("__first"), F.max_by(start, pos).alias("__last"), F.count("*").alias("__n"))
+    met = blocks.withColumn("__prev", F.lag("__last").over(Window.partitionBy(key).orderBy("__block")))
+    every = F.every(F.col("__falls") & F.coalesce(F.col("__first") <= F.col("__prev"), F.lit(True)))
+    return met.groupBy(key).agg(F.when(F.sum("__n") >= 2, every).alias("newest_first"))

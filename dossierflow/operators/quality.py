@@ -28,7 +28,7 @@ def bullet_report(bullets: DataFrame, key: str, bullet: str, verbs: tuple[str, .
 
 
 def quality_score(verbs: Column, structure: Column, readability: Column, length_fit: Column) -> Column:
-    return F.round(0.4 * verbs + 0.25 * structure + 0.2 * readability + 0.15 * length_fit, 2)
+    return numeric.round_half_up(0.4 * verbs + 0.25 * structure + 0.2 * readability + 0.15 * length_fit, 2)
 
 
 #: Words of a seniority that mark a posting for beginners.

@@ -612,4 +612,4 @@ def circuit_breaker_states(spark, d):
     return stateful.breaker_states(events, "user_id", "ts", "event_id", "ok", 2, 86400.0)
 
 
-from . import dossiers, reports, stores  # noqa: E402, F401  registers their queries
+from . import assessments, dossiers, reports, stores  # noqa: E402, F401  registers their queries
