@@ -58,3 +58,31 @@ def years_score(months: Column, least_years: Column) -> Column:
 def backoff(base_ms: int, most_ms: int, attempts: Column) -> Column:
     """Delays that double up to ``most_ms``."""
     return F.transform(F.sequence(F.lit(0), attempts - 1), lambda i: F.least(F.lit(most_ms).cast("double"), F.lit(base_ms) * F.pow(F.lit(2.0), i)))
+
+
+def skill_blend(required: Column, preferred: Column, preferred_count: Column) -> Column:
+    """Seven tenths of the required score and three of the preferred one; the required one alone where nothing is preferred."""
+    return clamp(F.when(preferred_count == 0, required).otherwise(0.7 * required + 0.3 * preferred), 0, 100)
+
+
+def confidence(similarity: Column) -> Column:
+    """The name of a similarity's band: ``high``, ``medium``, ``low`` or ``none``."""
+    out = F.when(F.isnan(similarity), "none")
+    for name, (least, _) in zip(("high", "medium", "low"), SIMILARITY_BANDS, strict=True):
+        out = out.when(similarity >= least, name)
+    return out.otherwise("none")
+
+
+def shown_similarity(similarity: Column) -> Column:
+    """Three places, half up."""
+    return F.format_string("%.3f", F.floor(similarity * 1000 + 0.5) / 1000)
+
+
+def bucket(score: Column) -> Column:
+    """The ten that a score lies in."""
+    return (F.floor(score / 10) * 10).cast("int")
+
+
+def page_estimate(chars: Column, rows: Column) -> tuple[Column, Column]:
+    """Pages of a text without pages and tables told by their rows."""
+    return F.greatest(F.lit(1), F.ceil(chars / 3000)).cast("int"), F.when(rows > 0, F.greatest(F.lit(1), F.floor(rows / 4))).otherwise(0).cast("int")

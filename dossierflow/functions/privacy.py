@@ -118,6 +118,15 @@ def safe_metadata(metadata: Column, most: int = 500) -> Column:
     return F.transform_values(keep, lambda k, v: F.when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
 
 
+#: Parts of keys whose values are never logged.
+UNLOGGED = ("password", "token", "apikey", "api_key", "authorization", "cookie", "secret", "email", "raw_text", "rawtext")
+
+
+def redacted_for_log(context: Column, most: int = 300) -> Column:
+    """A string map whose secrets are hidden by key, other long values cut."""
+    return F.transform_values(context, lambda k, v: F.when(F.lower(k).rlike("|".join(UNLOGGED)), "[redacted]").when(F.length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…"))).otherwise(v))
+
+
 # Contact data that a machine can read.
 READABLE_EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 READABLE_PHONES = (r"\+?\d{1,3}[\s.-]?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{2,4}", r"\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}")

@@ -331,3 +331,35 @@ def _matcher(patterns: tuple[str, ...]):
 
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def normal_ocr(text: Column) -> Column:
+    """Recognised text: words that a line end divides are joined, blanks before line ends go, and no line has over two blanks together."""
+    whole = chain(text, (r"\r\n?", "\n"), (r"([A-Za-z])-\n([a-z])", "$1$2"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(whole, "\n"), lambda s: chain(s, (r"\s{2,}", "  "), (r"^\s+|\s+$", "")))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
+
+
+def slug(place: Column, name: Column) -> Column:
+    """``3-apache-spark``: a place and a name in lower case, all but letters and digits as dashes."""
+    return F.concat(place.cast("string"), F.lit("-"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"))
+
+
+def title_label(name: Column) -> Column:
+    """``Resume Uploaded`` from ``resume_uploaded``."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+FENCE = "untrusted_document_content"  # fixed value
+
+
+def fenced(text: Column) -> Column:
+    """The text between an opening and a closing tag, which within it are made harmless."""
+    start, end = f"<{FENCE}>", f"</{FENCE}>"
+    inner = F.replace(F.replace(text, F.lit(start), F.lit(f"[[{FENCE}]]")), F.lit(end), F.lit(f"[[/{FENCE}]]"))
+    return F.concat(F.lit(start + "\n"), inner, F.lit("\n" + end))
+
+
+def with_extension(name: Column, extension: str) -> Column:
+    """A file's name that ends as asked for; another ending of up to five letters or digits goes."""
+    return F.when(F.lower(name).endswith(f".{extension}"), name).otherwise(F.concat(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", ""), F.lit(f".{extension}")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import quality, structure
+from ..functions import dates, numeric, privacy, text
+from ..operators import quality, structure, summaries
 from .catalogue import SYLLABLES
 from .registry import query, read
 from .reports import AMOUNT, OPENERS
@@ -78,3 +78,84 @@ def quality_reports(spark, d):
     told = structure.structure_report(_roles(spark, d), "doc_id", F.lit(NOW))
     report = structure.quality_report(bullets, told, "doc_id", "bullet")
     return report.select("doc_id", "bullets", "structure_score", "readability", "ease", "quality_score", F.array_join("findings", ",").alias("findings"))
+
+
+# summaries --------------------------------------------------------------------------------------
+
+USAGE = """count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed, CAST(coalesce(sum(k) FILTER (event_type <> 'error'), 0) AS BIGINT) AS total_tokens, floor(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS error_rate,
+    bool_and(event_type <> 'error') AS all_ok, round(coalesce(sum(value) FILTER (event_type <> 'error'), 0), 4) AS total_ms"""
+
+
+@query(f"""WITH e AS (SELECT coalesce(user_id, -1) AS user_id, event_type, value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), p AS (SELECT user_id, string_agg(event_type || '=' || CAST(t AS VARCHAR), ',' ORDER BY event_type) AS by_purpose FROM (SELECT user_id, event_type, coalesce(sum(k) FILTER (event_type <> 'error'), 0)::BIGINT AS t FROM e GROUP BY 1, 2) GROUP BY 1)
+    SELECT user_id, {USAGE}, any_value(by_purpose) AS by_purpose FROM e JOIN p USING (user_id) GROUP BY 1""")
+def usage_by_user(spark, d):
+    """Calls, failures, tokens by purpose and times of each user; users without a number are one."""
+    events = read(spark, d, "events").select(F.coalesce("user_id", F.lit(-1)).alias("user_id"), "event_type", "value", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    told = summaries.usage(events, ["user_id"], "event_type", "k", "value", F.col("event_type") != "error")
+    tokens = F.transform(F.map_entries("by_purpose"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return told.select("user_id", "calls", "failed", "total_tokens", "error_rate", "all_ok", F.round("total_ms", 4).alias("total_ms"), F.array_join(tokens, ",").alias("by_purpose"))
+
+
+LIST = "CASE l_linenumber % 3 WHEN 1 THEN 'required' WHEN 2 THEN 'preferred' ELSE 'other' END"
+CATEGORY = "CASE WHEN l_quantity >= 30 THEN 'EXACT' WHEN l_quantity >= 15 THEN 'PARTIAL' WHEN l_linenumber % 3 = 1 THEN 'MISSING_REQ' WHEN l_linenumber % 3 = 2 THEN 'MISSING_PREF' ELSE 'MENTIONED_WITHOUT_EVIDENCE' END"
+CREDIT = "CASE WHEN l_quantity >= 30 THEN 1e0 WHEN l_quantity >= 22 THEN 0.65e0 WHEN l_quantity >= 15 THEN 0.25e0 ELSE 0e0 END"
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as matches: the first of three is required, the second preferred, the third another."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("item"), (F.col("l_linenumber") % 3).alias("l"), F.expr(CATEGORY).alias("category"), F.expr(CREDIT.replace("e0", "D")).alias("credit"))
+    return summaries.matches_of(**{name: rows.where(F.col("l") == n).drop("l") for name, n in (("required", 1), ("preferred", 2), ("other", 0))})
+
+
+CHECKS = "SELECT l_orderkey, 'Part ' || CAST(l_partkey AS VARCHAR) AS requirement, l_discount < 0.05 AS verified, l_linenumber AS pos FROM lineitem WHERE l_tax >= 0.05"
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS item, {LIST} AS source, {CATEGORY} AS category, {CREDIT} AS credit FROM lineitem), c AS ({CHECKS})
+    SELECT l_orderkey, item, category, source, CASE WHEN category = 'MISSING_REQ' OR source = 'required' THEN 'high' ELSE 'medium' END AS priority, 'match' AS detection FROM m WHERE category IN ('MISSING_REQ', 'MISSING_PREF', 'MENTIONED_WITHOUT_EVIDENCE') OR category = 'PARTIAL' AND credit < 0.5
+    UNION ALL SELECT l_orderkey, requirement, 'MISSING_REQ', 'required', 'high', 'keyword' FROM c WHERE NOT coalesce(verified, false)""")
+def gaps_and_unmet(spark, d):
+    """Gaps of each order's matches, and its requirements that are not verified."""
+    checks = read(spark, d, "lineitem").where("l_tax >= 0.05").select("l_orderkey", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("requirement"), (F.col("l_discount") < 0.05).alias("verified"), F.lit("keyword").alias("method"))
+    return summaries.gaps_and_unmet(_matches(spark, d), checks, "l_orderkey")
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, {CATEGORY} AS category, count(*) AS n FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2), t AS (SELECT l_orderkey, string_agg(category || '=' || CAST(n AS VARCHAR), ',' ORDER BY category) AS counts FROM m GROUP BY 1), c AS ({CHECKS}),
+    u AS (SELECT l_orderkey, count(*) FILTER (NOT coalesce(verified, false)) AS n, string_agg(requirement, '; ' ORDER BY pos, requirement) FILTER (NOT coalesce(verified, false)) AS names FROM c GROUP BY 1)
+    SELECT o_orderkey, coalesce(counts, '') AS counts, CASE WHEN coalesce(n, 0) = 0 THEN '{summaries.ALL_MET}' ELSE CAST(n AS VARCHAR) || ' non-negotiable requirement(s) could not be verified: ' || names || '.' END AS summary FROM orders LEFT JOIN t ON t.l_orderkey = o_orderkey LEFT JOIN u ON u.l_orderkey = o_orderkey""")
+def match_summary(spark, d):
+    """For each order, its matches by category and what its requirements come to."""
+    counts = summaries.category_counts(_matches(spark, d), "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    told = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    check = F.struct("l_linenumber", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("requirement"), (F.col("l_discount") < 0.05).alias("verified"))
+    checks = read(spark, d, "lineitem").where("l_tax >= 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(check)).alias("checks"))  # an order has a few lines
+    rows = read(spark, d, "orders").select("o_orderkey").join(counts, "o_orderkey", "left").join(checks, "o_orderkey", "left")
+    return rows.select("o_orderkey", F.coalesce(told, F.lit("")).alias("counts"), summaries.checks_summary(F.col("checks")).alias("summary"))
+
+
+OCR = r"""(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)),
+    lambda z: regexp_replace(regexp_replace(z, '\s{2,}', '  ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g'))"""
+
+
+@query(rf"""WITH x AS (SELECT doc_id, lang, source, replace(coalesce(text, ''), '. ', '-' || chr(10)) AS t FROM documents)
+    SELECT doc_id, sha256({OCR}) AS ocr_sha256, CAST(doc_id % 9 + 1 AS VARCHAR) || '-' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') AS slug, sha256('<{text.FENCE}>' || chr(10) || t || chr(10) || '</{text.FENCE}>') AS fenced_sha256,
+        CASE WHEN doc_id % 2 = 0 THEN 'A.' || lang || '.pdf' ELSE 'a.pdf' END AS file, left(t, 300) || CASE WHEN length(t) > 300 THEN '…' ELSE '' END AS logged FROM x""")
+def text_utilities(spark, d):
+    """Recognised texts made tidy, slugs, fences around texts, files' endings, values for logs."""
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("-\n"))
+    file = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("A."), F.col("lang"), F.lit(".docx"))).otherwise("a.pdf")
+    log = privacy.redacted_for_log(F.create_map(F.lit("text"), t, F.lit("user_Email"), F.col("source")))
+    return read(spark, d, "documents").select(
+        "doc_id", F.sha2(text.normal_ocr(t), 256).alias("ocr_sha256"), text.slug(F.col("doc_id") % 9 + 1, F.col("source")).alias("slug"), F.sha2(text.fenced(t), 256).alias("fenced_sha256"),
+        text.with_extension(file, "pdf").alias("file"), log["text"].alias("logged"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE (o_orderkey % 12) WHEN 0 THEN 'Jan' WHEN 1 THEN 'Feb' WHEN 2 THEN 'Mar' WHEN 3 THEN 'Apr' WHEN 4 THEN 'May' WHEN 5 THEN 'Jun' WHEN 6 THEN 'Jul' WHEN 7 THEN 'Aug' WHEN 8 THEN 'Sep' WHEN 9 THEN 'Oct' WHEN 10 THEN 'Nov' ELSE 'Dec' END || ' ' || CAST(o_orderkey // 12 AS VARCHAR) AS label,
+    CASE WHEN s >= 0.82 THEN 'high' WHEN s >= 0.72 THEN 'medium' WHEN s >= 0.6 THEN 'low' ELSE 'none' END AS confidence, printf('%.3f', floor(s * 1000 + 0.5) / 1000) AS shown, CASE WHEN o_custkey % 4 = 0 THEN s * 100 ELSE 0.7e0 * (s * 100) + 0.3e0 * CAST(o_custkey % 101 AS DOUBLE) END AS blend,
+    coalesce(o_orderstatus, '') IN ('O', '') AS is_current FROM (SELECT *, (o_orderkey % 1009) / 1009e0 AS s FROM orders)""")
+def shown_values(spark, d):
+    """Months, similarities and blends as they are shown; ends that are open."""
+    s = (F.col("o_orderkey") % 1009) / F.lit(1009.0)
+    end = F.when(F.col("o_orderstatus") == "O", "to date").when(F.col("o_orderstatus").isNotNull(), "Mar 2020")
+    blend = numeric.skill_blend(s * 100, (F.col("o_custkey") % 101).cast("double"), F.col("o_custkey") % 4)
+    return read(spark, d, "orders").select("o_orderkey", dates.month_label(F.col("o_orderkey")).alias("label"), numeric.confidence(s).alias("confidence"), numeric.shown_similarity(s).alias("shown"), blend.alias("blend"), dates.is_current(end).alias("is_current"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numeric, privacy, text
+from ..functions import dates, numeric, privacy, text
 from ..operators import documents, layout, quality, relational, requirements, scoring
 from .registry import query, read
 
@@ -104,11 +104,10 @@ def masked_fields(spark, d):
     o_orderpriority LIKE '%URGENT' OR o_orderstatus = 'O' AS is_current FROM orders""")
 def formatted_values(spark, d):
     """Years, months, score buckets, page estimates, durations, and open ends told by null or by wording."""
-    ms = F.col("o_orderkey") % 90000
-    took = F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(F.format_string("%.1f", F.floor(ms / 100 + 0.5) / 10), F.lit("s"))).otherwise(F.concat((F.floor(ms / 60000)).cast("string"), F.lit("m")))
+    pages, _ = numeric.page_estimate(F.col("o_orderkey"), F.lit(0))
     return read(spark, d, "orders").select(
-        "o_orderkey", F.round(F.col("o_custkey") / 12, 1).alias("years"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.floor(F.least(F.lit(100.0), F.col("o_totalprice") / 5000) / 10) * 10).cast("int").alias("bucket"),
-        F.greatest(F.lit(1), F.ceil(F.col("o_orderkey") / 3000)).cast("int").alias("pages"), took.alias("took"), (F.col("o_orderpriority").endswith("URGENT") | (F.col("o_orderstatus") == "O")).alias("is_current"),
+        "o_orderkey", dates.years(F.col("o_custkey")).alias("years"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), numeric.bucket(F.least(F.lit(100.0), F.col("o_totalprice") / 5000)).alias("bucket"),
+        pages.alias("pages"), dates.duration(F.col("o_orderkey") % 90000).alias("took"), (F.col("o_orderpriority").endswith("URGENT") | (F.col("o_orderstatus") == "O")).alias("is_current"),
     )
 
 
