@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, privacy, text
-from ..operators import quality, structure, summaries
+from ..operators import administration, quality, structure, summaries
 from .catalogue import SYLLABLES
 from .registry import query, read
 from .reports import AMOUNT, OPENERS
@@ -159,3 +159,31 @@ def shown_values(spark, d):
     end = F.when(F.col("o_orderstatus") == "O", "to date").when(F.col("o_orderstatus").isNotNull(), "Mar 2020")
     blend = numeric.skill_blend(s * 100, (F.col("o_custkey") % 101).cast("double"), F.col("o_custkey") % 4)
     return read(spark, d, "orders").select("o_orderkey", dates.month_label(F.col("o_orderkey")).alias("label"), numeric.confidence(s).alias("confidence"), numeric.shown_similarity(s).alias("shown"), blend.alias("blend"), dates.is_current(end).alias("is_current"))
+
+
+# administration ---------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT c_mktsegment AS profile, least(100e0, o_totalprice / 5000) AS overall, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 101 AS DOUBLE) END AS parse, o_orderkey % 9000 AS ms FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT profile, count(*) AS n, round(avg(overall), 2) AS overall, round(avg(parse), 2) AS parse, round(avg(ms), 0) AS ms FROM a GROUP BY 1),
+    e AS (SELECT user_id, event_type AS kind, ts, value, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) AS day FROM events), l AS (SELECT max(ts) AS now, max(day) AS last FROM e),
+    u AS (SELECT user_id, max(ts) AS seen FROM e WHERE user_id IS NOT NULL GROUP BY 1), d AS (SELECT CAST(last - CAST(g AS INTEGER) AS DATE) AS day FROM l, generate_series(0, 29) t(g)),
+    c AS (SELECT d.day, count(*) FILTER (kind = 'signup') AS registrations, count(*) FILTER (kind = 'click') AS uploads, count(*) FILTER (kind = 'purchase') AS analyses FROM d LEFT JOIN e ON e.day = d.day GROUP BY 1),
+    f AS (SELECT kind, day, count(*) AS n FROM e WHERE kind IN ('error', 'view') GROUP BY 1, 2 ORDER BY day DESC, n DESC, kind LIMIT 50),
+    g AS (SELECT count(*) AS calls, sum(k) FILTER (kind = 'view') AS tokens, floor(avg(value) FILTER (kind = 'view') + 0.5) AS ms, floor(count(*) FILTER (kind = 'error') / CAST(count(*) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS rate FROM e WHERE kind IN ('view', 'error'))
+    SELECT 'totals' AS section, 'users' AS name, CAST(count(*) AS DOUBLE) AS value FROM customer UNION ALL SELECT 'totals', 'suspended', count(*) FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'totals', 'documents', count(*) FROM part WHERE p_size <= 40
+    UNION ALL SELECT 'totals', 'analyses', sum(n) FROM p UNION ALL SELECT 'totals', 'avg_overall', round(sum(coalesce(overall, 0) * n) / sum(n), 2) FROM p UNION ALL SELECT 'totals', 'avg_parse', round(sum(coalesce(parse, 0) * n) / sum(n), 2) FROM p UNION ALL SELECT 'totals', 'avg_ms', round(round(sum(ms * n) / sum(n), 2), 0) FROM p
+    UNION ALL SELECT 'totals', 'active_' || CAST(w AS VARCHAR), count(*) FILTER (seen >= now - to_days(CAST(w AS INTEGER))) FROM u, l, (VALUES (1), (7), (30)) v(w) GROUP BY w
+    UNION ALL SELECT 'daily', strftime(day, '%Y-%m-%d') || ' registrations', registrations FROM c UNION ALL SELECT 'daily', strftime(day, '%Y-%m-%d') || ' uploads', uploads FROM c UNION ALL SELECT 'daily', strftime(day, '%Y-%m-%d') || ' analyses', analyses FROM c
+    UNION ALL SELECT 'by_profile', profile || ' n', n FROM p UNION ALL SELECT 'by_profile', profile || ' overall', overall FROM p UNION ALL SELECT 'by_profile', profile || ' parse', parse FROM p UNION ALL SELECT 'by_profile', profile || ' ms', ms FROM p
+    UNION ALL SELECT 'failures', kind || ' ' || strftime(day, '%Y-%m-%d') || ' count', n FROM f UNION ALL SELECT 'calls', 'calls', calls FROM g UNION ALL SELECT 'calls', 'tokens', tokens FROM g UNION ALL SELECT 'calls', 'avg_ms', ms FROM g UNION ALL SELECT 'calls', 'error_rate', rate FROM g""")
+def platform_report(spark, d):
+    """Customers as users, parts as documents, orders as analyses by market segment, events as what users and calls did."""
+    users = read(spark, d, "customer").select((F.col("c_acctbal") < 0).alias("suspended"))
+    documents = read(spark, d, "part").select((F.col("p_size") > 40).alias("deleted"))
+    owners = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("profile"))
+    parse = F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 101).cast("double"))
+    analyses = read(spark, d, "orders").join(owners, "o_custkey").select("profile", F.least(F.lit(100.0), F.col("o_totalprice") / 5000).alias("overall"), parse.alias("parse"), (F.col("o_orderkey") % 9000).alias("ms"))
+    events = read(spark, d, "events").select("user_id", F.col("event_type").alias("kind"), "ts", F.get_json_object("props", "$.k").try_cast("long").alias("tokens"), F.col("value").alias("ms"))
+    kinds = {"registrations": "signup", "uploads": "click", "analyses": "purchase"}
+    return administration.platform_report(users, documents, analyses, events, ["overall", "parse"], kinds, ["error", "view"], "view", "error")

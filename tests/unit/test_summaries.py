@@ -1,9 +1,11 @@
 """Summaries and small forms, with nulls, nothing and ties."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from dossierflow.functions import dates, numeric, privacy, text
-from dossierflow.operators import summaries
+from dossierflow.operators import administration, summaries
 
 CALL = "k long, purpose string, tokens long, ms double, ok boolean, calls long"
 
@@ -50,3 +52,25 @@ def test_forms(spark):
     assert one(*[numeric.confidence(L(x)) for x in (0.82, 0.8199, 0.6, 0.1, float("nan"))]) == ("high", "medium", "low", "none", "none")
     assert one(numeric.skill_blend(L(80.0), L(40.0), L(0)), numeric.skill_blend(L(80.0), L(40.0), L(2)), numeric.bucket(L(79.9)), *numeric.page_estimate(L(3001), L(9)), numeric.shown_similarity(L(0.81251))) == (80.0, 68.0, 70, 2, 2, "0.813")
     assert one(dates.is_current(L(None).cast("string")), dates.is_current(L("To Date")), dates.is_current(L("2020"))) == (True, True, False)
+
+
+def test_platform_report(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    users, docs = frame([(True,), (False,), (None,)], "suspended boolean"), frame([(True,), (None,)], "deleted boolean")
+    analyses = frame([("a", 10.0, 100), ("a", 20.0, 300), ("b", None, None), (None, 40.0, 1000)], "profile string, score double, ms long")
+    when = datetime.datetime
+    events = frame([(1, "up", when(2024, 3, 1, 9), None, None), (None, "up", when(2024, 3, 1, 8), None, None), (2, "say", when(2024, 2, 27), 5, 8.0), (3, "fail", when(2024, 1, 2), 9, 1.0), (3, "say", when(2024, 1, 2), None, 5.0)], "user_id long, kind string, ts timestamp, tokens long, ms double")
+    run = lambda *t: administration.platform_report(*t, ["score"], {"uploads": "up"}, ["fail"], "say", "fail").collect()
+    rows = run(users, docs, analyses, events)
+    got = {(r.section, r.name): r.value for r in rows}
+    assert len(got) == len(rows)
+    total = {n: v for (s, n), v in got.items() if s == "totals"}
+    assert total == {"users": 3, "suspended": 1, "documents": 1, "analyses": 4, "avg_score": 17.5, "avg_ms": 350, "active_1": 1, "active_7": 2, "active_30": 2}
+    days = {n: v for (s, n), v in got.items() if s == "daily"}
+    assert len(days) == 30 and days["2024-03-01 uploads"] == 2 and sum(days.values()) == 2
+    assert {n: v for (s, n), v in got.items() if s == "by_profile"} == {"a n": 2, "a score": 15.0, "a ms": 200, "b n": 1, "b score": None, "b ms": None, "none n": 1, "none score": 40.0, "none ms": 1000}
+    assert {n: v for (s, n), v in got.items() if s in ("failures", "calls")} == {"fail 2024-01-02 count": 1, "calls": 3, "tokens": 5, "avg_ms": 7, "error_rate": 0.3333}
+    none = {(r.section, r.name): r.value for r in run(users.limit(0), docs.limit(0), analyses.limit(0), events.limit(0))}
+    assert none["totals", "users"] == none["totals", "analyses"] == none["totals", "active_7"] == none["calls", "calls"] == 0 and none["totals", "avg_score"] is None and not any(s == "daily" for s, _ in none)
+    states = frame([(2, 0), (0, 0), (0, 1), (1, 0)], "down int, skipped int").select(administration.health(F.col("down"), F.col("skipped")).alias("h")).collect()
+    assert [r.h for r in states] == ["unhealthy", "healthy", "degraded", "degraded"]
