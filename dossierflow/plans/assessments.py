@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, numeric, privacy, text
+from ..functions import dates, numeric, privacy, requests, text
 from ..operators import administration, quality, structure, summaries
 from .catalogue import SYLLABLES
 from .registry import query, read
@@ -187,3 +187,24 @@ def platform_report(spark, d):
     events = read(spark, d, "events").select("user_id", F.col("event_type").alias("kind"), "ts", F.get_json_object("props", "$.k").try_cast("long").alias("tokens"), F.col("value").alias("ms"))
     kinds = {"registrations": "signup", "uploads": "click", "analyses": "purchase"}
     return administration.platform_report(users, documents, analyses, events, ["overall", "parse"], kinds, ["error", "view"], "view", "error")
+
+
+@query("""WITH g AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'two' WHEN 2 THEN '1.5' ELSE CAST(c_custkey % 1300 AS VARCHAR) END AS page, CAST(c_custkey % 130 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '.0' ELSE '' END AS size, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 32) AS h, c_name AS action, c_acctbal FROM customer),
+    v AS (SELECT *, TRY_CAST(page AS DOUBLE) AS p, CAST(size AS DOUBLE) AS s, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, CASE WHEN k % 3 = 0 THEN 11 ELSE 12 END) AS id FROM g),
+    w AS (SELECT *, page IS NOT NULL AND NOT coalesce(p = floor(p) AND p BETWEEN 1 AND 1000, false) AS bad_page, s NOT BETWEEN 10 AND 100 AS bad_size, k % 3 = 0 AS bad_id, k % 7 = 0 AS bad_from FROM v)
+    SELECT k AS c_custkey, CASE WHEN page IS NULL THEN 1 WHEN NOT bad_page THEN CAST(p AS BIGINT) ELSE -1 END AS page, CASE WHEN NOT bad_size THEN CAST(s AS BIGINT) ELSE -1 END AS page_size, CASE WHEN NOT bad_id THEN id ELSE '' END AS admin_user_id, action,
+        concat_ws(',', CASE WHEN bad_page THEN 'page' END, CASE WHEN bad_size THEN 'page_size' END, CASE WHEN bad_id THEN 'admin_user_id' END, CASE WHEN bad_from THEN 'from' END) AS wrong, CASE WHEN c_acctbal < 0 THEN 'suspended' ELSE 'active' END AS status FROM w""")
+def audit_requests(spark, d):
+    """A request for the audit page by each customer: values, and the parameters that are wrong."""
+    k = F.col("c_custkey")
+    page = F.when(k % 5 == 0, None).when(k % 5 == 1, "two").when(k % 5 == 2, "1.5").otherwise((k % 1300).cast("string"))
+    size = F.concat((k % 130).cast("string"), F.when(k % 2 == 0, ".0").otherwise(""))
+    h = F.sha2(k.cast("string"), 256)
+    last = F.when(k % 3 == 0, F.substring(h, 21, 11)).otherwise(F.substring(h, 21, 12))
+    user = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), last)
+    start = F.when(k % 7 == 0, "2024-01-01").otherwise("2024-01-01T00:00:00Z")
+    given = F.create_map(F.lit("page"), page, F.lit("page_size"), size, F.lit("action"), F.col("c_name"), F.lit("admin_user_id"), user, F.lit("from"), start)
+    status = F.when(F.col("c_acctbal") < 0, "suspended").when(k % 2 == 0, "Suspended")
+    rows = read(spark, d, "customer").select("c_custkey", requests.account_status(status).alias("status"), F.inline(F.array(requests.audit_parameters(given))))
+    none = F.lit(-1).cast("long")
+    return rows.select("c_custkey", F.coalesce("page", none).alias("page"), F.coalesce("page_size", none).alias("page_size"), F.coalesce("admin_user_id", F.lit("")).alias("admin_user_id"), "action", F.array_join("wrong", ",").alias("wrong"), "status")

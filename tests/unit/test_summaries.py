@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from dossierflow.functions import dates, numeric, privacy, text
+from dossierflow.functions import dates, numeric, privacy, requests, text
 from dossierflow.operators import administration, summaries
 
 CALL = "k long, purpose string, tokens long, ms double, ok boolean, calls long"
@@ -74,3 +74,18 @@ def test_platform_report(spark):
     assert none["totals", "users"] == none["totals", "analyses"] == none["totals", "active_7"] == none["calls", "calls"] == 0 and none["totals", "avg_score"] is None and not any(s == "daily" for s, _ in none)
     states = frame([(2, 0), (0, 0), (0, 1), (1, 0)], "down int, skipped int").select(administration.health(F.col("down"), F.col("skipped")).alias("h")).collect()
     assert [r.h for r in states] == ["unhealthy", "healthy", "degraded", "degraded"]
+
+
+def test_audit_parameters(spark):
+    uuid, time = "0123abcd-0123-0123-0123-0123456789aB", "2024-02-29T10:00:00.5Z"
+    cases = [
+        ({}, (1, 25, None, None, None, None), []), (None, (1, 25, None, None, None, None), []),
+        ({"page": " 7 ", "page_size": "1e2", "action": " x ", "admin_user_id": uuid, "from": time, "to": time, "other": "y"}, (7, 100, "x", uuid, time, time), []),
+        ({"page": "", "page_size": "101", "action": "a" * 129, "admin_user_id": "x", "from": "2024-02-29", "to": "2024-13-01T00:00:00Z"}, (None,) * 6, ["page", "page_size", "action", "admin_user_id", "from", "to"]),
+        ({"page": "1.5", "page_size": "NaN"}, (None, None, None, None, None, None), ["page", "page_size"]), ({"page": "1000.0", "page_size": "10d"}, (1000, None, None, None, None, None), ["page_size"]), ({"page": "1001", "page_size": None}, (None, 25, None, None, None, None), ["page"]),
+    ]
+    df = spark.createDataFrame([(n, c[0]) for n, c in enumerate(cases)], "n int, m map<string, string>")
+    got = [r.p for r in df.select("n", requests.audit_parameters(F.col("m")).alias("p")).orderBy("n").collect()]
+    assert [(tuple(p)[:6], p.wrong) for p in got] == [c[1:] for c in cases]
+    states = spark.createDataFrame([("suspended",), ("Suspended",), (None,)], "s string").select(requests.account_status(F.col("s")).alias("s")).collect()
+    assert [r.s for r in states] == ["suspended", "active", "active"]
