@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays: SimHash fingerprints by Golay keys retrieve them, MinHash bands those further apart, and the similarity of five-word shingles decides."""
     return drop_near_duplicates(docs)
 
 

@@ -490,6 +490,21 @@ def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch, small):
     assert left == {i for i in range(len(texts)) if head[i] == i}
 
 
+def test_close_fingerprints_are_retrieved_without_bands(spark, monkeypatch):
+    """Near copies that meet in no band are dropped where their fingerprints are close, by the Golay keys; other texts stay."""
+    monkeypatch.setattr(simhash, "band_tags", lambda hashes: np.frombuffer(hashes.tobytes()[:8] * simhash.BANDS, dtype=np.uint64) ^ np.uint64(len(hashes)) if len(hashes) else np.zeros(simhash.BANDS, dtype=np.uint64))
+    draw = np.random.default_rng(17)
+    texts = []
+    for _ in range(40):
+        words = [f"w{draw.integers(1 << 40)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words, "tail"])]
+    fps = [simhash._majority(simhash.shingle_set(t, 5)) for t in texts]
+    close = {2 * i + 1 for i in range(40) if (fps[2 * i] ^ fps[2 * i + 1]).bit_count() <= simhash.MOST_BITS}
+    assert len(close) > 30
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    assert left == set(range(80)) - close
+
+
 def test_near_copies_share_a_band():
     """Measured recall of the bands over pairs at 0.80 and a little more: all of them."""
     draw = np.random.default_rng(13)
