@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, bpe, exact_dedup, langid, language_model, license_scan, packing, pii, ranked, sharding, simhash, topk, warc
-from .common import table
+from .common import materialise, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +55,13 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every whole text, learnt from what is not held out."""
+    """The language of every whole text, learnt from what is not held out.
+
+    Predictions are written here, where batches of texts to Python are bounded in bytes.
+    """
     docs = table(spark, sf_dir, "documents")
     said = langid.identify(docs, langid.fit(docs))
-    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return materialise(said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"), "languages")
 
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -427,6 +427,21 @@ def test_language_model_does_not_see_held_out_rows(spark, sample):
     assert [(r[0], r[-2]) for r in a] == [(r[0], r[-2]) for r in b]
 
 
+def test_language_query_bounds_batches_of_texts(spark, tmp_path, docs, monkeypatch):
+    """Texts are predicted in batches bounded in bytes while the query's rows are written, and not when its caller reads them."""
+    from dossierflow.llm import common, queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bounds, written = [], common._written
+    monkeypatch.setattr(common, "_written", lambda df, path: bounds.append("ArrowEvalPython" in df._jdf.queryExecution().toString()) or written(df, path))
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    got = queries.op10_language_id(spark, str(tmp_path))
+    assert bounds == [True] and "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+    assert spark.conf.get(common.BATCH_SETTING, None) == before
+    want = langid.identify(docs, langid.fit(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
+
+
 def test_near_copies_are_dropped_by_exact_similarity(spark):
     draw = np.random.default_rng(11)
     text = lambda n: ["".join(chr(97 + c) for c in draw.integers(0, 26, 6)) for _ in range(n)]
