@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import zlib
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +43,13 @@ def _tokenizer(path: str):
     return t
 
 
-def split_words(text: str) -> list[bytes]:
-    """UTF-8 words between ASCII white space.
+def split_words(raw: bytes) -> list[bytes]:
+    """Words of a text in UTF-8, between ASCII white space.
 
     No pre-token spans white space, so the ids of a text are those of its
     words in order. A-Z may be lower-cased ahead of the normaliser, which does
     so itself, but for a text that could then spell a special token.
     """
-    raw = text.encode("utf-8", "replace")
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
@@ -77,21 +78,24 @@ class _Blocks:
     """Deals texts into blocks; the same rows in the same order give the same blocks and keys."""
 
     def __init__(self, block_words: int) -> None:
-        self.most, self.vocab, self.n, self.hash, self.held = block_words, {}, 0, hashlib.blake2b(digest_size=8), []
+        self.most, self.vocab, self.n, self.hash, self.held = block_words, defaultdict(), 0, hashlib.blake2b(digest_size=8), []
 
     def add(self, doc: str | None, text: str | None, with_places: bool) -> bool:
         """Whether the block is full now."""
-        words = split_words(text) if text else []
-        vocab = self.vocab
-        for w in dict.fromkeys(words):
-            if w not in vocab:
-                vocab[w] = len(vocab)
+        raw = (text or "").encode("utf-8", "replace")
+        words, vocab = split_words(raw), self.vocab
+        vocab.default_factory = vocab.__len__  # a new word takes the next place
+        places = map(vocab.__getitem__, words)
         self.n += len(words)
-        self.hash.update(f"{doc}:{len(text or '')}:".encode() + (text or "").encode("utf-8", "replace"))
+        self.hash.update(f"{doc}:{len(text or '')}:".encode())
+        self.hash.update(raw)
         if with_places:
-            at = np.fromiter(map(vocab.__getitem__, words), dtype="<u4", count=len(words))
+            at = np.fromiter(places, dtype="<u4", count=len(words))
             # the lower and the upper bytes apart, which compresses better
             self.held.append((doc, zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)))
+        else:
+            deque(places, maxlen=0)
+        vocab.default_factory = None
         return len(vocab) >= self.most or self.n >= BLOCK_PLACES
 
     def key(self) -> int:
@@ -125,7 +129,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def bucket_of(vocab: dict[bytes, int]) -> np.ndarray:
-        return np.fromiter((zlib.crc32(w) % buckets for w in vocab), dtype="<u2" if buckets < 1 << 16 else "<u4", count=len(vocab))
+        return (np.fromiter(map(zlib.crc32, vocab), dtype="<u4", count=len(vocab)) % np.uint32(buckets)).astype("<u2" if buckets < 1 << 16 else "<u4")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _dealt(batches, block_words, False):
@@ -137,12 +141,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         lists = [zlib.decompress(w).split(b"\n") for w in group["words"]]
-        words = list(dict.fromkeys(w for ws in lists for w in ws))
+        words = list(dict.fromkeys(itertools.chain.from_iterable(lists)))
         ids = dict(zip(words, encode_words(words, path), strict=True))
         out = []
         for ws in lists:
-            own = [ids[w] for w in ws]
-            lengths, flat = np.array([len(x) for x in own], dtype="<u4"), np.array([i for x in own for i in x], dtype="<u4")
+            own = list(map(ids.__getitem__, ws))
+            lengths, flat = np.fromiter(map(len, own), dtype="<u4", count=len(own)), np.fromiter(itertools.chain.from_iterable(own), dtype="<u4")
             out.append(tuple(zlib.compress(a.view(np.uint8).reshape(-1, 4).T.tobytes(), 3) for a in (lengths, flat)))
         return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "lengths": [a for a, _ in out], "ids": [b for _, b in out]})
 
@@ -166,20 +170,21 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_words: int = BLO
         if None in known:
             raise RuntimeError("a block's words are missing: its rows came in another order")
         if digests:
-            counts = np.array([len(x) for x in known], dtype=np.int64)
-            text, piece = [" ".join(map(str, x)) for x in known], [" ".join([table[i] for i in x]) for x in known]
+            shown = list(map(str, range(len(table))))
+            counts = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+            text, piece = (np.array([t[x[0]] if len(x) == 1 else " ".join([t[i] for i in x]) for x in known], dtype=object) for t in (shown, table))
+            gaps = not counts.all()
         out = []
         docs_ = placed[placed["kind"] == 1]
         for doc, packed in zip(docs_["id"], docs_["data"], strict=True):
             at = numbers(packed)
-            order = at.tolist()
             if not digests:
-                ids = [i for k in order for i in known[k]]
+                ids = [i for k in at.tolist() for i in known[k]]
                 out.append((doc, len(ids), ids, " ".join([table[i] for i in ids])))
                 continue
-            parts = [text[k] for k in order], [piece[k] for k in order]
-            if "" in parts[0]:  # a word without ids leaves no gap
-                parts = tuple([x for x in p if x] for p in parts)
+            if gaps:  # a word without ids leaves no gap
+                at = at[counts[at] > 0]
+            parts = text[at].tolist(), piece[at].tolist()
             out.append((doc, int(counts[at].sum()), *(hashlib.sha256(" ".join(p).encode()).hexdigest() for p in parts)))
         return pd.DataFrame(out, columns=["id", "n_tokens", "a", "b"])
 

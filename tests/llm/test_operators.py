@@ -624,3 +624,14 @@ def test_batch_bound_leaves_the_session_as_it_was(spark):
         assert spark.conf.get(BATCH_SETTING) == "9m"
     finally:
         spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+
+
+def test_words_take_places_in_one_pass():
+    """A block numbers words as they come, whether it keeps their places or not; a lookup in between adds nothing."""
+    texts = ["b a b", None, "", "c A\tb <|x|> Z", "<|x|> c"]
+    blocks = [bpe._Blocks(100) for _ in range(2)]
+    for block, with_places in zip(blocks, (False, True), strict=True):
+        assert not any(block.add(str(i), t, with_places) for i, t in enumerate(texts))
+        assert list(block.vocab.items()) == [(b"b", 0), (b"a", 1), (b"c", 2), (b"A", 3), (b"<|x|>", 4), (b"Z", 5)]
+        assert block.vocab.default_factory is None
+    assert blocks[0].key() == blocks[1].key()
