@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def _byte_level(path: str):
 
     def encode(text: str) -> np.ndarray:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            return np.array(fast.encode_ordinary(text), dtype=np.int64)  # does not look for special tokens, of which there are none
         except BaseException as e:  # the library's panics are no Exceptions
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
@@ -109,14 +110,20 @@ class Aligner:
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The group of each token, and how many there are: both tokenizers end a token where a group ends."""
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        cuts = np.intersect1d(end_a, end_b, assume_unique=True)  # no token is empty
-        return np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), len(cuts)
+        ends = np.zeros(end_a[-1] + 1, dtype=np.int8)
+        ends[end_a] = 1
+        shared = ends[end_b] == 1
+        ends[end_a] = 0
+        ends[end_b[shared]] = 1
+        number = np.cumsum(ends, dtype=np.int64) - ends  # of a place: how many groups end ahead of it
+        return number[end_a], number[end_b], int(np.count_nonzero(shared))
 
     def shown(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: int) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: tokens take their places group by group, A ahead of B."""
         out = np.empty((len(a) + len(b), self.digits.shape[1]), dtype=np.uint8)
-        sum_a, sum_b = np.cumsum(np.bincount(of_a, minlength=n)), np.cumsum(np.bincount(of_b, minlength=n))
-        at_a = np.arange(len(a)) + (sum_b - np.bincount(of_b, minlength=n))[of_a]
+        size_b = np.bincount(of_b, minlength=n)
+        sum_a, sum_b = np.cumsum(np.bincount(of_a, minlength=n)), np.cumsum(size_b)
+        at_a = np.arange(len(a)) + (sum_b - size_b)[of_a]
         at_b = np.arange(len(b)) + sum_a[of_b]
         out[at_a], out[at_b] = self.digits[a], self.digits[b]
         out[at_a[sum_a - 1], -1], out[at_b[sum_b - 1], -1] = ord("|"), ord(";")
@@ -131,9 +138,13 @@ def links(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: i
     links as the product of its tokens: beyond ``at_once`` links equal ids of a
     group are counted first, and what is left is expanded part by part.
     """
-    wa, wb = np.ones(len(a), dtype=np.int64), np.ones(len(b), dtype=np.int64)
-    if int((np.bincount(of_a, minlength=n) * np.bincount(of_b, minlength=n)).sum()) > at_once:
-        (a, of_a, wa), (b, of_b, wb) = _counted(a, of_a), _counted(b, of_b)
+    size_b = np.bincount(of_b, minlength=n)
+    first_b, times = np.cumsum(size_b) - size_b, size_b[of_a]
+    if int(times.sum()) <= at_once:  # each link counts once
+        t = np.repeat(np.arange(len(a)), times)
+        at = np.arange(len(t)) + (first_b[of_a] - np.cumsum(times) + times)[t]
+        return _runs(np.sort(a[t] << 32 | b[at]))
+    (a, of_a, wa), (b, of_b, wb) = _counted(a, of_a), _counted(b, of_b)
     size_b = np.bincount(of_b, minlength=n)
     first_b, times = np.cumsum(size_b) - size_b, size_b[of_a]
     part = (np.cumsum(times) - 1) // at_once
@@ -150,6 +161,12 @@ def links(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: i
     return (keys[0], sums[0]) if len(keys) == 1 else _summed(np.concatenate(keys), np.concatenate(sums))
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of what is in order, and how often each occurs."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(first, append=len(ordered))
+
+
 def _counted(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, count = np.unique(of << 32 | ids, return_counts=True)
     return key & _LOW, key >> 32, count
@@ -167,24 +184,21 @@ class _Block:
 
     def __init__(self, key: int) -> None:
         self.key, self.rows, self.size = key, [], 0
-        self.known, self.place, self.docs = (np.empty(0, dtype=np.int64) for _ in range(3))  # known: sorted; docs: by place
+        self.known: dict[int, int] = defaultdict()  # the place of each pair
+        self.docs = np.zeros(1024, dtype=np.int64)  # by place, with room for more
 
     def add(self, pairs: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, pairs)
-        old = np.zeros(len(pairs), dtype=bool)
-        old[at < len(self.known)] = self.known[at[at < len(self.known)]] == pairs[at < len(self.known)]
-        new = np.arange(len(self.known), len(self.known) + int((~old).sum()))
-        places = np.empty(len(pairs), dtype=np.int64)
-        places[old], places[~old] = self.place[at[old]], new
-        if len(new):
-            self.known, self.place = np.insert(self.known, at[~old], pairs[~old]), np.insert(self.place, at[~old], new)
-            self.docs = np.append(self.docs, np.zeros(len(new), dtype=np.int64))
+        self.known.default_factory = self.known.__len__  # a new pair takes the next place
+        places = np.fromiter(map(self.known.__getitem__, pairs.tolist()), dtype=np.int64, count=len(pairs))
+        self.known.default_factory = None
+        if len(self.known) > len(self.docs):
+            self.docs = np.append(self.docs, np.zeros(len(self.known), dtype=np.int64))
         self.docs[places] += 1
         return places
 
     def frame(self) -> pd.DataFrame:
         n = len(self.known)
-        lists = pd.DataFrame({"place": self.place, "pair": self.known, "docs": self.docs[self.place]})
+        lists = pd.DataFrame({"place": np.arange(n), "pair": np.fromiter(self.known, dtype=np.int64, count=n), "docs": self.docs[:n]})
         docs = pd.DataFrame(self.rows, columns=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "packed"]).assign(place=-1, pair=0, docs=0)
         lists = lists.assign(id=None, n_a=0, n_b=0, n_groups=0, n_links=0, groups_sha256="", packed=None) if n else docs[:0]
         return pd.concat([docs, lists]).assign(block=self.key)[[c.split()[0] for c in _COLUMNS.split(", ")]]

@@ -113,3 +113,30 @@ def test_long_groups_are_counted_before_they_are_expanded():
 def test_query(spark):
     got = queries.op12_token_alignment(spark, "/root/testdata/sf0.001")
     assert got.columns == COLUMNS and got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_groups_and_pairs_equal_plain_versions():
+    """Ends marked by place against sets, links against all pairs of a group, and places of pairs over several documents."""
+    draw, block, docs, place = np.random.default_rng(3), alignment._Block(0), {}, {}
+    for _ in range(50):
+        size = int(draw.integers(1, 60))
+        cut = lambda: np.diff([0, *sorted(set(draw.integers(1, size, 20).tolist()) if size > 1 else ()), size])
+        with_both = alignment.Aligner.__new__(alignment.Aligner)
+        with_both.length_a = with_both.length_b = np.arange(size + 1)
+        a, b = cut(), cut()  # an id is its token's length
+        of_a, of_b, n = with_both.groups(a, b)
+        ends = sorted(set(np.cumsum(a).tolist()) & set(np.cumsum(b).tolist()))
+        assert n == len(ends)
+        assert of_a.tolist() == [sum(e < x for e in ends) for x in np.cumsum(a)] and of_b.tolist() == [sum(e < x for e in ends) for x in np.cumsum(b)]
+        want = {}
+        for x, g in zip(a.tolist(), of_a.tolist(), strict=True):
+            for y, h in zip(b.tolist(), of_b.tolist(), strict=True):
+                if g == h:
+                    want[x << 32 | y] = want.get(x << 32 | y, 0) + 1
+        pairs, times = alignment.links(a, b, of_a, of_b, n)
+        assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == want and pairs.tolist() == sorted(want)
+        for pair, at in zip(pairs.tolist(), block.add(pairs).tolist(), strict=True):
+            assert place.setdefault(pair, len(place)) == at
+            docs[pair] = docs.get(pair, 0) + 1
+    lists = block.frame()
+    assert {p: (at, d) for p, at, d in zip(lists["pair"], lists["place"], lists["docs"], strict=True)} == {p: (at, docs[p]) for p, at in place.items()}
