@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chain, normal_for_grounding
+from .text import EDGE, chain, normal_for_grounding
 
 # Patterns of contact data, in the order in which they are replaced.
 SOCIAL_URL = r"(?i)\b(?:https?://)?(?:www\.)?(?:linkedin\.com|github\.com|gitlab\.com|twitter\.com|x\.com|facebook\.com|instagram\.com|behance\.net|dribbble\.com|medium\.com|stackoverflow\.com|angel\.co|crunchbase\.com)/[^\s,;)]*"
@@ -37,17 +39,46 @@ INJECTIONS = {
 REDACTED, MARK = "[REDACTED]", "[redacted-instruction]"
 
 
+def java_form(pattern: str) -> str:
+    """The pattern for Java with the meaning that it has in SQL.
+
+    Words end where ASCII letters, digits and underscores do (Java looks at all
+    letters), a vertical tab is no blank, and where case is ignored ſ counts
+    as s and the Kelvin sign as k.
+    """
+    fold = pattern.startswith("(?i)")
+
+    def part(m: re.Match) -> str:
+        t = m[0]
+        if t.startswith("["):
+            return ("[\u017f\u212a" if fold and "A-Z" in t else "[") + t[1:].replace(r"\s", r"\t\n\f\r ")
+        ahead = r"(?=[0-9])(?<![A-Za-z0-9_])" if m.string[m.end() :].startswith((r"\d", "0")) else EDGE  # the same ahead of a digit, and sooner told
+        of = {r"\b": ahead, r"\s": r"[\t\n\f\r ]"} | ({"s": "[s\u017f]", "k": "[k\u212a]"} if fold else {})
+        return of.get(t if t.startswith("\\") else t.lower(), t)
+
+    return re.sub(r"\\.|\[(?:\\.|[^\]])*\]|.", part, pattern)
+
+
 def masked(text: Column, emails: bool = False) -> tuple[Column, dict[str, Column]]:
     """The text with contact data replaced, and how often each kind was found ahead of its own replacement."""
-    counts = {"social_url": F.regexp_count(text, F.lit(SOCIAL_URL))}
-    text = F.regexp_replace(text, SOCIAL_URL, "[REDACTED_PROFILE_URL]")
-    counts["address"] = F.regexp_count(text, F.lit(ADDRESS))
-    text = F.regexp_replace(text, ADDRESS, "[REDACTED_ADDRESS]")
-    counts["phone"] = sum((F.regexp_count(text, F.lit(p)) for p in PHONES), F.lit(0))
-    text = chain(text, *[(p, REDACTED) for p in PHONES])
+    social_url, address, email, *phones = map(java_form, (SOCIAL_URL, ADDRESS, EMAIL, *PHONES))
+    bare = ~text.rlike("[0-9/@]")  # each pattern holds one of these, and no replacement does
+
+    def count(*patterns: str) -> Column:
+        return F.when(bare, 0).otherwise(sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0)))
+
+    def put(what: str, *patterns: str) -> Column:
+        return F.when(bare, text).otherwise(chain(text, *[(p, what) for p in patterns]))
+
+    counts = {"social_url": count(social_url)}
+    text = put("[REDACTED_PROFILE_URL]", social_url)
+    counts["address"] = count(address)
+    text = put("[REDACTED_ADDRESS]", address)
+    counts["phone"] = count(*phones)
+    text = put(REDACTED, *phones)
     if emails:
-        counts["email"] = F.regexp_count(text, F.lit(EMAIL))
-        text = F.regexp_replace(text, EMAIL, REDACTED)
+        counts["email"] = count(email)
+        text = put(REDACTED, email)
     return text, counts
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.privacy import appears, grounded
-from ..functions.text import normal_for_grounding, quoted_passages
+from ..functions.text import EDGE, normal_for_grounding, quoted_passages
 
 #: Advice that is never given, in the order in which it is looked for.
 FORBIDDEN = (
@@ -20,7 +20,6 @@ FORBIDDEN = (
     ("guarantee", r"(?i)\bguarantee\w*\b[^.\n]{0,40}\b(?:interview|job|offer|hire|screen\w*)\b"),
 )
 LEAST_ACTION = 40
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"  # of words of ASCII letters and digits; Java's own looks at all letters
 #: What a warning says of a field whose value the source does not hold.
 REASONS = {
     "contact.email": "Email address was not found verbatim in the document text.",
