@@ -14,6 +14,7 @@ JOINT = "\x1f"  # between the tokens of a key; no token holds it
 MENTIONED = 0.6  # fixed values: the share of a credit that a mention without evidence keeps, and the credits
 EXACT, STRONG_RELATED = 1.0, 0.85
 WEAK_BELOW = 0.72
+AT_HAND = 200_000  # rows of a dictionary that tasks hold; a larger one is shuffled
 #: Where evidence is looked for, in this order.
 ORIGINS = ("experience", "project", "summary", "achievement", "certification")
 
@@ -38,31 +39,47 @@ def _same_gap(asked: Column, given: Column) -> Column:
     return F.when(~asked.rlike(r"\s"), asked == given).when(asked.rlike(r"^\s+$"), given.rlike(r"^[\s\-]+$")).otherwise(F.call_function("regexp_like", given, pattern))
 
 
+def at_hand(dictionary: DataFrame) -> DataFrame:
+    """The dictionary, broadcast by the joins that it takes part in if it has at most ``AT_HAND`` rows."""
+    return F.broadcast(dictionary) if dictionary.count() <= AT_HAND else dictionary
+
+
+def _places(lines: DataFrame, keys: list[str], text: str, index: DataFrame, first: bool) -> DataFrame:
+    """``(*keys, term, at)``: each place where a row holds a term. Unless the ``first`` ones are wanted, plain words give one row, wherever they stand."""
+    sizes = index.groupBy("n").agg(F.count("*").alias("terms"), F.every((F.col("lead") == "") & (F.col("trail") == "")).alias("plain")).collect()  # a few small numbers
+    tokens, gaps = _tokens(F.col(text))
+    if not sizes:
+        return lines.select(*keys, F.lit("").alias("term"), F.lit(0).alias("at")).where(F.lit(False))
+    if sum(r["terms"] for r in sizes) <= AT_HAND:
+        index = F.broadcast(index)
+    most, plain = max(r["n"] for r in sizes), all(r["plain"] for r in sizes)
+    once = not first and all(r["plain"] for r in sizes if r["n"] == 1)
+    # one row for each token, beside it those that follow, as many as the longest term has, and what stands between and around them
+    around = range(1, most) if plain else range(most + 2)
+    shifted = lambda c, i: F.col(c) if i == 0 else F.slice(c, F.lit(i + 1), F.size(c))
+    arrays = {f"__t{i}": shifted("__t", i) for i in range(most)} | {f"__g{i}": shifted("__g", i) for i in around} | ({"__word": F.array_distinct("__t")} if once else {})
+    rows = lines.select(*keys, tokens.alias("__t"), gaps.alias("__g")).select(*keys, *[c.alias(n) for n, c in arrays.items()])
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("at", "__k")).select(*keys, "at", "__k.*")
+    gram = lambda n: F.col("__word" if once else "__t0") if n == 1 else F.concat(*[c for i in range(n) for c in (F.lit(JOINT), F.col(f"__t{i}"))][1:])
+    found = rows.select("*", F.explode(F.array(*[gram(r["n"]) for r in sizes])).alias("gram")).join(index, "gram")
+    given = F.array(*[F.col(f"__g{i}") if i in around else F.lit("") for i in range(most + 2)])
+    before, behind, ends = F.get(given, F.lit(0)), F.get(given, F.col("n")), F.get(given, F.col("n") + 1).isNull()
+    left = (F.col("lead") == "") | (F.endswith(before, F.col("lead")) & ((F.length(before) > F.length("lead")) | (F.col("at") == 0)))
+    right = (F.col("trail") == "") | (F.startswith(behind, F.col("trail")) & ((F.length(behind) > F.length("trail")) | ends))
+    inner = (F.col("n") == 1) | F.forall(F.zip_with("between", F.slice(given, F.lit(2), F.col("n") - 1), _same_gap), lambda same: same)
+    return found.where(left & right & inner).select(*keys, "term", "at")
+
+
 def term_hits(lines: DataFrame, keys: list[str], text: str, index: DataFrame) -> DataFrame:
     """``(*keys, term, at)``: the terms that each row holds as whole terms, case aside, and the token where each one starts first.
 
     Rows become keys of one token or more, as many as the terms have, which
     meet the terms in an equi-join; what stands between and around the tokens
     is compared afterwards. So the work follows the length of the texts, not
-    that times the number of terms. Null texts hold nothing.
+    that times the number of terms. An index of at most ``AT_HAND`` terms is
+    broadcast, so that hits alone are shuffled. Null texts hold nothing.
     """
-    sizes = sorted(r["n"] for r in index.select("n").distinct().collect())  # a few small numbers
-    tokens, gaps = _tokens(F.col(text))
-    rows = lines.select(*keys, tokens.alias("__t"), gaps.alias("__g"))
-    size = F.size("__t")
-
-    def keyed(n: int) -> Column:
-        at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("__t", i + 1, n), JOINT).alias("gram"), F.slice("__g", i + 1, n + 1).alias("gaps"), (i + n == size).alias("ends")))
-
-    if not sizes:
-        return rows.select(*keys, F.lit("").alias("term"), F.lit(0).alias("at")).where(F.lit(False))
-    found = rows.select(*keys, F.inline(F.concat(*[keyed(n) for n in sizes]))).join(index, "gram")
-    before, behind = F.get("gaps", F.lit(0)), F.element_at("gaps", -1)
-    left = (F.col("lead") == "") | (F.endswith(before, F.col("lead")) & ((F.length(before) > F.length("lead")) | (F.col("at") == 0)))
-    right = (F.col("trail") == "") | (F.startswith(behind, F.col("trail")) & ((F.length(behind) > F.length("trail")) | F.col("ends")))
-    inner = F.forall(F.zip_with("between", F.slice("gaps", F.lit(2), F.col("n") - 1), _same_gap), lambda same: same)
-    return found.where(left & right & inner).groupBy(*keys, "term").agg(F.min("at").alias("at"))
+    return _places(lines, keys, text, index, True).groupBy(*keys, "term").agg(F.min("at").alias("at"))
 
 
 def search_terms(items: DataFrame, item: str, entities: DataFrame) -> DataFrame:

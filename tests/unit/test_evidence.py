@@ -129,3 +129,17 @@ def test_terms_of_every_length_meet(spark):
     lines = spark.createDataFrame([(1, "a1 b2-c3  d4\te5")], "k int, text string")
     got = {r["term"]: r["at"] for r in evidence.term_hits(lines, ["k"], "text", evidence.term_index(spark.createDataFrame([(t,) for t in terms], "t string"), "t")).collect()}
     assert got == {" ".join(words[i:j]): i for i, j in itertools.combinations(range(6), 2)}
+
+
+def test_hits_alone_are_shuffled(spark, capsys):
+    lines = spark.createDataFrame([(1, "alpha beta alpha\nbeta-gamma"), (2, None), (3, "gamma")], "k int, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the size of the index is not known
+    try:
+        hits = evidence.term_hits(lines, ["k"], "text", evidence.term_index(spark.createDataFrame([("alpha",), ("Beta gamma",)], "t string"), "t"))
+        assert sorted(map(tuple, hits.collect())) == [(1, "Beta gamma", 3), (1, "alpha", 0)]
+        hits.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
