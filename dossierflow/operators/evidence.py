@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.text import normal_for_grounding, normal_skill, to_sentence
+from ..sources.shared import kept
 from .matching import alias_index
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -15,6 +18,8 @@ MENTIONED = 0.6  # fixed values: the share of a credit that a mention without ev
 EXACT, STRONG_RELATED = 1.0, 0.85
 WEAK_BELOW = 0.72
 AT_HAND = 200_000  # rows of a dictionary that tasks hold; a larger one is shuffled
+#: What a row says of a document: an item asked for, listed, used, similar to something or to a bullet; a term shown in a bullet or held by the text.
+ASKED, LISTED, TOOL, SIMILAR, OF_BULLET, SHOWN, IN_TEXT = range(7)
 #: Where evidence is looked for, in this order.
 ORIGINS = ("experience", "project", "summary", "achievement", "certification")
 
@@ -109,10 +114,10 @@ def _relations(entities: DataFrame) -> DataFrame:
 def match_texts(required: DataFrame, listed: DataFrame, tools: DataFrame, bullets: DataFrame, texts: DataFrame, entities: DataFrame, similar: DataFrame, key: str) -> DataFrame:
     """``(key, item, source, canonical, related, category, credit, similarity, evidence)``: the first stage that succeeds decides.
 
-    ``required (key, item, source)``, unique by key and item; ``listed`` and
-    ``tools (key, pos, item)``; ``bullets (key, pos, text)``; ``texts (key,
-    text)``; ``similar (key, item, similarity, of_bullet)``, the last telling what it was
-    compared with.
+    ``required (key, item, source)``, of repeated items the smallest source
+    counts; ``listed`` and ``tools (key, pos, item)``; ``bullets (key, pos,
+    text)``; ``texts (key, text)``; ``similar (key, item, similarity,
+    of_bullet)``, the last telling what it was compared with.
 
     1. EXACT: listed or used under the same normal form, or a name of it is in the text.
     2. STRONG_RELATED: something related is listed or used, or the item is another name of an entity.
@@ -122,32 +127,56 @@ def match_texts(required: DataFrame, listed: DataFrame, tools: DataFrame, bullet
     In the first two, what no bullet shows and no tool is, is
     MENTIONED_WITHOUT_EVIDENCE at a reduced credit. ``evidence`` counts the
     bullets that show the item, in the second stage what is related to it.
-    Every stage is an equi-join of small rows; texts are read once.
+    Texts are read once, and what is known of a document is shuffled once, by
+    its key: groups and windows of its items and names follow within it.
     """
-    asked = required.select(key, "item", "source")
-    every = asked.select("item").unionByName(listed.select("item")).unionByName(tools.select("item")).distinct()
-    names = search_terms(every, "item", entities)
-    of = names.select("item", "canonical", "known").distinct()
-    shown_by = names.select("item", "term").unionByName(every.select("item", F.trim("item").alias("term"))).distinct()
-    index = term_index(shown_by, "term")
-    in_text = term_hits(texts, [key], "text", index).join(names.select("item", "term"), "term").select(key, "item").distinct().withColumn("in_text", F.lit(True))
-    shown = term_hits(bullets, [key, "pos"], "text", index).join(shown_by, "term").groupBy(key, "item").agg(F.count_distinct("pos").alias("shown"))
-
-    norm = lambda df, name: df.select(key, normal_skill(F.col("item")).alias("norm")).where("norm <> ''").distinct().withColumn(name, F.lit(True))
-    rows = asked.join(of, "item", "left").withColumn("norm", normal_skill(F.col("item")))
-    rows = rows.join(norm(listed, "is_listed"), [key, "norm"], "left").join(norm(tools, "is_tool"), [key, "norm"], "left").join(in_text, [key, "item"], "left").join(shown, [key, "item"], "left")
-
-    pairs = _relations(entities)
-
-    def kin(held: DataFrame, name: str) -> DataFrame:
-        own = held.select(key, "pos", "item").join(of.where("known"), "item").select(key, "pos", F.col("item").alias(name), F.col("canonical").alias("a"))
-        return own.join(pairs, "a").groupBy(key, F.col("b").alias("canonical")).agg(F.min_by(name, "pos").alias(name))
-
-    rows = rows.join(kin(listed, "kin_listed"), [key, "canonical"], "left").join(kin(tools, "kin_tool"), [key, "canonical"], "left")
-    rows = rows.withColumn("related", F.when(F.col("known"), F.coalesce("kin_listed", "kin_tool")))
-    also = shown.select(key, F.col("item").alias("related"), F.col("shown").alias("kin_shown"))
-    best = similar.groupBy(key, "item").agg(F.max("similarity").alias("similarity"), F.max(F.when(F.col("of_bullet"), F.col("similarity"))).alias("bullet"))
-    rows = rows.join(also, [key, "related"], "left").join(best, [key, "item"], "left")
+    every = required.select("item").unionByName(listed.select("item")).unionByName(tools.select("item")).distinct()
+    names = kept(search_terms(every, "item", entities), "names")
+    # items with the same names are one group of names; where an item's own spelling is none of them, it is a group by itself
+    of = names.groupBy("item", "canonical", "known").agg(F.max(F.trim("term") == F.trim("item")).alias("usual")).withColumn("norm", normal_skill(F.col("item")))
+    of = of.withColumn("group", F.when(F.col("usual"), F.concat(F.when(F.col("known"), "e").otherwise("u"), "canonical")).otherwise(F.concat(F.lit("i"), "item")))
+    spelt = names.select("item", F.trim("term").alias("term")).join(at_hand(of.select("item", "group")), "item").select("group", "term", F.lit(True).alias("named")).distinct()
+    spelt = spelt.unionByName(of.where("not usual").select("group", F.trim("item").alias("term"), F.lit(False).alias("named")))
+    index = term_index(spelt, "term")
+
+    kind = lambda k: F.lit(k).cast("byte").alias("kind")
+    name = F.col("item").alias("name")
+    held = [df.select(key, kind(k), name, "pos") for k, df in ((LISTED, listed), (TOOL, tools))]
+    alike = similar.where("item is not null").select(key, F.when(F.col("of_bullet"), kind(OF_BULLET)).otherwise(kind(SIMILAR)).alias("kind"), name, "similarity")
+    shown = _places(bullets, [key, "pos"], "text", index, False).select(key, kind(SHOWN), F.col("term").alias("name"), "pos")
+    in_text = _places(texts, [key], "text", index, False).select(key, kind(IN_TEXT), F.col("term").alias("name"))
+    together = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    rows = reduce(together, [df.where(F.col(key).isNotNull()) for df in (*held, alike, shown, in_text)], required.select(key, kind(ASKED), name, "source")).repartition(key)
+
+    # one row for each document and item or group of names, which the terms stand for
+    found, is_ = F.col("kind") >= SHOWN, lambda k: F.col("kind") == k
+    rows = rows.join(at_hand(spelt), found & (F.col("name") == F.col("term")), "left").withColumns({"found": found, "what": F.when(found, F.col("group")).otherwise(F.col("name")), "at": F.when(is_(SHOWN), F.col("pos"))})
+    told = {
+        "asked": F.max(is_(ASKED)), "listed": F.min(F.when(is_(LISTED), F.col("pos"))), "tool": F.min(F.when(is_(TOOL), F.col("pos"))), "in_text": F.max(is_(IN_TEXT) & F.col("named")),
+        "similarity": F.max("similarity"), "bullet": F.max(F.when(is_(OF_BULLET), F.col("similarity"))),
+    }
+    again = [(F.min if c in ("listed", "tool") else F.max)(c).alias(c) for c in told]
+    rows = rows.groupBy(key, "found", "what", "source", "at").agg(*[c.alias(n) for n, c in told.items()])
+    rows = rows.groupBy(key, "found", "what", "source").agg(*again, F.count("at").alias("shown"))
+    rows = rows.groupBy(key, "found", "what").agg(*again, F.sum("shown").alias("shown"), F.min("source").alias("source"))
+
+    rows = rows.withColumn("item", F.when(~F.col("found"), F.col("what"))).join(at_hand(of), "item", "left").withColumn("group", F.coalesce("group", F.when(F.col("found"), F.col("what"))))
+    called = Window.partitionBy(key, "group")
+    rows = rows.withColumns({c: F.max(F.when(F.col("found"), F.col(c))).over(called) for c in ("shown", "in_text")}).where("not found and (asked or listed is not null or tool is not null)")
+    same = Window.partitionBy(key, "norm")
+    rows = rows.withColumns({"is_listed": (F.col("norm") != "") & F.max(F.col("listed").isNotNull()).over(same), "is_tool": (F.col("norm") != "") & F.max(F.col("tool").isNotNull()).over(same)})
+
+    # what is listed or used also stands beside what it is related to
+    kin = _relations(entities).groupBy(F.col("a").alias("canonical")).agg(F.collect_list("b").alias("kin"))  # an entity's relations
+    beside = lambda own, c: F.struct(F.lit(own).alias("own"), c.alias("beside"))
+    holds = F.col("known") & (F.col("listed").isNotNull() | F.col("tool").isNotNull())
+    others = F.transform(F.when(holds, F.col("kin")), lambda c: beside(False, c))
+    rows = rows.join(at_hand(kin), "canonical", "left").select("*", F.inline(F.concat(F.array(beside(True, F.col("canonical"))), F.coalesce(others, F.array())))).drop("kin")
+    near = Window.partitionBy(key, "beside")
+    first = lambda c: F.min(F.when(~F.col("own") & F.col(c).isNotNull(), F.struct(c, "item", "shown"))).over(near)
+    rows = rows.withColumns({"kin_listed": first("listed"), "kin_tool": first("tool")}).where("own and asked")
+    first_kin = F.when(F.col("known"), F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c)["item"].alias("item"), F.col(c)["shown"].alias("shown"))) for c in ("kin_listed", "kin_tool")]))
+    rows = rows.withColumns({"related": first_kin["item"], "kin_shown": first_kin["shown"]})
 
     truth = lambda c: F.coalesce(F.col(c), F.lit(False))
     own, kin_own = F.coalesce("shown", F.lit(0)), F.when(F.col("related").isNull(), F.coalesce("shown", F.lit(0))).otherwise(F.coalesce("kin_shown", F.lit(0)))

@@ -143,3 +143,26 @@ def test_hits_alone_are_shuffled(spark, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_what_is_known_of_a_document_is_shuffled_once(spark, entities, capsys):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    held, texts = "k int, pos int, item string", "k int, text string"
+    required = table([(1, "React", "tool"), (1, "React", "required"), (1, "re-act", "required"), (1, "Rust", "preferred"), (2, "Rust", "required"), (None, "React", "required"), (2, None, "required")], "k int, item string, source string")
+    bullets = table([(1, 0, "react, React.js and a react"), (1, 1, "Rust"), (1, 2, "reactjs; re-act"), (None, 0, "React")], "k int, pos int, text string")
+    similar = table([(2, "Rust", 0.7, False), (2, "Rust", 0.65, True), (2, None, 0.9, True), (None, "React", 0.9, True)], "k int, item string, similarity double, of_bullet boolean")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sizes are not known
+    try:
+        out = evidence.match_texts(required, table([(1, 0, "Rust"), (None, 0, "React")], held), table([], held), bullets, table([(1, "react rust"), (None, "React")], texts), entities, similar, "k")
+        capsys.readouterr()
+        out.explain()
+        got = {(r["k"], r["item"]): (r["source"], r["category"], r["credit"], r["similarity"], r["evidence"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = capsys.readouterr().out
+    assert got == {
+        (1, "React"): ("required", "EXACT", 1.0, None, 1), (1, "re-act"): ("required", "MISSING_REQ", 0.0, None, 1), (1, "Rust"): ("preferred", "EXACT", 1.0, None, 1),
+        (2, "Rust"): ("required", "PARTIAL", 0.25, 0.7, 0), (None, "React"): ("required", "MISSING_REQ", 0.0, None, 0), (2, None): ("required", "MISSING_REQ", 0.0, None, 0),
+    }
+    assert plan.count("hashpartitioning(k#") == 1
