@@ -18,6 +18,7 @@ MENTIONED = 0.6  # fixed values: the share of a credit that a mention without ev
 EXACT, STRONG_RELATED = 1.0, 0.85
 WEAK_BELOW = 0.72
 AT_HAND = 200_000  # rows of a dictionary that tasks hold; a larger one is shuffled
+IN_PLAN = 2_000  # terms of an index whose first tokens the plan itself holds, to pass over tokens that begin no term
 #: What a row says of a document: an item asked for, listed, used, similar to something or to a bullet; a term shown in a bullet or held by the text.
 ASKED, LISTED, TOOL, SIMILAR, OF_BULLET, SHOWN, IN_TEXT = range(7)
 #: Where evidence is looked for, in this order.
@@ -55,7 +56,8 @@ def _places(lines: DataFrame, keys: list[str], text: str, index: DataFrame, firs
     tokens, gaps = _tokens(F.col(text))
     if not sizes:
         return lines.select(*keys, F.lit("").alias("term"), F.lit(0).alias("at")).where(F.lit(False))
-    if sum(r["terms"] for r in sizes) <= AT_HAND:
+    terms = sum(r["terms"] for r in sizes)
+    if terms <= AT_HAND:
         index = F.broadcast(index)
     most, plain = max(r["n"] for r in sizes), all(r["plain"] for r in sizes)
     once = not first and all(r["plain"] for r in sizes if r["n"] == 1)
@@ -66,6 +68,10 @@ def _places(lines: DataFrame, keys: list[str], text: str, index: DataFrame, firs
     rows = lines.select(*keys, tokens.alias("__t"), gaps.alias("__g")).select(*keys, *[c.alias(n) for n, c in arrays.items()])
     rows = rows.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("at", "__k")).select(*keys, "at", "__k.*")
     gram = lambda n: F.col("__word" if once else "__t0") if n == 1 else F.concat(*[c for i in range(n) for c in (F.lit(JOINT), F.col(f"__t{i}"))][1:])
+    if terms <= IN_PLAN:
+        heads = [(r["head"], r["one"]) for r in index.select(F.substring_index("gram", JOINT, 1).alias("head"), (F.col("n") == 1).alias("one")).distinct().collect()]
+        begins = lambda c, *ones: F.col(c).isin([h for h, one in heads if one in ones])
+        rows = rows.where(begins("__word", True) | begins("__t0", False) if once else begins("__t0", True, False))
     found = rows.select("*", F.explode(F.array(*[gram(r["n"]) for r in sizes])).alias("gram")).join(index, "gram")
     given = F.array(*[F.col(f"__g{i}") if i in around else F.lit("") for i in range(most + 2)])
     before, behind, ends = F.get(given, F.lit(0)), F.get(given, F.col("n")), F.get(given, F.col("n") + 1).isNull()
@@ -150,15 +156,16 @@ def match_texts(required: DataFrame, listed: DataFrame, tools: DataFrame, bullet
 
     # one row for each document and item or group of names, which the terms stand for
     found, is_ = F.col("kind") >= SHOWN, lambda k: F.col("kind") == k
-    rows = rows.join(at_hand(spelt), found & (F.col("name") == F.col("term")), "left").withColumns({"found": found, "what": F.when(found, F.col("group")).otherwise(F.col("name")), "at": F.when(is_(SHOWN), F.col("pos"))})
+    rows = rows.join(at_hand(spelt), found & (F.col("name") == F.col("term")), "left").withColumns({"found": found, "what": F.when(found, F.col("group")).otherwise(F.col("name")), "at": F.when(is_(SHOWN), F.col("pos").cast("long"))})
     told = {
         "asked": F.max(is_(ASKED)), "listed": F.min(F.when(is_(LISTED), F.col("pos"))), "tool": F.min(F.when(is_(TOOL), F.col("pos"))), "in_text": F.max(is_(IN_TEXT) & F.col("named")),
         "similarity": F.max("similarity"), "bullet": F.max(F.when(is_(OF_BULLET), F.col("similarity"))),
     }
+    # which of 64 bullets show it is a bit each, so that one turn of groups is enough for most documents
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int")))
+    rows = rows.groupBy(key, "found", "what", "source", F.shiftright("at", 6).alias("block")).agg(*[c.alias(n) for n, c in told.items()], bits.alias("bits"))
     again = [(F.min if c in ("listed", "tool") else F.max)(c).alias(c) for c in told]
-    rows = rows.groupBy(key, "found", "what", "source", "at").agg(*[c.alias(n) for n, c in told.items()])
-    rows = rows.groupBy(key, "found", "what", "source").agg(*again, F.count("at").alias("shown"))
-    rows = rows.groupBy(key, "found", "what").agg(*again, F.sum("shown").alias("shown"), F.min("source").alias("source"))
+    rows = rows.groupBy(key, "found", "what").agg(*again, F.sum(F.bit_count("bits")).alias("shown"), F.min("source").alias("source"))
 
     rows = rows.withColumn("item", F.when(~F.col("found"), F.col("what"))).join(at_hand(of), "item", "left").withColumn("group", F.coalesce("group", F.when(F.col("found"), F.col("what"))))
     called = Window.partitionBy(key, "group")

@@ -166,3 +166,12 @@ def test_what_is_known_of_a_document_is_shuffled_once(spark, entities, capsys):
         (2, "Rust"): ("required", "PARTIAL", 0.25, 0.7, 0), (None, "React"): ("required", "MISSING_REQ", 0.0, None, 0), (2, None): ("required", "MISSING_REQ", 0.0, None, 0),
     }
     assert plan.count("hashpartitioning(k#") == 1
+
+
+def test_bullets_are_counted_beyond_any_block(spark, entities):
+    at = [-65, -64, -1, 0, 1, 63, 64, 127, 128, 6400, 2**31 + 5]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    bullets = table([(1, p, t) for p in at for t in ("react", "React.js, react")] + [(1, 7, "vue")], "k int, pos long, text string")
+    none = table([], "k int, pos int, item string")
+    out = evidence.match_texts(table([(1, "react", "required")], "k int, item string, source string"), none, none, bullets, table([(1, "react")], "k int, text string"), entities, table([], "k int, item string, similarity double, of_bullet boolean"), "k")
+    assert [tuple(r) for r in out.select("category", "evidence").collect()] == [("EXACT", len(at))]
